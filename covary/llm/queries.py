@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from covary.llm import simhash
+from covary.llm import decontaminate, simhash, url_filter
 
 QUERIES = {
+    "op1_url_filter": url_filter.query,
     "op2_simhash_near_dedup": simhash.query,
+    "op3_decontaminate": decontaminate.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op1_url_filter": url_filter.SQL,
+    "op3_decontaminate": decontaminate.SQL,
+}
