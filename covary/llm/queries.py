@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from covary.llm import decontaminate, simhash, url_filter
+from covary.llm import decontaminate, line_dedup, mpeg_audio, sharding, simhash, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.query,
     "op2_simhash_near_dedup": simhash.query,
     "op3_decontaminate": decontaminate.query,
+    "op7_line_dedup": line_dedup.query,
+    "op8_mpeg_audio": mpeg_audio.query,
+    "op9_extendible_sharding": sharding.query,
 }
 
 ORACLE_SQL = {
     "op1_url_filter": url_filter.SQL,
     "op3_decontaminate": decontaminate.SQL,
+    "op7_line_dedup": line_dedup.SQL,
+    "op9_extendible_sharding": sharding.SQL,
 }
