@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from covary.llm import decontaminate, language, line_dedup, mpeg_audio, sharding, simhash, url_filter
+from covary.llm import bpe, decontaminate, language, line_dedup, mpeg_audio, sharding, simhash, toxicity, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.query,
     "op2_simhash_near_dedup": simhash.query,
     "op3_decontaminate": decontaminate.query,
     "op4_language_id": language.query,
+    "op5_byte_bpe": bpe.query,
+    "op6_toxicity": toxicity.query,
     "op7_line_dedup": line_dedup.query,
     "op8_mpeg_audio": mpeg_audio.query,
     "op9_extendible_sharding": sharding.query,
