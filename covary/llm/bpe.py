@@ -147,26 +147,29 @@ def decode(tokens: DataFrame, ranks: dict[bytes, int] | None = None) -> DataFram
     return tokens.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, decoded binary")
 
 
-def digests(docs: DataFrame, ranks: dict[bytes, int] | None = None) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): encoded, decoded again and summed up in one pass."""
+def digests(docs: DataFrame, ranks: dict[bytes, int] | None = None, with_ids: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256): encoded, decoded again and summed up in one pass; with_ids adds
+    the ids themselves."""
     ranks = docs.sparkSession.sparkContext.broadcast(ranks or read_ranks())
 
     def run(batches):
         codec = Codec(ranks.value)
         for b in batches:
             ids = [codec.encode(t.as_py()) for t in b.column(1)]
-            yield pa.record_batch(
-                [
-                    b.column(0),
-                    pa.array([len(x) // 4 for x in ids], pa.int64()),
-                    pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
-                    pa.array([hashlib.sha256(codec.decode(x)).hexdigest() for x in ids], pa.string()),
-                ],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+            cols = [
+                b.column(0),
+                pa.array([len(x) // 4 for x in ids], pa.int64()),
+                pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
+                pa.array([hashlib.sha256(codec.decode(x)).hexdigest() for x in ids], pa.string()),
+            ]
+            if with_ids:
+                ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
+                cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32))))
+            yield pa.record_batch(cols, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(cols)])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    schema = f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def merge_words(words: DataFrame, ranks: dict[bytes, int] | None = None) -> DataFrame:

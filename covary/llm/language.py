@@ -187,17 +187,16 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
 
 
-def keep_identified(docs: DataFrame, learn_from: DataFrame, least: float = 0.5) -> DataFrame:
+def keep_identified(docs: DataFrame, model: Model, least: float = 0.34) -> DataFrame:
     """docs without those whose language can't be told: `und`, or a score under `least`."""
-    model = train(learn_from)
-    own = docs.select(*docs.columns, F.col("text").alias("__text"))
+    at = docs.columns.index("text")
 
     def run(batches):
         for b in batches:
-            keep = [(p := model.predict(t.as_py()))[0] != UNKNOWN and p[1] >= least for t in b.column(b.num_columns - 1)]
-            yield b.filter(pa.array(keep, pa.bool_())).select(b.schema.names[:-1])
+            told = [model.predict(t.as_py()) for t in b.column(at)]
+            yield b.filter(pa.array([lang != UNKNOWN and p >= least for lang, p in told], pa.bool_()))
 
-    return own.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from covary.llm import bpe, decontaminate, language, line_dedup, mpeg_audio, sharding, simhash, toxicity, url_filter
+from covary.llm import bpe, decontaminate, html_text, language, line_dedup, mpeg_audio, sharding, simhash, toxicity, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.query,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_line_dedup": line_dedup.query,
     "op8_mpeg_audio": mpeg_audio.query,
     "op9_extendible_sharding": sharding.query,
+    "op10_html_text": html_text.query,
 }
 
 ORACLE_SQL = {
