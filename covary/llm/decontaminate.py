@@ -83,6 +83,12 @@ def _extended(hits: DataFrame) -> DataFrame:
     )
 
 
+def _runs(n: int) -> Column:
+    """Every run of n words of `h`, as (hash, start)."""
+    start = F.slice("h", 1, F.greatest(F.size("h") - (n - 1), F.lit(0)))
+    return F.transform(start, lambda x, i: F.struct(F.xxhash64(x, *[F.get("h", i + j) for j in range(1, n)]).alias("run"), i.alias("start")))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(row, n_hit, items): for each document row (see row_key) with a hit, how many of its words lie in an item's
     window and the sorted ids, as strings, of those items."""
@@ -99,10 +105,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     small = F.broadcast if few else (lambda df: df)
     found = _extended(located(text, ["row"]).join(small(grams), "gram"))
     for (n,) in items.where(F.size("h") < WINDOW).select(F.size("h")).distinct().collect():  # at most nine lengths
-        runs = F.transform(
-            F.slice("h", 1, F.greatest(F.size("h") - (n - 1), F.lit(0))),
-            lambda x, i, n=n: F.struct(F.xxhash64(x, *[F.get("h", i + j) for j in range(1, n)]).alias("run"), i.alias("start")),
-        )
+        runs = _runs(n)
         short = items.where(F.size("h") == n).select(F.xxhash64(*[F.get("h", F.lit(j)) for j in range(n)]).alias("run"), "ids")
         at = text.select("row", F.explode(runs).alias("x")).select("row", "x.run", "x.start")
         found = found.union(at.join(small(short), "run").select("row", "ids", "start", F.lit(n).alias("n")))
