@@ -242,7 +242,7 @@ STOCK = ["Home", "About us", "Log in", "Accept all cookies to go on.", "Read mor
 PROSE = ["The town met in the old hall.", "On the first day of the week the council spoke about the new bridge, which many had asked for, and closed the talk late in the evening.", "A short line", "Nobody had an answer."]
 
 
-def train(pages: list[str], epochs: int = 6, rate: float = 0.3, l2: float = 1e-4) -> Model:
+def train(pages: list[str], epochs: int = 8, rate: float = 0.5, l2: float = 1e-5) -> Model:
     """Maximum likelihood by AdaGrad, sequence by sequence."""
     r = random.Random(11)
     data: list[tuple[list[Block], list[int]]] = []
@@ -253,7 +253,7 @@ def train(pages: list[str], epochs: int = 6, rate: float = 0.3, l2: float = 1e-4
             data.append((blocks, y))
     stock = [Block(t, (), 0) for t in STOCK + PROSE]
     bases = [d for d in data if len(d[0]) <= 200] or [(stock, [0] * len(STOCK) + [1] * len(PROSE))]
-    data = [d for d in data if len(d[0]) <= 400] + [rewrapped(*bases[i % len(bases)], r) for i in range(500)]
+    data = [d for d in data if len(d[0]) <= 400] + [rewrapped(*bases[i % len(bases)], r) for i in range(900)]
     index: dict[str, int] = {}
     rows = []
     for blocks, y in data:
