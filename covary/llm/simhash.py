@@ -146,77 +146,86 @@ def wide_fingerprint(words: list[bytes], k: int = 2) -> bytes:
     return b"".join(out)
 
 
+FP = ["w0", "w1", "w2"]
+
+
 def _wide(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, fp binary(24), shingles): text_key is one for texts of equal words."""
+    """(row, text_key, w0, w1, w2): text_key is one for texts of equal words, w the fingerprint's three words."""
 
     def run(batches):
         for b in batches:
-            rows = ([], [])
+            keys, prints = [], []
             for t in b.column(1):
                 w = words_of(t.as_py())
-                rows[0].append(xxhash.xxh3_128_digest(b" ".join(w)))
-                rows[1].append(wide_fingerprint(w))
-            yield pa.record_batch([b.column(0), pa.array(rows[0], pa.binary()), pa.array(rows[1], pa.binary())], names=["row", "text_key", "fp"])
+                keys.append(xxhash.xxh3_128_digest(b" ".join(w)))
+                prints.append(wide_fingerprint(w))
+            fp = np.frombuffer(b"".join(prints), ">i8").reshape(-1, GROUPS).astype(np.int64)
+            yield pa.record_batch([b.column(0), pa.array(keys, pa.binary()), *(pa.array(np.ascontiguousarray(fp[:, g])) for g in range(GROUPS))], names=["row", "text_key", *FP])
+
+    return docs.select("row", "text").mapInArrow(run, "row bigint, text_key binary, w0 bigint, w1 bigint, w2 bigint")
 
-    return docs.select("row", "text").mapInArrow(run, "row bigint, text_key binary, fp binary")
 
+def _posting_keys(fps: DataFrame) -> DataFrame:
+    """(fid, key): the fingerprint's posting lists, each the number of a triple and its three bytes in one integer."""
+    places = np.array(TRIPLES)
+
+    def run(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, 2000):
+                part = b.slice(i, 2000)
+                words = np.stack([part.column(1 + g).to_numpy() for g in range(GROUPS)], axis=1).astype(">i8")
+                byte = np.ascontiguousarray(words).view(np.uint8).astype(np.int32)
+                keys = (np.arange(len(TRIPLES), dtype=np.int64) << 24) + (byte[:, places[:, 0]] << 16 | byte[:, places[:, 1]] << 8 | byte[:, places[:, 2]])
+                fid = np.repeat(part.column(0).to_numpy(), len(TRIPLES))
+                yield pa.record_batch([pa.array(fid), pa.array(keys.reshape(-1))], names=["fid", "key"])
 
-def _shared_wide(a: Column, b: Column) -> Column:
-    return sum(((F.substring(a, i + 1, 1) == F.substring(b, i + 1, 1)).cast("int") for i in range(8 * GROUPS)), F.lit(0))
+    return fps.select("fid", *FP).mapInArrow(run, "fid bigint, key bigint")
 
 
 def _shingle_sets(docs: DataFrame, k: int) -> DataFrame:
+    """(row, shingles): the distinct k-word shingles, each by 32 bits of its hash."""
+
     def run(batches):
         for b in batches:
-            sets = [shingle_hashes(words_of(t.as_py()), k, distinct=True).view(np.int64) for t in b.column(1)]
+            sets = [np.unique(shingle_hashes(words_of(t.as_py()), k, distinct=True).astype(np.uint32)).view(np.int32) for t in b.column(1)]
             lengths = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-            flat = pa.array(np.concatenate(sets) if sets else np.empty(0, np.int64), pa.int64())
+            flat = pa.array(np.concatenate(sets) if sets else np.empty(0, np.int32), pa.int32())
             yield pa.record_batch([b.column(0), pa.ListArray.from_arrays(pa.array(lengths), flat)], names=["row", "shingles"])
 
-    return docs.select("row", "text").mapInArrow(run, "row bigint, shingles array<bigint>")
+    return docs.select("row", "text").mapInArrow(run, "row bigint, shingles array<int>")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, min_bytes: int = 7, pair_list: int = 16) -> DataFrame:
     """(row, group) for every row of docs: rows of one group are linked by equal words or by a Jaccard similarity of
     the distinct `shingle`-word shingles of at least `similarity`; group is the smallest row. docs needs `row` (a
-    bigint that identifies the row) and `text`.
+    bigint that rows of equal id and text may share) and `text`.
 
-    Lists of up to `pair_list` different fingerprints give all their pairs. In a longer list each member meets the
-    list's first and its neighbours in fingerprint order; every two similar texts share dozens of lists, each of which
-    orders them anew, and the members of a large group of copies are then joined through each other."""
+    Posting lists hold small numbers in place of fingerprints. Lists of up to `pair_list` different fingerprints give
+    all their pairs. In a longer list each member meets the list's first and its neighbour; every two similar texts
+    share dozens of lists, and the members of a large group of copies are then joined through each other."""
     wide = written(_wide(docs))
-    texts = wide.groupBy("text_key").agg(F.min("row").alias("row"), F.first("fp").alias("fp"))
-    fps = written(texts.groupBy("fp").agg(F.min("row").alias("row")))
-    byte = lambda i: F.substring("fp", i + 1, 1)
-    key = F.array(*[F.struct(F.lit(n).cast("short").alias("n"), F.concat(*map(byte, t)).alias("kept")) for n, t in enumerate(TRIPLES)])
-    lists = (
-        fps.select("fp", "row", F.explode(key).alias("key"))
-        .groupBy("key.n", "key.kept")
-        .agg(F.sort_array(F.collect_list(F.struct("fp", "row"))).alias("m"))
-        .where(F.size("m") > 1)
-    )
+    texts = wide.groupBy("text_key").agg(F.min("row").alias("row"), *[F.first(w).alias(w) for w in FP])
+    texts = written(texts)
+    fps = written(texts.groupBy(*FP).agg(F.min("row").alias("row")).withColumn("fid", F.monotonically_increasing_id()))
+    lists = _posting_keys(fps).groupBy("key").agg(F.sort_array(F.collect_list("fid")).alias("m")).where(F.size("m") > 1)
     m, pair = F.col("m"), lambda x, y: F.struct(x.alias("x"), y.alias("y"))
     all_pairs = F.flatten(F.transform(m, lambda x, i: F.transform(F.slice(m, i + 2, F.greatest(F.size(m) - i - 1, F.lit(0))), lambda y: pair(x, y))))
     along = F.flatten(F.transform(F.slice(m, 2, F.size(m) - 1), lambda y, i: F.array(pair(F.get(m, F.lit(0)), y), pair(F.get(m, i), y))))
-    found = (
-        lists.select(F.explode(F.when(F.size(m) <= pair_list, all_pairs).otherwise(along)).alias("p"))
-        .where(_shared_wide(F.col("p.x.fp"), F.col("p.y.fp")) >= min_bytes)
-        .select(F.least("p.x.row", "p.y.row").alias("a"), F.greatest("p.x.row", "p.y.row").alias("b"))
-        .distinct()
-    )
-    found = written(found)
+    met = lists.select(F.explode(F.when(F.size(m) <= pair_list, all_pairs).otherwise(along)).alias("p")).select("p.x", "p.y").distinct()
+    side = lambda name, row: fps.select(F.col("fid").alias(name), F.col("row").alias(row), *[F.col(w).alias(f"{name}_{w}") for w in FP])
+    tally = sum((shared_bytes(F.col(f"x_{w}"), F.col(f"y_{w}")) for w in FP), F.lit(0))
+    found = met.join(side("x", "ra"), "x").join(side("y", "rb"), "y").where(tally >= min_bytes).select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
     # texts of one fingerprint are candidates of each other: each against the first
-    same = texts.join(fps.select("fp", F.col("row").alias("a")), "fp").where("row > a").select("a", F.col("row").alias("b"))
+    same = texts.join(fps.select(*FP, F.col("row").alias("a")), FP).where("row > a").select("a", F.col("row").alias("b"))
     pairs = written(found.union(same))
     needed = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
-    sets = _shingle_sets(docs.select("row", "text").join(needed, "row", "left_semi"), shingle)
-    sets = written(sets)
+    sets = written(_shingle_sets(docs.select("row", "text").join(needed, "row", "left_semi"), shingle).dropDuplicates(["row"]))
     x, y = sets.select(F.col("row").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("row").alias("b"), F.col("shingles").alias("sb"))
     common = F.size(F.array_intersect("sa", "sb"))
     ok = pairs.join(x, "a").join(y, "b").where(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
     copies = wide.join(texts.select("text_key", F.col("row").alias("a")), "text_key").where("row > a").select("a", F.col("row").alias("b"))
     label = connected_components(ok.union(copies))
-    rows = docs.select("row")
+    rows = wide.select("row")
     return rows.join(label, rows["row"] == label["node"], "left").select("row", F.coalesce("component", "row").alias("group"))
 
 
