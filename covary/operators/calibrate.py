@@ -11,6 +11,7 @@ from covary.functions.scalars import WEIGHTS
 from covary.operators import baselines as bas
 from covary.operators import evaluate as evl
 from covary.operators import mining, partitions
+from covary.sources.store import stored
 
 RC = ["repo_id", "config_id"]
 SEVERITY = {"pass": 0, "inconclusive": 1, "fail": 2}
@@ -21,16 +22,18 @@ def calibrate(events: DataFrame, tx: DataFrame, grid: DataFrame) -> tuple[DataFr
     """(metrics, gains, displayed) of every repository and configuration, baselines and the shuffled control included.
     tx are unsliced transactions."""
     sliced = partitions.with_slices(tx, events)
-    comp, pair = mining.component_stats(sliced), mining.pair_stats(sliced)
-    shown = mining.display(sliced, grid)
-    metrics = evl.repository_metrics(shown, sliced, comp, pair, grid)
+    comp, pair = stored(mining.component_stats(sliced)), stored(mining.pair_stats(sliced))
+    total = mining.totals(sliced)
+    measured = stored(mining.pair_metrics(*map(mining.cumulative_training, (pair, comp, total))))
+    shown = stored(mining.displayed(measured, grid))
+    metrics = stored(evl.repository_metrics(shown, sliced, comp, pair, grid))
     shuffled = partitions.with_slices(tx, partitions.shuffled_order(events))
     others = {
         "frequent": bas.measured(bas.frequent_consequent(shown, comp), comp, pair),
-        "unweighted": bas.measured(bas.unweighted_baseline(sliced, grid), comp, pair),
+        "unweighted": bas.measured(mining.displayed(measured, bas.unweighted(grid)), comp, pair),
         "shuffled": bas.measured(mining.display(shuffled, grid), mining.component_stats(shuffled), mining.pair_stats(shuffled)),
     }
-    return metrics, bas.gain_over_baselines(metrics, others, grid), shown
+    return metrics, stored(bas.gain_over_baselines(metrics, others, grid)), shown
 
 
 def engineering_gates(metrics: DataFrame, gains: DataFrame, displayed: DataFrame, floor: DataFrame, role: str = "development") -> DataFrame:

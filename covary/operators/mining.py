@@ -106,12 +106,17 @@ def rank_candidates(pairs: DataFrame, k: int = DISPLAY) -> DataFrame:
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def display(tx: DataFrame, grid: DataFrame, k: int = DISPLAY, floor: int = FLOOR) -> DataFrame:
-    """Sliced transactions -> displayed candidates with ids."""
-    ranked = rank_candidates(eligible(metrics_of(tx), grid, floor), k)
+def displayed(metrics: DataFrame, grid: DataFrame, k: int = DISPLAY, floor: int = FLOOR) -> DataFrame:
+    """Measures -> displayed candidates with ids."""
+    ranked = rank_candidates(eligible(metrics, grid, floor), k)
     return ranked.withColumn("candidate_id", candidate_id(F.col("a"), F.col("b")))
 
 
+def display(tx: DataFrame, grid: DataFrame, k: int = DISPLAY, floor: int = FLOOR) -> DataFrame:
+    """Sliced transactions -> displayed candidates."""
+    return displayed(metrics_of(tx), grid, k, floor)
+
+
 def final_proposal(displayed: DataFrame) -> DataFrame:
     """What the full history proposes."""
     return displayed.where(F.col("partition") == SNAPSHOTS[-1])

@@ -3,24 +3,17 @@ registered queries. All arithmetic is on integers, so any engine derives the sam
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from covary.operators import mining, normalize, partitions
+from covary.sources.store import stored
 
 REPOS = 5
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
-    return f"{base}/scratch/{uuid.uuid4().hex}"
-
-
 class History:
     """The derived frames; each is built once per object and shared by the plans that use it."""
 
@@ -39,7 +32,7 @@ class History:
         rows = rows.withColumn("seq", F.row_number().over(w)).withColumn("event_id", F.col("o_orderkey").cast("string"))
         kind = F.when(F.col("seq") == 1, "root").when(F.col("o_orderstatus") == "P", "merge-result").otherwise("single-parent")
         n_parents = F.when(F.col("seq") == 1, 0).when(F.col("o_orderstatus") == "P", 2).otherwise(1)
-        return rows.select("repo_id", "event_id", "o_orderkey", "o_orderpriority", "seq", kind.alias("kind"), F.lag("event_id").over(w).alias("first_parent"), n_parents.alias("n_parents"))
+        return stored(rows.select("repo_id", "event_id", "o_orderkey", "o_orderpriority", "seq", kind.alias("kind"), F.lag("event_id").over(w).alias("first_parent"), n_parents.alias("n_parents")))
 
     @cached_property
     def all_changes(self) -> DataFrame:
@@ -82,7 +75,7 @@ class History:
 
     @cached_property
     def transactions(self) -> DataFrame:
-        return normalize.build_transactions(self.events, self.changes, *self.limits)
+        return stored(normalize.build_transactions(self.events, self.changes, *self.limits))
 
     @cached_property
     def tx(self) -> DataFrame:
@@ -115,7 +108,7 @@ class History:
 
     @cached_property
     def displayed(self) -> DataFrame:
-        return mining.display(self.tx, self.grid)
+        return stored(mining.display(self.tx, self.grid))
 
     @cached_property
     def tips(self) -> DataFrame:
@@ -164,6 +157,6 @@ class History:
     def acceptances(self) -> DataFrame:
         """Per user, as a repository: what happened how many seconds after their first event."""
         e = self.table("events")
-        first = F.min("ts").over(Window.partitionBy("user_id"))
-        elapsed = F.unix_micros("ts") - F.unix_micros(first)
+        at = F.unix_micros(F.col("ts").cast("timestamp"))
+        elapsed = at - F.min(at).over(Window.partitionBy("user_id"))
         return e.select(F.col("user_id").cast("string").alias("repo_id"), (elapsed / 1e6 / 3600).alias("elapsed"), (F.col("event_type") == "purchase").alias("useful"), ((F.col("event_type") == "error") & (F.col("value") > 99)).alias("interrupted"), "event_id")

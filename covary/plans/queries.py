@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from covary.functions import scalars as sc
 from covary.operators import baselines, calibrate, chain, check, evaluate, evidence, mining, normalize, partitions, profiles, report, review
 from covary.plans import oracle as o
-from covary.plans.history import History, scratch
+from covary.plans.history import History
 from covary.sources import landing
+from covary.sources.store import scratch, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -384,7 +385,7 @@ def _(h):
 
 
 def _metrics(h: History, grid: DataFrame) -> DataFrame:
-    shown = mining.display(h.tx, grid)
+    shown = stored(mining.display(h.tx, grid))
     return six(evaluate.repository_metrics(shown, h.tx, h.components, h.pairs, grid), "micro", "macro", "coverage", "min_jaccard")
 
 
@@ -582,7 +583,7 @@ def _(h):
 
 @query("FMT2_metric", f"{o.history(grid='all')} SELECT repo_id, config_id, format('{{:.6f}}', micro) AS value, CASE WHEN micro IS NULL THEN 'no_candidates' END AS reason FROM rm")
 def _(h):
-    m = evaluate.repository_metrics(mining.display(h.tx, h.full_grid), h.tx, h.components, h.pairs, h.full_grid)
+    m = evaluate.repository_metrics(stored(mining.display(h.tx, h.full_grid)), h.tx, h.components, h.pairs, h.full_grid)
     return m.select("repo_id", "config_id", sc.metric(F.col("micro"), F.lit("no_candidates")).alias("m")).select("repo_id", "config_id", "m.value", "m.reason")
 
 
