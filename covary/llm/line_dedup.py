@@ -8,7 +8,8 @@ language (headings, table cells, single words) and always stay.
 
 Only digests and places are shuffled for grouping: the first place of each digest is a partial minimum, so a line that
 stands in a third of all documents reaches the reducer once per task; the join that brings it back to the places is an
-ordinary one, which AQE splits where a digest is hot.
+ordinary one, which AQE splits where a digest is hot. The places to remove are broadcast to the texts only while
+their counted number stays under a limit; beyond it the texts are shuffled once.
 
 A null text has no unit and stays null; rows that agree in doc_id and text count as one document and get one result
 each; a line repeated inside one document is removed after its first place; other columns are kept by drop_repeats."""
@@ -20,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from covary.llm.shared import row_key, table, written
+from covary.llm.shared import row_key, small_enough, table, written
 
 #: Passages that matter are longer than this; clean texts share no line of this length.
 MIN_WORDS = 20
@@ -71,7 +72,7 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with `text` cut and `removed`, the code-point spans of the original that went, each with its line feed."""
     keyed = docs.withColumn("__row", row_key(F.col("doc_id"), F.col("text")))
     gone = written(repeats(docs, min_words).withColumnRenamed("row", "__row").withColumnRenamed("removed", "__removed"))
-    out = keyed.join(gone, "__row", "left").drop("__row")
+    out = keyed.join(small_enough(gone, 1 + F.size("__removed")), "__row", "left").drop("__row")
 
     # the lines that stay: from the end of one removed unit to the start of the next
     spans, text = F.col("__removed"), F.col("text")

@@ -49,6 +49,17 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Row ids, with a short list each, that a broadcast may hold: some 100 MB in an executor, whatever the corpus holds.
+BROADCAST_IDS = 1_000_000
+
+
+def small_enough(ids: DataFrame, units: Column | None = None, limit: int | None = None) -> DataFrame:
+    """A written table of ids, marked for broadcast if its counted rows (or the sum of `units` over them) stay within
+    the limit, so that what it is joined to needn't be shuffled; beyond it both sides are shuffled and merged."""
+    n = ids.agg(F.sum(units) if units is not None else F.count("*")).first()[0] or 0
+    return F.broadcast(ids) if n <= (BROADCAST_IDS if limit is None else limit) else ids.hint("merge")
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(a, b) links of any orderable ids -> (node, component), component being the smallest id reachable.
 

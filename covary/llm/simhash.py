@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from covary.llm.shared import connected_components, row_key, table, written
+from covary.llm.shared import connected_components, row_key, small_enough, table, written
 
 SLICE = 1 << 15
 _xxh64 = partial(xxhash.xxh64_intdigest, seed=42)
@@ -182,6 +182,39 @@ def _posting_keys(fps: DataFrame) -> DataFrame:
     return fps.select("fid", *FP).mapInArrow(run, "fid bigint, key bigint")
 
 
+def _listed_pairs(postings: DataFrame, leaders: int = 1, min_bytes: int = 0) -> DataFrame:
+    """(key, x, y) for the members of each posting list: every member y against those of the list's first `leaders`
+    members x that stand before it, lie in another part and share min_bytes positional bytes. postings is (key, part,
+    fid), with the fingerprint's words and a rank that comes before fid if it has them. Lists pass in order, a batch
+    at a time, and only the leaders of the open list are kept."""
+    cols = ["key", "part", "fid", *(w for w in FP if w in postings.columns)]
+
+    def run(batches):
+        opened = [np.empty(0, np.int64)] * len(cols)
+        for b in batches:
+            old = len(opened[0])
+            key, part, fid, *words = (np.concatenate([o, b.column(i).to_numpy()]) for i, o in enumerate(opened))
+            if not len(key):
+                continue
+            at = np.arange(len(key))
+            start = np.maximum.accumulate(np.where(np.r_[True, key[1:] != key[:-1]], at, 0))
+            xs, ys = [], []
+            for n in range(leaders):
+                y = np.flatnonzero((at - start > n) & (at >= old))
+                x = start[y] + n
+                shared = sum(((w[x] ^ w[y]).view(np.uint8).reshape(-1, 8) == 0).sum(axis=1) for w in words) + np.zeros(len(y), np.int64)
+                met = (part[x] != part[y]) & (shared >= min_bytes)
+                xs.append(x[met])
+                ys.append(y[met])
+            x, y = np.concatenate(xs), np.concatenate(ys)
+            opened = [c[start[-1] : start[-1] + leaders] for c in (key, part, fid, *words)]
+            yield pa.record_batch([pa.array(key[y]), pa.array(fid[x]), pa.array(fid[y])], names=["key", "x", "y"])
+
+    order = ["rank"] if "rank" in postings.columns else []
+    dealt = postings.select(*cols, *order).repartition("key").sortWithinPartitions("key", *order, "fid")
+    return dealt.mapInArrow(run, "key bigint, x bigint, y bigint")
+
+
 def _shingle_sets(docs: DataFrame, k: int) -> DataFrame:
     """(row, shingles): the distinct k-word shingles, each by 32 bits of its hash."""
 
@@ -195,34 +228,47 @@ def _shingle_sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("row", "text").mapInArrow(run, "row bigint, shingles array<int>")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, min_bytes: int = 7, pair_list: int = 16) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, min_bytes: int = 7, leaders: int = 6) -> DataFrame:
     """(row, group) for every row of docs: rows of one group are linked by equal words or by a Jaccard similarity of
     the distinct `shingle`-word shingles of at least `similarity`; group is the smallest row. docs needs `row` (a
     bigint that rows of equal id and text may share) and `text`.
 
-    Posting lists hold small numbers in place of fingerprints. Lists of up to `pair_list` different fingerprints give
-    all their pairs. In a longer list each member meets the list's first and its neighbour; every two similar texts
-    share dozens of lists, and the members of a large group of copies are then joined through each other."""
+    Posting lists hold small numbers in place of fingerprints. Then the members of lists of two or more
+    take their fingerprints along, to be tallied where they meet. First each member of a list meets the list's first
+    one, the member that has the most company over all its lists; what these pairs link makes parts. Then members in
+    different parts meet, each one those among the list's first `leaders`. So a large group of copies, most of whose
+    lists hold one part, costs a number of pairs that grows with its size, and lists of up to leaders + 1 fingerprints
+    miss no link."""
     wide = written(_wide(docs))
     texts = wide.groupBy("text_key").agg(F.min("row").alias("row"), *[F.first(w).alias(w) for w in FP])
     texts = written(texts)
     fps = written(texts.groupBy(*FP).agg(F.min("row").alias("row")).withColumn("fid", F.monotonically_increasing_id()))
-    lists = _posting_keys(fps).groupBy("key").agg(F.sort_array(F.collect_list("fid")).alias("m")).where(F.size("m") > 1)
-    m, pair = F.col("m"), lambda x, y: F.struct(x.alias("x"), y.alias("y"))
-    all_pairs = F.flatten(F.transform(m, lambda x, i: F.transform(F.slice(m, i + 2, F.greatest(F.size(m) - i - 1, F.lit(0))), lambda y: pair(x, y))))
-    along = F.flatten(F.transform(F.slice(m, 2, F.size(m) - 1), lambda y, i: F.array(pair(F.get(m, F.lit(0)), y), pair(F.get(m, i), y))))
-    met = lists.select(F.explode(F.when(F.size(m) <= pair_list, all_pairs).otherwise(along)).alias("p")).select("p.x", "p.y").distinct()
-    side = lambda name, row: fps.select(F.col("fid").alias(name), F.col("row").alias(row), *[F.col(w).alias(f"{name}_{w}") for w in FP])
-    tally = sum((shared_bytes(F.col(f"x_{w}"), F.col(f"y_{w}")) for w in FP), F.lit(0))
-    found = met.join(side("x", "ra"), "x").join(side("y", "rb"), "y").where(tally >= min_bytes).select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
+    listed = written(_listed_pairs(_posting_keys(fps).withColumn("part", F.col("fid"))))
+    members = listed.select("key", F.col("y").alias("fid")).union(listed.select("key", F.col("x").alias("fid")).distinct())
+    # those with the most company come first, so that the lists of a group of copies agree in their first member
+    company = members.join(members.groupBy("key").agg(F.count("*").alias("n")), "key").groupBy("fid").agg((-F.sum("n")).alias("rank"))
+    # from here on a member goes by its row
+    members = written(members.join(company, "fid").join(fps, "fid").select("key", "rank", F.col("row").alias("fid"), *FP))
+
+    def candidates(met: DataFrame) -> DataFrame:
+        return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        needed = small_enough(written(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()))
+        sets = written(_shingle_sets(docs.select("row", "text").join(needed, "row", "left_semi"), shingle).dropDuplicates(["row"]))
+        x, y = sets.select(F.col("row").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("row").alias("b"), F.col("shingles").alias("sb"))
+        common = F.size(F.array_intersect("sa", "sb"))
+        ok = common >= similarity * (F.size("sa") + F.size("sb") - common)
+        return written(pairs.join(x, "a").join(y, "b").where(ok).select("a", "b"))
+
     # texts of one fingerprint are candidates of each other: each against the first
     same = texts.join(fps.select(*FP, F.col("row").alias("a")), FP).where("row > a").select("a", F.col("row").alias("b"))
-    pairs = written(found.union(same))
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
-    sets = written(_shingle_sets(docs.select("row", "text").join(needed, "row", "left_semi"), shingle).dropDuplicates(["row"]))
-    x, y = sets.select(F.col("row").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("row").alias("b"), F.col("shingles").alias("sb"))
-    common = F.size(F.array_intersect("sa", "sb"))
-    ok = pairs.join(x, "a").join(y, "b").where(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+    pairs = written(candidates(_listed_pairs(members.withColumn("part", F.col("fid")), 1, min_bytes)).union(same))
+    ok = similar(pairs)
+    first = connected_components(ok)
+    parts = members.join(first, members["fid"] == first["node"], "left").withColumn("part", F.coalesce("component", "fid"))
+    across = candidates(_listed_pairs(parts, leaders, min_bytes))
+    ok = ok.union(similar(written(across.join(pairs, ["a", "b"], "left_anti"))))
     copies = wide.join(texts.select("text_key", F.col("row").alias("a")), "text_key").where("row > a").select("a", F.col("row").alias("b"))
     label = connected_components(ok.union(copies))
     rows = wide.select("row")
@@ -235,13 +281,18 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     keyed = docs.withColumn("__key", row_key(F.col("doc_id"), F.col("text")))
     rows = keyed.select(F.col("__key").alias("row"), "doc_id", "text")
     group = near_duplicates(rows.select("row", "text"), **options)
-    best = (
-        group.join(rows.select("row", "doc_id"), "row")
-        .groupBy("group")
-        .agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("b"))
-        .select(F.col("b.row").alias("__key"))
-    )
-    return keyed.join(best, "__key", "left_semi").dropDuplicates(["__key"]).select(*docs.columns)
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
+    ids = rows.select("row", "doc_id").dropDuplicates(["row"])
+    ranked = written(group.dropDuplicates(["row"]).join(ids, "row").select("group", "row", place.alias("place")))
+    best = ranked.groupBy("group").agg(F.min("place").alias("best"), F.count("*").alias("n")).where("n > 1")
+    gone = written(ranked.join(best, "group").where("place != best").select(F.col("row").alias("__key")))
+    kept = keyed.join(small_enough(gone), "__key", "left_anti")
+    # rows that agree in doc_id and text: only these are brought together
+    again = written(rows.groupBy("row").count().where("count > 1").select(F.col("row").alias("__key")))
+    once = small_enough(again)
+    if again.isEmpty():
+        return kept.select(*docs.columns)
+    return kept.join(once, "__key", "left_anti").union(kept.join(once, "__key", "left_semi").dropDuplicates(["__key"])).select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
