@@ -237,8 +237,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     take their fingerprints along, to be tallied where they meet. First each member of a list meets the list's first
     one, the member that has the most company over all its lists; what these pairs link makes parts. Then members in
     different parts meet, each one those among the list's first `leaders`. So a large group of copies, most of whose
-    lists hold one part, costs a number of pairs that grows with its size, and lists of up to leaders + 1 fingerprints
-    miss no link."""
+    lists hold one part, costs a number of pairs that grows with its size. Lists of up to leaders + 1 fingerprints miss
+    no link; a longer one can."""
     wide = written(_wide(docs))
     texts = wide.groupBy("text_key").agg(F.min("row").alias("row"), *[F.first(w).alias(w) for w in FP])
     texts = written(texts)
