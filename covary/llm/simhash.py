@@ -20,6 +20,7 @@ columns are ignored. Very long texts are hashed in slices.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import partial
 from itertools import combinations
 
@@ -228,17 +229,32 @@ def _shingle_sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("row", "text").mapInArrow(run, "row bigint, shingles array<int>")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, min_bytes: int = 7, leaders: int = 6) -> DataFrame:
+def across_parts(members: DataFrame, alike: Callable[[str, str], Column], block: int = 500) -> DataFrame:
+    """(x, y) for every two members of a posting list that lie in different parts and are alike, once per list.
+    members is (key, fid, part, ...); alike gets the prefixes of the two sides' columns. Only members outside the
+    list's largest part are dealt to tiles of about `block`, and every member meets each tile: no list is cut, a long
+    one is spread over tasks, and one that a single part fills but for a few members isn't repeated."""
+    sizes = members.groupBy("key", "part").agg(F.count("*").alias("own"))
+    lists = sizes.groupBy("key").agg(F.sum("own").alias("all"), F.max(F.struct("own", "part")).alias("big"), F.count("*").alias("parts")).where("parts > 1")
+    tiles = F.ceil((F.col("all") - F.col("big.own")) / block).cast("int").alias("tiles")
+    mixed = members.join(lists.select("key", F.col("big.part").alias("big"), tiles), "key")
+    cols = [c for c in members.columns if c != "key"]
+    x = mixed.where("part != big").select("key", F.pmod(F.xxhash64("fid"), "tiles").cast("int").alias("tile"), *[F.col(c).alias(f"x_{c}") for c in cols])
+    y = mixed.select("key", "big", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), *[F.col(c).alias(f"y_{c}") for c in cols])
+    once = (F.col("y_part") == F.col("big")) | (F.col("x_part") < F.col("y_part"))
+    return x.join(y, ["key", "tile"]).where(once & alike("x_", "y_")).select(F.col("x_fid").alias("x"), F.col("y_fid").alias("y"))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, min_bytes: int = 7) -> DataFrame:
     """(row, group) for every row of docs: rows of one group are linked by equal words or by a Jaccard similarity of
     the distinct `shingle`-word shingles of at least `similarity`; group is the smallest row. docs needs `row` (a
     bigint that rows of equal id and text may share) and `text`.
 
     Posting lists hold small numbers in place of fingerprints. Then the members of lists of two or more
     take their fingerprints along, to be tallied where they meet. First each member of a list meets the list's first
-    one, the member that has the most company over all its lists; what these pairs link makes parts. Then members in
-    different parts meet, each one those among the list's first `leaders`. So a large group of copies, most of whose
-    lists hold one part, costs a number of pairs that grows with its size. Lists of up to leaders + 1 fingerprints miss
-    no link; a longer one can."""
+    one, the member that has the most company over all its lists; what these pairs link makes parts. Then all members in
+    different parts meet. So a large group of copies, most of whose lists hold one part, costs a number of pairs that
+    grows with its size, and no list of any length misses a link."""
     wide = written(_wide(docs))
     texts = wide.groupBy("text_key").agg(F.min("row").alias("row"), *[F.first(w).alias(w) for w in FP])
     texts = written(texts)
@@ -267,7 +283,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     ok = similar(pairs)
     first = connected_components(ok)
     parts = members.join(first, members["fid"] == first["node"], "left").withColumn("part", F.coalesce("component", "fid"))
-    across = candidates(_listed_pairs(parts, leaders, min_bytes))
+    shared = lambda x, y: sum((shared_bytes(F.col(x + w), F.col(y + w)) for w in FP), F.lit(0)) >= min_bytes
+    across = candidates(across_parts(parts.select("key", "fid", "part", *FP), shared))
     ok = ok.union(similar(written(across.join(pairs, ["a", "b"], "left_anti"))))
     copies = wide.join(texts.select("text_key", F.col("row").alias("a")), "text_key").where("row > a").select("a", F.col("row").alias("b"))
     label = connected_components(ok.union(copies))

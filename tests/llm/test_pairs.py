@@ -142,6 +142,21 @@ def test_a_large_group_of_copies_keeps_one(spark):
     assert sorted((str(x.doc_id) for x in kept.collect())) == ["0", "900", "None"]
 
 
+def test_every_two_members_of_a_list_in_different_parts_meet(spark):
+    r = random.Random(12)
+    lists = {1: [7] * 30 + [40, 41, 41, 42], 2: list(range(100, 160)), 3: [7] * 20, 4: [5]}
+    rows, want = [], set()
+    for key, parts in lists.items():
+        fids = r.sample(range(1000), len(parts))
+        rows += [(key, f, p) for f, p in zip(fids, parts, strict=True)]
+        want |= {(key, *sorted((f, g))) for f, p in zip(fids, parts, strict=True) for g, q in zip(fids, parts, strict=True) if p != q}
+    for block in (7, 500):
+        for key in lists:
+            one = frame(spark, [x for x in rows if x[0] == key], "key bigint, fid bigint, part bigint")
+            got = [(key, *sorted(x)) for x in simhash.across_parts(one, lambda x, y: F.lit(True), block).collect()]
+            assert len(got) == len(set(got)) and set(got) == {x for x in want if x[0] == key}
+
+
 # ------------------------------------------------------------------ decontamination
 
 
