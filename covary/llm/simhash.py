@@ -7,11 +7,12 @@ bytes. Exact copies collapse to one fingerprint before anything is indexed. With
 bytes only; they are linked through the values one bit away from them (members that share such a value are all within
 two bits of each other), so a list of m members costs 17 m rows and never m * m pairs, and no list needs a cap.
 
-``near_duplicates`` is for the looser similarity that whole-corpus cleaning needs (Jaccard 0.8 on five-word shingles):
-a 192-bit SimHash of the distinct two-word shingles (a text that keeps 80 % of its five-word shingles keeps about 95 %
-of those) is indexed by three positional bytes out of eight, in three groups of eight: two texts that share
-``min_bytes`` = 7 of the 24 positional bytes share such a list for certain. Pairs are tallied over all 24 bytes, those
-below 7 dropped, and the rest verified on the five-word shingles themselves.
+``near_duplicates`` is for the looser similarity that whole-corpus cleaning needs (Jaccard 0.8 on five-word shingles).
+A passage replaced in one place moves too many bits there for any count of shared bytes to be certain, so its index
+holds the shingles themselves. Two sets of similarity t share at least ceil(t * n) of the n shingles of either, so that
+in any one order of all shingles the first n - ceil(t * n) + 1 of both hold a common one: every pair meets in a list.
+The order puts shingles of few texts first, so that what many texts share (licenses, repeated lines) makes no list.
+Pairs whose sizes allow it are verified on all their shingles.
 
 Nulls: a null text has no words and gets fingerprint zero, as an empty one; a null doc_id is kept as a row and is
 never the smallest id of a component (null only if no row of it has an id). Repeated rows get equal results. Other
@@ -20,6 +21,7 @@ columns are ignored. Very long texts are hashed in slices.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from functools import partial
 from itertools import combinations
@@ -27,7 +29,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from covary.llm.shared import connected_components, row_key, small_enough, table, written
@@ -131,102 +133,73 @@ def simhash_components(docs: DataFrame, shingle: int = 3) -> DataFrame:
 
 # ---------------------------------------------------------------- similarity 0.8 on five-word shingles
 
-GROUPS = 3
-TRIPLES = [tuple(8 * g + i for i in t) for g in range(GROUPS) for t in combinations(range(8), 3)]
-ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
+#: Slots that count shingles, and how many of them, the fullest, are told apart when shingles are put in order.
+SLOT_BITS, HOT_SLOTS = 22, 200_000
 
 
-def wide_fingerprint(words: list[bytes], k: int = 2) -> bytes:
-    """24 bytes: SimHash of the distinct k-word shingles under three independent mixings of their hash."""
-    h = shingle_hashes(words, k, distinct=True)
-    out = []
-    for odd in ODD:
-        x = h * odd
-        x ^= x >> np.uint64(29)
-        out.append(majority_bits(x * np.uint64(0xBF58476D1CE4E5B9)))
-    return b"".join(out)
+def _slots(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
 
-FP = ["w0", "w1", "w2"]
-
-
-def _wide(docs: DataFrame) -> DataFrame:
-    """(row, text_key, w0, w1, w2): text_key is one for texts of equal words, w the fingerprint's three words."""
+def _text_keys(docs: DataFrame) -> DataFrame:
+    """(row, text_key): text_key is one for texts of equal words."""
 
     def run(batches):
         for b in batches:
-            keys, prints = [], []
-            for t in b.column(1):
-                w = words_of(t.as_py())
-                keys.append(xxhash.xxh3_128_digest(b" ".join(w)))
-                prints.append(wide_fingerprint(w))
-            fp = np.frombuffer(b"".join(prints), ">i8").reshape(-1, GROUPS).astype(np.int64)
-            yield pa.record_batch([b.column(0), pa.array(keys, pa.binary()), *(pa.array(np.ascontiguousarray(fp[:, g])) for g in range(GROUPS))], names=["row", "text_key", *FP])
+            keys = [xxhash.xxh3_128_digest(b" ".join(words_of(t.as_py()))) for t in b.column(1)]
+            yield pa.record_batch([b.column(0), pa.array(keys, pa.binary())], names=["row", "text_key"])
 
-    return docs.select("row", "text").mapInArrow(run, "row bigint, text_key binary, w0 bigint, w1 bigint, w2 bigint")
+    return docs.select("row", "text").mapInArrow(run, "row bigint, text_key binary")
 
 
-def _posting_keys(fps: DataFrame) -> DataFrame:
-    """(fid, key): the fingerprint's posting lists, each the number of a triple and its three bytes in one integer."""
-    places = np.array(TRIPLES)
+def _common_slots(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The fullest slots and about how many texts have a shingle of theirs. Only the order of shingles follows from
+    it, so estimates are enough: a task tells the slots that it met four times, the driver gets HOT_SLOTS rows."""
 
     def run(batches):
+        counts = np.zeros(1 << SLOT_BITS, np.int32)
         for b in batches:
-            for i in range(0, b.num_rows, 2000):
-                part = b.slice(i, 2000)
-                words = np.stack([part.column(1 + g).to_numpy() for g in range(GROUPS)], axis=1).astype(">i8")
-                byte = np.ascontiguousarray(words).view(np.uint8).astype(np.int32)
-                keys = (np.arange(len(TRIPLES), dtype=np.int64) << 24) + (byte[:, places[:, 0]] << 16 | byte[:, places[:, 1]] << 8 | byte[:, places[:, 2]])
-                fid = np.repeat(part.column(0).to_numpy(), len(TRIPLES))
-                yield pa.record_batch([pa.array(fid), pa.array(keys.reshape(-1))], names=["fid", "key"])
+            for t in b.column(0):
+                counts[_slots(shingle_hashes(words_of(t.as_py()), k, distinct=True))] += 1
+        at = np.flatnonzero(counts >= 4)
+        yield pa.record_batch([pa.array(at), pa.array(counts[at].astype(np.int64))], names=["slot", "n"])
 
-    return fps.select("fid", *FP).mapInArrow(run, "fid bigint, key bigint")
+    sums = docs.select("text").mapInArrow(run, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n"))
+    got = sums.orderBy(F.desc("n"), "slot").limit(HOT_SLOTS).toArrow()
+    return got.column("slot").to_numpy(), got.column("n").to_numpy()
 
 
-def _listed_pairs(postings: DataFrame, leaders: int = 1, min_bytes: int = 0) -> DataFrame:
-    """(key, x, y) for the members of each posting list: every member y against those of the list's first `leaders`
-    members x that stand before it, lie in another part and share min_bytes positional bytes. postings is (key, part,
-    fid), with the fingerprint's words and a rank that comes before fid if it has them. Lists pass in order, a batch
-    at a time, and only the leaders of the open list are kept."""
-    cols = ["key", "part", "fid", *(w for w in FP if w in postings.columns)]
+def _prefixes(docs: DataFrame, k: int, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(key, fid, n): of each row's n distinct shingles the first n - ceil(similarity * n) + 1, rare ones first."""
 
     def run(batches):
-        opened = [np.empty(0, np.int64)] * len(cols)
+        weight = np.zeros(1 << SLOT_BITS, np.int64)
+        weight[common[0]] = common[1]
         for b in batches:
-            old = len(opened[0])
-            key, part, fid, *words = (np.concatenate([o, b.column(i).to_numpy()]) for i, o in enumerate(opened))
-            if not len(key):
-                continue
-            at = np.arange(len(key))
-            start = np.maximum.accumulate(np.where(np.r_[True, key[1:] != key[:-1]], at, 0))
-            xs, ys = [], []
-            for n in range(leaders):
-                y = np.flatnonzero((at - start > n) & (at >= old))
-                x = start[y] + n
-                shared = sum(((w[x] ^ w[y]).view(np.uint8).reshape(-1, 8) == 0).sum(axis=1) for w in words) + np.zeros(len(y), np.int64)
-                met = (part[x] != part[y]) & (shared >= min_bytes)
-                xs.append(x[met])
-                ys.append(y[met])
-            x, y = np.concatenate(xs), np.concatenate(ys)
-            opened = [c[start[-1] : start[-1] + leaders] for c in (key, part, fid, *words)]
-            yield pa.record_batch([pa.array(key[y]), pa.array(fid[x]), pa.array(fid[y])], names=["key", "x", "y"])
-
-    order = ["rank"] if "rank" in postings.columns else []
-    dealt = postings.select(*cols, *order).repartition("key").sortWithinPartitions("key", *order, "fid")
-    return dealt.mapInArrow(run, "key bigint, x bigint, y bigint")
+            keys, sizes, lengths = [np.empty(0, np.uint64)], [], []
+            for t in b.column(1):
+                h = shingle_hashes(words_of(t.as_py()), k, distinct=True)
+                first = len(h) - math.ceil(similarity * len(h) - 1e-9) + 1 if len(h) else 0
+                keys.append(h[np.lexsort((h, weight[_slots(h)]))[:first]])
+                sizes.append(len(h))
+                lengths.append(first)
+            fid, n = np.repeat(b.column(0).to_numpy(), lengths), np.repeat(np.array(sizes, np.int64), lengths)
+            yield pa.record_batch([pa.array(np.concatenate(keys).view(np.int64)), pa.array(fid), pa.array(n)], names=["key", "fid", "n"])
+
+    return docs.select("row", "text").mapInArrow(run, "key bigint, fid bigint, n bigint")
 
 
 def _shingle_sets(docs: DataFrame, k: int) -> DataFrame:
-    """(row, shingles): the distinct k-word shingles, each by 32 bits of its hash."""
+    """(row, shingles): the hashes of the distinct k-word shingles."""
 
     def run(batches):
         for b in batches:
-            sets = [np.unique(shingle_hashes(words_of(t.as_py()), k, distinct=True).astype(np.uint32)).view(np.int32) for t in b.column(1)]
+            sets = [shingle_hashes(words_of(t.as_py()), k, distinct=True).view(np.int64) for t in b.column(1)]
             lengths = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-            flat = pa.array(np.concatenate(sets) if sets else np.empty(0, np.int32), pa.int32())
+            flat = pa.array(np.concatenate(sets) if sets else np.empty(0, np.int64), pa.int64())
             yield pa.record_batch([b.column(0), pa.ListArray.from_arrays(pa.array(lengths), flat)], names=["row", "shingles"])
 
-    return docs.select("row", "text").mapInArrow(run, "row bigint, shingles array<int>")
+    return docs.select("row", "text").mapInArrow(run, "row bigint, shingles array<bigint>")
 
 
 def across_parts(members: DataFrame, alike: Callable[[str, str], Column], block: int = 500) -> DataFrame:
@@ -245,26 +218,31 @@ def across_parts(members: DataFrame, alike: Callable[[str, str], Column], block:
     return x.join(y, ["key", "tile"]).where(once & alike("x_", "y_")).select(F.col("x_fid").alias("x"), F.col("y_fid").alias("y"))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, min_bytes: int = 7) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(row, group) for every row of docs: rows of one group are linked by equal words or by a Jaccard similarity of
     the distinct `shingle`-word shingles of at least `similarity`; group is the smallest row. docs needs `row` (a
     bigint that rows of equal id and text may share) and `text`.
 
-    Posting lists hold small numbers in place of fingerprints. Then the members of lists of two or more
-    take their fingerprints along, to be tallied where they meet. First each member of a list meets the list's first
-    one, the member that has the most company over all its lists; what these pairs link makes parts. Then all members in
-    different parts meet. So a large group of copies, most of whose lists hold one part, costs a number of pairs that
-    grows with its size, and no list of any length misses a link."""
-    wide = written(_wide(docs))
-    texts = wide.groupBy("text_key").agg(F.min("row").alias("row"), *[F.first(w).alias(w) for w in FP])
-    texts = written(texts)
-    fps = written(texts.groupBy(*FP).agg(F.min("row").alias("row")).withColumn("fid", F.monotonically_increasing_id()))
-    listed = written(_listed_pairs(_posting_keys(fps).withColumn("part", F.col("fid"))))
-    members = listed.select("key", F.col("y").alias("fid")).union(listed.select("key", F.col("x").alias("fid")).distinct())
+    First each member of a posting list meets the list's first one, the member that has the most company over all its
+    lists; what these pairs link makes parts. Then all members in different parts meet. So a large group of copies,
+    most of whose lists hold one part, costs a number of pairs that grows with its size, and no list of any length
+    misses a link."""
+    keys = written(_text_keys(docs))
+    texts = keys.groupBy("text_key").agg(F.min("row").alias("a"))
+    copies = written(keys.join(texts, "text_key").where("row > a").select("a", F.col("row").alias("b")).distinct())
+    alone = docs.select("row", "text").join(small_enough(copies.select(F.col("b").alias("row"))), "row", "left_anti")
+    postings = _prefixes(alone, shingle, similarity, _common_slots(alone, shingle))
+    of = Window.partitionBy("key")
+    marked = postings.select("*", F.lag("fid").over(of.orderBy("fid")).alias("before"), F.min("fid").over(of).alias("low"), F.max("fid").over(of).alias("high"))
+    # lists of two or more; rows of equal id and text stand in them once
+    members = written(marked.where("low < high AND (before IS NULL OR before < fid)").select("key", "fid", "n"))
     # those with the most company come first, so that the lists of a group of copies agree in their first member
-    company = members.join(members.groupBy("key").agg(F.count("*").alias("n")), "key").groupBy("fid").agg((-F.sum("n")).alias("rank"))
-    # from here on a member goes by its row
-    members = written(members.join(company, "fid").join(fps, "fid").select("key", "rank", F.col("row").alias("fid"), *FP))
+    company = members.join(members.groupBy("key").agg(F.count("*").alias("size")), "key").groupBy("fid").agg((-F.sum("size")).alias("rank"))
+    members = written(members.join(company, "fid").select("key", "rank", "fid", "n"))
+
+    def alike(x: str, y: str) -> Column:
+        """What two sizes allow."""
+        return F.least(x + "n", y + "n") >= similarity * F.greatest(x + "n", y + "n")
 
     def candidates(met: DataFrame) -> DataFrame:
         return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
@@ -277,18 +255,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
         ok = common >= similarity * (F.size("sa") + F.size("sb") - common)
         return written(pairs.join(x, "a").join(y, "b").where(ok).select("a", "b"))
 
-    # texts of one fingerprint are candidates of each other: each against the first
-    same = texts.join(fps.select(*FP, F.col("row").alias("a")), FP).where("row > a").select("a", F.col("row").alias("b"))
-    pairs = written(candidates(_listed_pairs(members.withColumn("part", F.col("fid")), 1, min_bytes)).union(same))
+    led = of.orderBy("rank", "fid")
+    met = members.select(F.first("fid").over(led).alias("x"), F.first("n").over(led).alias("x_n"), F.col("fid").alias("y"), F.col("n").alias("y_n"))
+    pairs = written(candidates(met.where((F.col("x") != F.col("y")) & alike("x_", "y_"))))
     ok = similar(pairs)
     first = connected_components(ok)
-    parts = members.join(first, members["fid"] == first["node"], "left").withColumn("part", F.coalesce("component", "fid"))
-    shared = lambda x, y: sum((shared_bytes(F.col(x + w), F.col(y + w)) for w in FP), F.lit(0)) >= min_bytes
-    across = candidates(across_parts(parts.select("key", "fid", "part", *FP), shared))
+    parts = members.join(first, members["fid"] == first["node"], "left").select("key", "fid", "n", F.coalesce("component", "fid").alias("part"))
+    across = candidates(across_parts(parts, alike))
     ok = ok.union(similar(written(across.join(pairs, ["a", "b"], "left_anti"))))
-    copies = wide.join(texts.select("text_key", F.col("row").alias("a")), "text_key").where("row > a").select("a", F.col("row").alias("b"))
     label = connected_components(ok.union(copies))
-    rows = wide.select("row")
+    rows = keys.select("row")
     return rows.join(label, rows["row"] == label["node"], "left").select("row", F.coalesce("component", "row").alias("group"))
 
 

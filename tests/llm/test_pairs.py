@@ -133,6 +133,24 @@ def test_near_duplicates(spark):
     assert all(root(i) == root(j) for i, j in joined)  # nothing joined that exact search would not join
 
 
+@pytest.mark.parametrize("edit", ["replaced", "appended", "dropped"])
+def test_near_duplicates_by_one_passage(spark, edit):
+    r = random.Random(31)
+    texts, pairs = [], []
+    for i in range(60):
+        w = [f"w{r.randrange(3000)}" for _ in range(r.choice([60, 300, 900]))]
+        n = int(len(w) * r.uniform(0.01, {"replaced": 0.11, "appended": 0.25, "dropped": 0.2}[edit]))
+        at = r.randrange(len(w) - n)
+        new = [f"n{r.randrange(3000)}" for _ in range(n)]
+        v = {"replaced": w[:at] + new + w[at + n :], "appended": w + new, "dropped": w[:at] + w[at + n :]}[edit]
+        pairs.append((len(texts), len(texts) + 1))
+        texts += [" ".join(w), " ".join(v)]
+    links = {tuple(sorted(p)) for p in near_groups(texts)}
+    assert len(links) > 40
+    got = {x.row: x.group for x in simhash.near_duplicates(frame(spark, list(enumerate(texts)), "row bigint, text string")).collect()}
+    assert [p for p in pairs if (got[p[0]] == got[p[1]]) != (p in links)] == []
+
+
 def test_a_large_group_of_copies_keeps_one(spark):
     base = [f"w{i}" for i in range(200)]
     texts = [" ".join([*base[:i], "edit", *base[i + 1 :]]) for i in range(0, 120)] + [" ".join(base)] * 50
