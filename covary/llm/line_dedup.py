@@ -4,7 +4,11 @@ A text is cut at its line feeds into units; a unit is normalised (A-Z lower-case
 space, trimmed) and, if it has at least `min_words` words, hashed to 128 bits. Digests are grouped over all documents;
 the occurrence that ranks first (smallest doc_id, then line; a null doc_id last) stays and every other one is removed,
 with its code-point offsets in the original text kept in `removed`. Lines below `min_words` words are ordinary
-language (headings, table cells, single words) and always stay.
+language (headings, table cells, single words) and stay, unless `run_words` is given, as the pipeline does: then runs
+of lines are units as well, so that a passage wrapped at short lines is found. From each line shorter than `run_words`
+words the shortest run of such lines that reaches `run_words` words is hashed, forwards and backwards; a blank line or
+a longer one ends a run. The lines of a run that isn't the first of its digest go. Each line that goes has an equal
+one at an earlier place, so that no wording is lost.
 
 Only digests and places are shuffled for grouping: the first place of each digest is a partial minimum, so a line that
 stands in a third of all documents reaches the reducer once per task; the join that brings it back to the places is an
@@ -29,49 +33,102 @@ _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuv
 SPANS = "array<struct<start:int,end:int>>"
 
 
-def lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(row, doc_id, line, start, end, digest) for every unit of at least min_words words."""
+#: What the pipeline takes: lines from eight words on, and runs of shorter lines from MIN_WORDS on.
+PIPELINE = {"min_words": 8, "run_words": MIN_WORDS}
+
+
+def runs(words: list[list[bytes]], least: int) -> set[tuple[int, int]]:
+    """(first, last) of the shortest runs of two or more lines that reach `least` words, from and up to each line that
+    is shorter than that. Blank lines and longer ones end a run."""
+    out, at = set(), 0
+    while at < len(words):
+        end = at
+        while end < len(words) and 0 < len(words[end]) < least:
+            end += 1
+        last, n = at, 0  # the run first..last - 1 has n words
+        for first in range(at, end):
+            while last < end and n < least:
+                n += len(words[last])
+                last += 1
+            if n < least:
+                break
+            out.add((first, last - 1))
+            n -= len(words[first])
+        first, n = end, 0
+        for last in range(end - 1, at - 1, -1):
+            while first > at and n < least:
+                first -= 1
+                n += len(words[first])
+            if n < least:
+                break
+            out.add((first, last))
+            n -= len(words[last])
+        at = max(end, at + 1)
+    return out
+
+
+def lines(docs: DataFrame, min_words: int = MIN_WORDS, run_words: int | None = None) -> DataFrame:
+    """(row, doc_id, line, last, start, end, digest) for every unit of at least min_words words, and every run of lines
+    if run_words is given; last is the unit's last line."""
 
     def run(batches):
         for b in batches:
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[], [], [], [], [], []]
             for row, text in enumerate(b.column(2)):
-                at = 0
-                for n, unit in enumerate((text.as_py() or "").split("\n")):
-                    words = unit.encode("utf-8", "surrogatepass").translate(_LOWER).split()
-                    if len(words) >= min_words:
-                        for o, x in zip(out, (row, n, at, at + len(unit), xxhash.xxh3_128_digest(b" ".join(words))), strict=True):
-                            o.append(x)
+                at, words, starts, ends = 0, [], [], []
+                for unit in (text.as_py() or "").split("\n"):
+                    words.append(unit.encode("utf-8", "surrogatepass").translate(_LOWER).split())
+                    starts.append(at)
+                    ends.append(at + len(unit))
                     at += len(unit) + 1
+                units = [(n, n) for n, w in enumerate(words) if len(w) >= min_words]
+                for first, last in units + (sorted(runs(words, run_words)) if run_words else []):
+                    digest = xxhash.xxh3_128_digest(b" ".join(w for line in words[first : last + 1] for w in line))
+                    for o, x in zip(out, (row, first, last, starts[first], ends[last], digest), strict=True):
+                        o.append(x)
             take = pa.array(out[0], pa.int32())
             yield pa.record_batch(
-                [b.column(0).take(take), b.column(1).take(take), *(pa.array(x, pa.int32()) for x in out[1:4]), pa.array(out[4], pa.binary())],
-                names=["row", "doc_id", "line", "start", "end", "digest"],
+                [b.column(0).take(take), b.column(1).take(take), *(pa.array(x, pa.int32()) for x in out[1:5]), pa.array(out[5], pa.binary())],
+                names=["row", "doc_id", "line", "last", "start", "end", "digest"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("row"), "doc_id", "text")
-    return rows.mapInArrow(run, f"row bigint, doc_id {kind}, line int, start int, end int, digest binary")
+    return rows.mapInArrow(run, f"row bigint, doc_id {kind}, line int, last int, start int, end int, digest binary")
 
 
-def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def repeats(docs: DataFrame, min_words: int = MIN_WORDS, run_words: int | None = None) -> DataFrame:
     """(row, removed): for each document row with a unit that isn't the first of its digest, the places to remove."""
-    found = written(lines(docs, min_words))
-    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "line")
+    found = written(lines(docs, min_words, run_words))
+    place = F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "row", "line", "last")
     first = (
         found.groupBy("digest")
         .agg(F.min(place).alias("first"), F.min(F.struct("row", "line")).alias("a"), F.max(F.struct("row", "line")).alias("b"))
         .where("a < b")
-        .select("digest", F.col("first.row").alias("first_row"), F.col("first.line").alias("first_line"))
+        .select("digest", F.col("first.row").alias("first_row"), F.col("first.last").alias("first_last"))
     )
-    later = found.join(first, "digest").where((F.col("row") != F.col("first_row")) | (F.col("line") != F.col("first_line")))
-    return later.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("removed"))
-
-
-def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    # a run that overlaps its own first place stays with it
+    later = found.join(first, "digest").where((F.col("row") != F.col("first_row")) | (F.col("line") > F.col("first_last")))
+    spans = later.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("removed"))
+    if not run_words:
+        return spans
+    # spans that overlap or follow each other directly become one
+    empty = F.slice("removed", 1, 0)
+    joined = F.aggregate(
+        "removed",
+        empty,
+        lambda acc, s: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["end"] + 1 >= s["start"]), F.concat(
+            F.slice(acc, F.lit(1), F.size(acc) - 1),
+            F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], s["end"]).alias("end"))),
+        )).otherwise(F.concat(acc, F.array(s))),
+    )
+    return spans.select("row", joined.alias("removed"))
+
+
+def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, run_words: int | None = None) -> DataFrame:
     """docs with `text` cut and `removed`, the code-point spans of the original that went, each with its line feed."""
     keyed = docs.withColumn("__row", row_key(F.col("doc_id"), F.col("text")))
-    gone = written(repeats(docs, min_words).withColumnRenamed("row", "__row").withColumnRenamed("removed", "__removed"))
+    gone = written(repeats(docs, min_words, run_words).withColumnRenamed("row", "__row").withColumnRenamed("removed", "__removed"))
     out = keyed.join(small_enough(gone, 1 + F.size("__removed")), "__row", "left").drop("__row")
 
     # the lines that stay: from the end of one removed unit to the start of the next
@@ -87,9 +144,9 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return out.select(*cols, removed.alias("__removed"))
 
 
-def drop_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def drop_repeats(docs: DataFrame, min_words: int = MIN_WORDS, run_words: int | None = None) -> DataFrame:
     """docs, of the same columns, with the repeated units cut out of text; n_chars, if there, follows the new text."""
-    out = without_repeats(docs, min_words)
+    out = without_repeats(docs, min_words, run_words)
     if "n_chars" in docs.columns:
         changed = F.size("__removed") > 0
         out = out.withColumn("n_chars", F.when(changed, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))

@@ -274,6 +274,36 @@ def test_drop_repeats_keeps_columns_and_rows(spark):
     assert sorted(map(tuple, out.collect()), key=str) == sorted([(1, line, 100, "y"), (2, "own", 3, "x"), (2, "own", 3, "x"), (3, None, 0, None), (None, "", 0, None)], key=str)
 
 
+def test_wrapped_passages_and_short_lines_go(spark):
+    r = random.Random(17)
+    say = lambda n: " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
+    passage = [say(n) for n in (7, 6, 7, 5, 7, 7, 3)]  # wrapped at under eight words a line
+    line, heading = say(9), say(3)
+    own = [say(30) for _ in range(6)]
+    docs = [
+        (1, "\n".join([own[0], heading, own[1], *passage, own[2], line])),
+        (2, "\n".join([heading, own[3], *passage, own[4]])),
+        (3, "\n".join([line.upper(), "", heading, "", *passage[2:]])),
+        (4, "\n".join(["a b c d e"] * 4 + [own[5]])),
+        (None, "\n".join(passage)),
+    ]
+    got = {x.doc_id: x.text for x in line_dedup.drop_repeats(frame(spark, docs), **line_dedup.PIPELINE).collect()}
+    assert got == {1: docs[0][1], 2: "\n".join([heading, own[3], own[4]]), 3: "\n".join(["", heading, ""]), 4: docs[3][1], None: ""}
+
+
+def test_runs_are_the_shortest_from_and_up_to_each_line():
+    r = random.Random(18)
+    for _ in range(300):
+        words = [[b"x"] * r.choice([0, 1, 2, 3, 7]) for _ in range(r.randrange(12))]
+        want, short = set(), [0 < len(w) < 5 for w in words]
+        total = lambda i, j: sum(map(len, words[i : j + 1]))
+        for i in range(len(words)):
+            for j in range(i + 1, len(words)):
+                if all(short[i : j + 1]) and total(i, j) >= 5 and (total(i, j - 1) < 5 or total(i + 1, j) < 5):
+                    want.add((i, j))
+        assert line_dedup.runs(words, 5) == want
+
+
 def test_components_survive_chains(spark):
     n = 200
     edges = frame(spark, [(i, i + 1) for i in range(n)] + [(500, 501), (501, 500), (7, 7)], "a bigint, b bigint")
