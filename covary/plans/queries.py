@@ -42,11 +42,12 @@ EV = "e.repo_id, CAST(e.seq AS INT) AS seq"
 
 
 def _listing(h: History) -> DataFrame:
-    """Landed listings, one per repository."""
+    """Landed listings, 500 lines a row."""
     line = F.concat_ws(" ", HEX(F.col("event_id")), F.when(F.col("first_parent").isNotNull(), HEX(F.col("first_parent"))), F.when(F.col("n_parents") == 2, HEX(F.concat(F.lit("side"), "event_id"))))
-    rows = h.events.select("repo_id", F.struct("seq", line.alias("line")).alias("x"))
+    before = F.floor((F.col("seq") - 1) / 500) * 500
+    rows = h.events.select("repo_id", before.alias("before"), F.struct("seq", line.alias("line")).alias("x"))
     lines = F.transform(F.sort_array(F.collect_list("x")), lambda x: x["line"])
-    return rows.groupBy("repo_id").agg(F.concat(F.array_join(lines, "\n"), F.lit("\n")).alias("content"))
+    return rows.groupBy("repo_id", "before").agg(F.concat(F.array_join(lines, "\n"), F.lit("\n")).alias("content"))
 
 
 @query("SRC1_read_event_listing", f"{H} SELECT repo_id, CAST(seq AS INT) AS seq, substr(sha256(event_id), 1, 40) AS event_id, substr(sha256(first_parent), 1, 40) AS first_parent, n_parents, kind FROM events")

@@ -86,3 +86,22 @@ def test_history_round_trip(spark, tmp_path):
     landing.write_history(e, c, f"file://{tmp_path}/h", buckets=2)
     events2, changes2 = landing.load_history(spark, f"file://{tmp_path}/h")
     assert events2.collect() == e.collect() and changes2.collect() == c.collect()
+
+
+def test_listings_in_several_rows(spark):
+    df = spark.createDataFrame([("r", f"{A}\n{B} {A}\n", 0), ("r", f"{C} {B}\n{D} {C}\n", 2)], "repo_id string, content string, before int")
+    assert sorted((r.seq, r.event_id) for r in landing.parse_listing(df)[0].collect()) == [(1, A), (2, B), (3, C), (4, D)]
+
+
+def test_first_parent_chains_by_doubling(spark):
+    line = [("r", f"c{i}", [f"c{i - 1}", f"s{i}"] if i == 9 else [f"c{i - 1}"] if i else []) for i in range(21)]
+    side = [("r", "s9", ["s8", "t1"]), ("r", "s8", ["s7"]), ("r", "s7", ["c3"]), ("r", "t1", None), ("r", "alone", [])]
+    bent = [("m", "x", ["y"]), ("m", "y", ["gone"]), ("o", "p", ["q"]), ("o", "q", ["p"])]
+    commits = spark.createDataFrame(line + side + bent, "repo_id string, id string, parents array<string>")
+    tips = spark.createDataFrame([("r", "c20"), ("m", "x"), ("o", "p")], "repo_id string, tip string")
+    out = chain.first_parent_chain(commits, tips)
+    assert "InPandas" not in out._jdf.queryExecution().toString()
+    got = sorted((r.repo_id, r.seq, r.event_id, r.first_parent, r.n_parents, r.reachable, r.broken) for r in out.collect())
+    want = [("r", i + 1, f"c{i}", f"c{i - 1}" if i else None, len(line[i][2]), 25, None) for i in range(21)]
+    want += [("m", 1, "y", "gone", 1, 2, "missing_object"), ("m", 2, "x", "y", 1, 2, "missing_object"), ("o", 1, "q", "p", 1, 2, "cycle"), ("o", 2, "p", "q", 1, 2, "cycle")]
+    assert got == sorted(want, key=lambda r: r[:2])
