@@ -158,6 +158,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
             )
 
     sample = docs.withColumn("key", row_key(F.col("doc_id"), F.col("text"))).join(F.broadcast(picked), "key", "left_semi")
+    sample = sample.dropDuplicates(["key", "lang"])  # rows of equal id and text count once, so the sample is bounded
     got = sample.select("text", "lang").mapInArrow(run, "lang string, at array<int>, n array<int>").toArrow()
     names = sorted(set(got.column("lang").to_pylist()))
     if not names:

@@ -21,6 +21,7 @@ from covary.llm.shared import table, written
 
 LIMIT = 1 << 20
 BITS = 60
+STEP = 1000
 
 
 def key_of(doc_id: Column, text: Column) -> Column:
@@ -73,9 +74,14 @@ def shards(docs: DataFrame, limit: int = LIMIT, step: int = 16) -> DataFrame:
     w = Window.partitionBy("bucket").orderBy("doc_id", "key", "size")
     each = F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest("size", F.lit(1)))).cast("bigint")
     runs = same.withColumn("need", F.ceil(F.col("n") / each)).withColumn("from", F.coalesce(F.sum("need").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    cut = runs.select(
-        F.col("doc_id").cast(kind), "size", "bucket", F.explode(F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1), lambda i: F.col("from") + F.floor(i / each))).alias("part")
-    )
+    # n rows again, in steps of STEP * STEP, STEP and one, so that no array grows with n beyond n / STEP^2 entries
+    numbered = runs
+    for upper, stride in ((F.col("n"), STEP * STEP), (F.least(F.lit(STEP * STEP), F.col("n") - F.col("i0")), STEP), (F.least(F.lit(STEP), F.col("n") - F.col("i1")), 1)):
+        at = {STEP * STEP: "i0", STEP: "i1", 1: "i2"}[stride]
+        base = {"i0": F.lit(0), "i1": F.col("i0"), "i2": F.col("i1")}[at]
+        first = F.explode(F.sequence(F.lit(0).cast("bigint"), upper.cast("bigint") - 1, F.lit(stride).cast("bigint"))).alias("x")
+        numbered = numbered.select("*", first).withColumn(at, base + F.col("x")).drop("x")
+    cut = numbered.select(F.col("doc_id").cast(kind), "size", "bucket", (F.col("from") + F.floor(F.col("i2") / each)).alias("part"))
     return whole.union(cut).select(
         "doc_id", "size", "bucket", "part", (F.col("size") > limit).alias("oversize"), F.concat_ws("-", F.lit("s"), "bucket", "part").alias("shard")
     )

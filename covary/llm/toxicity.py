@@ -167,12 +167,14 @@ def _corpus_counts(docs: DataFrame, features: set[str]) -> tuple[dict[str, int],
 
 
 def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
-    """(text, toxic) of at most per_class labelled documents of either class."""
+    """(text, toxic) of at most per_class labelled documents of either class, one row for each id: of several texts that
+    share it the one whose hash is least."""
     y = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     y = written(y)
     some = [y.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for k in (0, 1)]
     ids = some[0].union(some[1])  # bounded, so it may be broadcast
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "toxic")
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    return rows.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("toxic").alias("toxic")).select("text", "toxic")
 
 
 def train(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None = None, per_class: int = PER_CLASS) -> Model:

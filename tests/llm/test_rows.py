@@ -298,3 +298,26 @@ def test_pages_of_all_kinds(spark, tmp_path):
     assert [x.text for x in got if x.page_id == 1] == ["Head & line\nFirst para one.\nSecond <x> para."] * 2
     spark.createDataFrame([], "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/none/pages.parquet")
     assert html_text.query(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_samples_take_one_row_for_each_key(spark, monkeypatch):
+    copies = [(1, "bad words here", "en")] * 50 + [(2, "good words here", "en"), (3, "bons mots ici", "fr")]
+    docs = spark.createDataFrame(copies, "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id bigint, toxic int")
+    assert sorted(map(tuple, toxicity.sample(docs, labels).collect())) == [("bad words here", 1), ("good words here", 0)]
+    seen = []
+    monkeypatch.setattr(language, "ftrl", lambda rows, *a: seen.append(len(rows)) or (np.zeros((2, language.SLOTS)), np.zeros(2)))
+    language.train(docs)
+    assert seen == [3]
+
+
+def test_copies_beyond_a_step_are_all_dealt(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "STEP", 3)
+    docs = spark.createDataFrame([(1, "x" * 10)] * 50 + [(2, "y" * 10)] * 28, "doc_id bigint, text string")
+    got = sharding.shards(docs, limit=40)
+    arrays = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode(transform(" not in arrays
+    per = {}
+    for x in got.collect():
+        per[x.doc_id, x.shard] = per.get((x.doc_id, x.shard), 0) + 1
+    assert sorted(per.values()) == [2] + [4] * 19 and sum(n for (d, _), n in per.items() if d == 1) == 50
