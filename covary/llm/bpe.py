@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from covary.llm.shared import table
+from covary.llm.shared import slices, table
 
 RANKS = "byte_bpe_50k.tiktoken"
 LONG = 48
@@ -124,7 +124,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int] | None = None) -> DataFrame:
 
     def run(batches):
         codec = Codec(ranks.value)
-        for b in batches:
+        for b in slices(batches):
             got = [np.frombuffer(codec.encode(t.as_py()), "<u4").astype(np.int32) for t in b.column(1)]
             ends = pa.array(np.cumsum([0, *map(len, got)]).astype(np.int32))
             yield pa.record_batch([b.column(0), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(got) if got else np.empty(0, np.int32)))], names=["doc_id", "ids"])
@@ -139,7 +139,7 @@ def decode(tokens: DataFrame, ranks: dict[bytes, int] | None = None) -> DataFram
 
     def run(batches):
         codec = Codec(ranks.value)
-        for b in batches:
+        for b in slices(batches):
             out = [codec.decode(np.array(i.as_py() or [], "<u4").tobytes()) for i in b.column(1)]
             yield pa.record_batch([b.column(0), pa.array(out, pa.binary())], names=["doc_id", "decoded"])
 
@@ -154,7 +154,7 @@ def digests(docs: DataFrame, ranks: dict[bytes, int] | None = None, with_ids: bo
 
     def run(batches):
         codec = Codec(ranks.value)
-        for b in batches:
+        for b in slices(batches):
             ids = [codec.encode(t.as_py()) for t in b.column(1)]
             cols = [
                 b.column(0),

@@ -5,10 +5,10 @@ A passage of GRAM + SPAN - 1 = 10 words that a document shares with an item hold
 joining the kept hashes misses none; each hit is then extended word by word, five to either side, and counts if it
 grows to ten words. Each kept hash travels with the 15 words around it, so hits are extended where they are found and
 no text is shuffled. Items of one to nine words are one window each, which winnowing can't promise to find; all the
-word runs of just those lengths are joined to them.
+word runs of just those lengths are joined to them, in one more pass whatever the lengths.
 
-The item side is broadcast only while it has at most BROADCAST_GRAMS kept hashes (some 30 MB); beyond that the join
-shuffles both sides on the hash, and AQE splits hot ones.
+The item side doesn't grow with the documents. It is counted first and broadcast only while it has at most
+BROADCAST_GRAMS kept hashes (some 30 MB); beyond that the join shuffles both sides on the hash, and AQE splits hot ones.
 
 Words are compared by their 64-bit hashes. A null text has no words; rows that agree in doc_id and text are counted
 once and all get the result; ids may be null (a null item_id is found but neither listed nor counted); items of
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from covary.llm.shared import ascii_lower, row_key, table, written
+from covary.llm.shared import ascii_lower, quoted, row_key, table, written
 
 #: Runs of digits, lower-case letters and everything beyond ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -84,9 +84,9 @@ def _extended(hits: DataFrame) -> DataFrame:
 
 
 def _runs(n: int) -> Column:
-    """Every run of n words of `h`, as (hash, start)."""
+    """Every run of n words of `h`, as (n, hash, start)."""
     start = F.slice("h", 1, F.greatest(F.size("h") - (n - 1), F.lit(0)))
-    return F.transform(start, lambda x, i: F.struct(F.xxhash64(x, *[F.get("h", i + j) for j in range(1, n)]).alias("run"), i.alias("start")))
+    return F.transform(start, lambda x, i: F.struct(F.lit(n).alias("n"), F.xxhash64(x, *[F.get("h", i + j) for j in range(1, n)]).alias("run"), i.alias("start")))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -104,11 +104,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     few = grams.count() <= BROADCAST_GRAMS
     small = F.broadcast if few else (lambda df: df)
     found = _extended(located(text, ["row"]).join(small(grams), "gram"))
-    for (n,) in items.where(F.size("h") < WINDOW).select(F.size("h")).distinct().collect():  # at most nine lengths
-        runs = _runs(n)
-        short = items.where(F.size("h") == n).select(F.xxhash64(*[F.get("h", F.lit(j)) for j in range(n)]).alias("run"), "ids")
-        at = text.select("row", F.explode(runs).alias("x")).select("row", "x.run", "x.start")
-        found = found.union(at.join(small(short), "run").select("row", "ids", "start", F.lit(n).alias("n")))
+    lengths = [n for (n,) in items.where(F.size("h") < WINDOW).select(F.size("h")).distinct().collect()]  # at most nine
+    if lengths:
+        run_of = F.coalesce(*[F.when(F.size("h") == n, F.xxhash64(*[F.get("h", F.lit(j)) for j in range(n)])) for n in lengths])
+        short = items.where(F.size("h") < WINDOW).select(F.size("h").alias("n"), run_of.alias("run"), "ids")
+        at = text.select("row", F.explode(F.concat(*[_runs(n) for n in sorted(lengths)])).alias("x")).select("row", "x.*")
+        found = found.union(at.join(small(short), ["n", "run"]).select("row", "ids", "start", "n"))
     hit = found.select("row", "ids", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)).alias("word"))
     return hit.groupBy("row").agg(
         F.count_distinct("word").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("ids")))).alias("items")
@@ -117,9 +118,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the rows that hold a window of an item."""
-    keyed = docs.withColumn("__row", row_key(F.col("doc_id"), F.col("text")))
-    found = written(contaminated(docs, benchmark).select(F.col("row").alias("__row")))
-    return keyed.join(found, "__row", "left_anti").select(*docs.columns)
+    # the row's columns travel as one struct, so that no name of theirs can clash with the key
+    keyed = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("row"), F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("of"))
+    found = written(contaminated(docs, benchmark).select("row"))
+    return keyed.join(found, "row", "left_anti").select("of.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from covary.llm.shared import row_key, table
+from covary.llm.shared import row_key, slices, table
 
 PAGES = 300
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+|[^>]*)(?:>|\Z)""", re.S)
@@ -315,7 +315,7 @@ def extract(pages: DataFrame, model: Model) -> DataFrame:
     """(page_id, url, text) of every page."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             texts = [model.extract(h.as_py()) for h in b.column(2)]
             yield pa.record_batch([b.column(0), b.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 

@@ -6,8 +6,8 @@ document frequencies are counted over all documents that may be learned from. A
 trained on a bounded sample of them by follow-the-regularised-leader with elastic-net penalties (the L1 part makes it
 sparse), a temperature is fitted on a fifth of the sample, and every whole text is scored with it.
 
-The sample holds at most `per_language` rows of a language, those with the smallest hash; it is the only thing that
-reaches the driver besides the slot counts. A null text and one without a letter are `und` with score 0, as is every
+The sample holds at most `per_language` rows of a language, those with the smallest hash, and at most `SAMPLE` rows (or
+one of each language) in all; it is the only thing that reaches the driver besides the slot counts. A null text and one without a letter are `und` with score 0, as is every
 text if nothing can be learned; null languages are not learned from; ids may be null or repeated; other columns are
 ignored."""
 
@@ -22,11 +22,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from covary.llm.shared import id_fold, row_key, table
+from covary.llm.shared import id_fold, slices, table
 
 SLOTS = 1 << 14
 PER_LANGUAGE = 1500
-MAX_LANGUAGES = 200
+SAMPLE = 12_000  # rows of all languages together
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
 _ODD = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
@@ -120,7 +120,7 @@ def document_frequency(docs: DataFrame) -> tuple[np.ndarray, int]:
 
     def run(batches):
         df = np.zeros(SLOTS + 1, np.int64)
-        for b in batches:
+        for b in slices(batches):
             for t in b.column(0):
                 text = t.as_py()
                 if text:
@@ -140,24 +140,28 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     docs = docs.where(F.col("lang").isNotNull()).select("doc_id", "text", "lang")
     seen, total = document_frequency(docs)
     idf = np.log((1 + total) / (1 + seen)) + 1
+    key = F.xxhash64("doc_id", F.col("text").isNull(), "text")
+    sizes = docs.groupBy("lang").count().collect()  # a row a language, as the model has
+    per_language = max(1, min(per_language, SAMPLE // max(1, len(sizes))))
+    # thin out by hash before ranking, so that no window sees a whole language
+    least = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, 1.5 * per_language / r["count"] + 1e-4))]) if sizes else F.create_map(F.lit(""), F.lit(0.0))
+    keyed = docs.select("lang", key.alias("key")).where(F.pmod("key", F.lit(1 << 20)) < F.try_element_at(least, F.col("lang")) * (1 << 20))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("key"))
-    keyed = docs.select("lang", row_key(F.col("doc_id"), F.col("text")).alias("key"))
-    sizes = keyed.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    share = F.lit(0.0)
-    for r in sizes:  # thin out by hash before ranking, so that no window sees a whole language
-        share = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, 1.5 * per_language / r["count"]))).otherwise(share)
-    some = keyed.where(F.pmod(F.col("key"), F.lit(1 << 20)) < share * (1 << 20))
-    picked = some.withColumn("k", rank).where(F.col("k") <= per_language).select("key").distinct()
+    picked = keyed.withColumn("k", rank).where(F.col("k") <= per_language).select("key").distinct()
 
     def run(batches):
-        for b in batches:
-            rows = [(lang, np.flatnonzero(c), c) for text, lang in zip(b.column(0), b.column(1).to_pylist(), strict=True) if known(text.as_py()) for c in [slots(text.as_py())]]
+        for b in slices(batches):
+            rows = []
+            for text, lang in zip(b.column(0), b.column(1).to_pylist(), strict=True):
+                if known(text.as_py()):
+                    c = slots(text.as_py())
+                    at = np.flatnonzero(c)
+                    rows.append((lang, at.astype(np.int32), c[at].astype(np.int32)))
             yield pa.record_batch(
-                [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1].astype(np.int32) for r in rows], pa.list_(pa.int32())), pa.array([r[2][r[1]].astype(np.int32) for r in rows], pa.list_(pa.int32()))],
-                names=["lang", "at", "n"],
+                [pa.array([r[0] for r in rows], pa.string()), *(pa.array([r[i] for r in rows], pa.list_(pa.int32())) for i in (1, 2))], names=["lang", "at", "n"]
             )
 
-    sample = docs.withColumn("key", row_key(F.col("doc_id"), F.col("text"))).join(F.broadcast(picked), "key", "left_semi")
+    sample = docs.withColumn("key", key).join(F.broadcast(picked), "key", "left_semi")
     sample = sample.dropDuplicates(["key", "lang"])  # rows of equal id and text count once, so the sample is bounded
     got = sample.select("text", "lang").mapInArrow(run, "lang string, at array<int>, n array<int>").toArrow()
     names = sorted(set(got.column("lang").to_pylist()))
@@ -180,7 +184,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     """docs, of the columns given, with lang_pred and score added."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             out = [model.predict(t.as_py()) for t in b.column(b.schema.names.index("text"))]
             yield pa.record_batch([*b.columns, pa.array([x for x, _ in out], pa.string()), pa.array([s for _, s in out], pa.float64())], names=[*b.schema.names, "lang_pred", "score"])
 
@@ -193,7 +197,7 @@ def keep_identified(docs: DataFrame, model: Model, least: float = 0.34) -> DataF
     at = docs.columns.index("text")
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             told = [model.predict(t.as_py()) for t in b.column(at)]
             yield b.filter(pa.array([lang != UNKNOWN and p >= least for lang, p in told], pa.bool_()))
 

@@ -1,178 +1,172 @@
-"""Operator 7: substring deduplication by line hashing.
-
-A text is cut at its line feeds into units; a unit is normalised (A-Z lower-cased, runs of ASCII white space to one
-space, trimmed) and, if it has at least `min_words` words, hashed to 128 bits. Digests are grouped over all documents;
-the occurrence that ranks first (smallest doc_id, then line; a null doc_id last) stays and every other one is removed,
-with its code-point offsets in the original text kept in `removed`. Lines below `min_words` words are ordinary
-language (headings, table cells, single words) and stay, unless `run_words` is given, as the pipeline does: then runs
-of lines are units as well, so that a passage wrapped at short lines is found. From each line shorter than `run_words`
-words the shortest run of such lines that reaches `run_words` words is hashed, forwards and backwards; a blank line or
-a longer one ends a run. The lines of a run that isn't the first of its digest go. Each line that goes has an equal
-one at an earlier place, so that no wording is lost.
-
-Only digests and places are shuffled for grouping: the first place of each digest is a partial minimum, so a line that
+"""Operator 7: substring deduplication by hashing lines and sentences.
+
+A text is cut into units behind its line feeds and behind sentence ends (`.`, `!` or `?` before white space); a unit is
+normalised (A-Z lower-cased, runs of ASCII white space to one space, trimmed). From every unit that has words, the
+shortest run of units that reaches `words` words is hashed to 128 bits, so that units of any length count, a passage is
+found wherever in a line it stands and however it is wrapped, and no wording shorter than `words` words is called a
+repeat. Digests are grouped over all documents; the run that ranks first (smallest doc_id, then place; a null doc_id
+last) stays, and the units of every other one are removed, with their code-point offsets in the original text kept in
+`removed`. Whatever goes has an equal run at an earlier place, so that no wording is lost. What stays of a repeated
+passage are the parts of sentences at its two ends, units behind its last full run (fewer than `words` words), and
+passages whose whole sentences have fewer than `words` words together.
+
+Only digests and places are shuffled for grouping: the first place of each digest is a partial minimum, so a passage that
 stands in a third of all documents reaches the reducer once per task; the join that brings it back to the places is an
-ordinary one, which AQE splits where a digest is hot. The places to remove are broadcast to the texts only while
-their counted number stays under a limit; beyond it the texts are shuffled once.
+ordinary one, which AQE splits where a digest is hot. The spans are joined to the texts by one exchange of these,
+whatever their number.
 
 A null text has no unit and stays null; rows that agree in doc_id and text count as one document and get one result
-each; a line repeated inside one document is removed after its first place; other columns are kept by drop_repeats."""
+each; a run that overlaps its own first place stays; other columns are kept by drop_repeats."""
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
+from itertools import accumulate
+
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from covary.llm.shared import row_key, small_enough, table, written
+from covary.llm.shared import Tables, quoted, slices, table
 
-#: Passages that matter are longer than this; clean texts share no line of this length.
-MIN_WORDS = 20
+#: Passages that matter are longer than this; clean texts share no run of this length.
+WORDS = 20
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+#: A unit with what ends it. Every place of a text lies in just one unit.
+_UNIT = r"[^.!?\n]*(?:[.!?]+[^\x20\x09-\x0D.!?][^.!?\n]*)*(?:[.!?]+[\x20\x09\x0B-\x0D]+|[.!?]*\n|[.!?]*{end})"
+UNIT = re.compile(_UNIT.format(end=r"\Z"))
 SPANS = "array<struct<start:int,end:int>>"
 
 
-#: What the pipeline takes: lines from eight words on, and runs of shorter lines from MIN_WORDS on.
-PIPELINE = {"min_words": 8, "run_words": MIN_WORDS}
-
-
-def runs(words: list[list[bytes]], least: int) -> set[tuple[int, int]]:
-    """(first, last) of the shortest runs of two or more lines that reach `least` words, from and up to each line that
-    is shorter than that. Blank lines and longer ones end a run."""
-    out, at = set(), 0
-    while at < len(words):
-        end = at
-        while end < len(words) and 0 < len(words[end]) < least:
-            end += 1
-        last, n = at, 0  # the run first..last - 1 has n words
-        for first in range(at, end):
-            while last < end and n < least:
-                n += len(words[last])
-                last += 1
-            if n < least:
-                break
-            out.add((first, last - 1))
-            n -= len(words[first])
-        first, n = end, 0
-        for last in range(end - 1, at - 1, -1):
-            while first > at and n < least:
-                first -= 1
-                n += len(words[first])
-            if n < least:
-                break
-            out.add((first, last))
-            n -= len(words[last])
-        at = max(end, at + 1)
+def runs(text: str, least: int) -> list[tuple[int, int, bytes]]:
+    """(start, end, digest) of the shortest run of units from each one with words that reaches `least` words."""
+    words, starts, ends, at = [], [], [], 0
+    for unit in UNIT.findall(text):
+        w = unit.encode("utf-8", "surrogatepass").translate(_LOWER).split()
+        if w:
+            words.append(w)
+            starts.append(at)
+            ends.append(at + len(unit))
+        at += len(unit)
+    flat = [x for w in words for x in w]
+    upto = [0, *accumulate(map(len, words))]
+    out = []
+    for i, start in enumerate(starts):
+        j = bisect_left(upto, upto[i] + least)
+        if j > len(words):
+            break
+        out.append((start, ends[j - 1], xxhash.xxh3_128_digest(b" ".join(flat[upto[i] : upto[j]]))))
     return out
 
 
-def lines(docs: DataFrame, min_words: int = MIN_WORDS, run_words: int | None = None) -> DataFrame:
-    """(row, doc_id, line, last, start, end, digest) for every unit of at least min_words words, and every run of lines
-    if run_words is given; last is the unit's last line."""
+def row_hash() -> Column:
+    """With doc_id, the identity of a row: rows of equal id are told apart by 64 bits of their text."""
+    return F.xxhash64("text", F.col("text").isNull(), "doc_id")
+
+
+def hashed_runs(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """(doc_id, row, start, end, hi, lo) for every run; hi and lo are the digest's halves."""
 
     def run(batches):
-        for b in batches:
-            out: list[list] = [[], [], [], [], [], []]
-            for row, text in enumerate(b.column(2)):
-                at, words, starts, ends = 0, [], [], []
-                for unit in (text.as_py() or "").split("\n"):
-                    words.append(unit.encode("utf-8", "surrogatepass").translate(_LOWER).split())
-                    starts.append(at)
-                    ends.append(at + len(unit))
-                    at += len(unit) + 1
-                units = [(n, n) for n, w in enumerate(words) if len(w) >= min_words]
-                for first, last in units + (sorted(runs(words, run_words)) if run_words else []):
-                    digest = xxhash.xxh3_128_digest(b" ".join(w for line in words[first : last + 1] for w in line))
-                    for o, x in zip(out, (row, first, last, starts[first], ends[last], digest), strict=True):
-                        o.append(x)
-            take = pa.array(out[0], pa.int32())
+        for b in slices(batches):
+            found = [runs(t.as_py() or "", words) for t in b.column(2)]
+            take = pa.array([i for i, f in enumerate(found) for _ in f], pa.int32())
+            flat = [x for f in found for x in f]
+            halves = [pa.array([int.from_bytes(x[2][k : k + 8], "big", signed=True) for x in flat], pa.int64()) for k in (0, 8)]
             yield pa.record_batch(
-                [b.column(0).take(take), b.column(1).take(take), *(pa.array(x, pa.int32()) for x in out[1:5]), pa.array(out[5], pa.binary())],
-                names=["row", "doc_id", "line", "last", "start", "end", "digest"],
+                [b.column(0).take(take), b.column(1).take(take), *(pa.array([x[k] for x in flat], pa.int32()) for k in (0, 1)), *halves],
+                names=["doc_id", "row", "start", "end", "hi", "lo"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("row"), "doc_id", "text")
-    return rows.mapInArrow(run, f"row bigint, doc_id {kind}, line int, last int, start int, end int, digest binary")
-
-
-def repeats(docs: DataFrame, min_words: int = MIN_WORDS, run_words: int | None = None) -> DataFrame:
-    """(row, removed): for each document row with a unit that isn't the first of its digest, the places to remove."""
-    found = written(lines(docs, min_words, run_words))
-    place = F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "row", "line", "last")
-    first = (
-        found.groupBy("digest")
-        .agg(F.min(place).alias("first"), F.min(F.struct("row", "line")).alias("a"), F.max(F.struct("row", "line")).alias("b"))
-        .where("a < b")
-        .select("digest", F.col("first.row").alias("first_row"), F.col("first.last").alias("first_last"))
-    )
-    # a run that overlaps its own first place stays with it
-    later = found.join(first, "digest").where((F.col("row") != F.col("first_row")) | (F.col("line") > F.col("first_last")))
-    spans = later.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("removed"))
-    if not run_words:
-        return spans
-    # spans that overlap or follow each other directly become one
-    empty = F.slice("removed", 1, 0)
+    rows = docs.select("doc_id", row_hash().alias("row"), "text")
+    return rows.mapInArrow(run, f"doc_id {kind}, row bigint, start int, end int, hi bigint, lo bigint")
+
+
+def repeats(docs: DataFrame, words: int = WORDS, tables: Tables | None = None) -> DataFrame:
+    """(doc_id, row, removed): for each document with a run that isn't the first of its digest, the spans to remove."""
+    keep = tables or Tables(docs.sparkSession)
+    found = hashed_runs(docs, words)
+    place = F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "row", "start", "end")
+    first = keep.written(found.groupBy("hi", "lo").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("hi", "lo", "first"))
+    same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("row") == F.col("first.row"))
+    later = found.join(first, ["hi", "lo"]).where(~same | (F.col("start") >= F.col("first.end")))
+    spans = later.groupBy("doc_id", "row").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("removed"))
+    # spans that overlap or touch become one
+    last = lambda acc: F.element_at(acc, -1)
     joined = F.aggregate(
         "removed",
-        empty,
-        lambda acc, s: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["end"] + 1 >= s["start"]), F.concat(
-            F.slice(acc, F.lit(1), F.size(acc) - 1),
-            F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], s["end"]).alias("end"))),
-        )).otherwise(F.concat(acc, F.array(s))),
-    )
-    return spans.select("row", joined.alias("removed"))
-
-
-def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, run_words: int | None = None) -> DataFrame:
-    """docs with `text` cut and `removed`, the code-point spans of the original that went, each with its line feed."""
-    keyed = docs.withColumn("__row", row_key(F.col("doc_id"), F.col("text")))
-    gone = written(repeats(docs, min_words, run_words).withColumnRenamed("row", "__row").withColumnRenamed("removed", "__removed"))
-    out = keyed.join(small_enough(gone, 1 + F.size("__removed")), "__row", "left").drop("__row")
-
-    # the lines that stay: from the end of one removed unit to the start of the next
-    spans, text = F.col("__removed"), F.col("text")
-    n = F.size(spans)
-    starts = F.concat(F.array(F.lit(0)), F.transform(spans, lambda s: s["end"] + 1))
-    ends = F.concat(F.transform(spans, lambda s: s["start"] - 1), F.array(F.char_length(text)))
-    kept = F.filter(F.arrays_zip(starts.alias("s"), ends.alias("e")), lambda x: x["e"] >= x["s"])
-    cut = F.array_join(F.transform(kept, lambda x: F.substring(text, x["s"] + 1, x["e"] - x["s"])), "\n")
-    clean = F.when(spans.isNull() | (n == 0), text).otherwise(cut)
-    removed = F.coalesce(spans, F.array().cast(SPANS))
-    cols = [clean.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns]
-    return out.select(*cols, removed.alias("__removed"))
-
-
-def drop_repeats(docs: DataFrame, min_words: int = MIN_WORDS, run_words: int | None = None) -> DataFrame:
+        F.array().cast(SPANS),
+        lambda acc, s: F.when(
+            (F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1)["end"] >= s["start"]),
+            F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last(acc)["start"].alias("start"), F.greatest(last(acc)["end"], s["end"]).alias("end")))),
+        ).otherwise(F.concat(acc, F.array(s))),
+    )
+    return spans.select("doc_id", "row", joined.alias("removed"))
+
+
+def without_repeats(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """(of, text, removed): the row's columns as they were, as one struct; its text without repeats; and the code-point
+    spans of the original that went."""
+    keep, result = Tables(docs.sparkSession), Tables(docs.sparkSession)
+    gone = result.written(repeats(docs, words, keep).select(F.col("doc_id").alias("gone_id"), F.col("row").alias("gone_row"), "removed"))
+    keep.drop()
+    keyed = docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("of"), row_hash().alias("row"))
+    out = keyed.join(gone, F.col("of.doc_id").eqNullSafe(F.col("gone_id")) & (F.col("row") == F.col("gone_row")), "left")
+
+    # what stays: from the end of one span to the start of the next
+    spans, text = F.col("removed"), F.col("of.text")
+    starts = F.concat(F.array(F.lit(0)), F.transform(spans, lambda s: s["end"]))
+    ends = F.concat(F.transform(spans, lambda s: s["start"]), F.array(F.char_length(text)))
+    cut = F.array_join(F.transform(F.arrays_zip(starts.alias("s"), ends.alias("e")), lambda x: F.substring(text, x["s"] + 1, x["e"] - x["s"])), "")
+    return out.select("of", F.when(spans.isNull(), text).otherwise(cut).alias("text"), F.coalesce(spans, F.array().cast(SPANS)).alias("removed"))
+
+
+def drop_repeats(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """docs, of the same columns, with the repeated units cut out of text; n_chars, if there, follows the new text."""
-    out = without_repeats(docs, min_words, run_words)
+    changed = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        changed = F.size("__removed") > 0
-        out = out.withColumn("n_chars", F.when(changed, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        n = F.char_length("text").cast(docs.schema["n_chars"].dataType)
+        changed["n_chars"] = F.when(F.size("removed") > 0, n).otherwise(F.col("of.n_chars"))
+    return without_repeats(docs, words).select(*[changed.get(c, F.col("of").getField(c)).alias(c) for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """op7: every document's text without what an earlier one holds, and the removed places as start-end,start-end."""
+    """op7: every document's text without what an earlier one holds, and the removed spans as start-end,start-end."""
     out = without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    span = F.transform("__removed", lambda s: F.concat_ws("-", s["start"], s["end"]))
-    return out.select("doc_id", "text", F.size("__removed").cast("bigint").alias("n_removed"), F.array_join(span, ",").alias("removed"))
+    span = F.transform("removed", lambda s: F.concat_ws("-", s["start"], s["end"]))
+    return out.select(F.col("of.doc_id").alias("doc_id"), "text", F.size("removed").cast("bigint").alias("n_removed"), F.array_join(span, ",").alias("removed"))
 
 
-SQL = r"""
+SQL = rf"""
 WITH u AS (
-  SELECT doc_id, k, l[k] AS unit, list_sum(list_transform(l[1:k - 1], lambda x: length(x) + 1)) AS before
-  FROM (SELECT doc_id, l, unnest(generate_series(1, len(l))) AS k FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))
+  SELECT doc_id, k, l[k] AS unit FROM (SELECT doc_id, l, unnest(generate_series(1, len(l))) AS k
+  FROM (SELECT doc_id, regexp_extract_all(text, '{_UNIT.format(end="$")}') AS l FROM documents))
 ), n AS (
-  SELECT doc_id, k, unit, CAST(coalesce(before, 0) AS BIGINT) AS s,
-         trim(regexp_replace(translate(unit, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g')) AS norm FROM u
+  SELECT *, CASE WHEN norm = '' THEN 0 ELSE length(norm) - length(replace(norm, ' ', '')) + 1 END AS w FROM (
+    SELECT doc_id, k, unit, trim(regexp_replace(translate(unit, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g')) AS norm FROM u)
+), c AS (
+  SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY k) AS upto, sum(length(unit)) OVER (PARTITION BY doc_id ORDER BY k) - length(unit) AS s FROM n
 ), r AS (
-  SELECT *, norm <> '' AND length(norm) - length(replace(norm, ' ', '')) + 1 >= 20
-         AND row_number() OVER (PARTITION BY norm ORDER BY doc_id, k) > 1 AS gone FROM n
+  SELECT a.doc_id, a.k AS i, min(b.k) AS j FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.k >= a.k AND b.upto >= a.upto - a.w + {WORDS} WHERE a.w > 0 GROUP BY ALL
+), l AS (
+  SELECT doc_id, list(norm ORDER BY k) AS norms FROM n GROUP BY doc_id
+), t AS (
+  SELECT doc_id, i, j, first_value(struct_pack(d := doc_id, j := j)) OVER (PARTITION BY run ORDER BY doc_id, i) AS f
+  FROM (SELECT doc_id, i, j, array_to_string(list_filter(list_slice(norms, i, j), lambda x: x <> ''), ' ') AS run FROM r JOIN l USING (doc_id))
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(generate_series(i, j)) AS k FROM t WHERE doc_id <> f.d OR i > f.j
+), g AS (
+  SELECT c.*, gone.k IS NOT NULL AS gone FROM c LEFT JOIN gone ON c.doc_id = gone.doc_id AND c.k = gone.k
+), spans AS (
+  SELECT doc_id, min(s) AS s, max(s + length(unit)) AS e FROM (SELECT *, k - row_number() OVER (PARTITION BY doc_id ORDER BY k) AS island FROM g WHERE gone) GROUP BY doc_id, island
+), listed AS (
+  SELECT doc_id, count(*) AS n, string_agg(CAST(s AS VARCHAR) || '-' || CAST(e AS VARCHAR), ',' ORDER BY s) AS removed FROM spans GROUP BY doc_id
+), kept AS (
+  SELECT doc_id, coalesce(string_agg(unit, '' ORDER BY k) FILTER (NOT gone), '') AS text FROM g GROUP BY doc_id
 )
-SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(string_agg(unit, chr(10) ORDER BY k) FILTER (NOT gone), '') END AS text,
-       CAST(coalesce(sum(CAST(gone AS INT)), 0) AS BIGINT) AS n_removed,
-       coalesce(string_agg(CAST(s AS VARCHAR) || '-' || CAST(s + length(unit) AS VARCHAR), ',' ORDER BY k) FILTER (gone), '') AS removed
-FROM documents d LEFT JOIN r ON d.doc_id = r.doc_id GROUP BY d.doc_id, d.text
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE kept.text END AS text, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, coalesce(removed, '') AS removed
+FROM documents d LEFT JOIN kept ON d.doc_id = kept.doc_id LEFT JOIN listed ON d.doc_id = listed.doc_id
 """

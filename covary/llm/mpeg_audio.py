@@ -23,7 +23,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from covary.llm.shared import table
+from covary.llm.shared import slices, table
 
 # Fixed values of MPEG-1 Layer III (ISO/IEC 11172-3): kbit/s by bitrate index, Hz by rate index.
 KBPS = (0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320)
@@ -154,7 +154,7 @@ def store_documents(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, media): the stored form of every text."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             for i in range(b.num_rows):
                 n, payload = padded(b.column(1)[i].as_py())
                 yield pa.record_batch([b.column(0).slice(i, 1), pa.array([n], pa.int64()), pa.array([store(payload)], pa.binary())], names=["doc_id", "n_bytes", "media"])
@@ -172,7 +172,7 @@ def read_media(stored: DataFrame) -> DataFrame:
     types = [pa.int32(), pa.float64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             for i in range(b.num_rows):
                 found = parse(b.column(2)[i].as_py() or b"")
                 yield pa.record_batch([*(c.slice(i, 1) for c in b.columns), *(pa.array([found[n]], t) for n, t in zip(names, types, strict=True))], names=["doc_id", "n_bytes", "media", *names])
@@ -187,7 +187,7 @@ def digests(docs: DataFrame) -> DataFrame:
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             rows: list[list] = [[] for _ in names[1:]]
             for text in b.column(1):
                 n, payload = padded(text.as_py())

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def quoted(name: str) -> str:
+    """A column's name as it must be written where it holds dots or back ticks."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def ascii_lower(col: Column) -> Column:
     """A-Z to a-z and nothing else. Pure ASCII strings take the much faster byte path of lower()."""
     return F.when(F.octet_length(col) == F.char_length(col), F.lower(col)).otherwise(
@@ -28,16 +34,28 @@ def id_fold(doc_id: Column, n: int) -> Column:
 
 
 def row_key(*cols: Column) -> Column:
-    """A key that rows share only if they agree in all these columns; nulls are told from empty texts."""
-    return F.xxhash64(*[x for c in cols for x in (c.isNull(), c)])
+    """A 128-bit key that rows share only if they agree in all these columns; nulls are told from empty texts."""
+    told = [F.coalesce(F.concat(F.octet_length(c.cast("string")).cast("string"), F.lit(":"), c.cast("string")), F.lit("-")) for c in cols]
+    return F.unhex(F.md5(F.concat(*told).cast("binary")))
+
+
+#: Rows that a task turns into its output at a time. Batches of thousands of whole texts would stand in a worker twice.
+SLICE_ROWS = 256
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches, cut into pieces of SLICE_ROWS rows."""
+    for b in batches:
+        for at in range(0, b.num_rows, SLICE_ROWS):
+            yield b.slice(at, SLICE_ROWS)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The folder that all executors share, as spark.checkpoint.dir names it. Nothing stands in for it: what one executor
+    writes elsewhere the others can't read."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return folder
 
 
@@ -49,15 +67,23 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Row ids, with a short list each, that a broadcast may hold: some 100 MB in an executor, whatever the corpus holds.
-BROADCAST_IDS = 1_000_000
+class Tables:
+    """Intermediate tables of one operator; those not needed for its result are removed once that is written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
 
+    def written(self, df: DataFrame) -> DataFrame:
+        self.paths.append(f"{shared_folder(self.spark)}/tables/{uuid.uuid4().hex}")
+        df.write.parquet(self.paths[-1])
+        return self.spark.read.schema(df.schema).parquet(self.paths[-1])
 
-def small_enough(ids: DataFrame, units: Column | None = None, limit: int | None = None) -> DataFrame:
-    """A written table of ids, marked for broadcast if its counted rows (or the sum of `units` over them) stay within
-    the limit, so that what it is joined to needn't be shuffled; beyond it both sides are shuffled and merged."""
-    n = ids.agg(F.sum(units) if units is not None else F.count("*")).first()[0] or 0
-    return F.broadcast(ids) if n <= (BROADCAST_IDS if limit is None else limit) else ids.hint("merge")
+    def drop(self) -> None:
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for path in self.paths:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+        self.paths = []
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -74,19 +100,23 @@ def connected_components(edges: DataFrame) -> DataFrame:
         return e.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_000_007)).first()
 
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct()
-    e = written(e)
+    before, now = Tables(edges.sparkSession), Tables(edges.sparkSession)
+    e = now.written(e)
     last = checksum(e)
     while last[0]:
+        before.drop()
+        before, now = now, Tables(edges.sparkSession)
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = both.join(mins(both, F.col("u")), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u > v").distinct()
         m = mins(large, F.col("u"))
         small = large.join(m, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(m.select("u", F.col("m").alias("v")))
-        e = written(small.where("u > v").distinct())
-        now = checksum(e)
-        if now == last:
+        e = now.written(small.where("u > v").distinct())
+        sums = checksum(e)
+        if sums == last:
             break
-        last = now
+        last = sums
+    before.drop()
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )

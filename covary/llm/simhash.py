@@ -8,11 +8,11 @@ bytes only; they are linked through the values one bit away from them (members t
 two bits of each other), so a list of m members costs 17 m rows and never m * m pairs, and no list needs a cap.
 
 ``near_duplicates`` is for the looser similarity that whole-corpus cleaning needs (Jaccard 0.8 on five-word shingles).
-A passage replaced in one place moves too many bits there for any count of shared bytes to be certain, so its index
-holds the shingles themselves. Two sets of similarity t share at least ceil(t * n) of the n shingles of either, so that
-in any one order of all shingles the first n - ceil(t * n) + 1 of both hold a common one: every pair meets in a list.
-The order puts shingles of few texts first, so that what many texts share (licenses, repeated lines) makes no list.
-Pairs whose sizes allow it are verified on all their shingles.
+It moves 4 to 14 of SimHash's 64 bits, so that no positional byte need be equal; there a position's byte comes from the
+shingle that is smallest under the position's own permutation, and two texts agree in a position as often as they are
+similar. The index is inverted on BAND neighbouring positions; shared positional bytes are tallied per pair, pairs that
+reach LEAST_SHARED of POSITIONS stay and are verified on all their shingles. A pair at a similarity of 0.8 is lost with
+a chance of 5 in a million (3 that no key of 24 agrees, 1 to 2 that the tally falls short), a closer one more rarely.
 
 Nulls: a null text has no words and gets fingerprint zero, as an empty one; a null doc_id is kept as a row and is
 never the smallest id of a component (null only if no row of it has an id). Repeated rows get equal results. Other
@@ -21,7 +21,6 @@ columns are ignored. Very long texts are hashed in slices.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 from functools import partial
 from itertools import combinations
@@ -29,10 +28,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from covary.llm.shared import connected_components, row_key, small_enough, table, written
+from covary.llm.shared import Tables, connected_components, quoted, row_key, slices, table, written
 
 SLICE = 1 << 15
 _xxh64 = partial(xxhash.xxh64_intdigest, seed=42)
@@ -67,7 +66,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """(doc_id, fingerprint long): bit 1 where over half the shingle hashes have it."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             out = [
                 int.from_bytes(majority_bits(shingle_hashes(words_of(t.as_py()), shingle)), "big", signed=True)
                 for t in b.column(1)
@@ -133,73 +132,78 @@ def simhash_components(docs: DataFrame, shingle: int = 3) -> DataFrame:
 
 # ---------------------------------------------------------------- similarity 0.8 on five-word shingles
 
-#: Slots that count shingles, and how many of them, the fullest, are told apart when shingles are put in order.
-SLOT_BITS, HOT_SLOTS = 22, 200_000
+#: Positions of a sketch, and how many neighbouring ones make a key of the index.
+POSITIONS, BAND = 96, 4
+#: Shared positional bytes that a pair must reach: at a similarity of 0.8 the mean is 77, and one pair in a million has
+#: fewer than this many.
+LEAST_SHARED = 57
+_ODD = np.random.default_rng(5).integers(1, 1 << 63, (2, POSITIONS), dtype=np.uint64) | np.uint64(1)
+_ODD.setflags(write=False)
 
 
-def _slots(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+def minima(hashes: np.ndarray) -> np.ndarray:
+    """For each position the smallest of the hashes under that position's permutation."""
+    out = np.full(POSITIONS, np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(hashes), 512):
+        mixed = (hashes[i : i + 512, None] ^ _ODD[0]) * _ODD[1]
+        np.minimum(out, mixed.min(axis=0), out=out)
+    return out
 
 
-def _text_keys(docs: DataFrame) -> DataFrame:
-    """(row, text_key): text_key is one for texts of equal words."""
-
-    def run(batches):
-        for b in batches:
-            keys = [xxhash.xxh3_128_digest(b" ".join(words_of(t.as_py()))) for t in b.column(1)]
-            yield pa.record_batch([b.column(0), pa.array(keys, pa.binary())], names=["row", "text_key"])
-
-    return docs.select("row", "text").mapInArrow(run, "row bigint, text_key binary")
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    return x ^ (x >> np.uint64(33))
 
 
-def _common_slots(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The fullest slots and about how many texts have a shingle of theirs. Only the order of shingles follows from
-    it, so estimates are enough: a task tells the slots that it met four times, the driver gets HOT_SLOTS rows."""
+def sketches(docs: DataFrame, shingle: int) -> DataFrame:
+    """(row, text_key, n, positions, keys): text_key is one for texts of equal words, n the number of distinct shingles,
+    positions the sketch's bytes, eight in a long, keys the index's keys."""
 
     def run(batches):
-        counts = np.zeros(1 << SLOT_BITS, np.int32)
-        for b in batches:
-            for t in b.column(0):
-                counts[_slots(shingle_hashes(words_of(t.as_py()), k, distinct=True))] += 1
-        at = np.flatnonzero(counts >= 4)
-        yield pa.record_batch([pa.array(at), pa.array(counts[at].astype(np.int64))], names=["slot", "n"])
+        for b in slices(batches):
+            digests, sizes, minimal = [], [], []
+            for t in b.column(1):
+                words = words_of(t.as_py())
+                h = shingle_hashes(words, shingle, distinct=True)
+                digests.append(xxhash.xxh3_128_digest(b" ".join(words)))
+                sizes.append(len(h))
+                minimal.append(minima(h))
+            m = _mixed(np.array(minimal, np.uint64).reshape(-1, POSITIONS))
+            positions = np.ascontiguousarray((m >> np.uint64(56)).astype(np.uint8)).view("<i8")
+            bands = m.reshape(len(m), -1, BAND) * _ODD[1, :BAND]
+            keys = _mixed(np.bitwise_xor.reduce(bands ^ (bands >> np.uint64(29)), axis=2) + _ODD[0, : POSITIONS // BAND]).view(np.int64)
+            fixed = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
+            yield pa.record_batch(
+                [b.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), fixed(positions), fixed(keys)],
+                names=["row", "text_key", "n", "positions", "keys"],
+            )
 
-    sums = docs.select("text").mapInArrow(run, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n"))
-    got = sums.orderBy(F.desc("n"), "slot").limit(HOT_SLOTS).toArrow()
-    return got.column("slot").to_numpy(), got.column("n").to_numpy()
+    kind = docs.schema["row"].dataType.simpleString()
+    return docs.select("row", "text").mapInArrow(run, f"row {kind}, text_key binary, n int, positions array<bigint>, keys array<bigint>")
 
 
-def _prefixes(docs: DataFrame, k: int, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(key, fid, n): of each row's n distinct shingles the first n - ceil(similarity * n) + 1, rare ones first."""
+def shared_positions(a: Column, b: Column) -> Column:
+    """How many positional bytes two sketches share."""
 
-    def run(batches):
-        weight = np.zeros(1 << SLOT_BITS, np.int64)
-        weight[common[0]] = common[1]
-        for b in batches:
-            keys, sizes, lengths = [np.empty(0, np.uint64)], [], []
-            for t in b.column(1):
-                h = shingle_hashes(words_of(t.as_py()), k, distinct=True)
-                first = len(h) - math.ceil(similarity * len(h) - 1e-9) + 1 if len(h) else 0
-                keys.append(h[np.lexsort((h, weight[_slots(h)]))[:first]])
-                sizes.append(len(h))
-                lengths.append(first)
-            fid, n = np.repeat(b.column(0).to_numpy(), lengths), np.repeat(np.array(sizes, np.int64), lengths)
-            yield pa.record_batch([pa.array(np.concatenate(keys).view(np.int64)), pa.array(fid), pa.array(n)], names=["key", "fid", "n"])
+    def equal_bytes(x: Column) -> Column:
+        for k in (4, 2, 1):  # a byte's lowest bit becomes one if any of its bits is
+            x = x.bitwiseOR(F.shiftrightunsigned(x, k).bitwiseAND(F.lit(int.from_bytes(bytes([(1 << (8 - k)) - 1] * 8), "big"))))
+        return F.lit(8) - F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
 
-    return docs.select("row", "text").mapInArrow(run, "key bigint, fid bigint, n bigint")
+    return sum((equal_bytes(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(POSITIONS // 8)), F.lit(0))
 
 
 def _shingle_sets(docs: DataFrame, k: int) -> DataFrame:
-    """(row, shingles): the hashes of the distinct k-word shingles."""
+    """(fid, shingles): the hashes of the distinct k-word shingles."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             sets = [shingle_hashes(words_of(t.as_py()), k, distinct=True).view(np.int64) for t in b.column(1)]
             lengths = np.cumsum([0, *map(len, sets)]).astype(np.int32)
             flat = pa.array(np.concatenate(sets) if sets else np.empty(0, np.int64), pa.int64())
-            yield pa.record_batch([b.column(0), pa.ListArray.from_arrays(pa.array(lengths), flat)], names=["row", "shingles"])
+            yield pa.record_batch([b.column(0), pa.ListArray.from_arrays(pa.array(lengths), flat)], names=["fid", "shingles"])
 
-    return docs.select("row", "text").mapInArrow(run, "row bigint, shingles array<bigint>")
+    return docs.select("fid", "text").mapInArrow(run, "fid bigint, shingles array<bigint>")
 
 
 def across_parts(members: DataFrame, alike: Callable[[str, str], Column], block: int = 500) -> DataFrame:
@@ -218,74 +222,80 @@ def across_parts(members: DataFrame, alike: Callable[[str, str], Column], block:
     return x.join(y, ["key", "tile"]).where(once & alike("x_", "y_")).select(F.col("x_fid").alias("x"), F.col("y_fid").alias("y"))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, tables: Tables | None = None) -> DataFrame:
     """(row, group) for every row of docs: rows of one group are linked by equal words or by a Jaccard similarity of
-    the distinct `shingle`-word shingles of at least `similarity`; group is the smallest row. docs needs `row` (a
-    bigint that rows of equal id and text may share) and `text`.
-
-    First each member of a posting list meets the list's first one, the member that has the most company over all its
-    lists; what these pairs link makes parts. Then all members in different parts meet. So a large group of copies,
-    most of whose lists hold one part, costs a number of pairs that grows with its size, and no list of any length
-    misses a link."""
-    keys = written(_text_keys(docs))
-    texts = keys.groupBy("text_key").agg(F.min("row").alias("a"))
-    copies = written(keys.join(texts, "text_key").where("row > a").select("a", F.col("row").alias("b")).distinct())
-    alone = docs.select("row", "text").join(small_enough(copies.select(F.col("b").alias("row"))), "row", "left_anti")
-    postings = _prefixes(alone, shingle, similarity, _common_slots(alone, shingle))
-    of = Window.partitionBy("key")
-    marked = postings.select("*", F.lag("fid").over(of.orderBy("fid")).alias("before"), F.min("fid").over(of).alias("low"), F.max("fid").over(of).alias("high"))
-    # lists of two or more; rows of equal id and text stand in them once
-    members = written(marked.where("low < high AND (before IS NULL OR before < fid)").select("key", "fid", "n"))
-    # those with the most company come first, so that the lists of a group of copies agree in their first member
-    company = members.join(members.groupBy("key").agg(F.count("*").alias("size")), "key").groupBy("fid").agg((-F.sum("size")).alias("rank"))
-    members = written(members.join(company, "fid").select("key", "rank", "fid", "n"))
+    the distinct `shingle`-word shingles of at least `similarity`; group is the smallest row. docs needs `row` (of any
+    orderable type; rows of equal id and text may share it) and `text`.
+
+    First each member of a posting list meets the list's first one; what the best of these pairs links makes parts. Then
+    all members in different parts meet. So a large group of copies, most of whose lists hold one part, costs a number
+    of pairs that grows with its size, and no list of any length is cut. Every pair of either round whose shared
+    positional bytes reach the minimum is verified on all shingles, so that nothing is linked that isn't similar."""
+    keep = tables or Tables(docs.sparkSession)
+    sketch = keep.written(sketches(docs, shingle))
+    # one row per different text; its number is fixed once it is written
+    texts = sketch.groupBy("text_key").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("positions").alias("positions"), F.first("keys").alias("keys"))
+    texts = keep.written(texts.select(F.monotonically_increasing_id().alias("fid"), "*"))
+    postings = texts.where("n > 0").select(F.explode("keys").alias("key"), "fid", "n")
+    lists = postings.groupBy("key").agg(F.min("fid").alias("first"), F.count("*").alias("size")).where("size > 1")
+    members = keep.written(postings.join(lists.select("key", "first"), "key"))
+    positions = texts.select("fid", "n", "positions")
 
     def alike(x: str, y: str) -> Column:
         """What two sizes allow."""
         return F.least(x + "n", y + "n") >= similarity * F.greatest(x + "n", y + "n")
 
-    def candidates(met: DataFrame) -> DataFrame:
-        return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    def tallied(pairs: DataFrame) -> DataFrame:
+        """Those of the distinct (a, b) that share enough positional bytes, with their number."""
+        x, y = (positions.select(F.col("fid").alias(s), F.col("n").alias(f"{s}_n"), F.col("positions").alias(f"{s}_p")) for s in "ab")
+        shared = pairs.join(x, "a").join(y, "b").where(alike("a_", "b_")).select("a", "b", shared_positions(F.col("a_p"), F.col("b_p")).alias("shared"))
+        return shared.where(F.col("shared") >= LEAST_SHARED)
+
+    # the shingles of all texts that stand in any list, in one pass over the texts
+    listed = members.select("fid").distinct().join(texts.select("fid", "row"), "fid")
+    sets = keep.written(_shingle_sets(docs.select("row", "text").join(listed, "row").dropDuplicates(["fid"]), shingle))
 
     def similar(pairs: DataFrame) -> DataFrame:
-        needed = small_enough(written(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()))
-        sets = written(_shingle_sets(docs.select("row", "text").join(needed, "row", "left_semi"), shingle).dropDuplicates(["row"]))
-        x, y = sets.select(F.col("row").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("row").alias("b"), F.col("shingles").alias("sb"))
-        common = F.size(F.array_intersect("sa", "sb"))
-        ok = common >= similarity * (F.size("sa") + F.size("sb") - common)
-        return written(pairs.join(x, "a").join(y, "b").where(ok).select("a", "b"))
-
-    led = of.orderBy("rank", "fid")
-    met = members.select(F.first("fid").over(led).alias("x"), F.first("n").over(led).alias("x_n"), F.col("fid").alias("y"), F.col("n").alias("y_n"))
-    pairs = written(candidates(met.where((F.col("x") != F.col("y")) & alike("x_", "y_"))))
+        x, y = (sets.select(F.col("fid").alias(s), F.col("shingles").alias(f"{s}_s")) for s in "ab")
+        common = F.size(F.array_intersect("a_s", "b_s"))
+        ok = common >= similarity * (F.size("a_s") + F.size("b_s") - common)
+        return keep.written(pairs.join(y, "b").join(x, "a").where(ok).select("a", "b"))
+
+    led = members.where("first < fid").select(F.col("first").alias("a"), F.col("fid").alias("b")).distinct()
+    best = tallied(led).groupBy("b").agg(F.max(F.struct("shared", (-F.col("a")).alias("a"))).alias("best"))
+    pairs = keep.written(best.select((-F.col("best.a")).alias("a"), "b"))
     ok = similar(pairs)
     first = connected_components(ok)
-    parts = members.join(first, members["fid"] == first["node"], "left").select("key", "fid", "n", F.coalesce("component", "fid").alias("part"))
-    across = candidates(across_parts(parts, alike))
-    ok = ok.union(similar(written(across.join(pairs, ["a", "b"], "left_anti"))))
-    label = connected_components(ok.union(copies))
-    rows = keys.select("row")
-    return rows.join(label, rows["row"] == label["node"], "left").select("row", F.coalesce("component", "row").alias("group"))
+    parts = keep.written(members.join(first, members["fid"] == first["node"], "left").select("key", "fid", "n", F.coalesce("component", "fid").alias("part")))
+    met = across_parts(parts, alike).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    across = keep.written(tallied(met.join(pairs, ["a", "b"], "left_anti")).select("a", "b"))
+    label = connected_components(ok.union(similar(across)))
+    groups = texts.join(label, texts["fid"] == label["node"], "left").select("text_key", "row", F.coalesce("component", "fid").alias("component"))
+    least = groups.groupBy("component").agg(F.min("row").alias("group"))
+    return sketch.select("row", "text_key").join(groups.select("text_key", "component").join(least, "component"), "text_key").select("row", "group")
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """docs without the rows that are near-duplicates of another; the row with the smallest doc_id of each group stays
     (of rows that agree in doc_id and text one; a null doc_id comes last)."""
-    keyed = docs.withColumn("__key", row_key(F.col("doc_id"), F.col("text")))
-    rows = keyed.select(F.col("__key").alias("row"), "doc_id", "text")
-    group = near_duplicates(rows.select("row", "text"), **options)
-    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
-    ids = rows.select("row", "doc_id").dropDuplicates(["row"])
-    ranked = written(group.dropDuplicates(["row"]).join(ids, "row").select("group", "row", place.alias("place")))
-    best = ranked.groupBy("group").agg(F.min("place").alias("best"), F.count("*").alias("n")).where("n > 1")
-    gone = written(ranked.join(best, "group").where("place != best").select(F.col("row").alias("__key")))
-    kept = keyed.join(small_enough(gone), "__key", "left_anti")
+    keep = Tables(docs.sparkSession)
+    cols = [F.col(quoted(c)) for c in docs.columns]
+    # the row's columns travel as one struct, so that no name of theirs can clash with the key
+    keyed = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("row"), F.struct(*cols).alias("of"))
+    group = near_duplicates(keyed.select("row", F.col("of.text").alias("text")), tables=keep, **options)
+    place = F.struct(F.col("of.doc_id").isNull().alias("last"), F.col("of.doc_id").alias("doc_id"), "row")
+    places = keyed.select("row", place.alias("place")).groupBy("row").agg(F.first("place").alias("place"), F.count("*").alias("times"))
+    ranked = keep.written(group.dropDuplicates(["row"]).join(places, "row"))
+    best = ranked.groupBy("group").agg(F.min("place").alias("best"))
+    stays = ranked.join(best, "group").where("place = best").select("row", "times")
+    result = Tables(docs.sparkSession)
+    stays = result.written(stays)
+    keep.drop()
+    kept = keyed.join(stays, "row")
+    if stays.where("times > 1").isEmpty():
+        return kept.select("of.*")
     # rows that agree in doc_id and text: only these are brought together
-    again = written(rows.groupBy("row").count().where("count > 1").select(F.col("row").alias("__key")))
-    once = small_enough(again)
-    if again.isEmpty():
-        return kept.select(*docs.columns)
-    return kept.join(once, "__key", "left_anti").union(kept.join(once, "__key", "left_semi").dropDuplicates(["__key"])).select(*docs.columns)
+    return kept.where("times = 1").select("of.*").union(kept.where("times > 1").dropDuplicates(["row"]).select("of.*"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

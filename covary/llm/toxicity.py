@@ -1,41 +1,44 @@
 """Operator 6: toxicity by maximum-scoring segments.
 
-Tokens are the lower-cased words of a text; a word's evidence is that of the most specific feature the model has of
-it: the whole word, else its longest known prefix of four to eight letters. A feature's weight is its log-odds ratio
-between toxic and clean texts with an informative Dirichlet prior (its rate in the whole corpus; a text counts once,
-however often it repeats a word), kept where it exceeds `MIN_Z` standard errors; every other word costs `DRIFT`. A linear-time scan (all maximal scoring subsequences)
-finds every passage whose total can't be raised by growing or shrinking it. A passage of score S in a text of n words
-is significant by the extreme-value law P(max >= S) = 1 - exp(-K n exp(-lambda S)), lambda and K fitted on clean
-labelled texts. The text's score is a logistic calibration of its best and its summed significant passages.
-
-Learned from: at most `PER_CLASS` labelled texts of either class (those with the smallest hash), from which at most
-`FEATURES` features are kept; the prior's counts are taken over all documents. Only these bounded things reach the
-driver. Labels and nothing else of a row than its text are used; a doc_id labelled twice is toxic if any label says
-so; null labels and ids are not learned from. A null or empty text has no passage and the score of a text without one;
-without labels of both classes every score is 0. Repeated rows get equal scores; other columns are ignored."""
+Tokens are the lower-cased words of a text, and every one of them scores its log-odds of a toxic against a clean text.
+The odds come from counts of labelled texts (a text counts once, however often it repeats a word) under Dirichlet
+priors: the prior of a word is what its longest counted prefix of three to eight letters says, the prior of a prefix
+what the next shorter one says, and the shortest have the base rate; each prior weighs `PRIOR` texts. So a word seen in
+one text only says little more than its prefix, an unseen one just what its prefix says, and no feature is gated by its
+significance. A word scores `DRIFT` less than its log-odds, the log prior odds of a word to belong to a toxic passage,
+so that ordinary words score below zero; the k-th place of a word in a text scores a k-th of it, where it is positive, so
+that mere repetition makes no passage. A linear-time scan (all maximal scoring subsequences) finds every passage whose
+total can't be raised by growing or shrinking it. A passage of score S in a text of n words is significant by the
+extreme-value law P(max >= S) = 1 - exp(-K n exp(-lambda S)), lambda and K fitted by likelihood on the best passages of
+clean labelled texts. The text's score is a logistic calibration of its best and its summed significant passages. Both
+fits use scores that a text got from the other folds' counts (`FOLDS`, by hash of the text), not from its own.
+
+Learned from: at most `PER_CLASS` labelled texts of either class, those with the smallest hash. Features that a single
+one of them holds are left to their prefix; that bounds the table by the sample, and nothing else does. Labels and
+nothing else of a row than its text are used; a doc_id labelled twice is toxic if any label says so; null labels and ids
+are not learned from. A null or empty text has no passage and the score of a text without one; without labels of both
+classes every score is 0. Repeated rows get equal scores; other columns are ignored."""
 
 from __future__ import annotations
 
 import math
 import re
 from collections import Counter
-from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from covary.llm.shared import id_fold, table, written
+from covary.llm.shared import id_fold, slices, table, written
 
 WORD = re.compile(r"[^\W\d_]+")
-PREFIXES = range(4, 9)
-DRIFT = 0.08
-MIN_Z = 4.0
+PREFIXES = range(3, 9)
+DRIFT = 0.5
 PER_CLASS = 5000
-FEATURES = 50_000
-PRIOR = 0.05  # what the prior weighs, as a share of the labelled texts
-MAX_WEIGHT = 9.0
+PRIOR = 5.0
+FOLDS = 3
+SURE = 3.0  # -log of the chance at which a passage is significant: 5 %
 
 
 def words_of(text: str | None) -> list[str]:
@@ -43,24 +46,20 @@ def words_of(text: str | None) -> list[str]:
 
 
 def features_of(word: str) -> list[str]:
-    """A word's features: itself with an end mark, and its proper prefixes."""
-    return [word + "$", *(word[:k] for k in PREFIXES if k < len(word))]
+    """A word's features from general to specific: its proper prefixes, and itself with an end mark."""
+    return [*(word[:k] for k in PREFIXES if k < len(word)), word + "$"]
 
 
 def features_in(text: str | None) -> set[str]:
     return {f for w in set(words_of(text)) for f in features_of(w)}
 
 
-def segments(scored: list[tuple[int, float]], drift: float) -> list[tuple[float, int, int]]:
-    """All maximal scoring subsequences of a sequence in which the listed places score as given and every other one
-    costs `drift`: (score, first place, last place), in linear time."""
-    found: list[list] = []  # [sum before, sum after, first, last]
-    total, last = 0.0, -1
-    for at, s in scored:
-        total -= drift * (at - last - 1)
-        last = at
-        new = [total, total + s, at, at]
-        total += s
+def segments(scores: np.ndarray) -> list[tuple[float, int, int]]:
+    """All maximal scoring subsequences of a sequence: (score, first place, last place), in linear time."""
+    found: list[list] = []  # [sum before, sum after, first, last, the nearest earlier one that began lower]
+    after = np.cumsum(scores)
+    for at in np.flatnonzero(scores > 0).tolist():
+        new = [float(after[at - 1]) if at else 0.0, float(after[at]), at, at]
         while True:
             j = len(found) - 1
             while j >= 0 and found[j][0] >= new[0]:
@@ -70,100 +69,67 @@ def segments(scored: list[tuple[int, float]], drift: float) -> list[tuple[float,
                 break
             new = [found[j][0], new[1], found[j][2], new[3]]
             del found[j:]
-    return [(after - before, a, b) for before, after, a, b, _ in found]
+    return [(end - begin, a, b) for begin, end, a, b, _ in found]
 
 
-@dataclass
-class Model:
-    weights: dict[str, float]
-    drift: float = DRIFT
-    lam: float = 1.0
-    k: float = 1e-3
-    calibration: tuple[float, float, float] | None = None
-    cache: dict[str, float] = field(default_factory=dict)
-
-    def weight(self, word: str) -> float:
-        w = self.cache.get(word)
-        if w is None:
-            w = self.weights.get(word + "$")
-            for k in reversed(PREFIXES):
-                if w is None and k < len(word):
-                    w = self.weights.get(word[:k])
-            w = w if w is not None and w > 0 else 0.0
-            if len(self.cache) > 200_000:
-                self.cache.clear()
-            self.cache[word] = w
-        return w
-
-    def scan(self, text: str | None) -> tuple[int, list[tuple[int, float]], list[tuple[float, int, int]]]:
-        """Number of words, places with evidence, passages."""
-        words, get, slow = words_of(text), self.cache.get, self.weight
-        scored = []
-        for i, w in enumerate(words):
-            s = get(w)
-            if s is None:
-                s = slow(w)
-            if s:
-                scored.append((i, s))
-        return len(words), scored, segments(scored, self.drift)
+class Lexicon(dict):
+    """word -> its score; holds the scores it has looked up, of 200,000 words at a time."""
 
-    def bits(self, score: float, n: int) -> float:
-        """-log of the number of passages as good as this one that chance alone gives in n words."""
-        return self.lam * score - math.log(max(self.k * n, 1e-12))
+    def __init__(self, odds: dict[str, float]):
+        super().__init__()
+        self.odds = odds
 
-    def evidence(self, n: int, passages: list[float]) -> tuple[float, float]:
-        """Of the best passage, and of all that are significant at 5 %."""
-        b = [self.bits(s, n) for s in passages]
-        return (max(b, default=-5.0), sum(x for x in b if x > 3.0))
+    def __missing__(self, word: str) -> float:
+        if len(self) >= 200_000:
+            self.clear()
+        self[word] = s = next((self.odds[f] for f in reversed(features_of(word)) if f in self.odds), 0.0) - DRIFT
+        return s
 
-    def score(self, n: int, passages: list[float]) -> float:
-        if self.calibration is None:
-            return 0.0
-        a, b, c = self.calibration
-        best, total = self.evidence(n, passages)
-        z = a + b * min(max(best, -5.0), 20.0) + c * math.log1p(max(total, 0.0))
-        return 1 / (1 + math.exp(-min(max(z, -30.0), 30.0)))
 
+def passages(text: str | None, lexicon: Lexicon) -> tuple[int, list[tuple[float, int, int]]]:
+    """The number of words of a text, and its passages."""
+    words = words_of(text)
+    scores = np.array([lexicon[w] for w in words], float)
+    times: Counter = Counter()
+    for at in np.flatnonzero(scores > 0).tolist():
+        times[words[at]] += 1
+        scores[at] /= times[words[at]]
+    return len(words), segments(scores)
 
-def _scanned(docs: DataFrame, model: Model) -> DataFrame:
-    """(toxic, n, evidence, passages) of the labelled sample."""
 
-    def run(batches):
-        for b in batches:
-            rows: list[list] = [[], [], []]
-            for t in b.column(0):
-                n, scored, found = model.scan(t.as_py())
-                for r, x in zip(rows, (n, [s for _, s in scored], [s for s, _, _ in found]), strict=True):
-                    r.append(x)
-            yield pa.record_batch([b.column(1), pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.list_(pa.float32())), pa.array(rows[2], pa.list_(pa.float32()))], names=["toxic", "n", "evidence", "passages"])
+def log_odds(counts: dict[str, tuple[int, int]], n_clean: int, n_toxic: int) -> dict[str, float]:
+    """Feature -> log-odds, from (clean, toxic) counts of texts; every feature's prior is its prefix's posterior."""
+    rate = n_toxic / (n_clean + n_toxic)  # of the sample, so that log-odds are zero where a feature says nothing
+    base = math.log(n_toxic / n_clean)
+    share: dict[str, float] = {}
+    for f in sorted(counts, key=len):
+        # "abc$" follows "abc" and shorter ones only where those are proper prefixes of longer words too
+        prior = next((share[f[:k]] for k in range(min(len(f) - 1, PREFIXES[-1]), PREFIXES[0] - 1, -1) if f[:k] in share and (f[k:] != "$")), rate)
+        clean, toxic = counts[f]
+        share[f] = (toxic + PRIOR * prior) / (clean + toxic + PRIOR)
+    return {f: math.log(p / (1 - p)) - base for f, p in share.items()}
 
-    return docs.select("text", "toxic").mapInArrow(run, "toxic int, n int, evidence array<float>, passages array<float>")
 
+class Model:
+    """Log-odds, the extreme-value law of clean texts and the calibration. Without calibration every score is 0."""
 
-def _corpus_counts(docs: DataFrame, features: set[str]) -> tuple[dict[str, int], int]:
-    """In how many of all documents each feature occurs, and how many there are."""
+    def __init__(self, odds: dict[str, float], lam: float = 1.0, k: float = 1e-3, calibration: tuple[float, ...] | None = None):
+        self.odds, self.lam, self.k, self.calibration = odds, lam, k, calibration
 
-    def run(batches):
-        counts, known, total = Counter(), {}, 0
-        for b in batches:
-            total += b.num_rows
-            for t in b.column(0):
-                there: set[str] = set()
-                for w in set(words_of(t.as_py())):
-                    own = known.get(w)
-                    if own is None:
-                        if len(known) > 200_000:
-                            known.clear()
-                        own = known[w] = tuple(f for f in features_of(w) if f in features)
-                    if own:
-                        there.update(own)
-                counts.update(there)
-        counts[""] = total
-        yield pa.record_batch([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["feature", "n"])
-
-    sums = docs.select("text").mapInArrow(run, "feature string, n bigint").groupBy("feature").agg(F.sum("n").alias("n"))
-    out = {r["feature"]: r["n"] for r in sums.collect()}  # at most FEATURES + 1 rows
-    return out, out.pop("", 0)
+    def bits(self, score: float, n: int) -> float:
+        """-log of the number of passages as good as this one that chance alone gives in n words."""
+        return self.lam * score - math.log(max(self.k * n, 1e-12))
+
+    def evidence(self, n: int, scores: list[float]) -> list[float]:
+        """Of the best passage, and of all that are significant."""
+        b = [self.bits(s, n) for s in scores]
+        return [1.0, min(max(max(b, default=-5.0), -5.0), 20.0), math.log1p(sum(x for x in b if x > SURE))]
+
+    def score(self, n: int, scores: list[float]) -> float:
+        if self.calibration is None:
+            return 0.0
+        z = sum(a * x for a, x in zip(self.calibration, self.evidence(n, scores), strict=True))
+        return 1 / (1 + math.exp(-min(max(z, -30.0), 30.0)))
 
 
 def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
@@ -177,66 +143,87 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Da
     return rows.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("toxic").alias("toxic")).select("text", "toxic")
 
 
-def train(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None = None, per_class: int = PER_CLASS) -> Model:
-    """Learns from the rows of docs that labels covers; the prior's counts come from corpus (docs if not given)."""
-    rows = written(sample(docs, labels, per_class))
+def _counted(rows: DataFrame) -> dict[str, np.ndarray]:
+    """Feature -> how many (clean, toxic) texts of each fold hold it; "" counts all texts."""
 
     def count(batches):
-        seen: tuple[Counter, Counter] = (Counter(), Counter())
-        for b in batches:
-            for t, y in zip(b.column(0), b.column(1).to_pylist(), strict=True):
-                seen[y > 0].update(features_in(t.as_py()))
-                seen[y > 0][""] += 1
-        for y, c in enumerate(seen):
-            n = pa.array(list(c.values()), pa.int64())
-            none = pa.array(np.zeros(len(c), np.int64))
-            yield pa.record_batch([pa.array(list(c), pa.string()), *((none, n) if y else (n, none))], names=["feature", "clean", "toxic"])
-
-    found = rows.mapInArrow(count, "feature string, clean bigint, toxic bigint").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    found = written(found)
-    size = found.where("feature = ''").first()
-    n0, n1 = (size["clean"], size["toxic"]) if size else (0, 0)
-    if not n0 or not n1:
+        seen = [Counter() for _ in range(2 * FOLDS)]
+        for b in slices(batches):
+            for t, y, fold in zip(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                own = seen[2 * fold + (y > 0)]
+                own.update(features_in(t.as_py()))
+                own[""] += 1
+            if sum(map(len, seen)) > 400_000:
+                yield from flushed(seen)
+        yield from flushed(seen)
+
+    def flushed(seen):
+        for at, c in enumerate(seen):
+            yield pa.record_batch([pa.array(list(c), pa.string()), pa.array([at] * len(c), pa.int32()), pa.array(list(c.values()), pa.int64())], names=["feature", "at", "n"])
+            c.clear()
+
+    sums = [F.sum(F.when(F.col("at") == i, F.col("n")).otherwise(0)).alias(f"n{i}") for i in range(2 * FOLDS)]
+    found = rows.mapInArrow(count, "feature string, at int, n bigint").groupBy("feature").agg(*sums)
+    got = found.where(sum(F.col(f"n{i}") for i in range(2 * FOLDS)) >= 2).toArrow()  # bounded by the sample
+    n = np.array([c.to_numpy() for c in got.columns[1:]]).reshape(2 * FOLDS, -1).T
+    return dict(zip(got.column(0).to_pylist(), n, strict=True))
+
+
+def _scanned(rows: DataFrame, by_fold: list[dict[str, float]]) -> list[dict]:
+    """(toxic, n, scores) of the labelled sample, every text scanned without the counts of its own fold."""
+    shared = rows.sparkSession.sparkContext.broadcast(by_fold)
+
+    def run(batches):
+        lexicons = [Lexicon(odds) for odds in shared.value]
+        for b in slices(batches):
+            got = [passages(t.as_py(), lexicons[fold]) for t, fold in zip(b.column(0), b.column(2).to_pylist(), strict=True)]
+            scores = pa.array([[s for s, _, _ in found] for _, found in got], pa.list_(pa.float32()))
+            yield pa.record_batch([b.column(1), pa.array([n for n, _ in got], pa.int32()), scores], names=["toxic", "n", "scores"])
+
+    return rows.mapInArrow(run, "toxic int, n int, scores array<float>").toArrow().to_pylist()
+
+
+def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
+    """Learns from the rows of docs that labels covers."""
+    rows = written(sample(docs, labels, per_class).withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int")))
+    counts = _counted(rows)
+    size = counts.pop("", np.zeros(2 * FOLDS, int))
+
+    def without(fold: int | None) -> dict[str, float]:
+        use = np.array([i // 2 != fold for i in range(2 * FOLDS)])
+        clean, toxic = use & (np.arange(2 * FOLDS) % 2 == 0), use & (np.arange(2 * FOLDS) % 2 == 1)
+        if not size[clean].sum() or not size[toxic].sum():
+            return {}
+        kept = {f: (int(n[clean].sum()), int(n[toxic].sum())) for f, n in counts.items()}
+        return log_odds({f: n for f, n in kept.items() if sum(n)}, int(size[clean].sum()), int(size[toxic].sum()))
+
+    odds = without(None)
+    if not odds:
         return Model({})
-    flat = (F.log((F.col("toxic") + 0.5) / n1) - F.log((F.col("clean") + 0.5) / n0)) / F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
-    likely = found.where("toxic >= 3 AND feature != ''").withColumn("z", flat).where("z >= 2").orderBy(F.desc("z"), "feature").limit(FEATURES).collect()
-    counts, total = _corpus_counts(corpus if corpus is not None else docs, {r["feature"] for r in likely})
-    weights, weigh = {}, PRIOR * (n0 + n1)
-    for r in likely:
-        prior = weigh * (counts.get(r["feature"], 0) + 1) / (total + 1)
-        y1, y0 = r["toxic"] + prior, r["clean"] + prior
-        delta = math.log(y1 / max(n1 + weigh - y1, 0.5)) - math.log(y0 / max(n0 + weigh - y0, 0.5))
-        if delta > 0 and delta / math.sqrt(1 / y1 + 1 / y0) >= MIN_Z:
-            weights[r["feature"]] = min(delta, MAX_WEIGHT)
-    return calibrated(Model(weights), _scanned(rows, Model(weights)).toArrow().to_pylist())
-
-
-def calibrated(model: Model, rows: list[dict]) -> Model:
-    """lambda and K by likelihood on the clean texts, then the logistic map of the evidence to the labels."""
-    clean = [r for r in rows if not r["toxic"]]
-    words = sum(r["n"] for r in clean)
-    hits = Counter(round(s, 2) for r in clean for s in r["evidence"])
-    missed = max(1, words - sum(hits.values()))
-
-    def excess(lam: float) -> float:
-        return missed / max(words, 1) * math.exp(-lam * model.drift) + sum(n / max(words, 1) * math.exp(lam * s) for s, n in hits.items()) - 1
-
-    lo, hi = 1e-3, 1e-3
-    while excess(hi) < 0 and hi < 3:
-        hi *= 2
-    for _ in range(60):
-        mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if excess(mid) < 0 else (lo, mid)
-    model.lam = min(max(lo, 0.05), 3.0)
-    with_one = sum(1 for r in clean if r["passages"])
-    weight = sum(r["n"] * math.exp(-model.lam * max(r["passages"], default=0.0)) for r in clean)
-    model.k = (with_one + 0.5) / max(weight, 1.0)
-    x = np.array([[1.0, min(max(b, -5.0), 20.0), math.log1p(max(t, 0.0))] for r in rows for b, t in [model.evidence(r["n"], r["passages"])]])
+    return calibrated(odds, _scanned(rows, [without(k) for k in range(FOLDS)]))
+
+
+def extreme_value_law(n: np.ndarray, best: np.ndarray) -> tuple[float, float]:
+    """(lambda, K) of the greatest likelihood for texts of n words whose best passages score `best`."""
+    fits = []
+    for lam in np.geomspace(0.05, 5, 120):
+        k = len(n) / float((n * np.exp(-lam * best)).sum())
+        fits.append((len(n) * math.log(lam * k) - lam * float(best.sum()), float(lam), k))
+    return max(fits)[1:]
+
+
+def calibrated(odds: dict[str, float], rows: list[dict]) -> Model:
+    """The law of clean texts' best passages, then the logistic map of the evidence to the labels."""
+    clean = [(r["n"], max(r["scores"], default=0.0)) for r in rows if not r["toxic"] and r["n"]]
+    model = Model(odds)
+    if clean:
+        model.lam, model.k = extreme_value_law(*np.array(clean, float).T)
+    x = np.array([model.evidence(r["n"], r["scores"]) for r in rows])
     y = np.array([r["toxic"] > 0 for r in rows], float)
-    w = np.zeros(3)
+    w = np.zeros(x.shape[1])
     for _ in range(40):  # Newton's method with a small ridge
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(3)
+        h = (x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(len(w))
         w += np.linalg.solve(h, x.T @ (y - p) - 1e-2 * w)
     model.calibration = tuple(map(float, w))
     return model
@@ -244,16 +231,17 @@ def calibrated(model: Model, rows: list[dict]) -> Model:
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score, passages): passages are the significant ones, as first and last word and score."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    place = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("score", pa.float64())]))
 
     def run(batches):
-        for b in batches:
-            scores, found = [], []
-            for t in b.column(1):
-                n, _, passages = model.scan(t.as_py())
-                scores.append(model.score(n, [s for s, _, _ in passages]))
-                found.append([{"first": a, "last": z, "score": s} for s, a, z in passages if model.bits(s, n) > 3.0])
-            kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("score", pa.float64())]))
-            yield pa.record_batch([b.column(0), pa.array(scores, pa.float64()), pa.array(found, kind)], names=["doc_id", "score", "passages"])
+        model = shared.value
+        lexicon = Lexicon(model.odds)
+        for b in slices(batches):
+            got = [passages(t.as_py(), lexicon) for t in b.column(1)]
+            scores = [model.score(n, [s for s, _, _ in found]) for n, found in got]
+            found = [[{"first": a, "last": z, "score": s} for s, a, z in found if model.bits(s, n) > SURE] for n, found in got]
+            yield pa.record_batch([b.column(0), pa.array(scores, pa.float64()), pa.array(found, place)], names=["doc_id", "score", "passages"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double, passages array<struct<first:int,last:int,score:double>>")
@@ -262,7 +250,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def query(spark, sf_dir: str) -> DataFrame:
     """op6: every document's toxicity, learned from four fifths of the labels."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    model = train(docs, labels.where(id_fold(F.col("doc_id"), 5) != 0), docs)
+    model = train(docs, labels.where(id_fold(F.col("doc_id"), 5) != 0))
     return score(docs, model).select(
         "doc_id", (id_fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("passages").alias("n_passages")
     )

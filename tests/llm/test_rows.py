@@ -165,12 +165,22 @@ def test_segments_match_brute_force():
     r = random.Random(12)
     for _ in range(150):
         n = r.randint(1, 18)
-        places = sorted(r.sample(range(n), r.randint(0, n // 2 + 1) if n > 1 else 1))
-        scored = [(p, r.choice([0.3, 0.7, 1.1, 2.05]) + r.random() / 100) for p in places]
-        drift = 0.41
-        scores = [dict(scored).get(i, -drift) for i in range(n)]
-        got = [(round(s, 6), a, b) for s, a, b in toxicity.segments(scored, drift)]
+        scores = [r.choice([0.3, 0.7, 1.1, 2.05, -0.41, -0.9, -1.3]) + r.random() / 100 for _ in range(n)]
+        got = [(round(s, 6), a, b) for s, a, b in toxicity.segments(np.array(scores))]
         assert got == brute_segments(scores)
+    assert toxicity.segments(np.array([])) == []
+
+
+def test_a_words_prior_is_its_prefix():
+    counts = {"vil": (0, 30), "vile": (0, 30), "vilescum$": (0, 28), "vilegood$": (20, 1), "one$": (1, 1)}
+    odds = toxicity.log_odds(counts, 100, 100)
+    lexicon = toxicity.Lexicon(odds)
+    assert odds["vile"] > odds["vil"] > 2 and abs(odds["one$"]) < 1e-9
+    assert lexicon["vileother"] == odds["vile"] - toxicity.DRIFT and lexicon["unseen"] == -toxicity.DRIFT
+    assert odds["vilegood$"] < 0 < odds["vilescum$"]
+    n, found = toxicity.passages("Vilescum vilescum a vilescum b", lexicon)
+    s = lexicon["vilescum"]
+    assert n == 5 and [(a, z) for _, a, z in found] == [(0, 3)] and abs(found[0][0] - (s + s / 2 + s / 3 - toxicity.DRIFT)) < 1e-9
 
 
 def test_toxicity_held_out_and_edges(spark, tmp_path):
