@@ -23,8 +23,8 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines, and runs of short lines, that an earlier document holds are cut out of the text."""
-    return line_dedup.drop_repeats(docs, **line_dedup.PIPELINE)
+    """Runs of lines and sentences that an earlier document holds are cut out of the text."""
+    return line_dedup.drop_repeats(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
