@@ -6,7 +6,8 @@ inside links and its last character; a CRF with the labels boilerplate and main,
 stochastic gradient ascent on the likelihood, is decoded by Viterbi, and the main blocks are joined by line feeds.
 
 Labelled pages are those that mark their article themselves (an ``article`` or ``main`` element): blocks in it and in
-no navigation, form or the like are main. At most PAGES of them, those with the smallest hash, reach the driver. Each
+no navigation, form or the like are main. At most PAGES of them, those with the smallest hash, reach the driver (of
+these, pages of over 400 blocks are not learned from). Each
 is used as it is and with its parts rewrapped in other ways that pages mark articles, menus, notices, adverts, forms
 and comments, so that the model also learns from marks that the sample happens not to show. The weights depend on the
 table only through that sample; without labelled pages the rewrapped stock alone is learned from.
@@ -20,6 +21,7 @@ import html as entities
 import math
 import random
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -33,7 +35,9 @@ PAGES = 300
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+|[^>]*)(?:>|\Z)""", re.S)
 CLASS = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 PART = re.compile(r"[a-z]+")
+#: Elements without text of the page. Those of raw text run to their end tag, or without it to the end of the page.
 SKIPPED = frozenset("script style template noscript svg math iframe object head title canvas".split())
+RAW = frozenset("script style title iframe".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split()
@@ -105,11 +109,11 @@ def blocks_of(page: str | None) -> list[Block]:
             if tag not in INLINE:
                 flush()
             if not m[3].rstrip().endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(page, at) if tag != "head" else None
-                if end:
-                    at = end.end()
+                if tag in RAW:
+                    end = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
+                    at = end.end() if end else n
                 elif tag != "head":
-                    at = n
+                    at = _passed(page, at, tag, {x[0] for x in stack})
             continue
         if tag in INLINE or tag in VOID:
             if tag == "br":
@@ -144,6 +148,25 @@ def blocks_of(page: str | None) -> list[Block]:
     return out
 
 
+def _passed(page: str, at: int, tag: str, around: set[str]) -> int:
+    """Where an element that began just before `at` ends: behind its own end tag, or, if that is missing, before the end
+    tag of an element around it."""
+    opened = Counter({tag: 1})
+    for m in TOKEN.finditer(page, at):
+        name = m[2].lower() if m[2] else ""
+        if not name or name in VOID:
+            continue
+        if not m[1]:
+            opened[name] += not m[3].rstrip().endswith("/")
+        elif opened[name]:
+            opened[name] -= 1
+            if not opened[tag]:
+                return m.end()
+        elif name in around:
+            return m.start()
+    return len(page)
+
+
 def path_features(path: tuple[tuple[str, str], ...]) -> list[str]:
     marks = sorted({f"m:{x}" for _, c in path for x in c.split()})
     return [*sorted({f"a:{t}" for t, _ in path}), *marks, f"t:{path[-1][0] if path else ''}"]

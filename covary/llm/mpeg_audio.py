@@ -8,7 +8,7 @@ bytes. The last frame uses the smallest bitrate that holds the rest, so the stre
 ``parse`` reads any such stream back: it skips the tag, resynchronises on frame headers (a header counts only if it is
 valid and the next frame, or the end, follows where its length says), reads the variable-bitrate table, verifies the
 CRC-16 of every protected frame, and returns exact durations (samples over rate), the byte offset of every frame and
-the ancillary bytes. Damaged stretches are skipped and counted.
+the ancillary bytes. Damaged stretches are skipped and counted; the payload is given only if its check sum holds.
 
 A null text is the empty one: 64 zero bytes. Equal texts give equal values; ids may be null or repeated; other columns
 are ignored; long texts give longer streams, one row in memory at a time."""
@@ -20,6 +20,7 @@ import struct
 import zlib
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -88,22 +89,25 @@ def store(payload: bytes) -> bytes:
         toc.append(min(255, 256 * place // total))
     xing = b"Xing" + struct.pack(">III", 7, len(frames), total) + bytes(toc)
     first = (frame_head(5) + xing).ljust(info, b"\0")
-    text = b"TXXX" + struct.pack(">I", 1 + 8 + len(str(len(payload)))) + b"\0\0" + b"\0payload\0" + str(len(payload)).encode()
+    notes = {b"payload": b"%d" % len(payload), b"crc32": b"%d" % zlib.crc32(payload)}
+    text = b"".join(b"TXXX" + struct.pack(">I", 2 + len(k) + len(v)) + b"\0\0" + b"\0" + k + b"\0" + v for k, v in notes.items())
     tag = b"ID3\3\0\0" + bytes(len(text) >> s & 127 for s in (21, 14, 7, 0)) + text
     return tag + first + b"".join(frames)
 
 
 def parse(data: bytes) -> dict:
-    """What the stream holds; `payload` is None unless the tag gives its length and that many bytes were found."""
-    at, length = 0, None
+    """What the stream holds; `payload` is None unless the tag gives its length and check sum and so many bytes that fit
+    it were found. Any bytes may be given: a tag or table that ends early is read as far as it goes."""
+    at, notes = 0, {}
     if data[:3] == b"ID3" and len(data) >= 10:
         end = 10 + (data[6] << 21 | data[7] << 14 | data[8] << 7 | data[9])
         at = 10
-        while at + 10 <= end and data[at : at + 4].strip(b"\0"):
+        while at + 10 <= min(end, len(data)) and data[at : at + 4].strip(b"\0"):
             n = struct.unpack(">I", data[at + 4 : at + 8])[0]
             body = data[at + 10 : at + 10 + n]
-            if data[at : at + 4] == b"TXXX" and body[1:9] == b"payload\0" and body[9:].isdigit():
-                length = int(body[9:])
+            name, _, value = body[1:].partition(b"\0")
+            if data[at : at + 4] == b"TXXX" and value.isdigit() and len(value) < 20:
+                notes[name] = int(value)
             at += 10 + n
         at = end
     out = {"frames": 0, "offsets": [], "seconds": [], "bad_crc": 0, "skipped": 0, "vbr_frames": None, "vbr_bytes": None, "toc": b"", "payload": None}
@@ -117,7 +121,7 @@ def parse(data: bytes) -> dict:
             if protected and crc16(data[at + 2 : at + 4] + data[body : body + side]) != struct.unpack(">H", data[at + 4 : at + 6])[0]:
                 out["bad_crc"] += 1
             main = body + side
-            if not out["frames"] and out["vbr_frames"] is None and data[main : main + 4] in (b"Xing", b"Info"):
+            if not out["frames"] and out["vbr_frames"] is None and main + 120 <= at + n and data[main : main + 4] in (b"Xing", b"Info"):
                 flags, main = struct.unpack(">I", data[main + 4 : main + 8])[0], main + 8
                 if flags & 1:
                     out["vbr_frames"], main = struct.unpack(">I", data[main : main + 4])[0], main + 4
@@ -139,7 +143,8 @@ def parse(data: bytes) -> dict:
     out["samples"] = sum(per_rate.values())
     out["duration"] = sum(n / hz for hz, n in per_rate.items())
     held = b"".join(parts)
-    if length is not None and length <= len(held):
+    length = notes.get(b"payload")
+    if length is not None and length <= len(held) and zlib.crc32(held[:length]) == notes.get(b"crc32"):
         out["payload"] = held[:length]
     return out
 
@@ -194,7 +199,8 @@ def digests(docs: DataFrame) -> DataFrame:
                 media = store(payload)
                 found = parse(media)
                 back = found["payload"] or b""
-                feature = f"frames={found['frames']};ms={round(1000 * found['duration'])};bad_crc={found['bad_crc']};vbr={found['vbr_frames']};last={found['offsets'][-1]}"
+                offsets = zlib.crc32(np.array(found["offsets"], "<u8").tobytes())
+                feature = f"frames={found['frames']};samples={found['samples']};bad_crc={found['bad_crc']};vbr={found['vbr_frames']};last={found['offsets'][-1]};offsets={offsets}"
                 for r, x in zip(rows, (n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature), strict=True):
                     r.append(x)
             yield pa.record_batch([b.column(0), *map(pa.array, rows)] if rows[0] else [b.column(0), *(pa.array([], t) for t in (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()))], names=names)

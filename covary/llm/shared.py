@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from covary.sources.store import shared_folder
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -50,15 +52,6 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield b.slice(at, SLICE_ROWS)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share, as spark.checkpoint.dir names it. Nothing stands in for it: what one executor
-    writes elsewhere the others can't read."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return folder
-
-
 def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder, read back: later jobs don't compute it again and a lost executor
     doesn't lose it. (checkpoint() would compute a plan without a shuffle twice.)"""

@@ -2,10 +2,11 @@
 
 ``fingerprints`` folds the shingle hashes of every whole text into one fingerprint. ``close_fingerprints`` links
 fingerprints that differ in a few bits: the fingerprint is cut into positional bytes; if at most two bits differ, at
-least six of the eight bytes are equal, so every pair that can link meets in the posting list of six shared positional
-bytes. Exact copies collapse to one fingerprint before anything is indexed. Within a list the members differ in two
-bytes only; they are linked through the values one bit away from them (members that share such a value are all within
-two bits of each other), so a list of m members costs 17 m rows and never m * m pairs, and no list needs a cap.
+least six of the eight bytes are equal. Exact copies collapse to one fingerprint before anything is indexed. A list for
+one positional byte alone would hold a 256th of the corpus, so the index is inverted on four of them at a time, in six
+choices of which such a pair shares one. The shared positional bytes of the pairs in a list are tallied, pairs with
+fewer than six go, the others are verified bit by bit. The pairs of a list of over LISTED members aren't made one by
+one; it is searched, as exactly, by the values one bit away from its members, at 33 rows a member.
 
 ``near_duplicates`` is for the looser similarity that whole-corpus cleaning needs (Jaccard 0.8 on five-word shingles).
 It moves 4 to 14 of SimHash's 64 bits, so that no positional byte need be equal; there a position's byte comes from the
@@ -86,35 +87,52 @@ def shared_bytes(a: Column, b: Column) -> Column:
     return sum(((byte_at(a, i) == byte_at(b, i)).cast("int") for i in range(8)), F.lit(0))
 
 
-def _mask(dropped: tuple[int, ...]) -> int:
-    kept = sum(255 << (56 - 8 * i) for i in range(8) if i not in dropped)
-    return kept - (1 << 64) if kept >> 63 else kept
+#: The eight positions in four couples. Of two fingerprints that share at least six positional bytes, at least two couples
+#: agree, so that they meet in the posting list of one of the six choices of two couples.
+COUPLES = ((0, 1), (2, 3), (4, 5), (6, 7))
+KEYS = list(combinations(COUPLES, 2))
+#: Members up to which a list's pairs are tallied one by one; a longer one is searched by neighbouring values instead.
+LISTED = 64
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def postings(fps: DataFrame) -> DataFrame:
+    """(n, kept, fp): the inverted index; kept holds the bytes of the n-th choice of positions, the others are zero."""
+    fp = F.col("fingerprint")
+    mask = [_signed(sum(255 << (56 - 8 * i) for couple in key for i in couple)) for key in KEYS]
+    keys = F.array(*[F.struct(F.lit(n).cast("byte").alias("n"), fp.bitwiseAND(F.lit(m)).alias("kept")) for n, m in enumerate(mask)])
+    return fps.select(fp.alias("fp"), F.explode(keys).alias("key")).select("key.n", "key.kept", "fp")
+
+
+def tallied(lists: DataFrame) -> DataFrame:
+    """(a, b, shared): the pairs of each list with the number of positional bytes they share."""
+    x, y = lists.select("n", "kept", F.col("fp").alias("a")), lists.select("n", "kept", F.col("fp").alias("b"))
+    return x.join(y, ["n", "kept"]).where("a < b").select("a", "b", shared_bytes(F.col("a"), F.col("b")).alias("shared"))
+
+
+def _probed(lists: DataFrame) -> DataFrame:
+    """Links (a, b) that connect all members of a list that differ in at most two bits: each member stands under itself
+    and every value one bit away from it, and those that meet there are two bits apart at most. A value gathers 33
+    members at most, whatever the list's length."""
+    free = [[i for i in range(8) if not any(i in couple for couple in key)] for key in KEYS]
+    flips = [F.array(F.lit(0), *[F.lit(_signed(1 << (56 - 8 * i + j))) for i in f for j in range(8)]) for f in free]
+    flip = F.element_at(F.array(*flips), F.col("n").cast("int") + 1)
+    met = lists.select("n", "kept", "fp", F.explode(F.transform(flip, lambda x: F.col("fp").bitwiseXOR(x))).alias("mid"))
+    met = met.groupBy("n", "kept", "mid").agg(F.collect_list("fp").alias("members")).where(F.size("members") > 1)
+    return met.select(F.array_min("members").alias("a"), F.explode("members").alias("b")).where("a < b")
 
 
 def close_fingerprints(fps: DataFrame) -> DataFrame:
     """Distinct `fingerprint`s -> links (a, b) that connect exactly what links at two or fewer differing bits."""
-    pairs = list(combinations(range(8), 2))
-    fp = F.col("fingerprint")
-    keys = F.array(*[F.struct(F.lit(n).cast("byte").alias("n"), fp.bitwiseAND(F.lit(_mask(p))).alias("kept")) for n, p in enumerate(pairs)])
-    lists = (
-        fps.select(fp, F.explode(keys).alias("key"))
-        .groupBy("key.n", "key.kept")
-        .agg(F.collect_list("fingerprint").alias("members"))
-        .where(F.size("members") > 1)
-    )
-    flips = [[0, *(1 << (56 - 8 * i + j) for i in p for j in range(8))] for p in pairs]
-    signed = [[x - (1 << 64) if x >> 63 else x for x in f] for f in flips]
-    flip = F.element_at(F.array(*[F.array(*[F.lit(x) for x in f]) for f in signed]), F.col("n").cast("int") + 1)
-    met = (
-        lists.select("n", F.explode("members").alias("fp"))
-        .select("n", "fp", F.explode(F.transform(flip, lambda x: F.col("fp").bitwiseXOR(x))).alias("mid"))
-        .groupBy("n", "mid")
-        .agg(F.collect_list("fp").alias("members"))
-        .where(F.size("members") > 1)
-        .select(F.array_min("members").alias("a"), F.explode("members").alias("b"))
-    )
-    near = (shared_bytes(F.col("a"), F.col("b")) >= 6) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2)
-    return met.where((F.col("a") != F.col("b")) & near).distinct()
+    index = postings(fps)
+    sizes = index.groupBy("n", "kept").agg(F.count("*").alias("size")).where("size > 1")
+    lists = written(index.join(sizes, ["n", "kept"]))
+    enough = tallied(lists.where(F.col("size") <= LISTED)).where("shared >= 6").select("a", "b")
+    near = enough.union(_probed(lists.where(F.col("size") > LISTED)))
+    return near.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2).distinct()
 
 
 def simhash_components(docs: DataFrame, shingle: int = 3) -> DataFrame:
@@ -137,6 +155,9 @@ POSITIONS, BAND = 96, 4
 #: Shared positional bytes that a pair must reach: at a similarity of 0.8 the mean is 77, and one pair in a million has
 #: fewer than this many.
 LEAST_SHARED = 57
+#: How often members outside their list's largest part meet some of that part, and how many each time, before all members
+#: of different parts do. More or fewer change what the last step costs, not what is found.
+ROUNDS, DRAWN = 2, 8
 _ODD = np.random.default_rng(5).integers(1, 1 << 63, (2, POSITIONS), dtype=np.uint64) | np.uint64(1)
 _ODD.setflags(write=False)
 
@@ -206,15 +227,21 @@ def _shingle_sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("fid", "text").mapInArrow(run, "fid bigint, shingles array<bigint>")
 
 
-def across_parts(members: DataFrame, alike: Callable[[str, str], Column], block: int = 500) -> DataFrame:
-    """(x, y) for every two members of a posting list that lie in different parts and are alike, once per list.
-    members is (key, fid, part, ...); alike gets the prefixes of the two sides' columns. Only members outside the
-    list's largest part are dealt to tiles of about `block`, and every member meets each tile: no list is cut, a long
-    one is spread over tasks, and one that a single part fills but for a few members isn't repeated."""
+def mixed_lists(members: DataFrame) -> DataFrame:
+    """(key, big, own, all) of the posting lists whose members lie in several parts: the largest part, its members in the
+    list and all members. members is (key, fid, part, ...)."""
     sizes = members.groupBy("key", "part").agg(F.count("*").alias("own"))
-    lists = sizes.groupBy("key").agg(F.sum("own").alias("all"), F.max(F.struct("own", "part")).alias("big"), F.count("*").alias("parts")).where("parts > 1")
-    tiles = F.ceil((F.col("all") - F.col("big.own")) / block).cast("int").alias("tiles")
-    mixed = members.join(lists.select("key", F.col("big.part").alias("big"), tiles), "key")
+    lists = sizes.groupBy("key").agg(F.sum("own").alias("all"), F.max(F.struct("own", "part")).alias("big"), F.count("*").alias("parts"))
+    return lists.where("parts > 1").select("key", F.col("big.part").alias("big"), F.col("big.own").alias("own"), "all")
+
+
+def across_parts(members: DataFrame, alike: Callable[[str, str], Column], block: int = 500) -> DataFrame:
+    """(x, y) for every two members of a posting list that lie in different parts and are alike, once per list. alike
+    gets the prefixes of the two sides' columns. Only members outside the list's largest part are dealt to tiles of
+    about `block`, and every member meets each tile: no list is cut, a long one is spread over tasks, and one that a
+    single part fills but for a few members isn't repeated."""
+    tiles = F.ceil((F.col("all") - F.col("own")) / block).cast("int").alias("tiles")
+    mixed = members.join(mixed_lists(members).select("key", "big", tiles), "key")
     cols = [c for c in members.columns if c != "key"]
     x = mixed.where("part != big").select("key", F.pmod(F.xxhash64("fid"), "tiles").cast("int").alias("tile"), *[F.col(c).alias(f"x_{c}") for c in cols])
     y = mixed.select("key", "big", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), *[F.col(c).alias(f"y_{c}") for c in cols])
@@ -222,35 +249,66 @@ def across_parts(members: DataFrame, alike: Callable[[str, str], Column], block:
     return x.join(y, ["key", "tile"]).where(once & alike("x_", "y_")).select(F.col("x_fid").alias("x"), F.col("y_fid").alias("y"))
 
 
+def towards_largest(members: DataFrame, some: int, seed: int) -> DataFrame:
+    """(a, b) for each member b outside its list's largest part and about `some` members a of that part, other ones for
+    another seed."""
+    mixed = members.join(mixed_lists(members).select("key", "big", "own"), "key")
+    drawn = F.pmod(F.xxhash64("fid", F.lit(seed)), F.ceil(F.col("own") / some)) == 0
+    a = mixed.where((F.col("part") == F.col("big")) & drawn).select("key", F.col("fid").alias("a"))
+    return mixed.where("part != big").select("key", F.col("fid").alias("b")).join(a, "key").select("a", "b").distinct()
+
+
+def merged(label: DataFrame, links: DataFrame) -> DataFrame:
+    """(fid, part) with each part joined to the largest larger one that a link leads to."""
+    sizes = label.groupBy("part").agg(F.count("*").alias("size"))
+    sized = label.join(sizes, "part")
+    ends = links
+    for end in "ab":
+        ends = ends.join(sized.select(F.col("fid").alias(end), F.struct("size", "part").alias(f"{end}_part")), end)
+    pairs = ends.select(F.least("a_part", "b_part").alias("low"), F.greatest("a_part", "b_part").alias("high")).where("low < high")
+    moves = pairs.groupBy(F.col("low.part").alias("part")).agg(F.max("high").alias("to"))
+    return label.join(moves, "part", "left").select("fid", F.coalesce("to.part", "part").alias("part"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, tables: Tables | None = None) -> DataFrame:
     """(row, group) for every row of docs: rows of one group are linked by equal words or by a Jaccard similarity of
     the distinct `shingle`-word shingles of at least `similarity`; group is the smallest row. docs needs `row` (of any
     orderable type; rows of equal id and text may share it) and `text`.
 
-    First each member of a posting list meets the list's first one; what the best of these pairs links makes parts. Then
-    all members in different parts meet. So a large group of copies, most of whose lists hold one part, costs a number
-    of pairs that grows with its size, and no list of any length is cut. Every pair of either round whose shared
-    positional bytes reach the minimum is verified on all shingles, so that nothing is linked that isn't similar."""
+    First each member of a posting list meets the list's leader, then some members of the list's largest part; what the
+    best of these pairs links makes parts. At last all members in different parts meet. So a large group of copies, most
+    of whose lists hold one part by then, costs a number of pairs that grows with its size, and no list of any length is
+    cut. Every pair whose shared positional bytes reach the minimum is verified on all shingles, so that nothing is
+    linked that isn't similar."""
     keep = tables or Tables(docs.sparkSession)
     sketch = keep.written(sketches(docs, shingle))
     # one row per different text; its number is fixed once it is written
     texts = sketch.groupBy("text_key").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("positions").alias("positions"), F.first("keys").alias("keys"))
     texts = keep.written(texts.select(F.monotonically_increasing_id().alias("fid"), "*"))
     postings = texts.where("n > 0").select(F.explode("keys").alias("key"), "fid", "n")
-    lists = postings.groupBy("key").agg(F.min("fid").alias("first"), F.count("*").alias("size")).where("size > 1")
-    members = keep.written(postings.join(lists.select("key", "first"), "key"))
+    lists = postings.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    members = keep.written(postings.join(lists, "key"))
+    # lists are led by the member that has the most company over all its lists: of a text and its edited copies that is
+    # the text, to which all copies are more alike than to each other
+    company = members.groupBy("fid").agg(F.sum("size").alias("company"))
+    members = keep.written(members.join(company, "fid").select("key", "fid", "n", (-F.col("company")).alias("rank")))
     positions = texts.select("fid", "n", "positions")
 
     def alike(x: str, y: str) -> Column:
         """What two sizes allow."""
         return F.least(x + "n", y + "n") >= similarity * F.greatest(x + "n", y + "n")
 
-    def tallied(pairs: DataFrame) -> DataFrame:
+    def tallied_pairs(pairs: DataFrame) -> DataFrame:
         """Those of the distinct (a, b) that share enough positional bytes, with their number."""
         x, y = (positions.select(F.col("fid").alias(s), F.col("n").alias(f"{s}_n"), F.col("positions").alias(f"{s}_p")) for s in "ab")
         shared = pairs.join(x, "a").join(y, "b").where(alike("a_", "b_")).select("a", "b", shared_positions(F.col("a_p"), F.col("b_p")).alias("shared"))
         return shared.where(F.col("shared") >= LEAST_SHARED)
 
+    def best_of(pairs: DataFrame) -> DataFrame:
+        """For each b the pair that shares most."""
+        best = tallied_pairs(pairs).groupBy("b").agg(F.max(F.struct("shared", (-F.col("a")).alias("a"))).alias("best"))
+        return keep.written(best.select((-F.col("best.a")).alias("a"), "b"))
+
     # the shingles of all texts that stand in any list, in one pass over the texts
     listed = members.select("fid").distinct().join(texts.select("fid", "row"), "fid")
     sets = keep.written(_shingle_sets(docs.select("row", "text").join(listed, "row").dropDuplicates(["fid"]), shingle))
@@ -261,14 +319,24 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
         ok = common >= similarity * (F.size("a_s") + F.size("b_s") - common)
         return keep.written(pairs.join(y, "b").join(x, "a").where(ok).select("a", "b"))
 
-    led = members.where("first < fid").select(F.col("first").alias("a"), F.col("fid").alias("b")).distinct()
-    best = tallied(led).groupBy("b").agg(F.max(F.struct("shared", (-F.col("a")).alias("a"))).alias("best"))
-    pairs = keep.written(best.select((-F.col("best.a")).alias("a"), "b"))
-    ok = similar(pairs)
-    first = connected_components(ok)
-    parts = keep.written(members.join(first, members["fid"] == first["node"], "left").select("key", "fid", "n", F.coalesce("component", "fid").alias("part")))
-    met = across_parts(parts, alike).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    across = keep.written(tallied(met.join(pairs, ["a", "b"], "left_anti")).select("a", "b"))
+    first = members.groupBy("key").agg(F.min(F.struct("rank", "fid"))["fid"].alias("a"))
+    led = members.join(first, "key").where("a != fid").select("a", F.col("fid").alias("b")).distinct()
+    tried = best_of(led)
+    ok = similar(tried)
+    # every member has one link at most, to one that ranks before it, so its part is what two steps up lead to; a chain
+    # of more steps is several parts, which meet like any others
+    part = ok.select(F.col("b").alias("fid"), F.col("a").alias("part"))
+    above = part.select(F.col("fid").alias("part"), F.col("part").alias("higher"))
+    part = part.join(above, "part", "left").select("fid", F.coalesce("higher", "part").alias("part"))
+    label = keep.written(listed.select("fid").join(part, "fid", "left").select("fid", F.coalesce("part", "fid").alias("part")))
+    members = members.select("key", "fid", "n")
+    for seed in range(ROUNDS):
+        met = best_of(towards_largest(members.join(label, "fid"), DRAWN, seed))
+        more = similar(met)
+        label, ok, tried = keep.written(merged(label, more)), ok.union(more), tried.union(met)
+    met = across_parts(members.join(label, "fid"), alike).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    tried = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    across = keep.written(tallied_pairs(met.join(tried, ["a", "b"], "left_anti")).select("a", "b"))
     label = connected_components(ok.union(similar(across)))
     groups = texts.join(label, texts["fid"] == label["node"], "left").select("text_key", "row", F.coalesce("component", "fid").alias("component"))
     least = groups.groupBy("component").agg(F.min("row").alias("group"))

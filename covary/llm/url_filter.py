@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from covary.llm.shared import ascii_lower, slices, table
+from covary.llm.shared import ascii_lower, table
 
 RULES = (
     ("allow", "org", "/"),
@@ -118,7 +118,7 @@ def judge_urls(pages: DataFrame, rules=RULES, block_globs=BLOCK_GLOBS, key: str
     said = np.array([v for v, _, _ in ranked] + ["allow", "block"], object)
 
     def run(batches):
-        for b in slices(batches):
+        for b in batches:
             texts = [f".{h}{p}".encode("utf-8", "surrogatepass") for h, p in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
             fit = automaton.fits(texts)
             first = np.where(fit[:, :n].any(axis=1), fit[:, :n].argmax(axis=1) if n else 0, n)

@@ -56,7 +56,9 @@ def test_fingerprints_match_brute_force(spark):
     assert [(x.doc_id, x.fingerprint & (1 << 64) - 1) for x in got] == [(d, brute_fingerprint(t)) for d, t in rows]
 
 
-def test_components_of_close_fingerprints(spark):
+@pytest.mark.parametrize("listed", [0, 4, 64])
+def test_components_of_close_fingerprints(spark, monkeypatch, listed):
+    monkeypatch.setattr(simhash, "LISTED", listed)  # lists searched by neighbouring values, both ways, pair by pair
     r = random.Random(5)
     centres = [r.getrandbits(64) for _ in range(6)]
     fps = [(i, r.getrandbits(64)) for i in range(40)]
@@ -76,6 +78,16 @@ def test_components_of_close_fingerprints(spark):
     assert [first[comp.get(v, v)] for _, v in signed] == brute_components(fps)
 
 
+def test_the_tally_rejects_pairs_of_a_list(spark):
+    a = 0x0123456789ABCDEF
+    fps = {a: None, a ^ 1: 7, a ^ 0x0101: 6, a ^ 0x010101: 5, a ^ 0xFFFFFFFF: 4, a ^ (0xFFFFFFFF << 16): None}
+    df = frame(spark, [(x,) for x in fps], "fingerprint bigint")
+    got = {(x.a, x.b): x.shared for x in simhash.tallied(simhash.postings(df)).collect()}
+    assert all(4 <= n < 8 for n in got.values()) and {x: got[min(x, a), max(x, a)] for x, n in fps.items() if n} == {x: n for x, n in fps.items() if n}
+    links = {frozenset(map(int, x)) for x in simhash.close_fingerprints(df).collect()}
+    assert links == {frozenset(p) for p in ((a, a ^ 1), (a, a ^ 0x0101), (a ^ 1, a ^ 0x0101), (a ^ 1, a ^ 0x010101), (a ^ 0x0101, a ^ 0x010101))}
+
+
 def test_simhash_on_awkward_rows(spark):
     rows = [(d, t, "s", i) for i, (d, t) in enumerate(awkward())]
     df = frame(spark, rows, DOC + ", component_id string, fingerprint int")  # clashing names

@@ -241,6 +241,14 @@ def test_audio_resynchronises_and_sees_damage():
     assert mpeg_audio.parse(bytes(broken))["bad_crc"] == 1
     cut = mpeg_audio.parse(media[:at] + b"\xff\xfbjunk\xff" + media[at:])
     assert cut["frames"] == whole["frames"] and cut["skipped"] == 7 and cut["payload"] == whole["payload"]
+    r = random.Random(16)
+    for k in range(0, len(media), 7):  # any prefix, and any changed byte, is read without a fault and never as another payload
+        assert mpeg_audio.parse(media[:k])["payload"] is None
+        changed = media[:k] + bytes([media[k] ^ r.randrange(1, 256)]) + media[k + 1 :]
+        assert mpeg_audio.parse(changed)["payload"] in (None, whole["payload"])
+    assert mpeg_audio.parse(b"ID3\3\0\0\0\0\7\x68TXXX\0")["frames"] == 0
+    for _ in range(300):
+        mpeg_audio.parse(bytes(r.choices([0, 0xFF, 0xFA, 0x44, 0x49, 0x33, r.randrange(256)], k=r.randrange(400))))
     assert mpeg_audio.parse(b"")["payload"] is None and mpeg_audio.parse(media[: at + 5])["payload"] is None
 
 
@@ -310,6 +318,15 @@ def test_pages_of_all_kinds(spark, tmp_path):
     assert html_text.query(spark, f"{tmp_path}/none").count() == 0
 
 
+def test_unclosed_and_nested_elements_without_text():
+    texts = lambda page: [b.text for b in html_text.blocks_of(page)]
+    assert texts("<article><p>One.</p><canvas><p>drawn</p></article><p>Two.</p>") == ["One.", "Two."]
+    assert texts("<div><svg><svg>a</svg>b</svg>c</div>") == ["c"]
+    assert texts("<div><object><div>x</div></object>y</div><p>z") == ["y", "z"]
+    assert texts("<div><math/>one</div><script>if (a</div>b) {}</script>two<style>") == ["one", "two"]
+    assert texts("<section><template><p>t</section>rest") == ["rest"]
+
+
 def test_samples_take_one_row_for_each_key(spark, monkeypatch):
     copies = [(1, "bad words here", "en")] * 50 + [(2, "good words here", "en"), (3, "bons mots ici", "fr")]
     docs = spark.createDataFrame(copies, "doc_id bigint, text string, lang string")
