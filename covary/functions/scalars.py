@@ -8,10 +8,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Domain tags of the hashes and the mode of a gitlink.
-CANDIDATE_TAG = "tacita-candidate-v1"
-SHUFFLE_TAG = "tacita-shuffle-v1"
-REVIEW_TAG = "tacita-product-review-v1"
+# Domain tags that keep the hashes of different uses apart; whoever must match another producer's ids passes its tag.
+CANDIDATE_TAG = "candidate-v1"
+SHUFFLE_TAG = "shuffle-v1"
+REVIEW_TAG = "review-v1"
+# Fixed value: the mode of a gitlink.
 GITLINK = "160000"
 
 WEIGHTS = ("unit", "inverse-component", "pair-normalized")
@@ -78,17 +79,17 @@ def joined_hash(*fields: Column | str) -> Column:
     return F.sha2(F.concat_ws("\0", *cols).cast("binary"), 256)
 
 
-def candidate_id(antecedent: Column, consequent: Column) -> Column:
-    return joined_hash(CANDIDATE_TAG, "inferred", base64url(antecedent), base64url(consequent))
+def candidate_id(antecedent: Column, consequent: Column, tag: str = CANDIDATE_TAG) -> Column:
+    return joined_hash(tag, "inferred", base64url(antecedent), base64url(consequent))
 
 
-def profile_candidate_id(tier: Column, rule: Column) -> Column:
-    return joined_hash(CANDIDATE_TAG, "profile", tier, rule)
+def profile_candidate_id(tier: Column, rule: Column, tag: str = CANDIDATE_TAG) -> Column:
+    return joined_hash(tag, "profile", tier, rule)
 
 
-def review_hash(repository: Column, kind: str, *fields: Column | str) -> Column:
+def review_hash(repository: Column, kind: str, *fields: Column | str, tag: str = REVIEW_TAG) -> Column:
     """The order of review units: kind is inferred-candidate, deviation or profile-candidate."""
-    return joined_hash(REVIEW_TAG, repository, kind, *fields)
+    return joined_hash(tag, repository, kind, *fields)
 
 
 def six(value: Column) -> Column:
@@ -103,11 +104,11 @@ def metric(value: Column, reason: Column) -> Column:
 
 
 def escape_control(text: Column) -> Column:
-    """Control and terminal characters as \\xNN, for display."""
+    """Control and terminal characters as \\xNN and the backslash doubled, so that no two texts show alike."""
     return F.array_join(
         F.transform(
             F.split(text, ""),
-            lambda c: F.when(c.rlike("[\\x00-\\x1F\\x7F-\\x9F]"), F.concat(F.lit("\\x"), F.lower(F.lpad(F.hex(F.ascii(c)), 2, "0")))).otherwise(c),
+            lambda c: F.when(c.rlike("[\\x00-\\x1F\\x7F-\\x9F]"), F.concat(F.lit("\\x"), F.lower(F.lpad(F.hex(F.ascii(c)), 2, "0")))).when(c == "\\", "\\\\").otherwise(c),
         ),
         "",
     )

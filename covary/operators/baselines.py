@@ -33,6 +33,14 @@ def no_history_control(tx: DataFrame, grid: DataFrame) -> DataFrame:
     return display(tx.limit(0), grid)
 
 
+def no_history_outcomes(tx: DataFrame, grid: DataFrame) -> DataFrame:
+    """(repo_id, transactions, candidates, outcome): what each repository displays when trained on none of its own."""
+    shown = no_history_control(tx, grid).groupBy("repo_id").agg(F.count("*").alias("candidates"))
+    n = F.coalesce("candidates", F.lit(0)).cast("bigint")
+    have = tx.groupBy("repo_id").agg(F.count("*").alias("transactions")).join(shown, "repo_id", "left")
+    return have.select("repo_id", "transactions", n.alias("candidates"), F.when(n == 0, "pass").otherwise("fail").alias("outcome"))
+
+
 def gain_over_baselines(model: DataFrame, baselines: dict[str, DataFrame], grid: DataFrame) -> DataFrame:
     """(repo_id, config_id, baseline, micro_gain, macro_gain, reason): model and baselines are micro_macro frames."""
     out = None

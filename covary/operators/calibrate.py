@@ -24,7 +24,7 @@ def calibrate(events: DataFrame, tx: DataFrame, grid: DataFrame) -> tuple[DataFr
     sliced = partitions.with_slices(tx, events)
     comp, pair = stored(mining.component_stats(sliced)), stored(mining.pair_stats(sliced))
     total = mining.totals(sliced)
-    measured = stored(mining.pair_metrics(*map(mining.cumulative_training, (pair, comp, total))))
+    measured = stored(mining.pair_metrics(pair, comp, total))
     shown = stored(mining.displayed(measured, grid))
     metrics = stored(evl.repository_metrics(shown, sliced, comp, pair, grid))
     shuffled = partitions.with_slices(tx, partitions.shuffled_order(events))
@@ -37,7 +37,8 @@ def calibrate(events: DataFrame, tx: DataFrame, grid: DataFrame) -> tuple[DataFr
 
 
 def engineering_gates(metrics: DataFrame, gains: DataFrame, displayed: DataFrame, floor: DataFrame, role: str = "development") -> DataFrame:
-    """(repo_id, config_id, gate, outcome). floor is inference_floor()'s frame."""
+    """(repo_id, config_id, gate, outcome). floor is inference_floor()'s frame. Gains are compared at nine places, so that
+    a difference of two equal means isn't below zero by its last bit."""
 
     def needs(value, ok):
         return F.when(value.isNull(), "inconclusive").when(ok, "pass").otherwise("fail")
@@ -46,7 +47,7 @@ def engineering_gates(metrics: DataFrame, gains: DataFrame, displayed: DataFrame
     per = metrics.select(*RC).join(floor.where(F.col("partition") < partitions.FULL), "repo_id").join(shown, [*RC, "partition"], "left")
     count = F.when(F.col("abstains"), 1).when(F.coalesce("c", F.lit(0)).between(1, mining.DISPLAY), 0).otherwise(2)
     emitted = per.groupBy(*RC).agg(F.max(count).alias("s")).select(*RC, F.element_at(F.array(F.lit("pass"), F.lit("inconclusive"), F.lit("fail")), F.col("s") + 1).alias("candidate_count"))
-    least = gains.select(*RC, "baseline", F.least("micro_gain", "macro_gain").alias("g"), "reason")
+    least = gains.select(*RC, "baseline", F.round(F.least("micro_gain", "macro_gain"), 9).alias("g"), "reason")
     g = least.groupBy(*RC).agg(
         *[F.max(F.when(F.col("baseline") == b, F.col("g"))).alias(b) for b in ("frequent", "unweighted", "shuffled")],
         F.max(F.when(F.col("baseline") == "unweighted", F.col("reason"))).alias("same"),

@@ -38,9 +38,12 @@ def holdout_counts(displayed: DataFrame, components: DataFrame, pairs: DataFrame
 
 
 def micro_macro(counts: DataFrame) -> DataFrame:
-    """(repo_id, config_id, micro, macro, deviation): pooled and averaged adherence; null without opportunities."""
+    """(repo_id, config_id, micro, macro, deviation): pooled and averaged adherence; null without opportunities. The mean
+    is folded over the sorted adherences, at most 40 a group, so that it doesn't depend on the order of a shuffle."""
     micro = F.try_divide(F.sum("adherences"), F.sum("opportunities"))
-    return counts.groupBy(*RC).agg(micro.alias("micro"), F.avg("adherence").alias("macro"), (1 - micro).alias("deviation"))
+    g = counts.groupBy(*RC).agg(micro.alias("micro"), F.sort_array(F.collect_list("adherence")).alias("each"))
+    macro = F.try_divide(F.aggregate("each", F.lit(0.0), lambda acc, x: acc + x), F.size("each"))
+    return g.select(*RC, "micro", macro.alias("macro"), (1 - F.col("micro")).alias("deviation"))
 
 
 def coverage(displayed: DataFrame, tx: DataFrame, grid: DataFrame) -> DataFrame:

@@ -51,35 +51,50 @@ def cumulative_training(stats: DataFrame) -> DataFrame:
     return stats.select(*keys, "n", at).groupBy("partition", *keys).agg(F.sum("n").alias("n"))
 
 
-def folded(hist: Column, weight: Column) -> Column:
-    """Sum of n * w(k) over k ascending."""
-    return F.aggregate(hist, F.lit(0.0), lambda acc, x: acc + x["n"].cast("double") * size_weight(weight, x["k"]))
+def snapshots(stats: DataFrame, weights=WEIGHTS) -> DataFrame:
+    """Slice counts by k -> a row per key with `raw`, the count in each snapshot, and `value`, per size weight the
+    weighted sum in each snapshot. Both follow from one exchange on the key: the slices are summed up within it, and a
+    key's few (k, counts) are folded over ascending k within its row."""
+    keys = [c for c in stats.columns if c not in ("slice", "k", "n")]
+    upto = [F.sum(F.when(F.col("slice") <= i + 1, F.col("n")).otherwise(0)).alias(f"n{i}") for i in range(len(SNAPSHOTS))]
+    by_k = stats.repartition(*keys).groupBy(*keys, "k").agg(*upto)
+    each = F.struct("k", F.array(*[f"n{i}" for i in range(len(SNAPSHOTS))]).alias("n"))
+    hist = by_k.groupBy(*keys).agg(F.sort_array(F.collect_list(each)).alias("hist"))  # an entry per k
 
+    def summed(i: int, weight: str) -> Column:
+        return F.aggregate("hist", F.lit(0.0), lambda acc, x: acc + x["n"][i].cast("double") * size_weight(F.lit(weight), x["k"]))
 
-def weighted(stats: DataFrame, raw: str, value: str, weights=WEIGHTS) -> DataFrame:
-    """Counts by k -> per size weight the raw count and the weighted sum."""
-    keys = [c for c in stats.columns if c not in ("k", "n")]
-    hist = stats.groupBy(*keys).agg(F.sum("n").alias(raw), F.sort_array(F.collect_list(F.struct("k", "n"))).alias("hist"))
-    each = hist.select(*keys, raw, "hist", F.explode(F.array(*map(F.lit, weights))).alias("weight"))
-    return each.select(*keys, raw, "weight", folded(F.col("hist"), F.col("weight")).alias(value))
+    def counted(i: int) -> Column:
+        return F.aggregate("hist", F.lit(0).cast("bigint"), lambda acc, x: acc + x["n"][i])
+
+    at = range(len(SNAPSHOTS))
+    raw = F.array(*map(counted, at))
+    return hist.select(*keys, raw.alias("raw"), F.array(*[F.array(*[summed(i, w) for i in at]) for w in weights]).alias("value"))
 
 
 def pair_metrics(pairs: DataFrame, components: DataFrame, total: DataFrame, weights=WEIGHTS) -> DataFrame:
-    """Cumulative counts -> per pair and weight: raw and weighted measures. Undefined ones are null."""
-    p = weighted(pairs, "support", "weighted_support", weights)
-    c = weighted(components, "opportunity", "weighted_exposure", weights)
-    t = weighted(total, "transactions", "total_weight", weights)
-    key = ["repo_id", "partition", "weight"]
-    b = c.select(*key, F.col("a").alias("b"), F.col("weighted_exposure").alias("b_exposure"))
-    j = p.join(c, [*key, "a"]).join(b, [*key, "b"]).join(t, key)
+    """Slice counts -> per pair, snapshot and weight: raw and weighted measures. Undefined ones are null. Pairs are joined
+    to their components once, with all snapshots and weights in the row; only then a row per snapshot and weight is
+    made, of those that the pair occurs in."""
+    p, c, t = (snapshots(x, weights).withColumnsRenamed({"raw": f"{n}_raw", "value": f"{n}_value"}) for n, x in (("p", pairs), ("c", components), ("t", total)))
+    b = c.select("repo_id", F.col("a").alias("b"), F.col("c_value").alias("b_value"))
+    j = p.join(c, ["repo_id", "a"]).join(b, ["repo_id", "b"]).join(t, "repo_id")
+
+    def one(i: int, k: int) -> Column:
+        names = {"opportunity": F.col("c_raw")[i], "support": F.col("p_raw")[i], "transactions": F.col("t_raw")[i]}
+        names |= {n: F.col(f"{x}_value")[k][i] for n, x in (("weighted_exposure", "c"), ("weighted_support", "p"), ("b_exposure", "b"), ("total_weight", "t"))}
+        return F.struct(F.lit(SNAPSHOTS[i]).alias("partition"), F.lit(weights[k]).alias("weight"), *[v.alias(n) for n, v in names.items()])
+
+    every = F.array(*[one(i, k) for i in range(len(SNAPSHOTS)) for k in range(len(weights))])
+    j = j.select("repo_id", "a", "b", F.explode(F.filter(every, lambda x: x["support"] > 0)).alias("x")).select("repo_id", "a", "b", "x.*")
     j = j.withColumn("confidence", F.try_divide("weighted_support", "weighted_exposure")).withColumn("prevalence", F.try_divide("b_exposure", "total_weight"))
     j = j.withColumn("lift", F.try_divide("confidence", "prevalence"))
-    return j.select(*key, "a", "b", "opportunity", "support", "weighted_exposure", "weighted_support", "confidence", "prevalence", "lift", "transactions")
+    return j.select("repo_id", "partition", "weight", "a", "b", "opportunity", "support", "weighted_exposure", "weighted_support", "confidence", "prevalence", "lift", "transactions")
 
 
 def metrics_of(tx: DataFrame, weights=WEIGHTS) -> DataFrame:
     """pair_metrics over all snapshots of sliced transactions."""
-    return pair_metrics(*(cumulative_training(f(tx)) for f in (pair_stats, component_stats, totals)), weights)
+    return pair_metrics(*(f(tx) for f in (pair_stats, component_stats, totals)), weights)
 
 
 def inference_floor(total: DataFrame, floor: int = FLOOR) -> DataFrame:
@@ -148,11 +163,12 @@ def preregistered_check(metrics: DataFrame, displayed: DataFrame, evidence: Data
 
 
 #: Limits of one repository's run; more than that is a failure, never a cut.
-LIMITS = {"events": 200_000, "unique_paths": 2_000_000, "unique_components": 50_000, "pair_observations": 20_000_000, "unique_pairs": 2_000_000, "report_rows": 100_000}
+LIMITS = {"events": 200_000, "paths_per_event": 2000, "unique_paths": 2_000_000, "unique_components": 50_000, "pair_observations": 20_000_000, "unique_pairs": 2_000_000, "report_rows": 100_000}
 
 
-def work_counts(events: DataFrame, paths: DataFrame, tx: DataFrame) -> DataFrame:
-    """(repo_id, id, observed): what one repository's run amounts to. paths has distinct (event, path) rows."""
+def work_counts(events: DataFrame, paths: DataFrame, tx: DataFrame, report: DataFrame) -> DataFrame:
+    """(repo_id, id, observed): what one repository's run amounts to. paths has distinct (event, path) rows; report is
+    what would be written for it."""
     said = lambda df: df.select("repo_id", F.expr(f"stack({len(df.columns) - 1}, " + ", ".join(f"'{c}', CAST({c} AS BIGINT)" for c in df.columns if c != "repo_id") + ") AS (id, observed)"))
     n_events = events.groupBy("repo_id").agg(F.count("*").alias("events"))
     n_paths = paths.groupBy("repo_id", "path").count().groupBy("repo_id").agg(F.count("*").alias("unique_paths"))
@@ -161,8 +177,9 @@ def work_counts(events: DataFrame, paths: DataFrame, tx: DataFrame) -> DataFrame
     pairs = tx.groupBy("repo_id").agg(F.sum(F.col("k").cast("bigint") * (F.col("k") - 1)).alias("pair_observations"))
     distinct = tx.select("repo_id", "components", F.explode("components").alias("a")).select("repo_id", "a", F.explode("components").alias("b")).where("a != b").distinct()
     distinct = distinct.groupBy("repo_id").agg(F.count("*").alias("unique_pairs"))
+    rows = report.groupBy("repo_id").agg(F.count("*").alias("report_rows"))
     out = None
-    for df in (n_events, n_paths, widest, parts, pairs, distinct):
+    for df in (n_events, n_paths, widest, parts, pairs, distinct, rows):
         out = said(df) if out is None else out.union(said(df))
     return out
 
@@ -174,3 +191,8 @@ def budget_check(counts: DataFrame, limits: dict[str, int] = LIMITS) -> DataFram
     return counts.withColumn("limit", limit).where("limit IS NOT NULL").select(
         "*", F.when(over, "fail").otherwise("pass").alias("outcome"), F.when(over, F.concat(F.lit("budget_"), "id")).alias("failure")
     )
+
+
+def within_budget(df: DataFrame, checked: DataFrame) -> DataFrame:
+    """Rows of df whose repositories exceeded no limit: one over a limit fails as a whole, nothing of it is cut."""
+    return df.join(checked.where("outcome = 'fail'").select("repo_id").distinct(), "repo_id", "left_anti")

@@ -8,10 +8,11 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from covary.operators import mining, normalize, partitions
+from covary.operators import calibrate, mining, normalize, partitions
 from covary.sources.store import stored
 
-REPOS = 5
+#: Parts and suppliers of a repository's tree and modules: the repositories grow with the tables.
+PARTS, MODULES = 140, 7
 
 
 class History:
@@ -110,6 +111,11 @@ class History:
     def displayed(self) -> DataFrame:
         return stored(mining.display(self.tx, self.grid))
 
+    @cached_property
+    def calibrated(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Metrics, gains and displayed candidates of the whole grid."""
+        return calibrate.calibrate(self.events, self.transactions, self.full_grid)
+
     @cached_property
     def tips(self) -> DataFrame:
         return self.events.groupBy("repo_id").agg(F.max_by("event_id", "seq").alias("repository"))
@@ -125,33 +131,32 @@ class History:
         deep = F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit("/"), F.get(word, F.lit(1)))).otherwise("")
         path = F.concat(F.lit("mod"), F.col("p_partkey") % 7, F.lit("/"), middle, deep, F.lit("/p"), F.col("p_partkey"), tail)
         mode = F.when(F.col("p_partkey") % 50 == 7, "160000").otherwise("100644")
-        return p.select((F.col("p_partkey") % REPOS).cast("string").alias("repo_id"), path.alias("path"), mode.alias("mode"))
+        return p.select(F.expr(f"CAST(p_partkey DIV {PARTS} AS STRING)").alias("repo_id"), path.alias("path"), mode.alias("mode"))
 
     @cached_property
     def modules(self) -> DataFrame:
-        s = self.table("supplier").where("s_suppkey < 35")
-        i = F.expr("CAST(s_suppkey DIV 5 AS INT)")
+        s = self.table("supplier")
+        repo, i = F.expr(f"CAST(s_suppkey DIV {MODULES} AS INT)"), F.col("s_suppkey") % MODULES
         suffix = F.when(i % 3 == 1, "/v2").when(i % 3 == 2, "/v1").otherwise("")
         req = F.when(F.col("s_acctbal") > 5000, "github.com/onsi/ginkgo/v2").otherwise("github.com/onsi/ginkgox")
         rep = F.when(F.col("s_nationkey") % 4 == 0, "").otherwise("v1.0.0")
         return s.select(
-            (F.col("s_suppkey") % REPOS).cast("string").alias("repo_id"), F.when(i == 0, ".").otherwise(F.concat(F.lit("mod"), i)).alias("root"),
-            F.concat(F.lit("example.com/r"), F.col("s_suppkey") % REPOS, F.lit("/m"), i, suffix).alias("module_path"), F.concat(F.lit("1."), 22 + F.col("s_nationkey") % 8).alias("go_version"),
+            repo.cast("string").alias("repo_id"), F.when(i == 0, ".").otherwise(F.concat(F.lit("mod"), i)).alias("root"),
+            F.concat(F.lit("example.com/r"), repo, F.lit("/m"), i, suffix).alias("module_path"), F.concat(F.lit("1."), 22 + F.col("s_nationkey") % 8).alias("go_version"),
             F.array(F.struct(req.alias("path"), F.lit("v1.0.0").alias("version"))).alias("requires"),
             F.array(F.struct(F.lit("example.com/a").alias("old_path"), F.lit("example.com/b").alias("new_path"), rep.alias("new_version"))).alias("replaces"),
         )
 
     @cached_property
     def review_labels(self) -> DataFrame:
-        """The first eight candidates and ten deviations of each repository, labelled."""
-        rows = self.table("labels").select(
-            (F.col("doc_id") % REPOS).cast("string").alias("repo_id"), F.when(F.col("doc_id") % 2 == 0, "candidate").otherwise("deviation").alias("unit_kind"), F.col("doc_id").alias("unit_id"), "quality", "toxic"
-        )
+        """All labels, in order: eight candidates or ten deviations to a repository."""
+        unit = F.when(F.col("doc_id") % 2 == 0, "candidate").otherwise("deviation")
+        rows = self.table("labels").select(F.expr("doc_id DIV 1000").alias("part"), unit.alias("unit_kind"), F.col("doc_id").alias("unit_id"), "quality", "toxic")
         good = F.when(F.col("unit_kind") == "candidate", "decision").otherwise("review-worthy")
         label = F.when(F.col("toxic") == 1, "accident").when(F.col("quality") == 1, good).otherwise("unclear")
-        nth = F.row_number().over(Window.partitionBy("repo_id", "unit_kind").orderBy("unit_id"))
-        most = F.when(F.col("unit_kind") == "candidate", 8).otherwise(10)
-        return rows.withColumn("label", label).withColumn("nth", nth).where(F.col("nth") <= most).select("repo_id", "unit_kind", "unit_id", "label")
+        nth = F.row_number().over(Window.partitionBy("part", "unit_kind").orderBy("unit_id"))
+        of = F.floor((nth - 1) / F.when(F.col("unit_kind") == "candidate", 8).otherwise(10))
+        return rows.select((F.col("part") * 100 + of).cast("string").alias("repo_id"), "unit_kind", "unit_id", label.alias("label"))
 
     @cached_property
     def acceptances(self) -> DataFrame:

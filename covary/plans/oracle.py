@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from covary.functions.scalars import CANDIDATE_TAG, REVIEW_TAG, SHUFFLE_TAG
+from covary.operators.calibrate import GAIN
 from covary.operators.mining import CONFIDENCES, DEFAULT, LIFTS, OPPORTUNITIES
 from covary.operators.profiles import CORE, FRAMEWORKS, GENERIC, IDIOMATIC, LAYERS, RULES
 
@@ -188,7 +189,7 @@ def sub(sql: str) -> str:
 
 
 MM = "SELECT repo_id, config_id, micro, macro FROM mm"
-R6 = lambda *cols: ", ".join(f"round({c}, 6) AS {c}" for c in cols)
+R6 = lambda *cols: ", ".join(f"round({c}, 6) + 0.0::DOUBLE AS {c}" for c in cols)
 RM = f"repo_id, config_id, {R6('micro', 'macro')}, adherence_reason, {R6('coverage')}, coverage_reason, CAST(least_covered AS BIGINT) AS least_covered, abstention, displayed, {R6('min_jaccard')}, n_jaccard, jaccard_reason"
 SHOWN = f"SELECT repo_id, config_id, partition, rank, a, b, candidate_id, opportunity, support, {R6('weighted_exposure', 'weighted_support', 'confidence', 'prevalence', 'lift')} FROM shown"
 
@@ -206,18 +207,18 @@ def gains(grid: str) -> str:
     return f"{h}, unw AS {sub(unw)}, shuf AS {sub(shuf)}, gains AS ({one('frequent', 'freq_mm')} UNION ALL {one('unweighted', 'unw')} UNION ALL {one('shuffled', 'shuf')})"
 
 
-def gates(grid: str) -> str:
+def gates(grid: str, role: str = "development") -> str:
     need = lambda v, ok: f"CASE WHEN {v} IS NULL THEN 'inconclusive' WHEN {ok} THEN 'pass' ELSE 'fail' END"
     return f"""{gains(grid)}, emitted AS (
   SELECT r.repo_id, r.config_id, max(CASE WHEN f.transactions < 100 THEN 1 WHEN coalesce(s.c, 0) BETWEEN 1 AND 10 THEN 0 ELSE 2 END) AS s
   FROM rm r JOIN (SELECT repo_id, partition, sum(n) AS transactions FROM tcum WHERE partition < 100 GROUP BY ALL) f ON r.repo_id = f.repo_id
   LEFT JOIN (SELECT repo_id, config_id, partition, count(*) AS c FROM shown GROUP BY ALL) s ON r.repo_id = s.repo_id AND r.config_id = s.config_id AND f.partition = s.partition GROUP BY ALL
 ), g AS (
-  SELECT repo_id, config_id, max(CASE WHEN baseline = 'frequent' THEN least(micro_gain, macro_gain) END) AS frequent, max(CASE WHEN baseline = 'unweighted' THEN least(micro_gain, macro_gain) END) AS unweighted,
-         max(CASE WHEN baseline = 'shuffled' THEN least(micro_gain, macro_gain) END) AS shuffled, max(CASE WHEN baseline = 'unweighted' THEN reason END) AS same FROM gains GROUP BY ALL
+  SELECT repo_id, config_id, max(CASE WHEN baseline = 'frequent' THEN round(least(micro_gain, macro_gain), 9) END) AS frequent, max(CASE WHEN baseline = 'unweighted' THEN round(least(micro_gain, macro_gain), 9) END) AS unweighted,
+         max(CASE WHEN baseline = 'shuffled' THEN round(least(micro_gain, macro_gain), 9) END) AS shuffled, max(CASE WHEN baseline = 'unweighted' THEN reason END) AS same FROM gains GROUP BY ALL
 ), wide AS (
   SELECT r.repo_id, r.config_id, CASE e.s WHEN 0 THEN 'pass' WHEN 2 THEN 'fail' ELSE 'inconclusive' END AS candidate_count, {need('coverage', 'coverage >= 0.05')} AS coverage,
-         {need('least_covered', 'least_covered >= 1')} AS window_coverage, {need('frequent', 'frequent >= 0.10')} AS gain_frequent,
+         {need('least_covered', 'least_covered >= 1')} AS window_coverage, {need('frequent', f'frequent >= {GAIN[role]}')} AS gain_frequent,
          CASE WHEN same = 'identical_baseline' THEN 'pass' ELSE {need('unweighted', 'unweighted >= 0')} END AS not_below_unweighted, {need('shuffled', 'shuffled >= 0.05')} AS gain_shuffled,
          CASE WHEN n_jaccard < 3 THEN 'inconclusive' ELSE {need('min_jaccard', 'min_jaccard >= 0.5')} END AS stability
   FROM rm r LEFT JOIN emitted e ON r.repo_id = e.repo_id AND r.config_id = e.config_id LEFT JOIN g ON r.repo_id = g.repo_id AND r.config_id = g.config_id
@@ -242,11 +243,12 @@ REVIEW = f"""{history()}, fin AS (
       SELECT *, CAST(row_number() OVER (PARTITION BY repo_id, a, b ORDER BY hash) > 1 AS INT) AS later FROM dv)) WHERE p <= 10
 )"""
 
-LABELS = """WITH l0 AS (
-  SELECT CAST(doc_id % 5 AS VARCHAR) AS repo_id, CASE WHEN doc_id % 2 = 0 THEN 'candidate' ELSE 'deviation' END AS unit_kind, doc_id AS unit_id, quality, toxic FROM labels
+LABELS = """WITH l00 AS (
+  SELECT doc_id // 1000 AS part, CASE WHEN doc_id % 2 = 0 THEN 'candidate' ELSE 'deviation' END AS unit_kind, doc_id AS unit_id, quality, toxic FROM labels
+), l0 AS (
+  SELECT *, CAST(part * 100 + (row_number() OVER (PARTITION BY part, unit_kind ORDER BY unit_id) - 1) // CASE unit_kind WHEN 'candidate' THEN 8 ELSE 10 END AS VARCHAR) AS repo_id FROM l00
 ), rl AS (
-  SELECT *, CASE WHEN toxic = 1 THEN 'accident' WHEN quality = 1 THEN CASE unit_kind WHEN 'candidate' THEN 'decision' ELSE 'review-worthy' END ELSE 'unclear' END AS label,
-         row_number() OVER (PARTITION BY repo_id, unit_kind ORDER BY unit_id) AS nth FROM l0 QUALIFY nth <= CASE unit_kind WHEN 'candidate' THEN 8 ELSE 10 END
+  SELECT *, CASE WHEN toxic = 1 THEN 'accident' WHEN quality = 1 THEN CASE unit_kind WHEN 'candidate' THEN 'decision' ELSE 'review-worthy' END ELSE 'unclear' END AS label FROM l0
 ), prec AS (
   SELECT repo_id, unit_kind, count(*) AS units, CAST(count_if(label = CASE unit_kind WHEN 'candidate' THEN 'decision' ELSE 'review-worthy' END) AS BIGINT) AS useful,
          CASE WHEN count(*) < CASE unit_kind WHEN 'candidate' THEN 8 ELSE 10 END THEN 'inconclusive' WHEN count_if(label = CASE unit_kind WHEN 'candidate' THEN 'decision' ELSE 'review-worthy' END) >= 6 THEN 'pass' ELSE 'fail' END AS outcome
@@ -261,14 +263,14 @@ LABELS = """WITH l0 AS (
 
 _in = lambda xs: ", ".join(f"'{x}'" for x in xs)
 PROFILES = f"""WITH tree AS (
-  SELECT CAST(p_partkey % 5 AS VARCHAR) AS repo_id, 'mod' || (p_partkey % 7) || '/' || CASE p_size % 10 WHEN 0 THEN 'service' WHEN 1 THEN 'utils' WHEN 2 THEN 'vendor' ELSE split_part(p_name, ' ', 1) END
+  SELECT CAST(p_partkey // 140 AS VARCHAR) AS repo_id, 'mod' || (p_partkey % 7) || '/' || CASE p_size % 10 WHEN 0 THEN 'service' WHEN 1 THEN 'utils' WHEN 2 THEN 'vendor' ELSE split_part(p_name, ' ', 1) END
          || CASE WHEN p_partkey % 4 = 0 THEN '/' || split_part(p_name, ' ', 2) ELSE '' END || '/p' || p_partkey || CASE p_size % 3 WHEN 0 THEN '_test.go' WHEN 1 THEN '.go' ELSE '.md' END AS path,
          CASE WHEN p_partkey % 50 = 7 THEN '160000' ELSE '100644' END AS mode FROM part
 ), modules AS (
-  SELECT CAST(s_suppkey % 5 AS VARCHAR) AS repo_id, CASE WHEN s_suppkey // 5 = 0 THEN '.' ELSE 'mod' || (s_suppkey // 5) END AS root,
-         'example.com/r' || (s_suppkey % 5) || '/m' || (s_suppkey // 5) || CASE (s_suppkey // 5) % 3 WHEN 1 THEN '/v2' WHEN 2 THEN '/v1' ELSE '' END AS module_path, '1.' || (22 + s_nationkey % 8) AS go_version,
+  SELECT CAST(s_suppkey // 7 AS VARCHAR) AS repo_id, CASE WHEN s_suppkey % 7 = 0 THEN '.' ELSE 'mod' || (s_suppkey % 7) END AS root,
+         'example.com/r' || (s_suppkey // 7) || '/m' || (s_suppkey % 7) || CASE (s_suppkey % 7) % 3 WHEN 1 THEN '/v2' WHEN 2 THEN '/v1' ELSE '' END AS module_path, '1.' || (22 + s_nationkey % 8) AS go_version,
          CASE WHEN s_acctbal > 5000 THEN 'github.com/onsi/ginkgo/v2' ELSE 'github.com/onsi/ginkgox' END AS req, CASE WHEN s_nationkey % 4 = 0 THEN '' ELSE 'v1.0.0' END AS rep
-  FROM supplier WHERE s_suppkey < 35
+  FROM supplier
 ), dirs AS (
   SELECT DISTINCT repo_id, regexp_replace(path, '/[^/]*$', '') AS dir FROM tree
   WHERE NOT list_contains(string_split(path, '/'), 'vendor') AND mode <> '160000' AND ends_with(path, '.go') AND NOT ends_with(path, '_test.go')

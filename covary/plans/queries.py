@@ -16,13 +16,24 @@ from covary.sources.store import scratch, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+_HISTORIES: dict[tuple, History] = {}
+
+
+def history_of(spark: SparkSession, sf_dir: str, **limits) -> History:
+    """The derived history of a folder; a session's queries share it, so that each derives only what is its own."""
+    key = (spark.sparkContext.applicationId, sf_dir, *sorted(limits.items()))
+    if key not in _HISTORIES:
+        for old in [k for k in _HISTORIES if k[0] != key[0]]:
+            del _HISTORIES[old]
+        _HISTORIES[key] = History(spark, sf_dir, **limits)
+    return _HISTORIES[key]
 
 
 def query(name: str, sql: str | None = None, **limits):
     """Registers f(history) under its name, with its SQL."""
 
     def register(f):
-        QUERIES[name] = lambda spark, sf_dir: f(History(spark, sf_dir, **limits))
+        QUERIES[name] = lambda spark, sf_dir: f(history_of(spark, sf_dir, **limits))
         if sql:
             ORACLE[name] = sql
         return f
@@ -31,7 +42,8 @@ def query(name: str, sql: str | None = None, **limits):
 
 
 def six(df: DataFrame, *cols: str) -> DataFrame:
-    return df.withColumns({c: F.round(c, 6) for c in cols})
+    """Six places, and no zero with a sign."""
+    return df.withColumns({c: F.round(c, 6) + F.lit(0.0) for c in cols})
 
 
 H = o.history()
@@ -52,7 +64,9 @@ def _listing(h: History) -> DataFrame:
 
 @query("SRC1_read_event_listing", f"{H} SELECT repo_id, CAST(seq AS INT) AS seq, substr(sha256(event_id), 1, 40) AS event_id, substr(sha256(first_parent), 1, 40) AS first_parent, n_parents, kind FROM events")
 def _(h):
-    return landing.parse_listing(_listing(h))[0]
+    path = scratch(h.spark)  # a folder per repository, its listing in parts
+    _listing(h).select("repo_id", F.col("before").cast("bigint").alias("before"), F.regexp_replace("content", "\n\\z", "").alias("value")).repartition("repo_id", "before").write.partitionBy("repo_id", "before").text(path)
+    return landing.read_event_listing(h.spark, f"{path}/*/*/part-*")[0]
 
 
 @query("SRC2_read_change_stream", f"{H} SELECT c.repo_id, substr(sha256(c.event_id), 1, 40) AS event_id, CAST(pos - 1 AS INT) AS pos, src_mode, dst_mode, src_oid, dst_oid, status, path FROM changes c")
@@ -61,14 +75,18 @@ def _(h):
     rows = h.changes.select("repo_id", "event_id", F.struct("pos", record.alias("r")).alias("x")).groupBy("repo_id", "event_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["r"]), "").alias("records"))
     own = h.events.where("kind != 'root'").join(rows, ["repo_id", "event_id"], "left")
     body = F.concat(HEX(F.col("event_id")), F.lit("\0"), F.coalesce("records", F.lit("")))
-    dumps = own.groupBy("repo_id", (F.col("seq") / 500).cast("int").alias("part")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", body.alias("b")))), lambda x: x["b"]), "").cast("binary").alias("content"))
-    return landing.decode_changes(dumps).where("pos >= 0").select("repo_id", "event_id", "pos", "src_mode", "dst_mode", "src_oid", "dst_oid", "status", F.col("path").cast("string").alias("path"))
+    dumps = own.groupBy("repo_id", (F.col("seq") / 500).cast("int").alias("part")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", body.alias("b")))), lambda x: x["b"]), "").alias("content"))
+    path = scratch(h.spark)  # the writer ends a row with the NUL that ends a dump
+    dumps.select("repo_id", "part", F.regexp_replace("content", "\0\\z", "").alias("value")).repartition("repo_id", "part").write.partitionBy("repo_id", "part").option("lineSep", "\0").text(path)
+    return landing.read_change_stream(h.spark, f"{path}/*/*/part-*").where("pos >= 0").select("repo_id", "event_id", "pos", "src_mode", "dst_mode", "src_oid", "dst_oid", "status", F.col("path").cast("string").alias("path"))
 
 
 @query("SRC3_read_modules", f"{o.PROFILES} SELECT repo_id, root, module_path, go_version, req AS require, rep AS replacement FROM modules")
 def _(h):
     text = h.modules.select("repo_id", F.to_json(F.struct("root", "module_path", "go_version", "requires", "replaces")).alias("value"))
-    return landing.parse_modules(text).where("failure IS NULL").select("repo_id", "root", "module_path", "go_version", F.get("requires", F.lit(0))["path"].alias("require"), F.get("replaces", F.lit(0))["new_version"].alias("replacement"))
+    path = scratch(h.spark)
+    text.repartition("repo_id").write.partitionBy("repo_id").text(path)
+    return landing.read_modules(h.spark, f"{path}/*/part-*").where("failure IS NULL").select("repo_id", "root", "module_path", "go_version", F.get("requires", F.lit(0))["path"].alias("require"), F.get("replaces", F.lit(0))["new_version"].alias("replacement"))
 
 
 @query("SRC4_read_tree", f"{o.PROFILES} SELECT repo_id, path, mode FROM tree")
@@ -104,11 +122,15 @@ def _(h):
 
 @query("VAL3_first_parent_chain", f"{H} SELECT repo_id, CAST(seq AS INT) AS seq, event_id, first_parent, n_parents, CAST(n + count_if(kind = 'merge-result') OVER (PARTITION BY repo_id) AS BIGINT) AS reachable FROM events")
 def _(h):
+    return _chain(h).select("repo_id", "seq", "event_id", "first_parent", "n_parents", "reachable")
+
+
+def _chain(h: History) -> DataFrame:
     side = F.when(F.col("n_parents") == 2, F.concat(F.lit("side"), "event_id"))
     own = h.events.select("repo_id", F.col("event_id").alias("id"), F.array_compact(F.array("first_parent", side)).alias("parents"))
     branch = h.events.where("n_parents = 2").select("repo_id", F.concat(F.lit("side"), "event_id").alias("id"), F.array("first_parent").alias("parents"))
     tips = h.tips.withColumnRenamed("repository", "tip")
-    return chain.first_parent_chain(own.union(branch), tips).select("repo_id", "seq", "event_id", "first_parent", "n_parents", "reachable")
+    return chain.first_parent_chain(own.union(branch), tips)
 
 
 @query("VAL4_check_chain", f"{H}, kept AS (SELECT *, CASE WHEN seq % 700 = 5 THEN 0 ELSE n_parents END AS np FROM events WHERE seq % 500 <> 7), v AS (SELECT repo_id, seq, event_id, CASE WHEN seq = 1 AND np <> 0 THEN 'not_root_start' WHEN seq > 1 AND np = 0 THEN 'second_root' WHEN seq > 1 AND first_parent IS DISTINCT FROM lag(event_id) OVER (PARTITION BY repo_id ORDER BY seq) THEN 'broken_link' END AS violation FROM kept) SELECT repo_id, CAST(seq AS INT) AS seq, event_id, violation FROM v WHERE violation IS NOT NULL")
@@ -142,9 +164,9 @@ def _(h):
     return chain.check_alignment(known, h.all_changes, h.events.where("seq % 400 != 3"))
 
 
-@query("VAL7_repository_counts", f"{H} SELECT repo_id, count(*) AS first_parent_events, count_if(kind = 'single-parent') AS single_parent_events, count_if(kind = 'merge-result') AS merge_result_events, arg_min(event_id, seq) AS root_id, arg_max(event_id, seq) AS tip_id FROM events GROUP BY ALL")
+@query("VAL7_repository_counts", f"{H} SELECT repo_id, count(*) AS first_parent_events, count_if(kind = 'single-parent') AS single_parent_events, count_if(kind = 'merge-result') AS merge_result_events, count(*) + count_if(kind = 'merge-result') AS reachable_commits, arg_min(event_id, seq) AS root_id, arg_max(event_id, seq) AS tip_id FROM events GROUP BY ALL")
 def _(h):
-    return chain.repository_counts(h.events)
+    return chain.repository_counts(h.events, _chain(h))
 
 
 # ---------------------------------------------------------------- normalization
@@ -266,22 +288,23 @@ def _(h):
 _WORK = f"""{H}, obs AS (
   SELECT repo_id, 'events' AS id, count(*) AS observed FROM events GROUP BY ALL UNION ALL SELECT repo_id, 'unique_paths', count(DISTINCT path) FROM dedup GROUP BY ALL
   UNION ALL SELECT repo_id, 'unique_components', count(DISTINCT a) FROM xc GROUP BY ALL UNION ALL SELECT repo_id, 'pair_observations', CAST(sum(k * (k - 1)) AS BIGINT) FROM tx GROUP BY ALL
-  UNION ALL SELECT repo_id, 'unique_pairs', count(DISTINCT (a, b)) FROM pstat GROUP BY ALL), lim(id, "limit") AS (VALUES ('events', 200000), ('unique_paths', 2000000), ('unique_components', 10), ('pair_observations', 20000000), ('unique_pairs', 2000000))
+  UNION ALL SELECT repo_id, 'unique_pairs', count(DISTINCT (a, b)) FROM pstat GROUP BY ALL
+  UNION ALL SELECT repo_id, 'paths_per_event', max(n) FROM (SELECT repo_id, count(*) AS n FROM dedup GROUP BY repo_id, event_id) GROUP BY ALL UNION ALL SELECT repo_id, 'report_rows', count(*) FROM shown GROUP BY ALL), lim(id, "limit") AS (VALUES ('events', 200000), ('unique_paths', 2000000), ('unique_components', 10), ('pair_observations', 20000000), ('unique_pairs', 2000000), ('paths_per_event', 2000), ('report_rows', 100000))
 SELECT repo_id, obs.id, observed, CAST("limit" AS BIGINT) AS "limit", CASE WHEN observed > "limit" THEN 'fail' ELSE 'pass' END AS outcome, CASE WHEN observed > "limit" THEN 'budget_' || obs.id END AS failure FROM obs JOIN lim ON obs.id = lim.id"""
 
 
 @query("AGG7_budget_check", _WORK)
 def _(h):
     paths = normalize.dedup_paths(h.changes).select("repo_id", "event_id", "path")
-    return mining.budget_check(mining.work_counts(h.events, paths, h.tx), mining.LIMITS | {"unique_components": 10})
+    return mining.budget_check(mining.work_counts(h.events, paths, h.tx, h.displayed), mining.LIMITS | {"unique_components": 10})
 
 
 # ---------------------------------------------------------------- candidates
 
 
-@query("CND1_config_grid", f"{o.history(grid='all')} SELECT * FROM grid")
+@query("CND1_config_grid", f"{o.history(grid='all')} SELECT repo_id, g.* FROM cases JOIN grid g USING (config_id)")
 def _(h):
-    return h.full_grid
+    return evaluate.cases(h.tx, h.full_grid).join(F.broadcast(h.full_grid), "config_id")
 
 
 @query("CND2_inference_floor", f"{o.history(repo='n_nationkey')} SELECT repo_id, partition, CAST(sum(n) AS BIGINT) AS transactions, sum(n) < 100 AS abstains, CASE WHEN sum(n) < 100 THEN 'below_inference_floor' END AS reason FROM tcum GROUP BY ALL", repo="n_nationkey")
@@ -390,9 +413,9 @@ def _metrics(h: History, grid: DataFrame) -> DataFrame:
     return six(evaluate.repository_metrics(shown, h.tx, h.components, h.pairs, grid), "micro", "macro", "coverage", "min_jaccard")
 
 
-@query("EVL8_repository_metrics", f"{H} SELECT {o.RM} FROM rm")
+@query("EVL8_repository_metrics", f"{o.history(grid='all')} SELECT {o.RM} FROM rm")
 def _(h):
-    return _metrics(h, h.grid)
+    return _metrics(h, h.full_grid)
 
 
 # ---------------------------------------------------------------- baselines
@@ -413,9 +436,9 @@ def _(h):
     return six(mining.display(h.shuffled_tx, h.grid).select(*_SHOWN), *_SHOWN[-5:])
 
 
-@query("BAS4_no_history_control", f"{H} SELECT repo_id, config_id, partition, a, b FROM shown WHERE false")
+@query("BAS4_no_history_control", f"{H} SELECT repo_id, count(*) AS transactions, CAST(0 AS BIGINT) AS candidates, 'pass' AS outcome FROM tx GROUP BY ALL")
 def _(h):
-    return baselines.no_history_control(h.tx, h.grid).select("repo_id", "config_id", "partition", "a", "b")
+    return baselines.no_history_outcomes(h.tx, h.grid)
 
 
 @query("BAS5_gain_over_baselines", f"{o.gains('one')} SELECT repo_id, config_id, baseline, {o.R6('micro_gain', 'macro_gain')}, reason FROM gains")
@@ -433,30 +456,35 @@ def _(h):
 
 @query("CAL1_calibrate", f"{o.gains('all')} SELECT a.repo_id, a.config_id, {o.R6('micro', 'macro', 'coverage', 'min_jaccard')}, round(f.micro_gain, 6) AS frequent_gain, round(u.micro_gain, 6) AS unweighted_gain, round(s.micro_gain, 6) AS shuffled_gain FROM rm a JOIN gains f ON f.baseline = 'frequent' AND a.repo_id = f.repo_id AND a.config_id = f.config_id JOIN gains u ON u.baseline = 'unweighted' AND a.repo_id = u.repo_id AND a.config_id = u.config_id JOIN gains s ON s.baseline = 'shuffled' AND a.repo_id = s.repo_id AND a.config_id = s.config_id")
 def _(h):
-    metrics, gains, _ = calibrate.calibrate(h.events, h.transactions, h.full_grid)
+    metrics, gains, _ = h.calibrated
     one = gains.groupBy("repo_id", "config_id").agg(*[F.max(F.when(F.col("baseline") == b, F.col("micro_gain"))).alias(f"{b}_gain") for b in ("frequent", "unweighted", "shuffled")])
     cols = ["micro", "macro", "coverage", "min_jaccard", "frequent_gain", "unweighted_gain", "shuffled_gain"]
     return six(metrics.join(one, ["repo_id", "config_id"]).select("repo_id", "config_id", *cols), *cols)
 
 
-def _gates(h: History, grid: DataFrame):
-    metrics, gains, shown = calibrate.calibrate(h.events, h.transactions, grid)
+def _gates(h: History, grid: DataFrame, role: str = "development"):
+    metrics, gains, shown = h.calibrated
     floor = mining.inference_floor(mining.cumulative_training(mining.totals(h.tx)))
-    return metrics, gains, calibrate.engineering_gates(metrics, gains, shown, floor)
+    return metrics, gains, calibrate.engineering_gates(metrics, gains, shown, floor, role)
+
+
+@query("CAL2_engineering_gates", f"{o.gates('all')} SELECT repo_id, config_id, gate, outcome FROM gates")
+def _(h):
+    return _gates(h, h.full_grid)[2]
 
 
-@query("CAL2_engineering_gates", f"{o.gates('one')} SELECT repo_id, config_id, gate, outcome FROM gates")
+@query("CAL2_engineering_gates_holdout", f"{o.gates('all', 'holdout')} SELECT repo_id, config_id, gate, outcome FROM gates")
 def _(h):
-    return _gates(h, h.grid)[2]
+    return _gates(h, h.full_grid, "holdout")[2]
 
 
-@query("CAL3_conjunctive_outcome", f"{o.gates('one')} SELECT repo_id, config_id, {o.WORST} FROM gates GROUP BY repo_id, config_id")
+@query("CAL3_conjunctive_outcome", f"{o.gates('all')} SELECT repo_id, config_id, {o.WORST} FROM gates GROUP BY repo_id, config_id")
 def _(h):
-    return calibrate.conjunctive_outcome(_gates(h, h.grid)[2], ["repo_id", "config_id"])
+    return calibrate.conjunctive_outcome(_gates(h, h.full_grid)[2], ["repo_id", "config_id"])
 
 
 #: The derived history has no drift, so its shuffled control can't be beaten, and only that gate is left out here.
-_REQUIRED = ["candidate_count", "coverage", "window_coverage", "gain_frequent"]
+_REQUIRED = ["candidate_count", "coverage", "window_coverage", "gain_frequent", "not_below_unweighted", "stability"]
 
 
 @query("CAL4_select_configuration", f"{o.gates('all')}, ok AS (SELECT config_id, {o.WORST} FROM gates WHERE gate IN ({o._in(_REQUIRED)}) GROUP BY config_id) SELECT config_id, {o.R6('worst_gain', 'worst_coverage', 'min_jaccard')} FROM (SELECT ok.config_id, w.worst_gain, l.worst_coverage, l.min_jaccard, g.weight, min_opportunity, min_confidence, min_lift FROM ok JOIN (SELECT config_id, min(least(micro_gain, macro_gain)) AS worst_gain FROM gains WHERE baseline = 'frequent' GROUP BY ALL) w ON ok.config_id = w.config_id JOIN (SELECT config_id, min(coverage) AS worst_coverage, min(min_jaccard) AS min_jaccard FROM rm GROUP BY ALL) l ON ok.config_id = l.config_id JOIN grid g ON ok.config_id = g.config_id WHERE outcome = 'pass') ORDER BY round(worst_gain, 9) DESC NULLS LAST, round(worst_coverage, 9) DESC NULLS LAST, round(min_jaccard, 9) DESC NULLS LAST, CASE weight WHEN 'unit' THEN 1 WHEN 'inverse-component' THEN 2 ELSE 3 END, min_opportunity, min_confidence, min_lift, config_id LIMIT 1")
@@ -526,9 +554,9 @@ def _(h):
     return six(review.adoption_gate(h.acceptances), "reached")
 
 
-@query("REV7_lane_outcome", f"{o.LABELS}, dims AS (SELECT repo_id, 'inferred' AS lane, outcome FROM prec UNION ALL SELECT repo_id, 'profile', outcome FROM adop WHERE CAST(repo_id AS INT) < 5) SELECT repo_id, lane, {o.WORST} FROM dims GROUP BY repo_id, lane UNION ALL SELECT repo_id, 'overall', {o.WORST} FROM dims GROUP BY repo_id")
+@query("REV7_lane_outcome", f"{o.LABELS}, dims AS (SELECT repo_id, 'inferred' AS lane, outcome FROM prec UNION ALL SELECT repo_id, 'profile', outcome FROM adop) SELECT repo_id, lane, {o.WORST} FROM dims GROUP BY repo_id, lane UNION ALL SELECT repo_id, 'overall', {o.WORST} FROM dims GROUP BY repo_id")
 def _(h):
-    timing = review.adoption_gate(h.acceptances).where("CAST(repo_id AS INT) < 5")
+    timing = review.adoption_gate(h.acceptances)
     dims = review.label_precision(h.review_labels).select("repo_id", F.lit("inferred").alias("lane"), "outcome").union(timing.select("repo_id", F.lit("profile"), "outcome"))
     return review.lane_outcome(dims)
 
@@ -569,9 +597,9 @@ def _(h):
     return P.profile_candidates(h.tree, h.modules, h.tree)
 
 
-@query("PRF12_profile_input_checks", f"{o.PROFILES} SELECT repo_id, 'module_files' AS failure FROM modules GROUP BY repo_id HAVING count(*) > 1 UNION ALL SELECT repo_id, 'source_paths' FROM tree WHERE ends_with(path, '.go') GROUP BY repo_id HAVING count(*) > 100 UNION ALL SELECT DISTINCT repo_id, 'duplicate_module_path' FROM (SELECT repo_id FROM modules GROUP BY repo_id, module_path HAVING count(*) > 1)")
+@query("PRF12_profile_input_checks", f"{o.PROFILES} SELECT repo_id, 'module_files' AS failure FROM modules GROUP BY repo_id HAVING count(*) > 1 UNION ALL SELECT repo_id, 'source_paths' FROM tree WHERE ends_with(path, '.go') GROUP BY repo_id HAVING count(*) > 90 UNION ALL SELECT DISTINCT repo_id, 'duplicate_module_path' FROM (SELECT repo_id FROM modules GROUP BY repo_id, module_path HAVING count(*) > 1)")
 def _(h):
-    return P.profile_input_checks(h.modules, h.tree, files=1, sources=100)
+    return P.profile_input_checks(h.modules, h.tree, files=1, sources=90)
 
 
 # ---------------------------------------------------------------- formats and reports

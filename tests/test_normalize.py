@@ -1,6 +1,8 @@
 """Paths, components, exclusions and transactions."""
 
 import pytest
+import hashlib
+
 from pyspark.sql import functions as F
 
 from covary.functions import scalars as sc
@@ -56,8 +58,9 @@ def test_first_record_decides_gitlink(spark):
 
 
 def test_worked_candidate_id(spark):
-    x = spark.range(1).select(sc.candidate_id(F.lit("config"), F.lit("charts/kapparmor"))).first()[0]
-    assert x == "dd2fbb9a369995a25ef008e95a8b6027ebc4b72f44acd0689d933600f1150dbb"
+    row = spark.range(1).select(sc.candidate_id(F.lit("config"), F.lit("charts/app")), sc.candidate_id(F.lit("config"), F.lit("charts/app"), tag="other-v2")).first()
+    want = [hashlib.sha256(b"\0".join([tag, b"inferred", b"Y29uZmln", b"Y2hhcnRzL2FwcA"])).hexdigest() for tag in (b"candidate-v1", b"other-v2")]
+    assert list(row) == want
 
 
 def test_byte_identity_metric_escape(spark):
@@ -68,4 +71,4 @@ def test_byte_identity_metric_escape(spark):
     assert len(got[2].bytes_b64url) == 134
     m = spark.createDataFrame([(0.8125,), (-0.0,), (None,), (float("nan"),)], "v double").select(sc.metric(F.col("v"), F.lit("no_opportunities")).alias("m"))
     assert [(r.m.value, r.m.reason) for r in m.collect()] == [("0.812500", None), ("0.000000", None), (None, "no_opportunities"), (None, "no_opportunities")]
-    assert spark.range(1).select(sc.escape_control(F.lit("a\x1b[1m\n\x85é"))).first()[0] == "a\\x1b[1m\\x0a\\x85é"
+    assert spark.range(1).select(sc.escape_control(F.lit("a\x1b[1m\n\x85é\\x09"))).first()[0] == "a\\x1b[1m\\x0a\\x85é\\\\x09"
