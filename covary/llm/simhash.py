@@ -155,6 +155,8 @@ POSITIONS, BAND = 96, 4
 #: Shared positional bytes that a pair must reach: at a similarity of 0.8 the mean is 77, and one pair in a million has
 #: fewer than this many.
 LEAST_SHARED = 57
+#: So that a product with a similarity isn't above a whole number by its last bit.
+EPSILON = 1e-6
 #: How often members outside their list's largest part meet some of that part, and how many each time, before all members
 #: of different parts do. More or fewer change what the last step costs, not what is found.
 ROUNDS, DRAWN = 2, 8
@@ -276,10 +278,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     orderable type; rows of equal id and text may share it) and `text`.
 
     First each member of a posting list meets the list's leader, then some members of the list's largest part; what the
-    best of these pairs links makes parts. At last all members in different parts meet. So a large group of copies, most
-    of whose lists hold one part by then, costs a number of pairs that grows with its size, and no list of any length is
-    cut. Every pair whose shared positional bytes reach the minimum is verified on all shingles, so that nothing is
-    linked that isn't similar."""
+    best of these pairs links makes parts. Then members of different parts meet, over what the leader doesn't hold of them: a large group of copies, or of texts that
+    share a pattern, costs a number of rows that grows with its size, and no list of any length is cut. Every pair whose
+    shared positional bytes reach the minimum is verified on all shingles, so that nothing is linked that isn't
+    similar."""
     keep = tables or Tables(docs.sparkSession)
     sketch = keep.written(sketches(docs, shingle))
     # one row per different text; its number is fixed once it is written
@@ -296,7 +298,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
 
     def alike(x: str, y: str) -> Column:
         """What two sizes allow."""
-        return F.least(x + "n", y + "n") >= similarity * F.greatest(x + "n", y + "n")
+        return F.least(x + "n", y + "n") >= similarity * F.greatest(x + "n", y + "n") - EPSILON
 
     def tallied_pairs(pairs: DataFrame) -> DataFrame:
         """Those of the distinct (a, b) that share enough positional bytes, with their number."""
@@ -316,13 +318,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     def similar(pairs: DataFrame) -> DataFrame:
         x, y = (sets.select(F.col("fid").alias(s), F.col("shingles").alias(f"{s}_s")) for s in "ab")
         common = F.size(F.array_intersect("a_s", "b_s"))
-        ok = common >= similarity * (F.size("a_s") + F.size("b_s") - common)
+        ok = common >= similarity * (F.size("a_s") + F.size("b_s") - common) - EPSILON
         return keep.written(pairs.join(y, "b").join(x, "a").where(ok).select("a", "b"))
 
     first = members.groupBy("key").agg(F.min(F.struct("rank", "fid"))["fid"].alias("a"))
     led = members.join(first, "key").where("a != fid").select("a", F.col("fid").alias("b")).distinct()
-    tried = best_of(led)
-    ok = similar(tried)
+    ok = similar(best_of(led))
     # every member has one link at most, to one that ranks before it, so its part is what two steps up lead to; a chain
     # of more steps is several parts, which meet like any others
     part = ok.select(F.col("b").alias("fid"), F.col("a").alias("part"))
@@ -331,12 +332,32 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     label = keep.written(listed.select("fid").join(part, "fid", "left").select("fid", F.coalesce("part", "fid").alias("part")))
     members = members.select("key", "fid", "n")
     for seed in range(ROUNDS):
-        met = best_of(towards_largest(members.join(label, "fid"), DRAWN, seed))
-        more = similar(met)
-        label, ok, tried = keep.written(merged(label, more)), ok.union(more), tried.union(met)
-    met = across_parts(members.join(label, "fid"), alike).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    tried = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    across = keep.written(tallied_pairs(met.join(tried, ["a", "b"], "left_anti")).select("a", "b"))
+        more = similar(best_of(towards_largest(members.join(label, "fid"), DRAWN, seed)))
+        label, ok = keep.written(merged(label, more)), ok.union(more)
+    # What is left are lists whose members lie in different parts. Each member is measured against the list's leader: how
+    # many of its shingles the leader holds, and which ones it doesn't.
+    apart = members.join(label, "fid").join(first, "key")
+    apart = keep.written(apart.join(mixed_lists(apart).select("key"), "key").select("key", "fid", "n", "part", "a"))
+    x, y = (sets.select(F.col("fid").alias(s), F.col("shingles").alias(f"{s}_s")) for s in "ab")
+    held = apart.where("a != fid").select("a", F.col("fid").alias("b"), "part").distinct().join(y, "b").join(x, "a")
+    inside, n = F.size(F.array_intersect("a_s", "b_s")).alias("inside"), F.size("b_s").alias("n")
+    held = keep.written(held.select("a", "b", "part", inside, F.size("a_s").alias("a_n"), n, F.sort_array(F.array_except("b_s", "a_s")).alias("rest")))
+    ok = ok.union(held.where(F.col("inside") >= similarity * (F.col("a_n") + F.col("n") - F.col("inside")) - EPSILON).select("a", "b"))
+    # Two members that the leader doesn't link share more shingles than the leader holds of the lesser one, so that they
+    # share one it doesn't hold: they meet under it (the first of these, in any one order, as many as must hold a common
+    # one). Or the leader holds enough of both: then the two numbers say so.
+    must = F.greatest(F.ceil(similarity * F.col("n") - EPSILON).cast("int") - F.col("inside"), F.lit(1))
+    foremost = F.slice("rest", F.lit(1), F.greatest(F.size("rest") - must + 1, F.lit(0)))
+    outside = held.select("a", F.col("b").alias("fid"), "n", "part", F.explode(foremost).alias("shingle"))
+    outside = outside.select(F.xxhash64("a", "shingle").alias("key"), "fid", "n", "part")
+    within = apart.join(held.select("a", F.col("b").alias("fid"), "inside"), ["a", "fid"]).select("key", "fid", "n", "part", "inside")
+
+    def enough(x: str, y: str) -> Column:
+        return alike(x, y) & (F.least(x + "inside", y + "inside") * (1 + similarity) >= similarity * (F.col(x + "n") + F.col(y + "n")) - EPSILON)
+
+    met = across_parts(outside, alike).union(across_parts(within, enough))
+    met = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    across = keep.written(tallied_pairs(met).select("a", "b"))
     label = connected_components(ok.union(similar(across)))
     groups = texts.join(label, texts["fid"] == label["node"], "left").select("text_key", "row", F.coalesce("component", "fid").alias("component"))
     least = groups.groupBy("component").agg(F.min("row").alias("group"))

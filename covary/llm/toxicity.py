@@ -106,7 +106,8 @@ def log_odds(counts: dict[str, tuple[int, int]], n_clean: int, n_toxic: int) ->
         # "abc$" follows "abc" and shorter ones only where those are proper prefixes of longer words too
         prior = next((share[f[:k]] for k in range(min(len(f) - 1, PREFIXES[-1]), PREFIXES[0] - 1, -1) if f[:k] in share and (f[k:] != "$")), rate)
         clean, toxic = counts[f]
-        share[f] = (toxic + PRIOR * prior) / (clean + toxic + PRIOR)
+        p = (toxic + PRIOR * prior) / (clean + toxic + PRIOR)
+        share[f] = min(max(p, 1e-6), 1 - 1e-6)  # a chain of one-sided prefixes must not round to certainty
     return {f: math.log(p / (1 - p)) - base for f, p in share.items()}
 
 

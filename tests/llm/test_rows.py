@@ -178,6 +178,8 @@ def test_a_words_prior_is_its_prefix():
     assert odds["vile"] > odds["vil"] > 2 and abs(odds["one$"]) < 1e-9
     assert lexicon["vileother"] == odds["vile"] - toxicity.DRIFT and lexicon["unseen"] == -toxicity.DRIFT
     assert odds["vilegood$"] < 0 < odds["vilescum$"]
+    sided = toxicity.log_odds({"rottenest"[:k]: (0, 10**6) for k in range(3, 9)} | {"rottenest$": (0, 10**6)}, 10**6, 10**6)
+    assert all(5 < x < 20 for x in sided.values())
     n, found = toxicity.passages("Vilescum vilescum a vilescum b", lexicon)
     s = lexicon["vilescum"]
     assert n == 5 and [(a, z) for _, a, z in found] == [(0, 3)] and abs(found[0][0] - (s + s / 2 + s / 3 - toxicity.DRIFT)) < 1e-9
