@@ -52,24 +52,22 @@ def cumulative_training(stats: DataFrame) -> DataFrame:
 
 
 def snapshots(stats: DataFrame, weights=WEIGHTS) -> DataFrame:
-    """Slice counts by k -> a row per key with `raw`, the count in each snapshot, and `value`, per size weight the
-    weighted sum in each snapshot. Both follow from one exchange on the key: the slices are summed up within it, and a
-    key's few (k, counts) are folded over ascending k within its row."""
+    """Slice counts by k -> a row per key with `raw`, the count in each snapshot, and `value`, the weighted sum in each
+    snapshot under the first size weight, then the second, and so on. Both follow from one exchange on the key: the
+    slices are summed up within it, and a key's few (k, counts, products) are added over ascending k within its row."""
     keys = [c for c in stats.columns if c not in ("slice", "k", "n")]
-    upto = [F.sum(F.when(F.col("slice") <= i + 1, F.col("n")).otherwise(0)).alias(f"n{i}") for i in range(len(SNAPSHOTS))]
+    at = range(len(SNAPSHOTS))
+    upto = [F.sum(F.when(F.col("slice") <= i + 1, F.col("n")).otherwise(0)).alias(f"n{i}") for i in at]
     by_k = stats.repartition(*keys).groupBy(*keys, "k").agg(*upto)
-    each = F.struct("k", F.array(*[f"n{i}" for i in range(len(SNAPSHOTS))]).alias("n"))
+    products = F.array(*[F.col(f"n{i}").cast("double") * size_weight(F.lit(w), F.col("k")) for w in weights for i in at])
+    each = F.struct("k", F.array(*[f"n{i}" for i in at]).alias("raw"), products.alias("value"))
     hist = by_k.groupBy(*keys).agg(F.sort_array(F.collect_list(each)).alias("hist"))  # an entry per k
 
-    def summed(i: int, weight: str) -> Column:
-        return F.aggregate("hist", F.lit(0.0), lambda acc, x: acc + x["n"][i].cast("double") * size_weight(F.lit(weight), x["k"]))
-
-    def counted(i: int) -> Column:
-        return F.aggregate("hist", F.lit(0).cast("bigint"), lambda acc, x: acc + x["n"][i])
+    def total(name: str, zero: Column) -> Column:
+        start = F.array_repeat(zero, len(SNAPSHOTS) * (len(weights) if name == "value" else 1))
+        return F.aggregate("hist", start, lambda acc, x: F.zip_with(acc, x[name], lambda u, v: u + v)).alias(name)
 
-    at = range(len(SNAPSHOTS))
-    raw = F.array(*map(counted, at))
-    return hist.select(*keys, raw.alias("raw"), F.array(*[F.array(*[summed(i, w) for i in at]) for w in weights]).alias("value"))
+    return hist.select(*keys, total("raw", F.lit(0).cast("bigint")), total("value", F.lit(0.0)))
 
 
 def pair_metrics(pairs: DataFrame, components: DataFrame, total: DataFrame, weights=WEIGHTS) -> DataFrame:
@@ -82,7 +80,7 @@ def pair_metrics(pairs: DataFrame, components: DataFrame, total: DataFrame, weig
 
     def one(i: int, k: int) -> Column:
         names = {"opportunity": F.col("c_raw")[i], "support": F.col("p_raw")[i], "transactions": F.col("t_raw")[i]}
-        names |= {n: F.col(f"{x}_value")[k][i] for n, x in (("weighted_exposure", "c"), ("weighted_support", "p"), ("b_exposure", "b"), ("total_weight", "t"))}
+        names |= {n: F.col(f"{x}_value")[k * len(SNAPSHOTS) + i] for n, x in (("weighted_exposure", "c"), ("weighted_support", "p"), ("b_exposure", "b"), ("total_weight", "t"))}
         return F.struct(F.lit(SNAPSHOTS[i]).alias("partition"), F.lit(weights[k]).alias("weight"), *[v.alias(n) for n, v in names.items()])
 
     every = F.array(*[one(i, k) for i in range(len(SNAPSHOTS)) for k in range(len(weights))])
