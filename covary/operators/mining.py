@@ -15,6 +15,7 @@ from covary.functions.scalars import WEIGHTS, candidate_id, size_weight
 from covary.operators.partitions import SNAPSHOTS
 
 FLOOR, SUPPORT, DISPLAY = 100, 3, 10
+RANKING = ("confidence desc", "lift desc", "support desc", "opportunity desc", "a", "b")
 OPPORTUNITIES, CONFIDENCES, LIFTS = (5, 10, 20), (0.70, 0.80, 0.90), (1.25, 1.50, 2.00)
 DEFAULT = "weight=inverse-component;opportunities=5;confidence=0.70;lift=1.25"
 GRID = "config_id string, weight string, min_opportunity int, min_confidence double, min_lift double"

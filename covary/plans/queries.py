@@ -493,7 +493,7 @@ def _(h):
     return six(calibrate.select_configuration(metrics, gains, gates, h.full_grid, _REQUIRED), "worst_gain", "worst_coverage", "min_jaccard")
 
 
-@query("CAL5_grid_digest_lock", f"""{o.history(grid='all')}, d AS (SELECT sha256('{{"schema":"grid/v1","configurations":["' || string_agg(config_id, '","' ORDER BY config_id) || '"]}}') AS grid_digest FROM grid),
+@query("CAL5_grid_digest_lock", f"""{o.history(grid='all')}, d AS (SELECT sha256('{{"schema":"grid/v1","floor":{mining.FLOOR},"support":{mining.SUPPORT},"display":{mining.DISPLAY},"configurations":["' || string_agg(config_id, '","' ORDER BY config_id) || '"],"ranking":["{'","'.join(mining.RANKING)}"]}}') AS grid_digest FROM grid),
 c AS (SELECT string_agg('{{"repo_id":"' || repo_id || '","object_id":"' || event_id || '"}}', ',' ORDER BY repo_id) AS c FROM events WHERE seq = n)
 SELECT '{mining.DEFAULT}' AS config_id, grid_digest, sha256('{{"config_id":"{mining.DEFAULT}","grid_digest":"' || grid_digest || '","corpus":[' || c || ']}}') AS lock_digest FROM d, c""")
 def _(h):
@@ -630,10 +630,32 @@ def _(h):
 
 
 def _reports(h: History) -> DataFrame:
-    rows = h.displayed.select("repo_id", "config_id", "partition", "rank", "candidate_id", sc.byte_identity(F.col("a")).alias("antecedent"), sc.byte_identity(F.col("b")).alias("consequent"), "opportunity", "support", sc.six(F.col("confidence")).alias("confidence"), sc.six(F.col("lift")).alias("lift"))
-    metrics = evaluate.repository_metrics(h.displayed, h.tx, h.components, h.pairs, h.grid)
-    shown = metrics.select("repo_id", "config_id", sc.metric(F.col("micro"), F.col("adherence_reason")).alias("micro_adherence"), sc.metric(F.col("coverage"), F.col("coverage_reason")).alias("coverage"))
-    return report.canonical_report(rows, normalize.exclusion_counts(h.classified), shown)
+    say, why = (lambda c: sc.six(F.col(c)).alias(c)), (lambda c, r: sc.metric(F.col(c), F.col(r) if isinstance(r, str) else r))
+    ends = sc.byte_identity(F.col("a")).alias("antecedent"), sc.byte_identity(F.col("b")).alias("consequent")
+    checked = stored(mining.budget_check(mining.work_counts(h.events, normalize.dedup_paths(h.changes).select("repo_id", "event_id", "path"), h.tx, h.displayed)))
+    metrics, gains, gates = stored(_metrics(h, h.grid)), *_gates(h, h.full_grid)[1:]
+    only = lambda df: df.join(F.broadcast(h.grid.select("config_id")), "config_id", "left_semi")
+    controls = baselines.no_history_outcomes(h.tx, h.grid).select("repo_id", F.lit("no_history").alias("id"), F.col("candidates").alias("observed"), "outcome")
+    controls = controls.union(baselines.control_outcomes(h.displayed, h.events, h.tx).select("repo_id", "control", "observed", "outcome"))
+    seen = mining.preregistered_check(h.metrics, h.displayed, h.evidence, h.grid, h.spark.createDataFrame(_WANT, "id string, a string, b string, path_a string, path_b string"))
+    tau = evaluate.kendall_tau_b(h.displayed, h.tx, h.grid).groupBy("repo_id", "config_id").agg(F.array_sort(F.collect_list(F.struct("cutoff", why("tau", "reason").alias("tau")))).alias("rank_correlation"))
+    parts = {
+        "configurations": h.tips.select("repo_id").join(F.broadcast(h.grid)).select("repo_id", "config_id", F.lit(None).cast("string").alias("development_lock_digest"), "weight", "min_opportunity", say("min_confidence"), say("min_lift")),
+        "budgets": checked.select("repo_id", "id", "limit", "observed", "outcome"),
+        "partitions": partitions.partition_records(h.events, h.tx, h.displayed).select("repo_id", "percentile", "cutoff_id", "train_first", "train_last", "eval_first", "eval_last", "train_eligible", "eval_eligible", "displayed", "pair_observations"),
+        "exclusions": normalize.exclusion_counts(h.classified).select("repo_id", "scope", "reason", "count"),
+        "candidates": h.displayed.select("repo_id", "config_id", "partition", "rank", "candidate_id", F.lit("inferred").alias("origin"), *ends, "opportunity", "support", say("weighted_exposure"), say("weighted_support"), say("confidence"), say("prevalence"), say("lift")),
+        "baselines": only(gains).select("repo_id", "config_id", F.col("baseline").alias("id"), why("micro_gain", "reason").alias("micro_gain"), why("macro_gain", "reason").alias("macro_gain")),
+        "controls": controls,
+        "profiles": P.profile_candidates(h.tree, h.modules, h.tree).select("repo_id", "tier_order", "rule", "candidate_id", "tier", "profile_version", "applicable", "compliant", "evidence", "reason"),
+        "preregistered_checks": seen.select("repo_id", "id", *ends, "opportunity", "support", say("confidence"), say("lift"), "eligible", "excluded_by"),
+        "metrics": metrics.join(tau, ["repo_id", "config_id"]).select("repo_id", "config_id", why("micro", "adherence_reason").alias("micro_adherence"), why("macro", "adherence_reason").alias("macro_adherence"), why("coverage", "coverage_reason").alias("coverage"), say("abstention"), why("min_jaccard", "jaccard_reason").alias("minimum_jaccard"), "rank_correlation"),
+        "gates": only(gates).select("repo_id", F.col("gate").alias("id"), "config_id", "outcome"),
+        "limitations": h.tips.select("repo_id", F.explode(F.array(*[F.lit(x) for x in sorted(report.LIMITATIONS)])).alias("code")),
+    }
+    failures = checked.where("outcome = 'fail'").select("repo_id", F.col("failure").alias("code"), F.lit("mine").alias("operation"), "observed", "limit", F.lit(None).cast("string").alias("diagnostic_digest"))
+    counts = chain.repository_counts(h.events, _chain(h)).select("repo_id", F.lit("sha1").alias("object_format"), "root_id", "tip_id", "reachable_commits", "first_parent_events", "single_parent_events", "merge_result_events")
+    return report.canonical_report(counts, parts, failures, {"library": "1", "helper": None})
 
 
 @query("SNK2_canonical_report")

@@ -1,11 +1,14 @@
 """Registered queries against their SQL, on the smallest tables."""
 
+import hashlib
+import json
 import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
-from covary.operators import calibrate, mining
+from covary.operators import calibrate, mining, report
 from covary.plans.history import History
 from covary.plans.queries import ORACLE, QUERIES
 
@@ -59,3 +62,31 @@ def test_canonical_reports_are_identical_across_runs(spark):
         assert sorted(map(tuple, QUERIES["SNK2_canonical_report"](spark, DATA).collect())) == first
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables here")
+def test_canonical_reports_have_every_section_in_order(spark):
+    row = QUERIES["SNK2_canonical_report"](spark, DATA).first()
+    doc = json.loads(row.report)
+    assert list(doc) == ["schema", "kind", "status", "tool", "repository", *report.SECTIONS, "failure"] and row.report.endswith("}\n")
+    assert doc["status"] == "complete" and doc["failure"] is None and all(doc[name] for name in report.SECTIONS if name != "profiles")
+    assert hashlib.sha256(row.report.encode()).hexdigest() == row.digest
+    assert [x["code"] for x in doc["limitations"]] == sorted(report.LIMITATIONS)
+
+
+def test_a_repository_over_its_budget_fails_whole(spark):
+    repos = spark.createDataFrame([("a", 1), ("b", 2)], "repo_id string, n int")
+    rows = spark.createDataFrame([("a", "x"), ("b", "y")], "repo_id string, code string")
+    over = spark.createDataFrame([("b", "budget_events", "mine", 5, 4, None)], "repo_id string, code string, operation string, observed bigint, limit bigint, diagnostic_digest string")
+    docs = {x.repo_id: json.loads(x.report) for x in report.canonical_report(repos, {"limitations": rows}, over, {"library": "1"}).collect()}
+    assert (docs["a"]["status"], docs["a"]["limitations"], docs["a"]["failure"]) == ("complete", [{"code": "x"}], None)
+    assert (docs["b"]["status"], docs["b"]["limitations"], docs["b"]["failure"]["code"]) == ("failed", [], "budget_events")
+
+
+def test_a_changed_lock_guards_nothing(spark):
+    grid = mining.config_grid(spark)
+    corpus = spark.createDataFrame([("a", "1"), ("b", "2")], "repo_id string, object_id string")
+    lock, digest = calibrate.lock_row(grid.limit(1), calibrate.grid_digest(grid), corpus), calibrate.grid_digest(grid)
+    assert calibrate.holdout_guard(lock, corpus, digest).count() == 2
+    assert calibrate.holdout_guard(lock.withColumn("config_id", F.lit("other")), corpus, digest).count() == 0
+    assert calibrate.holdout_guard(lock, corpus, calibrate.grid_digest(grid.limit(3))).count() == 0
