@@ -350,3 +350,18 @@ def test_copies_beyond_a_step_are_all_dealt(spark, monkeypatch):
     for x in got.collect():
         per[x.doc_id, x.shard] = per.get((x.doc_id, x.shard), 0) + 1
     assert sorted(per.values()) == [2] + [4] * 19 and sum(n for (d, _), n in per.items() if d == 1) == 50
+
+
+def test_written_shards_hold_every_document_once(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "x" * (i % 40)) for i in range(120)], "doc_id bigint, text string")
+    sharding.write_shards(docs, f"{tmp_path}/shards", limit=300)
+    back = spark.read.parquet(f"{tmp_path}/shards")
+    assert sorted((x.doc_id, x.text) for x in back.collect()) == [(i, "x" * (i % 40)) for i in range(120)]
+    assert all(x.n <= 300 for x in back.groupBy("shard").agg(F.sum(F.octet_length("text")).alias("n")).collect())
+
+
+def test_empty_tables_of_the_row_operators(spark, tmp_path):
+    path = save(spark, tmp_path, documents=([], DOC), labels=([], "doc_id bigint, quality int, toxic int"))
+    assert toxicity.query(spark, path).count() == mpeg_audio.query(spark, path).count() == 0
+    spark.createDataFrame([], "page_id bigint, url string, html string").write.parquet(f"{path}/pages.parquet")
+    assert url_filter.query(spark, path).count() == 0
