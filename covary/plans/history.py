@@ -21,6 +21,13 @@ class History:
     def __init__(self, spark: SparkSession, sf_dir: str, path_limit: int = normalize.PATH_LIMIT, component_limit: int = normalize.COMPONENT_LIMIT, repo: str = "n_regionkey"):
         self.spark, self.dir, self.limits, self.repo = spark, sf_dir, (path_limit, component_limit), repo
 
+    def still_there(self) -> bool:
+        """Whether what was stored hasn't been removed from the shared folder."""
+        files = self.events.inputFiles() if "events" in self.__dict__ else []
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        paths = [jvm.org.apache.hadoop.fs.Path(f) for f in files[:1]]
+        return all(p.getFileSystem(conf).exists(p) for p in paths)
+
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 

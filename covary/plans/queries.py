@@ -22,7 +22,7 @@ _HISTORIES: dict[tuple, History] = {}
 def history_of(spark: SparkSession, sf_dir: str, **limits) -> History:
     """The derived history of a folder; a session's queries share it, so that each derives only what is its own."""
     key = (spark.sparkContext.applicationId, sf_dir, *sorted(limits.items()))
-    if key not in _HISTORIES:
+    if key not in _HISTORIES or not _HISTORIES[key].still_there():
         for old in [k for k in _HISTORIES if k[0] != key[0]]:
             del _HISTORIES[old]
         _HISTORIES[key] = History(spark, sf_dir, **limits)

@@ -3,6 +3,7 @@
 import hashlib
 import json
 import os
+import shutil
 
 import duckdb
 import pytest
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from covary.operators import calibrate, mining, report
 from covary.plans.history import History
-from covary.plans.queries import ORACLE, QUERIES
+from covary.plans.queries import ORACLE, QUERIES, history_of
 
 DATA = "/root/testdata/sf0.001"
 #: One session's queries share the derived history, so all of them are compared.
@@ -90,3 +91,16 @@ def test_a_changed_lock_guards_nothing(spark):
     assert calibrate.holdout_guard(lock, corpus, digest).count() == 2
     assert calibrate.holdout_guard(lock.withColumn("config_id", F.lit("other")), corpus, digest).count() == 0
     assert calibrate.holdout_guard(lock, corpus, calibrate.grid_digest(grid.limit(3))).count() == 0
+
+
+def test_a_session_shares_a_history_while_it_is_there(spark, tmp_path):
+    first = history_of(spark, DATA)
+    assert history_of(spark, DATA) is first and history_of(spark, DATA, path_limit=6) is not first
+    gone = spark.range(1)
+    gone.write.parquet(f"{tmp_path}/t")
+    held, first.__dict__["events"] = first.__dict__.get("events"), spark.read.parquet(f"{tmp_path}/t")
+    assert first.still_there()
+    shutil.rmtree(f"{tmp_path}/t")
+    assert not first.still_there() and history_of(spark, DATA) is not first
+    if held is None:
+        del first.__dict__["events"]
