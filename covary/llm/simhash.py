@@ -12,7 +12,7 @@ one; it is searched, as exactly, by the values one bit away from its members, at
 It moves 4 to 14 of SimHash's 64 bits, so that no positional byte need be equal; there a position's byte comes from the
 shingle that is smallest under the position's own permutation, and two texts agree in a position as often as they are
 similar. The index is inverted on BAND neighbouring positions; shared positional bytes are tallied per pair, pairs that
-reach LEAST_SHARED of POSITIONS stay and are verified on all their shingles. A pair at a similarity of 0.8 is lost with
+reach the least number stay (57 of 96 at 0.8) and are verified on all their shingles. A pair at a similarity of 0.8 is lost with
 a chance of 5 in a million (3 that no key of 24 agrees, 1 to 2 that the tally falls short), a closer one more rarely.
 
 Nulls: a null text has no words and gets fingerprint zero, as an empty one; a null doc_id is kept as a row and is
@@ -22,6 +22,7 @@ columns are ignored. Very long texts are hashed in slices.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from functools import partial
 from itertools import combinations
@@ -152,9 +153,9 @@ def simhash_components(docs: DataFrame, shingle: int = 3) -> DataFrame:
 
 #: Positions of a sketch, and how many neighbouring ones make a key of the index.
 POSITIONS, BAND = 96, 4
-#: Shared positional bytes that a pair must reach: at a similarity of 0.8 the mean is 77, and one pair in a million has
-#: fewer than this many.
-LEAST_SHARED = 57
+#: How many standard deviations below its mean a pair's number of shared positional bytes may lie. At a similarity of
+#: 0.8 that is 57 bytes where 77 are the mean; one pair in a million has fewer.
+DEVIATIONS = 5
 #: So that a product with a similarity isn't above a whole number by its last bit.
 EPSILON = 1e-6
 #: How often members outside their list's largest part meet some of that part, and how many each time, before all members
@@ -278,10 +279,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     orderable type; rows of equal id and text may share it) and `text`.
 
     First each member of a posting list meets the list's leader, then some members of the list's largest part; what the
-    best of these pairs links makes parts. Then members of different parts meet, over what the leader doesn't hold of them: a large group of copies, or of texts that
-    share a pattern, costs a number of rows that grows with its size, and no list of any length is cut. Every pair whose
-    shared positional bytes reach the minimum is verified on all shingles, so that nothing is linked that isn't
-    similar."""
+    best of these pairs links makes parts. Then members of different parts meet, over what the leader doesn't hold of
+    them: a large group of copies, or of texts that share a pattern, costs a number of rows that grows with its size, and
+    no list of any length is cut. Every pair whose shared positional bytes reach the minimum is verified on all shingles,
+    so that nothing is linked that isn't similar. The index is made for similarities of 0.8 and more."""
+    least_shared = int(POSITIONS * similarity - DEVIATIONS * math.sqrt(POSITIONS * similarity * (1 - similarity)))
     keep = tables or Tables(docs.sparkSession)
     sketch = keep.written(sketches(docs, shingle))
     # one row per different text; its number is fixed once it is written
@@ -304,7 +306,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
         """Those of the distinct (a, b) that share enough positional bytes, with their number."""
         x, y = (positions.select(F.col("fid").alias(s), F.col("n").alias(f"{s}_n"), F.col("positions").alias(f"{s}_p")) for s in "ab")
         shared = pairs.join(x, "a").join(y, "b").where(alike("a_", "b_")).select("a", "b", shared_positions(F.col("a_p"), F.col("b_p")).alias("shared"))
-        return shared.where(F.col("shared") >= LEAST_SHARED)
+        return shared.where(F.col("shared") >= least_shared)
 
     def best_of(pairs: DataFrame) -> DataFrame:
         """For each b the pair that shares most."""

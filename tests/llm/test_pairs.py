@@ -162,6 +162,33 @@ def test_near_duplicates_by_one_passage(spark, edit):
     assert [p for p in pairs if (got[p[0]] == got[p[1]]) != (p in links)] == []
 
 
+def test_families_below_the_similarity_keep_their_few_links(spark):
+    """Texts that all come of one, most of them less than 0.8 alike, and texts that lie within a longer one: the groups
+    are those of comparing all pairs."""
+    r = random.Random(41)
+    word = lambda: f"w{r.randrange(5000)}"
+    base, texts = [word() for _ in range(300)], []
+    for k in range(45):
+        v = list(base)
+        for _ in range(r.choice([2, 8, 10, 12])):
+            v[r.randrange(300)] = word()
+        texts.append(v)
+        if k % 3 == 0:
+            u = list(v)
+            for _ in range(r.choice([3, 6, 9])):
+                u[r.randrange(300)] = word()
+            texts.append(u)
+    whole = [word() for _ in range(500)]
+    texts += [whole, *(whole[a : a + n] for a, n in ((0, 300), (20, 300), (90, 310), (150, 280), (160, 330), (60, 440)))]
+    texts = [" ".join(t) for t in texts]
+    got = {x.row: x.group for x in simhash.near_duplicates(frame(spark, list(enumerate(texts)), "row bigint, text string")).collect()}
+    parent = list(range(len(texts)))
+    root = lambda x: x if parent[x] == x else root(parent[x])
+    for i, j in near_groups(texts):
+        parent[max(root(i), root(j))] = min(root(i), root(j))
+    assert got == {i: root(i) for i in range(len(texts))} and 5 < len(set(got.values())) < len(texts) - 5
+
+
 def test_a_large_group_of_copies_keeps_one(spark):
     base = [f"w{i}" for i in range(200)]
     texts = [" ".join([*base[:i], "edit", *base[i + 1 :]]) for i in range(0, 120)] + [" ".join(base)] * 50
