@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from covary.llm import bpe, decontaminate, html_text, language, line_dedup, mpeg_audio, sharding, simhash, toxicity, url_filter
+from covary.llm import bpe, centroids, decontaminate, divergence, html_text, language, line_dedup, mpeg_audio, pii, sharding, simhash, toxicity, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.query,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_mpeg_audio": mpeg_audio.query,
     "op9_extendible_sharding": sharding.query,
     "op10_html_text": html_text.query,
+    "op11_ns_clustering": centroids.query,
+    "op12_pii": pii.query,
+    "op13_source_divergence": divergence.query,
 }
 
 ORACLE_SQL = {
@@ -22,4 +25,7 @@ ORACLE_SQL = {
     "op3_decontaminate": decontaminate.SQL,
     "op7_line_dedup": line_dedup.SQL,
     "op9_extendible_sharding": sharding.SQL,
+    "op11_ns_clustering": centroids.SQL,
+    "op12_pii": pii.SQL,
+    "op13_source_divergence": divergence.SQL,
 }
