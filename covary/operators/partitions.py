@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from covary.functions.scalars import SHUFFLE_TAG, joined_hash
+from covary.operators.ranking import ranked
 
 PERCENTILES = (60, 70, 80, 90)
 FULL = 100
@@ -57,8 +58,8 @@ def partition_records(events: DataFrame, tx: DataFrame, displayed: DataFrame) ->
 
 
 def shuffled_order(events: DataFrame) -> DataFrame:
-    """events renumbered by the hash of repository object (the tip) and event id: the control ordering."""
+    """events renumbered by the hash of repository object (the tip) and event id: the control ordering. No repository is
+    sorted in one task."""
     tips = events.groupBy("repo_id").agg(F.max_by("event_id", "seq").alias("tip"))
     hashed = events.join(tips, "repo_id").withColumn("h", joined_hash(SHUFFLE_TAG, F.col("tip"), F.col("event_id")))
-    order = F.row_number().over(Window.partitionBy("repo_id").orderBy("h", "event_id"))
-    return hashed.withColumn("seq", order).drop("h", "tip")
+    return ranked(hashed.drop("seq"), ["repo_id"], ["h", "event_id"], "seq").drop("h", "tip").select(*events.columns)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from covary.operators import calibrate, mining, normalize, partitions
+from covary.operators.ranking import ranked
 from covary.sources.store import stored
 
 #: Parts and suppliers of a repository's tree and modules: the repositories grow with the tables.
@@ -35,12 +36,12 @@ class History:
     def events(self) -> DataFrame:
         o, c, n = self.table("orders"), self.table("customer"), self.table("nation")
         rows = o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey)
-        w = Window.partitionBy("repo_id").orderBy("o_orderdate", "o_orderkey")
         rows = rows.select(F.expr(self.repo).cast("string").alias("repo_id"), "o_orderdate", "o_orderkey", "o_orderstatus", "o_orderpriority")
-        rows = rows.withColumn("seq", F.row_number().over(w)).withColumn("event_id", F.col("o_orderkey").cast("string"))
+        rows = ranked(rows, ["repo_id"], ["o_orderdate", "o_orderkey"], "seq").withColumn("event_id", F.col("o_orderkey").cast("string"))
         kind = F.when(F.col("seq") == 1, "root").when(F.col("o_orderstatus") == "P", "merge-result").otherwise("single-parent")
         n_parents = F.when(F.col("seq") == 1, 0).when(F.col("o_orderstatus") == "P", 2).otherwise(1)
-        return stored(rows.select("repo_id", "event_id", "o_orderkey", "o_orderpriority", "seq", kind.alias("kind"), F.lag("event_id").over(w).alias("first_parent"), n_parents.alias("n_parents")))
+        parents = rows.select("repo_id", (F.col("seq") + 1).alias("seq"), F.col("event_id").alias("first_parent"))
+        return stored(rows.join(parents, ["repo_id", "seq"], "left").select("repo_id", "event_id", "o_orderkey", "o_orderpriority", "seq", kind.alias("kind"), "first_parent", n_parents.alias("n_parents")))
 
     @cached_property
     def all_changes(self) -> DataFrame:
@@ -81,6 +82,15 @@ class History:
     def evidence(self) -> DataFrame:
         return normalize.event_evidence(self.events, self.changes, self.limits[0])
 
+    @cached_property
+    def boundaries(self) -> DataFrame:
+        """The boundaries of a change stream that has lost, moved and repeated some, and holds some of no event."""
+        e, seq = self.events.where("seq % 400 != 3").select("repo_id", "event_id", "seq"), F.col("seq") * 10
+        own = e.select("repo_id", "event_id", (seq + F.when(F.col("seq") % 350 == 11, 25).otherwise(0)).alias("place"))
+        again = e.where("seq % 700 = 9").select("repo_id", "event_id", (seq + 5005).alias("place"))
+        none = e.where("seq % 90 = 5").select("repo_id", F.concat(F.lit("x"), "event_id"), (seq + 3).alias("place"))
+        return ranked(own.union(again).union(none), ["repo_id"], ["place"], "ordinal").select("repo_id", "ordinal", "event_id")
+
     @cached_property
     def transactions(self) -> DataFrame:
         return stored(normalize.build_transactions(self.events, self.changes, *self.limits))

@@ -158,10 +158,21 @@ def _(h):
     return chain.check_change_records(bent)
 
 
-@query("VAL6_check_alignment", f"{H}, known AS (SELECT * FROM events WHERE seq % 900 <> 2), c AS (SELECT DISTINCT repo_id, event_id FROM all_changes) SELECT repo_id, event_id, 'unknown_event' AS violation FROM c WHERE event_id NOT IN (SELECT event_id FROM known) UNION ALL SELECT repo_id, event_id, 'missing_boundary' FROM known WHERE seq % 400 = 3 UNION ALL SELECT c.repo_id, c.event_id, 'change_on_root' FROM c JOIN known k ON c.event_id = k.event_id WHERE k.kind = 'root'")
+_ALIGNED = f"""{H}, known AS (SELECT * FROM events WHERE seq % 900 <> 2), c AS (SELECT DISTINCT repo_id, event_id FROM all_changes), landed AS (SELECT * FROM events WHERE seq % 400 <> 3), placed AS (
+  SELECT repo_id, event_id, seq * 10 + CASE WHEN seq % 350 = 11 THEN 25 ELSE 0 END AS place FROM landed UNION ALL SELECT repo_id, event_id, seq * 10 + 5005 FROM landed WHERE seq % 700 = 9 UNION ALL SELECT repo_id, 'x' || event_id, seq * 10 + 3 FROM landed WHERE seq % 90 = 5
+), bounds AS (
+  SELECT b.repo_id, b.event_id, ordinal, k.seq, ordinal = min(ordinal) OVER (PARTITION BY b.repo_id, b.event_id) AS first FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY place) AS ordinal FROM placed) b LEFT JOIN known k ON b.repo_id = k.repo_id AND b.event_id = k.event_id
+), late AS (
+  SELECT *, max(seq) OVER (PARTITION BY repo_id ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM bounds WHERE first AND seq IS NOT NULL
+)
+SELECT repo_id, event_id, CAST(NULL AS BIGINT) AS ordinal, 'unknown_event' AS violation FROM c WHERE event_id NOT IN (SELECT event_id FROM known) UNION ALL SELECT repo_id, event_id, NULL, 'missing_boundary' FROM known WHERE event_id NOT IN (SELECT event_id FROM bounds)
+UNION ALL SELECT c.repo_id, c.event_id, NULL, 'change_on_root' FROM c JOIN known k ON c.event_id = k.event_id WHERE k.kind = 'root'
+UNION ALL SELECT repo_id, event_id, ordinal, 'surplus_boundary' FROM bounds WHERE seq IS NULL UNION ALL SELECT repo_id, event_id, ordinal, 'repeated_boundary' FROM bounds WHERE seq IS NOT NULL AND NOT first UNION ALL SELECT repo_id, event_id, ordinal, 'out_of_order_boundary' FROM late WHERE seq < reached"""
+
+
+@query("VAL6_check_alignment", _ALIGNED)
 def _(h):
-    known = h.events.where("seq % 900 != 2")
-    return chain.check_alignment(known, h.all_changes, h.events.where("seq % 400 != 3"))
+    return chain.check_alignment(h.events.where("seq % 900 != 2"), h.all_changes, h.boundaries)
 
 
 @query("VAL7_repository_counts", f"{H} SELECT repo_id, count(*) AS first_parent_events, count_if(kind = 'single-parent') AS single_parent_events, count_if(kind = 'merge-result') AS merge_result_events, count(*) + count_if(kind = 'merge-result') AS reachable_commits, arg_min(event_id, seq) AS root_id, arg_max(event_id, seq) AS tip_id FROM events GROUP BY ALL")
