@@ -23,14 +23,14 @@ columns are ignored. Very long texts are hashed in slices.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 from functools import partial
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from covary.llm.shared import Tables, connected_components, quoted, row_key, slices, table, written
@@ -238,9 +238,9 @@ def mixed_lists(members: DataFrame) -> DataFrame:
     return lists.where("parts > 1").select("key", F.col("big.part").alias("big"), F.col("big.own").alias("own"), "all")
 
 
-def across_parts(members: DataFrame, alike: Callable[[str, str], Column], block: int = 500, more: Sequence[Column] = ()) -> DataFrame:
-    """(x, y) for every two members of a posting list that lie in different parts and are alike, once per list, with
-    `more` of the two sides' columns. alike gets the prefixes of these. Only members outside the list's largest part are dealt to tiles of
+def across_parts(members: DataFrame, alike: Callable[[str, str], Column], block: int = 500) -> DataFrame:
+    """(x, y) for every two members of a posting list that lie in different parts and are alike, once per list. alike gets
+    the prefixes of the two sides' columns. Only members outside the list's largest part are dealt to tiles of
     about `block`, and every member meets each tile: no list is cut, a long one is spread over tasks, and one that a
     single part fills but for a few members isn't repeated."""
     tiles = F.ceil((F.col("all") - F.col("own")) / block).cast("int").alias("tiles")
@@ -249,7 +249,7 @@ def across_parts(members: DataFrame, alike: Callable[[str, str], Column], block:
     x = mixed.where("part != big").select("key", F.pmod(F.xxhash64("fid"), "tiles").cast("int").alias("tile"), *[F.col(c).alias(f"x_{c}") for c in cols])
     y = mixed.select("key", "big", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), *[F.col(c).alias(f"y_{c}") for c in cols])
     once = (F.col("y_part") == F.col("big")) | (F.col("x_part") < F.col("y_part"))
-    return x.join(y, ["key", "tile"]).where(once & alike("x_", "y_")).select(F.least("x_fid", "y_fid").alias("x"), F.greatest("x_fid", "y_fid").alias("y"), *more)
+    return x.join(y, ["key", "tile"]).where(once & alike("x_", "y_")).select(F.least("x_fid", "y_fid").alias("x"), F.greatest("x_fid", "y_fid").alias("y"))
 
 
 def towards_largest(members: DataFrame, some: int, seed: int) -> DataFrame:
@@ -346,18 +346,34 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     held = keep.written(held.select("a", "b", "part", inside, F.size("a_s").alias("a_n"), n, F.sort_array(F.array_except("b_s", "a_s")).alias("rest")))
     ok = ok.union(held.where(F.col("inside") >= similarity * (F.col("a_n") + F.col("n") - F.col("inside")) - EPSILON).select("a", "b"))
     # Two members that the leader doesn't link share more shingles than the leader holds of the lesser one, so that they
-    # share some it doesn't hold: they meet under these, as often as they share one, and what is missing must be reached.
-    # Or the leader holds enough of both: then the two numbers say so.
-    outside = held.select("a", F.col("b").alias("fid"), "n", "part", "inside", F.explode("rest").alias("shingle"))
-    outside = outside.select(F.xxhash64("a", "shingle").alias("key"), "a", "fid", "n", "part", "inside")
+    # share some it doesn't hold: they meet under these. Or the leader holds enough of both: then the two numbers say so.
+    # Of the shingles that a member has beyond the leader only those are indexed, rarest first, that a partner can't all
+    # lack: with `rest` of them and at least `least` to be shared, the first rest - least + 1. What must be shared is more
+    # with a partner that isn't smaller (small) than with one that may be (large).
+    over = F.size("rest")
+    least = lambda share: F.greatest(F.lit(1), F.ceil(share * F.col("n") - EPSILON) - F.col("inside"))
+    small, large = over - least(2 * similarity / (1 + similarity)) + 1, over - least(similarity) + 1
+    outside = held.select("a", F.col("b").alias("fid"), "n", "part", "inside", over.alias("over"), small.alias("small"), large.alias("large"), F.explode("rest").alias("shingle"))
+    common = outside.groupBy("a", "shingle").agg(F.count("*").alias("df")).where("df > 1")
+    # a shingle that no other member has comes first in its member's order and meets nobody
+    shared = outside.join(common, ["a", "shingle"])
+    nth = F.row_number().over(Window.partitionBy("a", "fid").orderBy("df", "shingle"))
+    alone = F.col("over") - F.count("*").over(Window.partitionBy("a", "fid"))
+    shared = shared.withColumn("nth", nth + alone).where("nth <= greatest(small, large)")
+    outside = shared.select(F.xxhash64("a", "shingle").alias("key"), "a", "fid", "n", "part", "inside", "over", "small", "large", "nth")
     within = apart.join(held.select("a", F.col("b").alias("fid"), "inside"), ["a", "fid"]).select("key", "fid", "n", "part", "inside")
 
     def enough(x: str, y: str) -> Column:
         return alike(x, y) & (F.least(x + "inside", y + "inside") * (1 + similarity) >= similarity * (F.col(x + "n") + F.col(y + "n")) - EPSILON)
 
-    needed = F.ceil(similarity * (F.col("x_n") + F.col("y_n")) / (1 + similarity) - EPSILON) - F.least("x_inside", "y_inside")
-    often = across_parts(outside, lambda x, y: alike(x, y) & (F.col(x + "a") == F.col(y + "a")), more=[F.col("x_a").alias("a"), needed.alias("needed")])
-    often = often.groupBy("x", "y", "a", "needed").agg(F.count("*").alias("times")).where("times >= needed").select("x", "y")
+    def can_reach(x: str, y: str) -> Column:
+        """Whether the two, first met under this shingle, may share as many as their sizes ask for."""
+        needed = F.ceil(similarity * (F.col(x + "n") + F.col(y + "n")) / (1 + similarity) - EPSILON) - F.least(x + "inside", y + "inside")
+        left = F.least(F.col(x + "over") - F.col(x + "nth"), F.col(y + "over") - F.col(y + "nth")) + 1
+        indexed = lambda u, v: (F.col(u + "n") <= F.col(v + "n")) & (F.col(u + "nth") <= F.col(u + "small")) & (F.col(v + "nth") <= F.col(v + "large"))
+        return (F.col(x + "a") == F.col(y + "a")) & alike(x, y) & (left >= needed) & (indexed(x, y) | indexed(y, x))
+
+    often = across_parts(outside, can_reach)
     met = often.union(across_parts(within, enough))
     met = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     across = keep.written(tallied_pairs(met).select("a", "b"))
