@@ -1,22 +1,26 @@
-"""Operator 7: substring deduplication by hashing lines and sentences.
+"""Operator 7: substring deduplication by hashing lines and runs of lines and sentences.
 
 A text is cut into units behind its line feeds and behind sentence ends (`.`, `!` or `?` before white space); a unit is
-normalised (A-Z lower-cased, runs of ASCII white space to one space, trimmed). From every unit that has words, the
-shortest run of units that reaches `words` words is hashed to 128 bits, so that units of any length count, a passage is
-found wherever in a line it stands and however it is wrapped, and no wording shorter than `words` words is called a
-repeat. Digests are grouped over all documents; the run that ranks first (smallest doc_id, then place; a null doc_id
-last) stays, and the units of every other one are removed, with their code-point offsets in the original text kept in
-`removed`. Whatever goes has an equal run at an earlier place, so that no wording is lost. What stays of a repeated
-passage are the parts of sentences at its two ends, units behind its last full run (fewer than `words` words), and
-passages whose whole sentences have fewer than `words` words together.
-
-Only digests and places are shuffled for grouping: the first place of each digest is a partial minimum, so a passage that
-stands in a third of all documents reaches the reducer once per task; the join that brings it back to the places is an
-ordinary one, which AQE splits where a digest is hot. The spans are joined to the texts by one exchange of these,
-whatever their number.
+normalised (A-Z lower-cased, runs of ASCII white space to one space, trimmed). Hashed to 128 bits are
+
+* every line that has at least `line` words, whatever its neighbours, and
+* from every unit that has words, the shortest run of units that reaches `words` words, so that units of any length
+  count and a passage is found wherever in a line it stands and however it is wrapped.
+
+Digests are grouped over all documents; what ranks first (smallest doc_id, then place; a null doc_id last) stays, and the
+units of every other one are removed, with their code-point offsets in the original text kept in `removed`. Whatever goes
+has equal words at an earlier place, so that no wording is lost. What stays of a repeated passage are the parts of
+sentences at its two ends, units behind its last full run (fewer than `words` words) unless they are lines, and passages
+whose whole sentences have fewer than `words` words together and whose lines have fewer than `line`.
+
+Texts are hashed once, and only digests and places are shuffled for grouping: the first place of each digest is a partial
+minimum, so a passage that stands in a third of all documents reaches the reducer once per task; the join that brings it
+back to the places is an ordinary one, which AQE splits where a digest is hot. Spans are merged by a window over their
+document and cut out in one pass over its text, so that a text of any number of repeats takes linear time.
 
 A null text has no unit and stays null; rows that agree in doc_id and text count as one document and get one result
-each; a run that overlaps its own first place stays; other columns are kept by drop_repeats."""
+each; what overlaps its own first place stays; an empty table gives an empty result; other columns are kept by
+drop_repeats."""
 
 from __future__ import annotations
 
@@ -24,15 +28,19 @@ import re
 from bisect import bisect_left
 from itertools import accumulate
 
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from covary.llm.shared import Tables, quoted, slices, table
 
-#: Passages that matter are longer than this; clean texts share no run of this length.
+#: Runs that matter are longer than this; clean texts share no run of this length.
 WORDS = 20
+#: Words of a line that counts by itself: longer than headings and list marks.
+LINE = 8
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: A unit with what ends it. Every place of a text lies in just one unit.
 _UNIT = r"[^.!?\n]*(?:[.!?]+[^\x20\x09-\x0D.!?][^.!?\n]*)*(?:[.!?]+[\x20\x09\x0B-\x0D]+|[.!?]*\n|[.!?]*{end})"
@@ -40,25 +48,34 @@ UNIT = re.compile(_UNIT.format(end=r"\Z"))
 SPANS = "array<struct<start:int,end:int>>"
 
 
-def runs(text: str, least: int) -> list[tuple[int, int, bytes]]:
-    """(start, end, digest) of the shortest run of units from each one with words that reaches `least` words."""
-    words, starts, ends, at = [], [], [], 0
+def runs(text: str, least: int, line: int = LINE) -> list[tuple[int, int, bytes]]:
+    """(start, end, digest) of the lines of `line` words and more, and of the shortest run of units from each one with
+    words that reaches `least` words."""
+    words, starts, ends, lines, at, nth = [], [], [], [], 0, 0
     for unit in UNIT.findall(text):
         w = unit.encode("utf-8", "surrogatepass").translate(_LOWER).split()
         if w:
             words.append(w)
             starts.append(at)
             ends.append(at + len(unit))
+            lines.append(nth)
         at += len(unit)
+        nth += unit.endswith("\n")
     flat = [x for w in words for x in w]
     upto = [0, *accumulate(map(len, words))]
-    out = []
-    for i, start in enumerate(starts):
+    spans = set()
+    for i in range(len(starts)):
         j = bisect_left(upto, upto[i] + least)
         if j > len(words):
             break
-        out.append((start, ends[j - 1], xxhash.xxh3_128_digest(b" ".join(flat[upto[i] : upto[j]]))))
-    return out
+        spans.add((i, j))
+    begin = 0
+    for i in range(1, len(lines) + 1):
+        if i == len(lines) or lines[i] != lines[begin]:
+            if upto[i] - upto[begin] >= line:
+                spans.add((begin, i))
+            begin = i
+    return [(starts[i], ends[j - 1], xxhash.xxh3_128_digest(b" ".join(flat[upto[i] : upto[j]]))) for i, j in sorted(spans)]
 
 
 def row_hash() -> Column:
@@ -66,12 +83,12 @@ def row_hash() -> Column:
     return F.xxhash64("text", F.col("text").isNull(), "doc_id")
 
 
-def hashed_runs(docs: DataFrame, words: int = WORDS) -> DataFrame:
+def hashed_runs(docs: DataFrame, words: int = WORDS, line: int = LINE) -> DataFrame:
     """(doc_id, row, start, end, hi, lo) for every run; hi and lo are the digest's halves."""
 
     def run(batches):
         for b in slices(batches):
-            found = [runs(t.as_py() or "", words) for t in b.column(2)]
+            found = [runs(t.as_py() or "", words, line) for t in b.column(2)]
             take = pa.array([i for i, f in enumerate(found) for _ in f], pa.int32())
             flat = [x for f in found for x in f]
             halves = [pa.array([int.from_bytes(x[2][k : k + 8], "big", signed=True) for x in flat], pa.int64()) for k in (0, 8)]
@@ -85,52 +102,58 @@ def hashed_runs(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {kind}, row bigint, start int, end int, hi bigint, lo bigint")
 
 
-def repeats(docs: DataFrame, words: int = WORDS, tables: Tables | None = None) -> DataFrame:
-    """(doc_id, row, removed): for each document with a run that isn't the first of its digest, the spans to remove."""
+def repeats(docs: DataFrame, words: int = WORDS, line: int = LINE, tables: Tables | None = None) -> DataFrame:
+    """(doc_id, row, removed): for each document with a run that isn't the first of its digest, the spans to remove, those
+    that overlap or touch being one."""
     keep = tables or Tables(docs.sparkSession)
-    found = hashed_runs(docs, words)
+    found = keep.written(hashed_runs(docs, words, line))
     place = F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "row", "start", "end")
     first = keep.written(found.groupBy("hi", "lo").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("hi", "lo", "first"))
     same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("row") == F.col("first.row"))
     later = found.join(first, ["hi", "lo"]).where(~same | (F.col("start") >= F.col("first.end")))
-    spans = later.groupBy("doc_id", "row").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("removed"))
-    # spans that overlap or touch become one
-    last = lambda acc: F.element_at(acc, -1)
-    joined = F.aggregate(
-        "removed",
-        F.array().cast(SPANS),
-        lambda acc, s: F.when(
-            (F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1)["end"] >= s["start"]),
-            F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last(acc)["start"].alias("start"), F.greatest(last(acc)["end"], s["end"]).alias("end")))),
-        ).otherwise(F.concat(acc, F.array(s))),
-    )
-    return spans.select("doc_id", "row", joined.alias("removed"))
-
-
-def without_repeats(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    of = ["doc_id", "row"]
+    spans = later.select(*of, "start", "end").repartition(*of).groupBy(*of, "start").agg(F.max("end").alias("end"))
+    reached = F.max("end").over(Window.partitionBy(*of).orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
+    spans = spans.withColumn("fresh", F.when(F.col("start") <= reached, 0).otherwise(1))
+    spans = spans.withColumn("island", F.sum("fresh").over(Window.partitionBy(*of).orderBy("start")))
+    spans = spans.groupBy(*of, "island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return spans.groupBy(*of).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("removed"))
+
+
+@F.pandas_udf(T.StringType())
+def _cut(text: pd.Series, ends: pd.Series) -> pd.Series:
+    """The texts without the spans, whose starts and ends are given in turn."""
+
+    def one(t, at):
+        if t is None or at is None:
+            return None
+        at = [0, *at, len(t)]
+        return "".join(t[at[i] : at[i + 1]] for i in range(0, len(at), 2))
+
+    return pd.Series([one(t, at) for t, at in zip(text, ends, strict=True)], dtype=object)
+
+
+def without_repeats(docs: DataFrame, words: int = WORDS, line: int = LINE) -> DataFrame:
     """(of, text, removed): the row's columns as they were, as one struct; its text without repeats; and the code-point
     spans of the original that went."""
     keep, result = Tables(docs.sparkSession), Tables(docs.sparkSession)
-    gone = result.written(repeats(docs, words, keep).select(F.col("doc_id").alias("gone_id"), F.col("row").alias("gone_row"), "removed"))
+    gone = result.written(repeats(docs, words, line, keep).select(F.col("doc_id").alias("gone_id"), F.col("row").alias("gone_row"), "removed"))
     keep.drop()
     keyed = docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("of"), row_hash().alias("row"))
     out = keyed.join(gone, F.col("of.doc_id").eqNullSafe(F.col("gone_id")) & (F.col("row") == F.col("gone_row")), "left")
-
-    # what stays: from the end of one span to the start of the next
     spans, text = F.col("removed"), F.col("of.text")
-    starts = F.concat(F.array(F.lit(0)), F.transform(spans, lambda s: s["end"]))
-    ends = F.concat(F.transform(spans, lambda s: s["start"]), F.array(F.char_length(text)))
-    cut = F.array_join(F.transform(F.arrays_zip(starts.alias("s"), ends.alias("e")), lambda x: F.substring(text, x["s"] + 1, x["e"] - x["s"])), "")
+    ends = F.flatten(F.transform(spans, lambda s: F.array(s["start"], s["end"])))
+    cut = _cut(F.when(spans.isNotNull(), text), ends)
     return out.select("of", F.when(spans.isNull(), text).otherwise(cut).alias("text"), F.coalesce(spans, F.array().cast(SPANS)).alias("removed"))
 
 
-def drop_repeats(docs: DataFrame, words: int = WORDS) -> DataFrame:
+def drop_repeats(docs: DataFrame, words: int = WORDS, line: int = LINE) -> DataFrame:
     """docs, of the same columns, with the repeated units cut out of text; n_chars, if there, follows the new text."""
     changed = {"text": F.col("text")}
     if "n_chars" in docs.columns:
         n = F.char_length("text").cast(docs.schema["n_chars"].dataType)
         changed["n_chars"] = F.when(F.size("removed") > 0, n).otherwise(F.col("of.n_chars"))
-    return without_repeats(docs, words).select(*[changed.get(c, F.col("of").getField(c)).alias(c) for c in docs.columns])
+    return without_repeats(docs, words, line).select(*[changed.get(c, F.col("of").getField(c)).alias(c) for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -148,8 +171,11 @@ WITH u AS (
   SELECT *, CASE WHEN norm = '' THEN 0 ELSE length(norm) - length(replace(norm, ' ', '')) + 1 END AS w FROM (
     SELECT doc_id, k, unit, trim(regexp_replace(translate(unit, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g')) AS norm FROM u)
 ), c AS (
-  SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY k) AS upto, sum(length(unit)) OVER (PARTITION BY doc_id ORDER BY k) - length(unit) AS s FROM n
+  SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY k) AS upto, sum(length(unit)) OVER (PARTITION BY doc_id ORDER BY k) - length(unit) AS s,
+         coalesce(sum(CAST(unit LIKE '%' || chr(10) AS INT)) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS line FROM n
 ), r AS (
+  SELECT doc_id, min(k) AS i, max(k) AS j FROM c WHERE w > 0 GROUP BY doc_id, line HAVING sum(w) >= {LINE}
+  UNION
   SELECT a.doc_id, a.k AS i, min(b.k) AS j FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.k >= a.k AND b.upto >= a.upto - a.w + {WORDS} WHERE a.w > 0 GROUP BY ALL
 ), l AS (
   SELECT doc_id, list(norm ORDER BY k) AS norms FROM n GROUP BY doc_id

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 import xxhash
@@ -272,8 +273,9 @@ def test_decontaminate_drops_only_hits(spark):
 # ------------------------------------------------------------------ lines
 
 
-def brute_runs(text, least=20):
-    """(start, end, words) of the shortest run from each unit, found by walking the text character by character."""
+def brute_runs(text, least=20, line=8):
+    """(start, end, words) of the long lines and of the shortest run from each unit, found by walking the text character
+    by character."""
     units, begin, i = [], 0, 0
     white = " \t\n\r\x0b\x0c"
     while i < len(text):
@@ -297,7 +299,15 @@ def brute_runs(text, least=20):
             if len(words) >= least:
                 out.append((units[i][0], units[j][1], tuple(words)))
                 break
-    return out
+    begin = 0
+    for whole in text.splitlines(keepends=True) if not set(text) & set("\r\x0b\x0c\x1c\x85\u2028") else text.split("\n"):
+        end = begin + len(whole)
+        own = [u for u in units if begin <= u[0] and u[1] <= end]
+        words = [w for u in own for w in u[2]]
+        if len(words) >= line:
+            out.append((own[0][0], own[-1][1], tuple(words)))
+        begin = end
+    return sorted(set(out))
 
 
 def brute_repeats(docs, least=20):
@@ -330,6 +340,23 @@ def test_runs_match_brute_force(spark, tmp_path):
     assert got == brute_repeats(docs)
 
 
+def test_short_lines_go_and_shorter_ones_stay(spark):
+    line, short = "this line of eight words is a repeat", "just seven words are in this line"
+    docs = [(i, f"own{i} {'x ' * i}\n{line}\nmore of {i} here.\n{short}\nAnd {line} in a sentence {i}") for i in range(30)]
+    got = {x.of.doc_id: x.text for x in line_dedup.without_repeats(frame(spark, docs)).collect()}
+    assert got[0] == docs[0][1] and all(got[i] == docs[i][1].replace(line + "\n", "", 1) for i in range(1, 30))
+
+
+def test_many_repeats_in_one_text_take_linear_time(spark):
+    lines = [" ".join(f"w{i}x{k}" for k in range(20)) for i in range(8000)]
+    texts = [(1, "\n".join(lines)), (2, "".join(f"{x}\nown {i}\n" for i, x in enumerate(lines)))]
+    began = time.time()
+    got = {x.of.doc_id: x for x in line_dedup.without_repeats(frame(spark, texts)).collect()}
+    assert len(got[1].removed) == 0 and len(got[2].removed) == 8000
+    assert got[2].text == "".join(f"own {i}\n" for i in range(8000))
+    assert time.time() - began < 20  # seconds; it was hours when each cut walked the text anew
+
+
 def test_planted_passages_go_wherever_they_stand(spark):
     r = random.Random(17)
     sentence = lambda n: " ".join(f"w{r.randrange(10**6)}" for _ in range(n)) + "."
