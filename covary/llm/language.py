@@ -13,7 +13,6 @@ ignored."""
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,13 +21,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from covary.llm.shared import id_fold, slices, table
+from covary.llm.shared import id_fold, quoted, slices, table
 
 SLOTS = 1 << 14
 PER_LANGUAGE = 1500
 SAMPLE = 12_000  # rows of all languages together
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
 _ODD = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
 _letters: list[np.ndarray] = []
 
@@ -47,7 +45,8 @@ def slots(text: str) -> np.ndarray:
 
 
 def known(text: str | None) -> bool:
-    return bool(text) and LETTER.search(text) is not None
+    """Whether a text has a letter; digits, numerals and other signs of whatever script are none."""
+    return bool(text) and any(map(str.isalpha, text))
 
 
 def weighted(count: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -181,15 +180,15 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """docs, of the columns given, with lang_pred and score added."""
+    """(of, lang_pred, score): the row's columns as they were, as one struct, so that no name of theirs can clash."""
+    cols = docs.select(F.col("text").alias("text"), F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("of"))
 
     def run(batches):
         for b in slices(batches):
-            out = [model.predict(t.as_py()) for t in b.column(b.schema.names.index("text"))]
-            yield pa.record_batch([*b.columns, pa.array([x for x, _ in out], pa.string()), pa.array([s for _, s in out], pa.float64())], names=[*b.schema.names, "lang_pred", "score"])
+            out = [model.predict(t.as_py()) for t in b.column(0)]
+            yield pa.record_batch([b.column(1), pa.array([x for x, _ in out], pa.string()), pa.array([s for _, s in out], pa.float64())], names=["of", "lang_pred", "score"])
 
-    added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
+    return cols.mapInArrow(run, T.StructType([cols.schema["of"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
 def keep_identified(docs: DataFrame, model: Model, least: float = 0.34) -> DataFrame:
@@ -208,5 +207,5 @@ def query(spark, sf_dir: str) -> DataFrame:
     """op4: the language of every document, learned from two thirds of them."""
     docs = table(spark, sf_dir, "documents")
     model = train(docs.where(id_fold(F.col("doc_id"), 3) != 1))
-    out = predict(docs.select("doc_id", (id_fold(F.col("doc_id"), 3) == 1).alias("held_out"), "text"), model)
-    return out.select("doc_id", "held_out", "lang_pred", "score")
+    out = predict(docs.select("doc_id", "text"), model)
+    return out.select("of.doc_id", (id_fold(F.col("of.doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")

@@ -365,3 +365,15 @@ def test_empty_tables_of_the_row_operators(spark, tmp_path):
     assert toxicity.query(spark, path).count() == mpeg_audio.query(spark, path).count() == 0
     spark.createDataFrame([], "page_id bigint, url string, html string").write.parquet(f"{path}/pages.parquet")
     assert url_filter.query(spark, path).count() == 0
+
+
+def test_numerals_and_marks_are_no_letters():
+    assert not any(map(language.known, [None, "", "²", "½ ① Ⅷ", "12 34 ...", "_", "٣"]))
+    assert all(map(language.known, ["a", "1é", "日", "½ x"]))
+
+
+def test_language_of_rows_with_clashing_names(spark):
+    rows = [(i, "the and ing " * 5 if i % 2 else "le que tion " * 5, "en" if i % 2 else "fr", 7.5, "x") for i in range(80)]
+    docs = spark.createDataFrame(rows + rows[:2], "doc_id bigint, text string, lang string, score double, lang_pred string")
+    out = language.predict(docs, language.train(docs)).collect()
+    assert len(out) == 82 and all(x.of.score == 7.5 and x.of.lang_pred == "x" and x.lang_pred == x.of.lang for x in out)
