@@ -59,11 +59,12 @@ def measured(displayed: DataFrame, components: DataFrame, pairs: DataFrame) -> D
     return micro_macro(holdout_counts(displayed, components, pairs))
 
 
-def control_outcomes(displayed: DataFrame, events: DataFrame, tx: DataFrame, floor: int = FLOOR) -> DataFrame:
-    """(repo_id, control, observed, outcome): young repositories must show nothing; a root event never is evidence."""
-    size = events.groupBy("repo_id").agg(F.count("*").alias("n"))
-    shown = displayed.groupBy("repo_id").agg(F.count("*").alias("shown"))
-    young = size.where(F.col("n") < floor).join(shown, "repo_id", "left").select("repo_id", F.lit("young").alias("control"), F.coalesce("shown", F.lit(0)).cast("bigint").alias("observed"))
-    roots = tx.join(events.where("kind = 'root'"), ["repo_id", "event_id"], "left_semi").groupBy("repo_id").agg(F.count("*").alias("used"))
-    origin = size.join(roots, "repo_id", "left").select("repo_id", F.lit("template_origin").alias("control"), F.coalesce("used", F.lit(0)).cast("bigint").alias("observed"))
-    return young.union(origin).withColumn("outcome", F.when(F.col("observed") == 0, "pass").otherwise("fail"))
+def control_outcomes(displayed: DataFrame, tx: DataFrame, events: DataFrame, roles: DataFrame) -> DataFrame:
+    """(repo_id, control, observed, outcome) for the roles(repo_id, role) of control repositories: a `young` one must
+    display nothing, and of a `template_origin` no root event may be evidence."""
+    shown = displayed.groupBy("repo_id").agg(F.count("*").alias("n")).withColumn("role", F.lit("young"))
+    roots = tx.join(events.where("kind = 'root'"), ["repo_id", "event_id"], "left_semi").groupBy("repo_id").agg(F.count("*").alias("n")).withColumn("role", F.lit("template_origin"))
+    own = roles.where(F.col("role").isin("young", "template_origin")).select("repo_id", "role").distinct()
+    observed = F.coalesce("n", F.lit(0)).cast("bigint")
+    out = own.join(shown.unionByName(roots), ["repo_id", "role"], "left")
+    return out.select("repo_id", F.col("role").alias("control"), observed.alias("observed"), F.when(observed == 0, "pass").otherwise("fail").alias("outcome"))

@@ -18,24 +18,42 @@ SEVERITY = {"pass": 0, "inconclusive": 1, "fail": 2}
 GAIN = {"development": 0.10, "holdout": 0.05}
 
 
+def both_orders(tx: DataFrame, events: DataFrame) -> tuple[tuple[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]:
+    """((sliced tx, pair counts) of the chain, (the same) of the hash-shuffled control). The two differ in a
+    transaction's slice only, so pairs are made once, with both slices, and the counts of each follow from those."""
+    of = ["repo_id", "event_id"]
+    shuffled = partitions.slices(partitions.shuffled_order(events)).select(*of, F.col("slice").alias("other"))
+    sliced = stored(partitions.with_slices(tx, events).join(shuffled, of))
+    pairs = sliced.select("repo_id", "slice", "other", "k", "components", F.explode("components").alias("a"))
+    pairs = pairs.select("repo_id", "slice", "other", "k", "a", F.explode("components").alias("b")).where("a != b")
+    joint = stored(pairs.groupBy("repo_id", "a", "b", "k", "slice", "other").agg(F.count("*").alias("n")))
+    counts = lambda c: joint.groupBy("repo_id", F.col(c).alias("slice"), "a", "b", "k").agg(F.sum("n").alias("n"))
+    return (sliced.drop("other"), counts("slice")), (sliced.drop("slice").withColumnRenamed("other", "slice"), counts("other"))
+
+
 def calibrate(events: DataFrame, tx: DataFrame, grid: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(metrics, gains, displayed) of every repository and configuration, baselines and the shuffled control included.
     tx are unsliced transactions."""
-    sliced = partitions.with_slices(tx, events)
-    comp, pair = stored(mining.component_stats(sliced)), stored(mining.pair_stats(sliced))
-    total = mining.totals(sliced)
-    measured = stored(mining.pair_metrics(pair, comp, total))
+    (sliced, pair), (shuffled, shuffled_pair) = both_orders(tx, events)
+    comp, shuffled_comp = stored(mining.component_stats(sliced)), stored(mining.component_stats(shuffled))
+    measured = stored(mining.pair_metrics(pair, comp, mining.totals(sliced)))
     shown = stored(mining.displayed(measured, grid))
     metrics = stored(evl.repository_metrics(shown, sliced, comp, pair, grid))
-    shuffled = partitions.with_slices(tx, partitions.shuffled_order(events))
+    control = mining.displayed(mining.pair_metrics(shuffled_pair, shuffled_comp, mining.totals(shuffled)), grid)
     others = {
         "frequent": bas.measured(bas.frequent_consequent(shown, comp), comp, pair),
         "unweighted": bas.measured(mining.displayed(measured, bas.unweighted(grid)), comp, pair),
-        "shuffled": bas.measured(mining.display(shuffled, grid), mining.component_stats(shuffled), mining.pair_stats(shuffled)),
+        "shuffled": bas.measured(control, shuffled_comp, shuffled_pair),
     }
     return metrics, stored(bas.gain_over_baselines(metrics, others, grid)), shown
 
 
+def calibration_controls(events: DataFrame, tx: DataFrame, displayed: DataFrame, grid: DataFrame, roles: DataFrame) -> DataFrame:
+    """(repo_id, control, observed, outcome): the no-history control of every repository, and those that roles ask for."""
+    none = bas.no_history_outcomes(tx, grid).select("repo_id", F.lit("no_history").alias("control"), F.col("candidates").alias("observed"), "outcome")
+    return none.union(bas.control_outcomes(displayed, tx, events, roles))
+
+
 def engineering_gates(metrics: DataFrame, gains: DataFrame, displayed: DataFrame, floor: DataFrame, role: str = "development") -> DataFrame:
     """(repo_id, config_id, gate, outcome). floor is inference_floor()'s frame. Gains are compared at nine places, so that
     a difference of two equal means isn't below zero by its last bit."""
@@ -72,10 +90,13 @@ def conjunctive_outcome(gates: DataFrame, keys: list[str]) -> DataFrame:
     return gates.groupBy(*keys).agg(worst.alias("s")).select(*keys, F.element_at(F.array(*map(F.lit, SEVERITY)), F.col("s") + 1).alias("outcome"))
 
 
-def select_configuration(metrics: DataFrame, gains: DataFrame, gates: DataFrame, grid: DataFrame, required: list[str] | None = None) -> DataFrame:
-    """The one configuration that passes the required gates on every repository and ranks first, or no row."""
-    considered = gates if required is None else gates.where(F.col("gate").isin(required))
-    passing = conjunctive_outcome(considered, ["config_id"]).where("outcome = 'pass'")
+def select_configuration(metrics: DataFrame, gains: DataFrame, gates: DataFrame, grid: DataFrame, controls: DataFrame | None = None) -> DataFrame:
+    """The one configuration that passes all gates on every repository and ranks first, or no row; no row either if any
+    of the required controls fails."""
+    passing = conjunctive_outcome(gates, ["config_id"]).where("outcome = 'pass'")
+    if controls is not None:
+        broken = controls.where("outcome != 'pass'").groupBy().agg(F.count("*").alias("broken")).where("broken = 0")
+        passing = passing.join(broken)  # one row or none
     worst = gains.where("baseline = 'frequent'").groupBy("config_id").agg(F.min(F.least("micro_gain", "macro_gain")).alias("worst_gain"))
     least = metrics.groupBy("config_id").agg(F.min("coverage").alias("worst_coverage"), F.min("min_jaccard").alias("min_jaccard"))
     simple = F.array_position(F.array(*map(F.lit, WEIGHTS)), F.col("weight"))

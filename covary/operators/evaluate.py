@@ -112,9 +112,12 @@ def repository_metrics(displayed: DataFrame, tx: DataFrame, components: DataFram
     mm = micro_macro(holdout_counts(displayed, components, pairs))
     cov = pooled_coverage(coverage(displayed, tx, grid))
     jac = adjacent_jaccard(displayed, tx, grid).groupBy(*RC).agg(F.min("jaccard").alias("min_jaccard"), F.count("jaccard").alias("n_jaccard"))
-    out = cutoff_abstention(displayed, tx, grid).join(mm, RC, "left").join(cov, RC, "left").join(jac, RC, "left")
+    at = lambda c: F.max(F.when(F.col("cutoff") == c, F.col("tau"))).alias(f"tau_{c}")
+    tau = kendall_tau_b(displayed, tx, grid).groupBy(*RC).agg(*map(at, PERCENTILES[:-1]))  # a diagnostic, null with fewer than two survivors
+    out = cutoff_abstention(displayed, tx, grid).join(mm, RC, "left").join(cov, RC, "left").join(jac, RC, "left").join(tau, RC, "left")
     why = F.when(F.col("micro").isNull(), F.when(F.col("displayed") == 0, "no_candidates").otherwise("no_opportunities"))
     return out.select(
         *RC, "micro", "macro", why.alias("adherence_reason"), "coverage", F.when(F.col("coverage").isNull(), "no_eligible_evaluation_events").alias("coverage_reason"),
         "least_covered", "abstention", "displayed", "min_jaccard", "n_jaccard", F.when(F.col("min_jaccard").isNull(), "empty_candidate_sets").alias("jaccard_reason"),
+        *[f"tau_{c}" for c in PERCENTILES[:-1]],
     )

@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from itertools import product
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from covary.functions.scalars import WEIGHTS, candidate_id, size_weight
 from covary.operators.partitions import SNAPSHOTS
+from covary.sources.store import stored
 
 FLOOR, SUPPORT, DISPLAY = 100, 3, 10
 RANKING = ("confidence desc", "lift desc", "support desc", "opportunity desc", "a", "b")
@@ -103,26 +104,43 @@ def inference_floor(total: DataFrame, floor: int = FLOOR) -> DataFrame:
     return n.select("*", low.alias("abstains"), F.when(low, "below_inference_floor").alias("reason"))
 
 
+def loosely(metrics: DataFrame, floor: int = FLOOR) -> DataFrame:
+    """Pairs that meet the loosest thresholds of all."""
+    return metrics.where(
+        (F.col("support") >= SUPPORT) & (F.col("opportunity") >= min(OPPORTUNITIES)) & (F.col("confidence") >= min(CONFIDENCES)) & (F.col("lift") >= min(LIFTS)) & (F.col("transactions") >= floor)
+    )
+
+
 def eligible(metrics: DataFrame, grid: DataFrame, floor: int = FLOOR) -> DataFrame:
     """Pairs that meet every threshold of a configuration. The loosest thresholds go first; the grid is at most 81
     rows, so it is broadcast and joined on the weight."""
-    loose = metrics.where(
-        (F.col("support") >= SUPPORT) & (F.col("opportunity") >= min(OPPORTUNITIES)) & (F.col("confidence") >= min(CONFIDENCES)) & (F.col("lift") >= min(LIFTS)) & (F.col("transactions") >= floor)
-    )
     meets = (F.col("opportunity") >= F.col("min_opportunity")) & (F.col("confidence") >= F.col("min_confidence")) & (F.col("lift") >= F.col("min_lift"))
-    return loose.join(F.broadcast(grid), "weight").where(meets).drop("min_opportunity", "min_confidence", "min_lift")
+    return loosely(metrics, floor).join(F.broadcast(grid), "weight").where(meets).drop("min_opportunity", "min_confidence", "min_lift")
+
+
+def _order() -> list[Column]:
+    return [F.desc("confidence"), F.desc("lift"), F.desc("support"), F.desc("opportunity"), F.asc("a"), F.asc("b")]
 
 
 def rank_candidates(pairs: DataFrame, k: int = DISPLAY) -> DataFrame:
     """The first k of each (repository, configuration, partition), with `rank`."""
-    order = [F.desc("confidence"), F.desc("lift"), F.desc("support"), F.desc("opportunity"), F.asc("a"), F.asc("b")]
-    rank = F.row_number().over(Window.partitionBy("repo_id", "config_id", "partition").orderBy(*order))
+    rank = F.row_number().over(Window.partitionBy("repo_id", "config_id", "partition").orderBy(*_order()))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def best_of_cells(metrics: DataFrame, grid: DataFrame, k: int = DISPLAY) -> DataFrame:
+    """Of each snapshot's pairs the first k of every cell between the grid's thresholds. A pair's cell tells which
+    thresholds it meets, and a configuration takes whole cells: what it displays is among the first k of each, so that
+    only these are held against the configurations, however many pairs there are."""
+    grid_rows = grid.collect()  # at most 81
+    cell = {f"cell_{m}": sum((F.when(F.col(m) >= t, 1).otherwise(0) for t in sorted({r[f"min_{m}"] for r in grid_rows})), F.lit(0)) for m in ("opportunity", "confidence", "lift")}
+    place = F.row_number().over(Window.partitionBy("repo_id", "partition", "weight", *cell).orderBy(*_order()))
+    return metrics.withColumns(cell).withColumn("place", place).where(F.col("place") <= k).drop("place", *cell)
+
+
 def displayed(metrics: DataFrame, grid: DataFrame, k: int = DISPLAY, floor: int = FLOOR) -> DataFrame:
     """Measures -> displayed candidates with ids."""
-    ranked = rank_candidates(eligible(metrics, grid, floor), k)
+    ranked = rank_candidates(eligible(best_of_cells(loosely(metrics, floor), grid, k), grid, floor), k)
     return ranked.withColumn("candidate_id", candidate_id(F.col("a"), F.col("b")))
 
 
@@ -142,7 +160,7 @@ def preregistered_check(metrics: DataFrame, displayed: DataFrame, evidence: Data
     full = SNAPSHOTS[-1]
     config = F.broadcast(grid)
     repos = metrics.select("repo_id").distinct()
-    want = repos.join(F.broadcast(expected)).join(config)
+    want = repos.crossJoin(expected.select("id", "a", "b").distinct()).join(config)  # a row per named pair and repository, as the result has
     m = metrics.where(F.col("partition") == full).select("repo_id", "weight", "a", "b", "opportunity", "support", "confidence", "lift")
     rows = want.join(m, ["repo_id", "weight", "a", "b"], "left").fillna(0, ["opportunity", "support"])
     fails = [
@@ -154,7 +172,7 @@ def preregistered_check(metrics: DataFrame, displayed: DataFrame, evidence: Data
     rows = rows.withColumn("excluded_by", F.array_join(F.filter(F.array(*fails), lambda x: x.isNotNull()), ",")).withColumn("eligible", F.col("excluded_by") == "")
     shown = displayed.where(F.col("partition") == full).select("repo_id", "config_id", "a", "b", F.lit(True).alias("displayed"))
     left, right = evidence.select("repo_id", "event_id", F.col("path").alias("path_a")), evidence.select("repo_id", "event_id", F.col("path").alias("path_b"))
-    named = F.broadcast(expected.select("id", "path_a", "path_b"))
+    named = expected.select("id", "path_a", "path_b")
     together = left.join(named, "path_a").join(right, ["repo_id", "event_id", "path_b"]).select("repo_id", "id", F.lit(True).alias("together")).distinct()
     out = rows.join(shown, ["repo_id", "config_id", "a", "b"], "left").join(together, ["repo_id", "id"], "left")
     found = F.coalesce("displayed", F.lit(False)) & F.coalesce("together", F.lit(False))
@@ -165,24 +183,40 @@ def preregistered_check(metrics: DataFrame, displayed: DataFrame, evidence: Data
 LIMITS = {"events": 200_000, "paths_per_event": 2000, "unique_paths": 2_000_000, "unique_components": 50_000, "pair_observations": 20_000_000, "unique_pairs": 2_000_000, "report_rows": 100_000}
 
 
-def work_counts(events: DataFrame, paths: DataFrame, tx: DataFrame, report: DataFrame) -> DataFrame:
-    """(repo_id, id, observed): what one repository's run amounts to. paths has distinct (event, path) rows; report is
-    what would be written for it."""
-    said = lambda df: df.select("repo_id", F.expr(f"stack({len(df.columns) - 1}, " + ", ".join(f"'{c}', CAST({c} AS BIGINT)" for c in df.columns if c != "repo_id") + ") AS (id, observed)"))
+def _observed(df: DataFrame) -> DataFrame:
+    """(repo_id, name, ..) counts -> a row each."""
+    names = [c for c in df.columns if c != "repo_id"]
+    return df.select("repo_id", F.expr(f"stack({len(names)}, " + ", ".join(f"'{c}', CAST({c} AS BIGINT)" for c in names) + ") AS (id, observed)"))
+
+
+def work_counts(events: DataFrame, paths: DataFrame, tx: DataFrame) -> DataFrame:
+    """(repo_id, id, observed): what a repository's run amounts to, as far as it can be told before any pair is made.
+    paths has distinct (event, path) rows."""
     n_events = events.groupBy("repo_id").agg(F.count("*").alias("events"))
     n_paths = paths.groupBy("repo_id", "path").count().groupBy("repo_id").agg(F.count("*").alias("unique_paths"))
     widest = paths.groupBy("repo_id", "event_id").count().groupBy("repo_id").agg(F.max("count").alias("paths_per_event"))
     parts = tx.select("repo_id", F.explode("components").alias("a")).distinct().groupBy("repo_id").agg(F.count("*").alias("unique_components"))
     pairs = tx.groupBy("repo_id").agg(F.sum(F.col("k").cast("bigint") * (F.col("k") - 1)).alias("pair_observations"))
-    distinct = tx.select("repo_id", "components", F.explode("components").alias("a")).select("repo_id", "a", F.explode("components").alias("b")).where("a != b").distinct()
-    distinct = distinct.groupBy("repo_id").agg(F.count("*").alias("unique_pairs"))
-    rows = report.groupBy("repo_id").agg(F.count("*").alias("report_rows"))
-    out = None
-    for df in (n_events, n_paths, widest, parts, pairs, distinct, rows):
-        out = said(df) if out is None else out.union(said(df))
+    out = _observed(n_events)
+    for df in (n_paths, widest, parts, pairs):
+        out = out.union(_observed(df))
     return out
 
 
+def pair_counts(pairs: DataFrame) -> DataFrame:
+    """(repo_id, id, observed): the distinct pairs, from pair_stats()."""
+    return _observed(pairs.select("repo_id", "a", "b").distinct().groupBy("repo_id").agg(F.count("*").alias("unique_pairs")))
+
+
+def report_row_counts(parts: list[DataFrame]) -> DataFrame:
+    """(repo_id, id, observed): the records of all kinds that a report would hold."""
+    each = None
+    for df in parts:
+        n = df.groupBy("repo_id").agg(F.count("*").alias("n"))
+        each = n if each is None else each.union(n)
+    return _observed(each.groupBy("repo_id").agg(F.sum("n").alias("report_rows")))
+
+
 def budget_check(counts: DataFrame, limits: dict[str, int] = LIMITS) -> DataFrame:
     """(repo_id, id, observed, limit, outcome, failure)."""
     limit = F.coalesce(*[F.when(F.col("id") == k, F.lit(v)) for k, v in limits.items()]).cast("bigint")
@@ -195,3 +229,16 @@ def budget_check(counts: DataFrame, limits: dict[str, int] = LIMITS) -> DataFram
 def within_budget(df: DataFrame, checked: DataFrame) -> DataFrame:
     """Rows of df whose repositories exceeded no limit: one over a limit fails as a whole, nothing of it is cut."""
     return df.join(checked.where("outcome = 'fail'").select("repo_id").distinct(), "repo_id", "left_anti")
+
+
+def guarded_pairs(events: DataFrame, paths: DataFrame, tx: DataFrame, limits: dict[str, int] = LIMITS, made: Observation | None = None) -> tuple[DataFrame, DataFrame]:
+    """(pairs, checked): pair_stats() of the repositories within all limits, and what was checked of every repository. A
+    repository over a limit that can be told from its events, paths and components never reaches the pair step; one over
+    the limit of distinct pairs goes no further. `made` observes how many transactions and pairs that step takes."""
+    checked = stored(budget_check(work_counts(events, paths, tx), limits))
+    taken = within_budget(tx, checked)
+    if made is not None:
+        taken = taken.observe(made, F.count("*").alias("transactions"), F.sum(F.col("k").cast("bigint") * (F.col("k") - 1)).alias("pairs"))
+    pairs = stored(pair_stats(taken))
+    checked = checked.union(budget_check(pair_counts(pairs), limits))
+    return within_budget(pairs, checked), checked

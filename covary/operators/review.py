@@ -55,16 +55,34 @@ def label_precision(labels: DataFrame) -> DataFrame:
     return g.withColumn("outcome", outcome)
 
 
-def adoption_gate(log: DataFrame, need: int = 3, within: float = 600.0) -> DataFrame:
-    """log(repo_id, elapsed, useful, interrupted): seconds to the need-th useful acceptance and the outcome."""
-    w = Window.partitionBy("repo_id").orderBy("elapsed")
-    nth = log.where("useful").withColumn("nth", F.row_number().over(w)).where(F.col("nth") == need).select("repo_id", F.col("elapsed").alias("reached"))
-    g = log.groupBy("repo_id").agg(F.count("*").alias("proposals"), F.bool_or("interrupted").alias("interrupted")).join(nth, "repo_id", "left")
+def adoption_gate(log: DataFrame, need: int = 3, within: float = 600.0, by: tuple[str, ...] = ("repo_id",)) -> DataFrame:
+    """log(repo_id, elapsed, useful, interrupted): seconds to the need-th useful acceptance and the outcome, for each
+    value of `by`."""
+    nth = F.row_number().over(Window.partitionBy(*by).orderBy("elapsed"))
+    nth = log.where("useful").withColumn("nth", nth).where(F.col("nth") == need).select(*by, F.col("elapsed").alias("reached"))
+    g = log.groupBy(*by).agg(F.count("*").alias("proposals"), F.bool_or("interrupted").alias("interrupted")).join(nth, list(by), "left")
     outcome = F.when(F.col("interrupted"), "inconclusive").when(F.coalesce(F.col("reached") <= within, F.lit(False)) & (F.col("proposals") >= need), "pass").otherwise("fail")
-    return g.select("repo_id", "proposals", "reached", outcome.alias("outcome"))
+    return g.select(*by, "proposals", "reached", outcome.alias("outcome"))
 
 
-def lane_outcome(dimensions: DataFrame) -> DataFrame:
-    """dimensions(repo_id, lane, outcome) -> the outcome of each lane and, as lane `overall`, of all."""
-    lanes = conjunctive_outcome(dimensions, ["repo_id", "lane"])
-    return lanes.unionByName(conjunctive_outcome(dimensions, ["repo_id"]).withColumn("lane", F.lit("overall")))
+#: What each lane must pass: all of it, and overall both lanes.
+LANES = {"inferred": ("candidate_precision", "deviation_precision", "adoption", "rediscovery"), "profile": ("adoption",)}
+
+
+def lane_dimensions(precision: DataFrame, adoption: DataFrame, rediscovery: DataFrame) -> DataFrame:
+    """(repo_id, lane, dimension, outcome) from label_precision(), adoption_gate() by lane and (repo_id, rediscovered)."""
+    found = F.when(F.col("rediscovered"), "pass").otherwise("fail")
+    return (
+        precision.select("repo_id", F.lit("inferred").alias("lane"), F.concat("unit_kind", F.lit("_precision")).alias("dimension"), "outcome")
+        .union(adoption.select("repo_id", "lane", F.lit("adoption"), "outcome"))
+        .union(rediscovery.select("repo_id", F.lit("inferred"), F.lit("rediscovery"), found))
+    )
+
+
+def lane_outcome(dimensions: DataFrame, lanes: dict[str, tuple[str, ...]] = LANES) -> DataFrame:
+    """dimensions(repo_id, lane, dimension, outcome) -> the outcome of each lane and, as lane `overall`, of both. A
+    dimension that is required and absent is inconclusive, so that neither lane makes up for the other."""
+    required = F.explode(F.array(*[F.struct(F.lit(k).alias("lane"), F.lit(d).alias("dimension")) for k, ds in lanes.items() for d in ds])).alias("x")
+    every = dimensions.select("repo_id").distinct().select("repo_id", required).select("repo_id", "x.*")
+    rows = every.join(dimensions, ["repo_id", "lane", "dimension"], "left").fillna("inconclusive", ["outcome"])
+    return conjunctive_outcome(rows, ["repo_id", "lane"]).unionByName(conjunctive_outcome(rows, ["repo_id"]).withColumn("lane", F.lit("overall")))

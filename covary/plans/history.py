@@ -14,13 +14,18 @@ from covary.sources.store import stored
 
 #: Parts and suppliers of a repository's tree and modules: the repositories grow with the tables.
 PARTS, MODULES = 140, 7
+#: Where a history with drift changes, in hundredths of its events, and by how many eightieths exceptions are more
+#: frequent before.
+DRIFT, LOOSER = 55, 6
 
 
 class History:
     """The derived frames; each is built once per object and shared by the plans that use it."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, path_limit: int = normalize.PATH_LIMIT, component_limit: int = normalize.COMPONENT_LIMIT, repo: str = "n_regionkey"):
-        self.spark, self.dir, self.limits, self.repo = spark, sf_dir, (path_limit, component_limit), repo
+    def __init__(self, spark: SparkSession, sf_dir: str, path_limit: int = normalize.PATH_LIMIT, component_limit: int = normalize.COMPONENT_LIMIT, repo: str = "n_regionkey", drift: bool = False):
+        """drift: behind DRIFT hundredths of its events a repository has no exceptions from the planted rule any more, and
+        before it has more of them."""
+        self.spark, self.dir, self.limits, self.repo, self.drift = spark, sf_dir, (path_limit, component_limit), repo, drift
 
     def still_there(self) -> bool:
         """Whether what was stored hasn't been removed from the shared folder."""
@@ -47,7 +52,9 @@ class History:
     def all_changes(self) -> DataFrame:
         """Change records, those of root events included."""
         li, p = self.table("lineitem"), self.table("part")
-        j = li.join(p, li.l_partkey == p.p_partkey).withColumn("N", F.regexp_extract("p_brand", "([0-9]+)", 1).cast("int"))
+        n = self.events.groupBy("repo_id").agg(F.count("*").alias("n_events"))
+        late = self.events.join(n, "repo_id").where(F.lit(self.drift) & (F.col("seq") * 100 > F.col("n_events") * DRIFT)).select(F.col("o_orderkey").alias("l_orderkey"), F.lit(True).alias("late"))
+        j = li.join(p, li.l_partkey == p.p_partkey).join(late, "l_orderkey", "left").withColumn("N", F.regexp_extract("p_brand", "([0-9]+)", 1).cast("int"))
         status = F.when(F.col("l_returnflag") == "A", "A").when(F.col("l_returnflag") == "N", "M").otherwise("D")
         brand = F.concat(F.lit("b"), F.col("N"))
 
@@ -55,7 +62,7 @@ class History:
             return F.when(where, F.struct(path.alias("path"), status.alias("status"), F.lit(mode).alias("dst_mode")))
 
         branches = F.array(
-            branch((F.col("l_orderkey") * 7 + F.col("l_partkey") * 13) % 80 >= F.col("N"), F.concat(F.lit("svc/"), brand, F.lit("/"), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit(".go"))),
+            branch(((F.col("l_orderkey") * 7 + F.col("l_partkey") * 13) % 80 >= F.col("N") + (LOOSER if self.drift else 0)) | F.col("late"), F.concat(F.lit("svc/"), brand, F.lit("/"), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit(".go"))),
             branch((F.col("p_size") <= 25) & (F.col("l_orderkey") % 10 != 0), F.concat(F.lit("charts/"), brand, F.lit("/values.yaml"))),
             branch(F.col("p_type") == "PROMO", F.concat(F.lit("vendor/"), F.col("p_type"), F.lit("/lib.go"))),
             branch(F.col("l_quantity") >= 50, F.concat(F.lit("modules/s"), F.col("l_suppkey")), mode="160000"),
@@ -128,6 +135,17 @@ class History:
     def displayed(self) -> DataFrame:
         return stored(mining.display(self.tx, self.grid))
 
+    @cached_property
+    def displayed_all(self) -> DataFrame:
+        """What every configuration of the grid displays."""
+        return stored(mining.display(self.tx, self.full_grid))
+
+    @cached_property
+    def roles(self) -> DataFrame:
+        """Every third repository is a template's offspring, the others are young ones."""
+        role = F.when(F.col("repo_id").cast("int") % 3 == 0, "template_origin").otherwise("young")
+        return self.events.select("repo_id", role.alias("role")).distinct()
+
     @cached_property
     def calibrated(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         """Metrics, gains and displayed candidates of the whole grid."""
@@ -181,4 +199,5 @@ class History:
         e = self.table("events")
         at = F.unix_micros(F.col("ts").cast("timestamp"))
         elapsed = at - F.min(at).over(Window.partitionBy("user_id"))
-        return e.select(F.col("user_id").cast("string").alias("repo_id"), (elapsed / 1e6 / 3600).alias("elapsed"), (F.col("event_type") == "purchase").alias("useful"), ((F.col("event_type") == "error") & (F.col("value") > 99)).alias("interrupted"), "event_id")
+        lane = F.when(F.col("event_id") % 2 == 0, "inferred").otherwise("profile")
+        return e.select(F.col("user_id").cast("string").alias("repo_id"), lane.alias("lane"), (elapsed / 1e6 / 3600).alias("elapsed"), (F.col("event_type") == "purchase").alias("useful"), ((F.col("event_type") == "error") & (F.col("value") > 99)).alias("interrupted"), "event_id")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from covary.functions.scalars import CANDIDATE_TAG, REVIEW_TAG, SHUFFLE_TAG
 from covary.operators.calibrate import GAIN
 from covary.operators.mining import CONFIDENCES, DEFAULT, LIFTS, OPPORTUNITIES
+from covary.plans.history import DRIFT, LOOSER
 from covary.operators.profiles import CORE, FRAMEWORKS, GENERIC, IDIOMATIC, LAYERS, RULES
 
 B64 = "replace(replace(replace(base64(encode({0})), '=', ''), '+', '-'), '/', '_')"
@@ -29,8 +30,9 @@ def fold(keys: str, source: str, raw: str, value: str) -> str:
     )
 
 
-def history(path_limit: int = 2000, component_limit: int = 100, shuffled: bool = False, grid: str = "one", unit: bool = False, repo: str = "n_regionkey") -> str:
-    """The CTEs. grid: one, or all 81 configurations; unit: non-unit configurations under unit weight."""
+def history(path_limit: int = 2000, component_limit: int = 100, shuffled: bool = False, grid: str = "one", unit: bool = False, repo: str = "n_regionkey", drift: bool = False, untrained: bool = False) -> str:
+    """The CTEs. grid: one, or all 81 configurations; unit: non-unit configurations under unit weight; untrained: no
+    transaction at all."""
     order = "row_number() OVER (PARTITION BY repo_id ORDER BY " + (nul(f"'{SHUFFLE_TAG}'", "tip", "event_id") + ", event_id" if shuffled else "seq") + ")"
     only = f"WHERE config_id = '{DEFAULT}'" if grid == "one" else ""
     values = lambda xs, f="{}": ", ".join(f"({f.format(x)})" for x in xs)
@@ -46,9 +48,9 @@ WITH ev0 AS (
   FROM ev0
 ), lp AS (
   SELECT *, CAST(regexp_extract(p_brand, '([0-9]+)', 1) AS INT) AS bn, CASE l_returnflag WHEN 'A' THEN 'A' WHEN 'N' THEN 'M' ELSE 'D' END AS status
-  FROM lineitem JOIN part ON l_partkey = p_partkey
+  FROM lineitem JOIN part ON l_partkey = p_partkey JOIN (SELECT okey, seq, n FROM events) e ON l_orderkey = e.okey
 ), raw AS (
-  SELECT l_orderkey AS okey, 'svc/b' || bn || '/' || replace(p_name, ' ', '_') || '.go' AS path, status, '100644' AS dst_mode FROM lp WHERE (l_orderkey * 7 + l_partkey * 13) % 80 >= bn
+  SELECT l_orderkey AS okey, 'svc/b' || bn || '/' || replace(p_name, ' ', '_') || '.go' AS path, status, '100644' AS dst_mode FROM lp WHERE (l_orderkey * 7 + l_partkey * 13) % 80 >= bn {f"+ {LOOSER} OR seq * 100 > n * {DRIFT}" if drift else ""}
   UNION ALL SELECT l_orderkey, 'charts/b' || bn || '/values.yaml', status, '100644' FROM lp WHERE p_size <= 25 AND l_orderkey % 10 <> 0
   UNION ALL SELECT l_orderkey, 'vendor/' || p_type || '/lib.go', status, '100644' FROM lp WHERE p_type = 'PROMO'
   UNION ALL SELECT l_orderkey, 'modules/s' || l_suppkey, status, '160000' FROM lp WHERE l_quantity >= 50
@@ -83,7 +85,7 @@ WITH ev0 AS (
 ), sl AS (
   SELECT repo_id, event_id, pos, n, kind, 1 + CAST(pos > n * 60 // 100 AS INT) + CAST(pos > n * 70 // 100 AS INT) + CAST(pos > n * 80 // 100 AS INT) + CAST(pos > n * 90 // 100 AS INT) AS slice FROM ord
 ), tx AS (
-  SELECT tx0.*, slice FROM tx0 JOIN sl ON tx0.repo_id = sl.repo_id AND tx0.event_id = sl.event_id
+  SELECT tx0.*, slice FROM tx0 JOIN sl ON tx0.repo_id = sl.repo_id AND tx0.event_id = sl.event_id {"WHERE false" if untrained else ""}
 ), xc AS (
   SELECT repo_id, event_id, seq, slice, k, components, unnest(components) AS a FROM tx
 ), cstat AS (
@@ -169,11 +171,19 @@ WITH ev0 AS (
 ), jac AS (
   SELECT c.repo_id, c.config_id, c.cutoff, CASE WHEN count(r1) + count(r2) > 0 THEN count_if(r1 IS NOT NULL AND r2 IS NOT NULL)::DOUBLE / count_if(r1 IS NOT NULL OR r2 IS NOT NULL) END AS jaccard
   FROM (SELECT * FROM cases, (VALUES (60), (70), (80)) AS t(cutoff)) c LEFT JOIN adj ON c.repo_id = adj.repo_id AND c.config_id = adj.config_id AND c.cutoff = adj.cutoff GROUP BY ALL
+), surv AS (
+  SELECT * FROM adj WHERE r1 IS NOT NULL AND r2 IS NOT NULL
+), tau AS (
+  SELECT c.repo_id, c.config_id, c.cutoff, CAST(coalesce(n, 0) AS INT) AS survivors, CASE WHEN n >= 2 THEN coalesce(t, 0)::DOUBLE / (n * (n - 1) / 2) END AS tau
+  FROM (SELECT * FROM cases, (VALUES (60), (70), (80)) AS v(cutoff)) c LEFT JOIN (SELECT repo_id, config_id, cutoff, count(*) AS n FROM surv GROUP BY ALL) m ON c.repo_id = m.repo_id AND c.config_id = m.config_id AND c.cutoff = m.cutoff
+  LEFT JOIN (SELECT x.repo_id, x.config_id, x.cutoff, sum(sign(y.r2 - x.r2)) AS t FROM surv x JOIN surv y ON x.repo_id = y.repo_id AND x.config_id = y.config_id AND x.cutoff = y.cutoff AND x.r1 < y.r1 GROUP BY ALL) t ON c.repo_id = t.repo_id AND c.config_id = t.config_id AND c.cutoff = t.cutoff
+), taus AS (
+  SELECT repo_id, config_id, max(tau) FILTER (cutoff = 60) AS tau_60, max(tau) FILTER (cutoff = 70) AS tau_70, max(tau) FILTER (cutoff = 80) AS tau_80 FROM tau GROUP BY ALL
 ), rm AS (
-  SELECT a.repo_id, a.config_id, micro, macro, CASE WHEN micro IS NULL THEN CASE WHEN displayed = 0 THEN 'no_candidates' ELSE 'no_opportunities' END END AS adherence_reason, coverage,
+  SELECT tau_60, tau_70, tau_80, a.repo_id, a.config_id, micro, macro, CASE WHEN micro IS NULL THEN CASE WHEN displayed = 0 THEN 'no_candidates' ELSE 'no_opportunities' END END AS adherence_reason, coverage,
          CASE WHEN coverage IS NULL THEN 'no_eligible_evaluation_events' END AS coverage_reason, least_covered, abstention, displayed, min_jaccard, n_jaccard,
          CASE WHEN min_jaccard IS NULL THEN 'empty_candidate_sets' END AS jaccard_reason
-  FROM abst a LEFT JOIN mm ON a.repo_id = mm.repo_id AND a.config_id = mm.config_id LEFT JOIN cov ON a.repo_id = cov.repo_id AND a.config_id = cov.config_id
+  FROM abst a LEFT JOIN taus ON a.repo_id = taus.repo_id AND a.config_id = taus.config_id LEFT JOIN mm ON a.repo_id = mm.repo_id AND a.config_id = mm.config_id LEFT JOIN cov ON a.repo_id = cov.repo_id AND a.config_id = cov.config_id
   LEFT JOIN (SELECT repo_id, config_id, min(jaccard) AS min_jaccard, count(jaccard) AS n_jaccard FROM jac GROUP BY ALL) j ON a.repo_id = j.repo_id AND a.config_id = j.config_id
 ), devs AS (
   SELECT ev.repo_id, config_id, ev.partition, ev.a, ev.b, xc.event_id FROM ev JOIN xc ON ev.repo_id = xc.repo_id AND ev.slice = xc.slice AND ev.a = xc.a WHERE NOT list_contains(components, b)
@@ -190,14 +200,14 @@ def sub(sql: str) -> str:
 
 MM = "SELECT repo_id, config_id, micro, macro FROM mm"
 R6 = lambda *cols: ", ".join(f"round({c}, 6) + 0.0::DOUBLE AS {c}" for c in cols)
-RM = f"repo_id, config_id, {R6('micro', 'macro')}, adherence_reason, {R6('coverage')}, coverage_reason, CAST(least_covered AS BIGINT) AS least_covered, abstention, displayed, {R6('min_jaccard')}, n_jaccard, jaccard_reason"
+RM = f"repo_id, config_id, {R6('micro', 'macro')}, adherence_reason, {R6('coverage')}, coverage_reason, CAST(least_covered AS BIGINT) AS least_covered, abstention, displayed, {R6('min_jaccard')}, n_jaccard, jaccard_reason, {R6('tau_60', 'tau_70', 'tau_80')}"
 SHOWN = f"SELECT repo_id, config_id, partition, rank, a, b, candidate_id, opportunity, support, {R6('weighted_exposure', 'weighted_support', 'confidence', 'prevalence', 'lift')} FROM shown"
 
 
-def gains(grid: str) -> str:
+def gains(grid: str, **of) -> str:
     """repo_id, config_id, baseline, micro_gain, macro_gain, reason"""
-    h = history(grid=grid)
-    unw, shuf = history(grid=grid, unit=True) + " " + MM, history(grid=grid, shuffled=True) + " " + MM
+    h = history(grid=grid, **of)
+    unw, shuf = history(grid=grid, unit=True, **of) + " " + MM, history(grid=grid, shuffled=True, **of) + " " + MM
     one = lambda name, src: (
         f"SELECT a.repo_id, a.config_id, '{name}' AS baseline, CASE WHEN '{name}' <> 'unweighted' OR g.weight <> 'unit' THEN m.micro - s.micro END AS micro_gain, "
         f"CASE WHEN '{name}' <> 'unweighted' OR g.weight <> 'unit' THEN m.macro - s.macro END AS macro_gain, "
@@ -207,9 +217,9 @@ def gains(grid: str) -> str:
     return f"{h}, unw AS {sub(unw)}, shuf AS {sub(shuf)}, gains AS ({one('frequent', 'freq_mm')} UNION ALL {one('unweighted', 'unw')} UNION ALL {one('shuffled', 'shuf')})"
 
 
-def gates(grid: str, role: str = "development") -> str:
+def gates(grid: str, role: str = "development", **of) -> str:
     need = lambda v, ok: f"CASE WHEN {v} IS NULL THEN 'inconclusive' WHEN {ok} THEN 'pass' ELSE 'fail' END"
-    return f"""{gains(grid)}, emitted AS (
+    return f"""{gains(grid, **of)}, emitted AS (
   SELECT r.repo_id, r.config_id, max(CASE WHEN f.transactions < 100 THEN 1 WHEN coalesce(s.c, 0) BETWEEN 1 AND 10 THEN 0 ELSE 2 END) AS s
   FROM rm r JOIN (SELECT repo_id, partition, sum(n) AS transactions FROM tcum WHERE partition < 100 GROUP BY ALL) f ON r.repo_id = f.repo_id
   LEFT JOIN (SELECT repo_id, config_id, partition, count(*) AS c FROM shown GROUP BY ALL) s ON r.repo_id = s.repo_id AND r.config_id = s.config_id AND f.partition = s.partition GROUP BY ALL
@@ -254,11 +264,15 @@ LABELS = """WITH l00 AS (
          CASE WHEN count(*) < CASE unit_kind WHEN 'candidate' THEN 8 ELSE 10 END THEN 'inconclusive' WHEN count_if(label = CASE unit_kind WHEN 'candidate' THEN 'decision' ELSE 'review-worthy' END) >= 6 THEN 'pass' ELSE 'fail' END AS outcome
   FROM rl GROUP BY repo_id, unit_kind
 ), acc AS (
-  SELECT CAST(user_id AS VARCHAR) AS repo_id, (epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY user_id)) / 1e6::DOUBLE / 3600 AS elapsed, event_type = 'purchase' AS useful, event_type = 'error' AND value > 99 AS interrupted, event_id FROM events
+  SELECT CAST(user_id AS VARCHAR) AS repo_id, (epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY user_id)) / 1e6::DOUBLE / 3600 AS elapsed, event_type = 'purchase' AS useful, event_type = 'error' AND value > 99 AS interrupted, event_id, CASE WHEN event_id % 2 = 0 THEN 'inferred' ELSE 'profile' END AS lane FROM events
 ), adop AS (
   SELECT a.repo_id, a.proposals, n.elapsed AS reached, CASE WHEN a.interrupted THEN 'inconclusive' WHEN coalesce(n.elapsed <= 600, false) AND proposals >= 3 THEN 'pass' ELSE 'fail' END AS outcome
   FROM (SELECT repo_id, count(*) AS proposals, bool_or(interrupted) AS interrupted FROM acc GROUP BY ALL) a
   LEFT JOIN (SELECT repo_id, elapsed, row_number() OVER (PARTITION BY repo_id ORDER BY elapsed) AS k FROM acc WHERE useful) n ON a.repo_id = n.repo_id AND n.k = 3
+), lanes AS (
+  SELECT a.repo_id, a.lane, CASE WHEN a.interrupted THEN 'inconclusive' WHEN coalesce(n.elapsed <= 600, false) AND proposals >= 3 THEN 'pass' ELSE 'fail' END AS outcome
+  FROM (SELECT repo_id, lane, count(*) AS proposals, bool_or(interrupted) AS interrupted FROM acc GROUP BY ALL) a
+  LEFT JOIN (SELECT repo_id, lane, elapsed, row_number() OVER (PARTITION BY repo_id, lane ORDER BY elapsed) AS k FROM acc WHERE useful) n ON a.repo_id = n.repo_id AND a.lane = n.lane AND n.k = 3
 )"""
 
 _in = lambda xs: ", ".join(f"'{x}'" for x in xs)

@@ -296,18 +296,40 @@ def _(h):
     return six(h.metrics, "weighted_exposure", "weighted_support", "confidence", "prevalence", "lift")
 
 
+#: A limit that some repositories exceed before any pair is made, and one that none quite reaches.
+_TIGHT = mining.LIMITS | {"events": 3000, "unique_pairs": 2550}
 _WORK = f"""{H}, obs AS (
   SELECT repo_id, 'events' AS id, count(*) AS observed FROM events GROUP BY ALL UNION ALL SELECT repo_id, 'unique_paths', count(DISTINCT path) FROM dedup GROUP BY ALL
   UNION ALL SELECT repo_id, 'unique_components', count(DISTINCT a) FROM xc GROUP BY ALL UNION ALL SELECT repo_id, 'pair_observations', CAST(sum(k * (k - 1)) AS BIGINT) FROM tx GROUP BY ALL
-  UNION ALL SELECT repo_id, 'unique_pairs', count(DISTINCT (a, b)) FROM pstat GROUP BY ALL
-  UNION ALL SELECT repo_id, 'paths_per_event', max(n) FROM (SELECT repo_id, count(*) AS n FROM dedup GROUP BY repo_id, event_id) GROUP BY ALL UNION ALL SELECT repo_id, 'report_rows', count(*) FROM shown GROUP BY ALL), lim(id, "limit") AS (VALUES ('events', 200000), ('unique_paths', 2000000), ('unique_components', 10), ('pair_observations', 20000000), ('unique_pairs', 2000000), ('paths_per_event', 2000), ('report_rows', 100000))
-SELECT repo_id, obs.id, observed, CAST("limit" AS BIGINT) AS "limit", CASE WHEN observed > "limit" THEN 'fail' ELSE 'pass' END AS outcome, CASE WHEN observed > "limit" THEN 'budget_' || obs.id END AS failure FROM obs JOIN lim ON obs.id = lim.id"""
+  UNION ALL SELECT repo_id, 'paths_per_event', max(n) FROM (SELECT repo_id, count(*) AS n FROM dedup GROUP BY repo_id, event_id) GROUP BY ALL
+), lim(id, "limit") AS (VALUES {', '.join(map(str, _TIGHT.items()))}), early AS (
+  SELECT DISTINCT repo_id FROM obs JOIN lim ON obs.id = lim.id WHERE observed > "limit"
+), upairs AS (
+  SELECT repo_id, 'unique_pairs' AS id, count(DISTINCT (a, b)) AS observed FROM pstat WHERE repo_id NOT IN (FROM early) GROUP BY ALL
+), late AS (
+  SELECT repo_id FROM early UNION SELECT repo_id FROM upairs WHERE observed > {_TIGHT["unique_pairs"]}
+), report AS (
+  SELECT repo_id, 'report_rows' AS id, count(*) AS observed FROM (
+    SELECT repo_id FROM cuts WHERE percentile < 100 UNION ALL SELECT repo_id FROM shown UNION ALL SELECT repo_id FROM rm UNION ALL SELECT repo_id FROM jac UNION ALL SELECT repo_id FROM tau
+    UNION ALL SELECT repo_id FROM (SELECT repo_id, scope, reason FROM (SELECT repo_id, 'event' AS scope, outcome AS reason, 1 AS n FROM classified WHERE outcome <> 'eligible' UNION ALL SELECT repo_id, 'path', 'vendor_path', n_vendor FROM classified WHERE outcome NOT IN ('root_event', 'event_path_limit') UNION ALL SELECT repo_id, 'path', 'gitlink_path', n_gitlink FROM classified WHERE outcome NOT IN ('root_event', 'event_path_limit')) GROUP BY ALL HAVING sum(n) > 0)
+    UNION ALL SELECT repo_id FROM repos, range({len(report.LIMITATIONS)})
+  ) WHERE repo_id NOT IN (FROM late) GROUP BY ALL
+)
+SELECT repo_id, x.id, observed, CAST("limit" AS BIGINT) AS "limit", CASE WHEN observed > "limit" THEN 'fail' ELSE 'pass' END AS outcome, CASE WHEN observed > "limit" THEN 'budget_' || x.id END AS failure
+FROM (FROM obs UNION ALL FROM upairs UNION ALL FROM report) x JOIN lim ON x.id = lim.id"""
 
 
 @query("AGG7_budget_check", _WORK)
 def _(h):
     paths = normalize.dedup_paths(h.changes).select("repo_id", "event_id", "path")
-    return mining.budget_check(mining.work_counts(h.events, paths, h.tx, h.displayed), mining.LIMITS | {"unique_components": 10})
+    pairs, checked = mining.guarded_pairs(h.events, paths, h.tx, _TIGHT)
+    tx = stored(mining.within_budget(h.tx, checked))
+    comp = mining.component_stats(tx)
+    shown = stored(mining.displayed(mining.pair_metrics(pairs, comp, mining.totals(tx)), h.grid))
+    limits = h.tips.select("repo_id", F.explode(F.array(*map(F.lit, report.LIMITATIONS))))
+    parts = [partitions.cutoffs(h.events), shown, evaluate.repository_metrics(shown, tx, comp, pairs, h.grid), evaluate.adjacent_jaccard(shown, tx, h.grid), evaluate.kendall_tau_b(shown, tx, h.grid), normalize.exclusion_counts(h.classified), limits]
+    rows = mining.within_budget(mining.report_row_counts(parts), checked)
+    return checked.union(mining.budget_check(rows, _TIGHT))
 
 
 # ---------------------------------------------------------------- candidates
@@ -338,7 +360,7 @@ def _(h):
 
 @query("CND5_final_proposal", f"{o.history(grid='all')} {o.SHOWN} WHERE partition = 100")
 def _(h):
-    return six(mining.final_proposal(mining.display(h.tx, h.full_grid)).select(*_SHOWN), *_SHOWN[-5:])
+    return six(mining.final_proposal(h.displayed_all).select(*_SHOWN), *_SHOWN[-5:])
 
 
 @query("CND6_candidate_id", f"{H} SELECT DISTINCT a, b, {o.nul(repr(sc.CANDIDATE_TAG), repr('inferred'), o.b64('a'), o.b64('b'))} AS candidate_id FROM pstat")
@@ -349,6 +371,10 @@ def _(h):
 _WANT = [("config-chart", "svc/b1", "charts/b1", "svc/b1/red_widget.go", "charts/b1/values.yaml"), ("chart-config", "charts/b2", "svc/b2", "charts/b2/values.yaml", "svc/b2/red_widget.go"), ("unseen", "charts/b2", "nowhere", "charts/b2/values.yaml", "nowhere/x")]
 
 
+def _expected(h: History) -> DataFrame:
+    return h.spark.createDataFrame(_WANT, "id string, a string, b string, path_a string, path_b string")
+
+
 @query("CND7_preregistered_check", f"""{H}, want(id, a, b, path_a, path_b) AS (VALUES {', '.join(map(str, _WANT))}), j AS (
   SELECT r.repo_id, g.config_id, w.id, w.a, w.b, w.path_a, w.path_b, coalesce(m.opportunity, 0) AS opportunity, coalesce(m.support, 0) AS support, m.confidence, m.lift, g.min_opportunity, g.min_confidence, g.min_lift
   FROM repos r CROSS JOIN want w CROSS JOIN grid g LEFT JOIN metrics m ON m.partition = 100 AND m.repo_id = r.repo_id AND m.weight = g.weight AND m.a = w.a AND m.b = w.b), x AS (
@@ -357,8 +383,7 @@ SELECT repo_id, config_id, id, a, b, opportunity, support, {o.R6('confidence', '
   EXISTS (SELECT 1 FROM shown s WHERE s.partition = 100 AND s.repo_id = x.repo_id AND s.config_id = x.config_id AND s.a = x.a AND s.b = x.b)
   AND EXISTS (SELECT 1 FROM evid p JOIN evid q ON p.repo_id = q.repo_id AND p.event_id = q.event_id WHERE p.repo_id = x.repo_id AND p.path = x.path_a AND q.path = x.path_b) AS rediscovered FROM x""")
 def _(h):
-    want = h.spark.createDataFrame(_WANT, "id string, a string, b string, path_a string, path_b string")
-    return six(mining.preregistered_check(h.metrics, h.displayed, h.evidence, h.grid, want), "confidence", "lift")
+    return six(mining.preregistered_check(h.metrics, h.displayed, h.evidence, h.grid, _expected(h)), "confidence", "lift")
 
 
 # ---------------------------------------------------------------- evidence
@@ -391,7 +416,7 @@ def _(h):
 
 @query("EVL2_micro_macro", f"{o.history(grid='all')} SELECT repo_id, config_id, {o.R6('micro', 'macro')}, round(1 - micro, 6) AS deviation FROM mm")
 def _(h):
-    return six(evaluate.micro_macro(evaluate.holdout_counts(mining.display(h.tx, h.full_grid), h.components, h.pairs)), "micro", "macro", "deviation")
+    return six(evaluate.micro_macro(evaluate.holdout_counts(h.displayed_all, h.components, h.pairs)), "micro", "macro", "deviation")
 
 
 @query("EVL3_coverage", f"{H} SELECT repo_id, config_id, slice, eligible, covered FROM wcov")
@@ -401,7 +426,7 @@ def _(h):
 
 @query("EVL4_cutoff_abstention", f"{o.history(grid='all')} SELECT * FROM abst")
 def _(h):
-    return evaluate.cutoff_abstention(mining.display(h.tx, h.full_grid), h.tx, h.full_grid)
+    return evaluate.cutoff_abstention(h.displayed_all, h.tx, h.full_grid)
 
 
 @query("EVL5_adjacent_jaccard", f"{H} SELECT repo_id, config_id, cutoff, round(jaccard, 6) AS jaccard, CASE WHEN jaccard IS NULL THEN 'empty_candidate_sets' END AS reason FROM jac")
@@ -409,7 +434,7 @@ def _(h):
     return six(evaluate.adjacent_jaccard(h.displayed, h.tx, h.grid), "jaccard")
 
 
-@query("EVL6_kendall_tau_b", f"{H}, s AS (SELECT * FROM adj WHERE r1 IS NOT NULL AND r2 IS NOT NULL), n AS (SELECT repo_id, config_id, cutoff, count(*) AS n FROM s GROUP BY ALL), t AS (SELECT x.repo_id, x.config_id, x.cutoff, sum(sign(y.r2 - x.r2)) AS t FROM s x JOIN s y ON x.repo_id = y.repo_id AND x.config_id = y.config_id AND x.cutoff = y.cutoff AND x.r1 < y.r1 GROUP BY ALL) SELECT c.repo_id, c.config_id, c.cutoff, CAST(coalesce(n, 0) AS INT) AS survivors, round(CASE WHEN n >= 2 THEN t::DOUBLE / (n * (n - 1) / 2) END, 6) AS tau, CASE WHEN coalesce(n, 0) < 2 THEN 'insufficient_rank_overlap' END AS reason FROM (SELECT * FROM cases, (VALUES (60), (70), (80)) AS v(cutoff)) c LEFT JOIN n ON c.repo_id = n.repo_id AND c.config_id = n.config_id AND c.cutoff = n.cutoff LEFT JOIN t ON c.repo_id = t.repo_id AND c.config_id = t.config_id AND c.cutoff = t.cutoff")
+@query("EVL6_kendall_tau_b", f"{H} SELECT repo_id, config_id, cutoff, survivors, round(tau, 6) + 0.0::DOUBLE AS tau, CASE WHEN survivors < 2 THEN 'insufficient_rank_overlap' END AS reason FROM tau")
 def _(h):
     return six(evaluate.kendall_tau_b(h.displayed, h.tx, h.grid), "tau")
 
@@ -420,8 +445,8 @@ def _(h):
 
 
 def _metrics(h: History, grid: DataFrame) -> DataFrame:
-    shown = stored(mining.display(h.tx, grid))
-    return six(evaluate.repository_metrics(shown, h.tx, h.components, h.pairs, grid), "micro", "macro", "coverage", "min_jaccard")
+    shown = h.displayed_all if grid is h.full_grid else h.displayed
+    return six(evaluate.repository_metrics(shown, h.tx, h.components, h.pairs, grid), "micro", "macro", "coverage", "min_jaccard", "tau_60", "tau_70", "tau_80")
 
 
 @query("EVL8_repository_metrics", f"{o.history(grid='all')} SELECT {o.RM} FROM rm")
@@ -447,7 +472,7 @@ def _(h):
     return six(mining.display(h.shuffled_tx, h.grid).select(*_SHOWN), *_SHOWN[-5:])
 
 
-@query("BAS4_no_history_control", f"{H} SELECT repo_id, count(*) AS transactions, CAST(0 AS BIGINT) AS candidates, 'pass' AS outcome FROM tx GROUP BY ALL")
+@query("BAS4_no_history_control", f"{H}, none AS ({o.history(untrained=True)} SELECT repo_id, count(*) AS candidates FROM shown GROUP BY ALL) SELECT t.repo_id, count(*) AS transactions, max(coalesce(candidates, 0)) AS candidates, CASE WHEN max(coalesce(candidates, 0)) = 0 THEN 'pass' ELSE 'fail' END AS outcome FROM tx t LEFT JOIN none ON t.repo_id = none.repo_id GROUP BY ALL")
 def _(h):
     return baselines.no_history_outcomes(h.tx, h.grid)
 
@@ -457,9 +482,13 @@ def _(h):
     return six(calibrate.calibrate(h.events, h.transactions, h.grid)[1], "micro_gain", "macro_gain")
 
 
-@query("BAS6_control_outcomes", f"{o.history(repo='n_nationkey')} SELECT e.repo_id, 'young' AS control, coalesce(s.n, 0) AS observed, CASE WHEN coalesce(s.n, 0) = 0 THEN 'pass' ELSE 'fail' END AS outcome FROM (SELECT repo_id FROM events GROUP BY ALL HAVING count(*) < 100) e LEFT JOIN (SELECT repo_id, count(*) AS n FROM shown GROUP BY ALL) s ON e.repo_id = s.repo_id UNION ALL SELECT DISTINCT repo_id, 'template_origin', 0, 'pass' FROM events", repo="n_nationkey")
+_CONTROLS = """SELECT r.repo_id, role AS control, coalesce(c.n, 0) AS observed, CASE WHEN coalesce(c.n, 0) = 0 THEN 'pass' ELSE 'fail' END AS outcome FROM (SELECT DISTINCT repo_id, CASE WHEN CAST(repo_id AS INT) % 3 = 0 THEN 'template_origin' ELSE 'young' END AS role FROM events) r
+LEFT JOIN (SELECT 'young' AS kind, repo_id, count(*) AS n FROM shown GROUP BY ALL UNION ALL SELECT 'template_origin', t.repo_id, count(*) FROM tx t JOIN events e ON t.repo_id = e.repo_id AND t.event_id = e.event_id WHERE e.kind = 'root' GROUP BY ALL) c ON r.role = c.kind AND r.repo_id = c.repo_id"""
+
+
+@query("BAS6_control_outcomes", f"{o.history(repo='n_nationkey')} {_CONTROLS}", repo="n_nationkey")
 def _(h):
-    return baselines.control_outcomes(h.displayed, h.events, h.tx)
+    return baselines.control_outcomes(h.displayed, h.tx, h.events, h.roles)
 
 
 # ---------------------------------------------------------------- calibration
@@ -473,6 +502,11 @@ def _(h):
     return six(metrics.join(one, ["repo_id", "config_id"]).select("repo_id", "config_id", *cols), *cols)
 
 
+@query("CAL1_calibrate_controls", f"{o.history(repo='n_nationkey')}, none AS ({o.history(untrained=True, repo='n_nationkey')} SELECT repo_id, count(*) AS candidates FROM shown GROUP BY ALL) {_CONTROLS} UNION ALL SELECT DISTINCT t.repo_id, 'no_history', coalesce(candidates, 0), CASE WHEN coalesce(candidates, 0) = 0 THEN 'pass' ELSE 'fail' END FROM tx t LEFT JOIN none ON t.repo_id = none.repo_id", repo="n_nationkey")
+def _(h):
+    return calibrate.calibration_controls(h.events, h.tx, h.displayed, h.grid, h.roles)
+
+
 def _gates(h: History, grid: DataFrame, role: str = "development"):
     metrics, gains, shown = h.calibrated
     floor = mining.inference_floor(mining.cumulative_training(mining.totals(h.tx)))
@@ -494,14 +528,14 @@ def _(h):
     return calibrate.conjunctive_outcome(_gates(h, h.full_grid)[2], ["repo_id", "config_id"])
 
 
-#: The derived history has no drift, so its shuffled control can't be beaten, and only that gate is left out here.
-_REQUIRED = ["candidate_count", "coverage", "window_coverage", "gain_frequent", "not_below_unweighted", "stability"]
+_SELECTED = f"ok AS (SELECT config_id, {o.WORST} FROM gates GROUP BY config_id) SELECT config_id, {o.R6('worst_gain', 'worst_coverage', 'min_jaccard')} FROM (SELECT ok.config_id, w.worst_gain, l.worst_coverage, l.min_jaccard, g.weight, min_opportunity, min_confidence, min_lift FROM ok JOIN (SELECT config_id, min(least(micro_gain, macro_gain)) AS worst_gain FROM gains WHERE baseline = 'frequent' GROUP BY ALL) w ON ok.config_id = w.config_id JOIN (SELECT config_id, min(coverage) AS worst_coverage, min(min_jaccard) AS min_jaccard FROM rm GROUP BY ALL) l ON ok.config_id = l.config_id JOIN grid g ON ok.config_id = g.config_id WHERE outcome = 'pass') ORDER BY round(worst_gain, 9) DESC NULLS LAST, round(worst_coverage, 9) DESC NULLS LAST, round(min_jaccard, 9) DESC NULLS LAST, CASE weight WHEN 'unit' THEN 1 WHEN 'inverse-component' THEN 2 ELSE 3 END, min_opportunity, min_confidence, min_lift, config_id LIMIT 1"
 
 
-@query("CAL4_select_configuration", f"{o.gates('all')}, ok AS (SELECT config_id, {o.WORST} FROM gates WHERE gate IN ({o._in(_REQUIRED)}) GROUP BY config_id) SELECT config_id, {o.R6('worst_gain', 'worst_coverage', 'min_jaccard')} FROM (SELECT ok.config_id, w.worst_gain, l.worst_coverage, l.min_jaccard, g.weight, min_opportunity, min_confidence, min_lift FROM ok JOIN (SELECT config_id, min(least(micro_gain, macro_gain)) AS worst_gain FROM gains WHERE baseline = 'frequent' GROUP BY ALL) w ON ok.config_id = w.config_id JOIN (SELECT config_id, min(coverage) AS worst_coverage, min(min_jaccard) AS min_jaccard FROM rm GROUP BY ALL) l ON ok.config_id = l.config_id JOIN grid g ON ok.config_id = g.config_id WHERE outcome = 'pass') ORDER BY round(worst_gain, 9) DESC NULLS LAST, round(worst_coverage, 9) DESC NULLS LAST, round(min_jaccard, 9) DESC NULLS LAST, CASE weight WHEN 'unit' THEN 1 WHEN 'inverse-component' THEN 2 ELSE 3 END, min_opportunity, min_confidence, min_lift, config_id LIMIT 1")
+@query("CAL4_select_configuration", f"{o.gates('all', drift=True)}, {_SELECTED}", drift=True)
 def _(h):
     metrics, gains, gates = _gates(h, h.full_grid)
-    return six(calibrate.select_configuration(metrics, gains, gates, h.full_grid, _REQUIRED), "worst_gain", "worst_coverage", "min_jaccard")
+    controls = baselines.no_history_outcomes(h.tx, h.grid)
+    return six(calibrate.select_configuration(metrics, gains, gates, h.full_grid, controls), "worst_gain", "worst_coverage", "min_jaccard")
 
 
 @query("CAL5_grid_digest_lock", f"""{o.history(grid='all')}, d AS (SELECT sha256('{{"schema":"grid/v1","floor":{mining.FLOOR},"support":{mining.SUPPORT},"display":{mining.DISPLAY},"configurations":["' || string_agg(config_id, '","' ORDER BY config_id) || '"],"ranking":["{'","'.join(mining.RANKING)}"]}}') AS grid_digest FROM grid),
@@ -565,11 +599,23 @@ def _(h):
     return six(review.adoption_gate(h.acceptances), "reached")
 
 
-@query("REV7_lane_outcome", f"{o.LABELS}, dims AS (SELECT repo_id, 'inferred' AS lane, outcome FROM prec UNION ALL SELECT repo_id, 'profile', outcome FROM adop) SELECT repo_id, lane, {o.WORST} FROM dims GROUP BY repo_id, lane UNION ALL SELECT repo_id, 'overall', {o.WORST} FROM dims GROUP BY repo_id")
+_LANES = f"""WITH dims AS ({o.LABELS} SELECT repo_id, 'inferred' AS lane, unit_kind || '_precision' AS dimension, outcome FROM prec UNION ALL SELECT repo_id, lane, 'adoption', outcome FROM lanes),
+seen AS ({ORACLE["CND7_preregistered_check"]}), every AS (
+  SELECT * FROM (SELECT DISTINCT repo_id FROM (SELECT repo_id FROM dims UNION SELECT repo_id FROM seen)), (VALUES ('inferred', 'candidate_precision'), ('inferred', 'deviation_precision'), ('inferred', 'adoption'), ('inferred', 'rediscovery'), ('profile', 'adoption')) AS t(lane, dimension)
+), rows AS (
+  SELECT e.repo_id, e.lane, coalesce(d.outcome, 'inconclusive') AS outcome FROM every e LEFT JOIN (FROM dims UNION ALL SELECT repo_id, 'inferred', 'rediscovery', CASE WHEN rediscovered THEN 'pass' ELSE 'fail' END FROM seen WHERE id = '{_WANT[1][0]}') d ON e.repo_id = d.repo_id AND e.lane = d.lane AND e.dimension = d.dimension
+)
+SELECT repo_id, lane, {o.WORST} FROM rows GROUP BY repo_id, lane UNION ALL SELECT repo_id, 'overall', {o.WORST} FROM rows GROUP BY repo_id"""
+
+
+def _lanes(h: History) -> DataFrame:
+    seen = mining.preregistered_check(h.metrics, h.displayed, h.evidence, h.grid, _expected(h)).where(F.col("id") == _WANT[1][0])
+    return review.lane_outcome(review.lane_dimensions(review.label_precision(h.review_labels), review.adoption_gate(h.acceptances, by=("repo_id", "lane")), seen))
+
+
+@query("REV7_lane_outcome", _LANES)
 def _(h):
-    timing = review.adoption_gate(h.acceptances)
-    dims = review.label_precision(h.review_labels).select("repo_id", F.lit("inferred").alias("lane"), "outcome").union(timing.select("repo_id", F.lit("profile"), "outcome"))
-    return review.lane_outcome(dims)
+    return _lanes(h)
 
 
 # ---------------------------------------------------------------- profiles
@@ -623,7 +669,7 @@ def _(h):
 
 @query("FMT2_metric", f"{o.history(grid='all')} SELECT repo_id, config_id, format('{{:.6f}}', micro) AS value, CASE WHEN micro IS NULL THEN 'no_candidates' END AS reason FROM rm")
 def _(h):
-    m = evaluate.repository_metrics(stored(mining.display(h.tx, h.full_grid)), h.tx, h.components, h.pairs, h.full_grid)
+    m = evaluate.repository_metrics(h.displayed_all, h.tx, h.components, h.pairs, h.full_grid)
     return m.select("repo_id", "config_id", sc.metric(F.col("micro"), F.lit("no_candidates")).alias("m")).select("repo_id", "config_id", "m.value", "m.reason")
 
 
@@ -643,12 +689,12 @@ def _(h):
 def _reports(h: History) -> DataFrame:
     say, why = (lambda c: sc.six(F.col(c)).alias(c)), (lambda c, r: sc.metric(F.col(c), F.col(r) if isinstance(r, str) else r))
     ends = sc.byte_identity(F.col("a")).alias("antecedent"), sc.byte_identity(F.col("b")).alias("consequent")
-    checked = stored(mining.budget_check(mining.work_counts(h.events, normalize.dedup_paths(h.changes).select("repo_id", "event_id", "path"), h.tx, h.displayed)))
+    checked = stored(mining.guarded_pairs(h.events, normalize.dedup_paths(h.changes).select("repo_id", "event_id", "path"), h.tx)[1])
     metrics, gains, gates = stored(_metrics(h, h.grid)), *_gates(h, h.full_grid)[1:]
     only = lambda df: df.join(F.broadcast(h.grid.select("config_id")), "config_id", "left_semi")
     controls = baselines.no_history_outcomes(h.tx, h.grid).select("repo_id", F.lit("no_history").alias("id"), F.col("candidates").alias("observed"), "outcome")
-    controls = controls.union(baselines.control_outcomes(h.displayed, h.events, h.tx).select("repo_id", "control", "observed", "outcome"))
-    seen = mining.preregistered_check(h.metrics, h.displayed, h.evidence, h.grid, h.spark.createDataFrame(_WANT, "id string, a string, b string, path_a string, path_b string"))
+    controls = controls.union(baselines.control_outcomes(h.displayed, h.tx, h.events, h.roles).select("repo_id", "control", "observed", "outcome"))
+    seen = mining.preregistered_check(h.metrics, h.displayed, h.evidence, h.grid, _expected(h))
     tau = evaluate.kendall_tau_b(h.displayed, h.tx, h.grid).groupBy("repo_id", "config_id").agg(F.array_sort(F.collect_list(F.struct("cutoff", why("tau", "reason").alias("tau")))).alias("rank_correlation"))
     parts = {
         "configurations": h.tips.select("repo_id").join(F.broadcast(h.grid)).select("repo_id", "config_id", F.lit(None).cast("string").alias("development_lock_digest"), "weight", "min_opportunity", say("min_confidence"), say("min_lift")),
@@ -677,8 +723,7 @@ def _(h):
 @query("SNK3_evidence_index")
 def _(h):
     digests = _reports(h).select("repo_id", F.lit("report").alias("kind"), "digest")
-    lanes = review.lane_outcome(review.label_precision(h.review_labels).select("repo_id", F.lit("inferred").alias("lane"), "outcome"))
-    return report.evidence_index(digests, lanes).select("repo_id", "index_digest")
+    return report.evidence_index(digests, _lanes(h)).select("repo_id", "index_digest")
 
 
 @query("SNK4_check_report_vocabulary", f"{H} SELECT 'root_event' AS code, count(*) AS rows FROM repos")
