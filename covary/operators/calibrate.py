@@ -103,28 +103,3 @@ def select_configuration(metrics: DataFrame, gains: DataFrame, gates: DataFrame,
     ranked = passing.select("config_id").join(worst, "config_id").join(least, "config_id").join(F.broadcast(grid), "config_id")
     order = [F.desc(F.round("worst_gain", 9)), F.desc(F.round("worst_coverage", 9)), F.desc(F.round("min_jaccard", 9)), simple, "min_opportunity", "min_confidence", "min_lift", "config_id"]
     return ranked.orderBy(*order).limit(1).select("config_id", "worst_gain", "worst_coverage", "min_jaccard")
-
-
-def grid_digest(grid: DataFrame) -> DataFrame:
-    """SHA-256 of the grid's canonical JSON: the fixed limits and ranking keys, and its configurations in id order. The
-    grid is at most 81 rows."""
-    one = grid.agg(F.array_sort(F.collect_list("config_id")).alias("configurations"))
-    limits = [F.lit(v).alias(k) for k, v in (("floor", mining.FLOOR), ("support", mining.SUPPORT), ("display", mining.DISPLAY))]
-    return one.select(F.sha2(F.to_json(F.struct(F.lit("grid/v1").alias("schema"), *limits, "configurations", F.array(*map(F.lit, mining.RANKING)).alias("ranking"))).cast("binary"), 256).alias("grid_digest"))
-
-
-def lock_row(selected: DataFrame, digest: DataFrame, corpus: DataFrame) -> DataFrame:
-    """The development lock: selection, grid digest, ordered corpus object ids and its own digest."""
-    ids = corpus.agg(F.array_sort(F.collect_list(F.struct("repo_id", "object_id"))).alias("corpus"))  # a row per repository
-    body = selected.select("config_id").join(digest).join(ids)
-    return body.withColumn("lock_digest", _lock_digest())
-
-
-def _lock_digest():
-    return F.sha2(F.to_json(F.struct("config_id", "grid_digest", "corpus")).cast("binary"), 256)
-
-
-def holdout_guard(lock: DataFrame, repos: DataFrame, digest: DataFrame) -> DataFrame:
-    """repos(repo_id, object_id) that the lock covers, if its own digest and its grid digest hold."""
-    held = lock.where(F.col("lock_digest") == _lock_digest()).join(digest, "grid_digest", "left_semi").select(F.explode("corpus").alias("c")).select("c.repo_id", "c.object_id")
-    return repos.join(held, ["repo_id", "object_id"], "left_semi")

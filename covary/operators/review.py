@@ -33,15 +33,6 @@ def sample_deviations(devs: DataFrame, sampled: DataFrame, n: int = 10) -> DataF
     return picked.withColumn("place", F.row_number().over(Window.partitionBy("repo_id").orderBy("hash"))).drop("p", "later")
 
 
-def review_manifest(candidates: DataFrame, deviations: DataFrame) -> DataFrame:
-    """A row per repository: the sampled hashes in order and the digest over them. Both samples are bounded."""
-    c = candidates.groupBy("repo_id").agg(F.array_sort(F.collect_list("hash")).alias("candidates"))
-    d = deviations.groupBy("repo_id").agg(F.array_sort(F.collect_list("hash")).alias("deviations"))
-    out = c.join(d, "repo_id", "left").withColumn("deviations", F.coalesce("deviations", F.array().cast("array<string>")))
-    body = F.to_json(F.struct("repo_id", "candidates", "deviations"))
-    return out.select("repo_id", F.size("candidates").alias("n_candidates"), F.size("deviations").alias("n_deviations"), F.sha2(body.cast("binary"), 256).alias("manifest_digest"))
-
-
 #: Units needed and useful labels among them: of eight candidates six decisions, of ten deviations six worth a review.
 NEED = {"candidate": (8, 6, "decision"), "deviation": (10, 6, "review-worthy")}
 

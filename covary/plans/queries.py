@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from covary.functions import scalars as sc
-from covary.operators import baselines, calibrate, chain, check, evaluate, evidence, mining, normalize, partitions, profiles, report, review
+from covary.operators import artifacts, baselines, calibrate, chain, check, evaluate, evidence, mining, normalize, partitions, profiles, report, review
 from covary.plans import oracle as o
 from covary.plans.history import History
 from covary.sources import landing
@@ -538,19 +538,46 @@ def _(h):
     return six(calibrate.select_configuration(metrics, gains, gates, h.full_grid, controls), "worst_gain", "worst_coverage", "min_jaccard")
 
 
-@query("CAL5_grid_digest_lock", f"""{o.history(grid='all')}, d AS (SELECT sha256('{{"schema":"grid/v1","floor":{mining.FLOOR},"support":{mining.SUPPORT},"display":{mining.DISPLAY},"configurations":["' || string_agg(config_id, '","' ORDER BY config_id) || '"],"ranking":["{'","'.join(mining.RANKING)}"]}}') AS grid_digest FROM grid),
-c AS (SELECT string_agg('{{"repo_id":"' || repo_id || '","object_id":"' || event_id || '"}}', ',' ORDER BY repo_id) AS c FROM events WHERE seq = n)
-SELECT '{mining.DEFAULT}' AS config_id, grid_digest, sha256('{{"config_id":"{mining.DEFAULT}","grid_digest":"' || grid_digest || '","corpus":[' || c || ']}}') AS lock_digest FROM d, c""")
+_ENVIRONMENT = {"architecture": "amd64", "git_version": None, "library": "1", "helper": None}
+#: In place of a whole report its repository's displayed candidates, in order.
+_REPORTS = """rep AS (SELECT repo_id, '{"schema":"report/v1","candidates":[' || string_agg('"' || candidate_id || '"', ',' ORDER BY partition, rank) || ']}' AS body FROM shown GROUP BY ALL)"""
+_LOCK = f"""{o.gates('all', drift=True)}, sel AS (SELECT s.*, weight, min_opportunity, min_confidence, min_lift FROM (WITH {_SELECTED}) s JOIN grid g ON s.config_id = g.config_id), {_REPORTS.replace('FROM shown', f"FROM shown WHERE config_id = '{mining.DEFAULT}'")},
+gd AS (SELECT '{{"schema":"grid/v1","minimum_training_transactions":{mining.FLOOR},"minimum_raw_support":{mining.SUPPORT},"size_weights":["{'","'.join(sc.WEIGHTS)}"],"opportunity_thresholds":[{','.join(map(str, mining.OPPORTUNITIES))}],"confidence_thresholds":["{'","'.join(f'{x:.2f}' for x in mining.CONFIDENCES)}"],"lift_thresholds":["{'","'.join(f'{x:.2f}' for x in mining.LIFTS)}"],"display_limit":{mining.DISPLAY},"ranking_keys":["{'","'.join(mining.RANKING)}"],"configurations":["' || string_agg(config_id, '","' ORDER BY config_id) || '"]}}' AS body FROM grid),
+cp AS (SELECT string_agg('{{"repo_id":"' || repo_id || '","object_id":"' || event_id || '"}}', ',' ORDER BY repo_id) AS c FROM events WHERE seq = n AND repo_id <> '3'), rp AS (SELECT string_agg('{{"repo_id":"' || repo_id || '","report_digest":"' || sha256(body) || '"}}', ',' ORDER BY repo_id) AS r FROM rep),
+lk AS (SELECT '{{"schema":"dev-lock/v1","corpus":[' || c || '],"environment":{{{','.join(f'"{k}":' + ('null' if v is None else f'"{v}"') for k, v in _ENVIRONMENT.items())}}},"grid_digest":"' || sha256(gd.body) || '","selector":"development-selector-v1","configuration_id":"' || config_id || '","parameters":{{"weight":"' || weight || '","min_opportunity":' || min_opportunity || ',"min_confidence":"' || format('{{:.6f}}', min_confidence) || '","min_lift":"' || format('{{:.6f}}', min_lift)
+  || '"}},"development_reports":[' || r || '],"selector_metrics":[{{"metric":"worst_gain","value":"' || format('{{:.6f}}', worst_gain) || '"}},{{"metric":"worst_coverage","value":"' || format('{{:.6f}}', worst_coverage) || '"}},{{"metric":"min_jaccard","value":"' || format('{{:.6f}}', min_jaccard) || '"}}]}}' AS body FROM sel, gd, cp, rp)"""
+
+
+def _digested(h: History) -> DataFrame:
+    """(repo_id, kind, body, digest) of the repositories' reports, short ones."""
+    ids = F.array_sort(F.collect_list(F.struct("partition", "rank", "candidate_id")))
+    rows = h.displayed.groupBy("repo_id").agg(F.transform(ids, lambda x: x["candidate_id"]).alias("candidates"))
+    return artifacts.artifact(rows, "report", "candidates", repo=F.col("repo_id"))
+
+
+def _locked(h: History) -> DataFrame:
+    """Grid, reports and lock."""
+    metrics, gains, gates = _gates(h, h.full_grid)
+    grid, reports = artifacts.grid_artifact(h.full_grid), _digested(h)
+    selected = six(calibrate.select_configuration(metrics, gains, gates, h.full_grid), "worst_gain", "worst_coverage", "min_jaccard")
+    corpus = h.tips.where("repo_id != '3'").select("repo_id", F.col("repository").alias("object_id"))
+    return stored(grid.union(reports).union(artifacts.lock_artifact(selected, h.full_grid, grid, corpus, reports, _ENVIRONMENT)))
+
+
+@query("CAL5_grid_digest_lock", f"{_LOCK} SELECT NULL::VARCHAR AS repo_id, 'grid' AS kind, sha256(body) AS digest FROM gd UNION ALL SELECT repo_id, 'report', sha256(body) FROM rep UNION ALL SELECT NULL, 'dev-lock', sha256(body) FROM lk", drift=True)
+def _(h):
+    return _locked(h).select("repo_id", "kind", "digest")
+
+
+@query("CAL6_holdout_guard", f"{_LOCK} SELECT repo_id, event_id AS object_id FROM events WHERE seq = n AND repo_id <> '3' AND EXISTS (FROM lk)", drift=True)
 def _(h):
-    corpus = h.tips.select("repo_id", F.col("repository").alias("object_id"))
-    return calibrate.lock_row(h.grid, calibrate.grid_digest(h.full_grid), corpus).select("config_id", "grid_digest", "lock_digest")
+    return artifacts.holdout_repositories(_locked(h), h.tips.select("repo_id", F.col("repository").alias("object_id")))
 
 
-@query("CAL6_holdout_guard", f"{H} SELECT repo_id, event_id AS object_id FROM events WHERE seq = n AND repo_id <> '3'")
+@query("CAL6_changed_artifacts", f"{_LOCK}, bad AS (SELECT repo_id, replace(body, '\"candidates\"', '\"Candidates\"') AS body, sha256(body) AS old FROM rep WHERE repo_id = '1') SELECT repo_id, 'report' AS kind, old AS digest, 'changed' AS violation, sha256(body) AS of FROM bad UNION ALL SELECT NULL, 'dev-lock', sha256(lk.body), 'dangling', old FROM lk, bad", drift=True)
 def _(h):
-    corpus = h.tips.select("repo_id", F.col("repository").alias("object_id"))
-    digest = calibrate.grid_digest(h.full_grid)
-    return calibrate.holdout_guard(calibrate.lock_row(h.grid, digest, corpus.where("repo_id != '3'")), corpus, digest)
+    body = F.when((F.col("kind") == "report") & (F.col("repo_id") == "1"), F.replace("body", F.lit('"candidates"'), F.lit('"Candidates"'))).otherwise(F.col("body"))
+    return artifacts.check_artifacts(_locked(h).withColumn("body", body))
 
 
 # ---------------------------------------------------------------- review
@@ -583,10 +610,22 @@ def _(h):
     return _samples(h)[1]
 
 
-@query("REV4_review_manifest", f"""{o.REVIEW}, c AS (SELECT repo_id, count(*) AS n, string_agg('"' || hash || '"', ',' ORDER BY hash) AS x FROM sc GROUP BY ALL), d AS (SELECT repo_id, count(*) AS n, string_agg('"' || hash || '"', ',' ORDER BY hash) AS x FROM sd GROUP BY ALL)
-SELECT c.repo_id, CAST(c.n AS INT) AS n_candidates, CAST(coalesce(d.n, 0) AS INT) AS n_deviations, sha256('{{"repo_id":"' || c.repo_id || '","candidates":[' || c.x || '],"deviations":[' || coalesce(d.x, '') || ']}}') AS manifest_digest FROM c LEFT JOIN d ON c.repo_id = d.repo_id""")
+_EVENTS = """evt AS (SELECT DISTINCT c.repo_id, c.a, c.b, event_id FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, a, b, role ORDER BY seq) AS up, count(*) OVER (PARTITION BY repo_id, a, b, role) AS total FROM (
+  SELECT c.repo_id, c.a, c.b, CASE WHEN list_contains(components, c.b) THEN 'support' ELSE 'exception' END AS role, seq, event_id FROM sc c JOIN xc ON c.repo_id = xc.repo_id AND c.a = xc.a)) c WHERE up <= 10 OR up > total - 10)"""
+_MANIFEST = f"""{o.REVIEW}, {_REPORTS}, {_EVENTS}, el AS (SELECT repo_id, a, b, string_agg('"' || event_id || '"', ',' ORDER BY event_id) AS x FROM evt GROUP BY ALL),
+c AS (SELECT sc.repo_id, repository, count(*) AS n, string_agg('{{"hash":"' || hash || '","a":"' || sc.a || '","b":"' || sc.b || '","evidence":[' || coalesce(x, '') || ']}}', ',' ORDER BY hash) AS x FROM sc LEFT JOIN el ON sc.repo_id = el.repo_id AND sc.a = el.a AND sc.b = el.b GROUP BY ALL),
+d AS (SELECT repo_id, count(*) AS n, string_agg('{{"hash":"' || hash || '","a":"' || a || '","b":"' || b || '","cutoff_id":"' || cutoff_id || '","event_id":"' || event_id || '"}}', ',' ORDER BY hash) AS x FROM sd GROUP BY ALL),
+mf AS (SELECT c.repo_id, c.n AS n_candidates, coalesce(d.n, 0) AS n_deviations, '{{"schema":"review-manifest/v1","report_digest":"' || sha256(rep.body) || '","repository_object_id":"' || repository || '","candidates":[' || c.x || '],"deviations":[' || coalesce(d.x, '') || ']}}' AS body FROM c JOIN rep ON c.repo_id = rep.repo_id LEFT JOIN d ON c.repo_id = d.repo_id)"""
+
+
+def _manifests(h: History) -> DataFrame:
+    candidates, deviations = _samples(h)
+    return artifacts.manifest_artifact(candidates, deviations, evidence.candidate_evidence_events(candidates, h.tx), _digested(h))
+
+
+@query("REV4_review_manifest", f"{_MANIFEST} SELECT repo_id, 'review-manifest' AS kind, body, sha256(body) AS digest FROM mf")
 def _(h):
-    return review.review_manifest(*_samples(h))
+    return _manifests(h)
 
 
 @query("REV5_label_precision", f"{o.LABELS} SELECT * FROM prec")
@@ -720,10 +759,21 @@ def _(h):
     return _reports(h)
 
 
-@query("SNK3_evidence_index")
+_INDEX = f"""WITH lab AS ({o.LABELS} SELECT repo_id, unit_kind, unit_id, label FROM rl), lane AS ({_LANES}), {_MANIFEST.strip().removeprefix("WITH ")}, gate AS ({o.gates('one')} SELECT repo_id, {o.WORST} FROM gates GROUP BY repo_id),
+rs AS (SELECT mf.repo_id, '{{"schema":"review-result/v1","status":"complete","manifest_digest":"' || any_value(sha256(mf.body)) || '","reviewer_relationship":"maintainer","labels":[' || string_agg('{{"unit_kind":"' || unit_kind || '","unit_id":"' || unit_id || '","label":"' || label || '"}}', ',' ORDER BY unit_kind, CAST(unit_id AS VARCHAR)) || '],"invalidation_reason":null}}' AS body FROM mf JOIN lab ON mf.repo_id = lab.repo_id GROUP BY mf.repo_id),
+pa AS (SELECT 'report' AS kind, repo_id, sha256(body) AS digest FROM rep UNION ALL SELECT 'review-manifest', repo_id, sha256(body) FROM mf UNION ALL SELECT 'review-result', repo_id, sha256(body) FROM rs),
+ix AS (SELECT '{{"schema":"evidence/v1","experiment_id":"derived","artifacts":[' || (SELECT string_agg('{{"kind":"' || kind || '","repo_id":"' || repo_id || '","digest":"' || digest || '"}}', ',' ORDER BY kind, repo_id) FROM pa) || '],"analytical_outcomes":[' || (SELECT string_agg('{{"repo_id":"' || repo_id || '","outcome":"' || outcome || '"}}', ',' ORDER BY repo_id) FROM gate)
+  || '],"lane_outcomes":[' || (SELECT string_agg('{{"repo_id":"' || repo_id || '","lane":"' || lane || '","outcome":"' || outcome || '"}}', ',' ORDER BY repo_id, lane) FROM lane) || ']}}' AS body)
+SELECT kind, repo_id, digest FROM pa UNION ALL SELECT 'evidence', NULL, sha256(body) FROM ix"""
+
+
+@query("SNK3_evidence_index", _INDEX)
 def _(h):
-    digests = _reports(h).select("repo_id", F.lit("report").alias("kind"), "digest")
-    return report.evidence_index(digests, _lanes(h)).select("repo_id", "index_digest")
+    manifests = stored(_manifests(h))
+    results = artifacts.result_artifact(manifests, h.review_labels, h.tips.where("false"))
+    parts = stored(_digested(h).union(manifests).union(results))
+    gates = calibrate.conjunctive_outcome(_gates(h, h.full_grid)[2].join(F.broadcast(h.grid.select("config_id")), "config_id", "left_semi"), ["repo_id"])
+    return parts.union(artifacts.index_artifact("derived", parts, gates, _lanes(h))).select("kind", "repo_id", "digest")
 
 
 @query("SNK4_check_report_vocabulary", f"{H} SELECT 'root_event' AS code, count(*) AS rows FROM repos")
