@@ -170,7 +170,9 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     for lang, at, n in zip(got.column("lang").to_pylist(), got.column("at"), got.column("n"), strict=True):
         at, n = at.values.to_numpy(), n.values.to_numpy()
         v = (1 + np.log(n)) * idf[at]
-        rows.append((at, v / np.sqrt(v @ v), names.index(lang)))
+        rows.append((at.astype(np.uint16), v / np.sqrt(v @ v), names.index(lang)))  # SLOTS fit into 16 bits
+    del got, at, n, v
+    pa.default_memory_pool().release_unused()  # the driver keeps the sample once
     rows.sort(key=lambda r: (len(r[0]), float(r[1].sum()), r[2]))
     held = rows[::5] if len(rows) >= 50 else rows
     rest = [r for i, r in enumerate(rows) if i % 5] if len(rows) >= 50 else rows

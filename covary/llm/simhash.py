@@ -360,7 +360,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     nth = F.row_number().over(Window.partitionBy("a", "fid").orderBy("df", "shingle"))
     alone = F.col("over") - F.count("*").over(Window.partitionBy("a", "fid"))
     shared = shared.withColumn("nth", nth + alone).where("nth <= greatest(small, large)")
-    outside = shared.select(F.xxhash64("a", "shingle").alias("key"), "a", "fid", "n", "part", "inside", "over", "small", "large", "nth")
+    outside = keep.written(shared.select(F.xxhash64("a", "shingle").alias("key"), "a", "fid", "n", "part", "inside", "over", "small", "large", "nth"))
     within = apart.join(held.select("a", F.col("b").alias("fid"), "inside"), ["a", "fid"]).select("key", "fid", "n", "part", "inside")
 
     def enough(x: str, y: str) -> Column:
