@@ -55,7 +55,7 @@ def calibration_controls(events: DataFrame, tx: DataFrame, displayed: DataFrame,
 
 
 def engineering_gates(metrics: DataFrame, gains: DataFrame, displayed: DataFrame, floor: DataFrame, role: str = "development") -> DataFrame:
-    """(repo_id, config_id, gate, outcome). floor is inference_floor()'s frame. Gains are compared at nine places, so that
+    """(repo_id, config_id, gate, outcome, metric, operator, threshold, reason). floor is inference_floor()'s frame. Gains are compared at nine places, so that
     a difference of two equal means isn't below zero by its last bit."""
 
     def needs(value, ok):
@@ -64,24 +64,28 @@ def engineering_gates(metrics: DataFrame, gains: DataFrame, displayed: DataFrame
     shown = displayed.groupBy(*RC, "partition").agg(F.count("*").alias("c"))
     per = metrics.select(*RC).join(floor.where(F.col("partition") < partitions.FULL), "repo_id").join(shown, [*RC, "partition"], "left")
     count = F.when(F.col("abstains"), 1).when(F.coalesce("c", F.lit(0)).between(1, mining.DISPLAY), 0).otherwise(2)
-    emitted = per.groupBy(*RC).agg(F.max(count).alias("s")).select(*RC, F.element_at(F.array(F.lit("pass"), F.lit("inconclusive"), F.lit("fail")), F.col("s") + 1).alias("candidate_count"))
+    fewest = F.min(F.when(~F.col("abstains"), F.coalesce("c", F.lit(0)))).alias("fewest")
+    emitted = per.groupBy(*RC).agg(F.max(count).alias("s"), fewest).select(*RC, "fewest", F.element_at(F.array(F.lit("pass"), F.lit("inconclusive"), F.lit("fail")), F.col("s") + 1).alias("candidate_count"))
     least = gains.select(*RC, "baseline", F.round(F.least("micro_gain", "macro_gain"), 9).alias("g"), "reason")
     g = least.groupBy(*RC).agg(
         *[F.max(F.when(F.col("baseline") == b, F.col("g"))).alias(b) for b in ("frequent", "unweighted", "shuffled")],
         F.max(F.when(F.col("baseline") == "unweighted", F.col("reason"))).alias("same"),
     )
     j = metrics.join(emitted, RC, "left").join(g, RC, "left")
+    col = F.col
+    same, none = col("same") == "identical_baseline", F.lit(None).cast("string")
+    # outcome, metric, threshold and, where the metric is undefined, why
     gates = {
-        "candidate_count": F.coalesce("candidate_count", F.lit("inconclusive")),
-        "coverage": needs(F.col("coverage"), F.col("coverage") >= 0.05),
-        "window_coverage": needs(F.col("least_covered"), F.col("least_covered") >= 1),
-        "gain_frequent": needs(F.col("frequent"), F.col("frequent") >= GAIN[role]),
-        "not_below_unweighted": F.when(F.col("same") == "identical_baseline", "pass").otherwise(needs(F.col("unweighted"), F.col("unweighted") >= 0)),
-        "gain_shuffled": needs(F.col("shuffled"), F.col("shuffled") >= 0.05),
-        "stability": F.when(F.col("n_jaccard") < 3, "inconclusive").otherwise(needs(F.col("min_jaccard"), F.col("min_jaccard") >= 0.5)),
-    }
-    rows = j.select(*RC, F.explode(F.array(*[F.struct(F.lit(k).alias("gate"), v.alias("outcome")) for k, v in gates.items()])).alias("x"))
-    return rows.select(*RC, "x.gate", "x.outcome")
+        "candidate_count": (F.coalesce("candidate_count", F.lit("inconclusive")), col("fewest"), 1.0, F.when(col("fewest").isNull(), "below_inference_floor")),
+        "coverage": (needs(col("coverage"), col("coverage") >= 0.05), col("coverage"), 0.05, F.when(col("coverage").isNull(), "no_eligible_evaluation_events")),
+        "window_coverage": (needs(col("least_covered"), col("least_covered") >= 1), col("least_covered"), 1.0, F.when(col("least_covered").isNull(), "no_eligible_evaluation_events")),
+        "gain_frequent": (needs(col("frequent"), col("frequent") >= GAIN[role]), col("frequent"), GAIN[role], F.when(col("frequent").isNull(), "no_opportunities")),
+        "not_below_unweighted": (F.when(same, "pass").otherwise(needs(col("unweighted"), col("unweighted") >= 0)), F.when(~F.coalesce(same, F.lit(False)), col("unweighted")), 0.0, F.when(same, "identical_baseline").when(col("unweighted").isNull(), "no_opportunities")),
+        "gain_shuffled": (needs(col("shuffled"), col("shuffled") >= 0.05), col("shuffled"), 0.05, F.when(col("shuffled").isNull(), "no_opportunities")),
+        "stability": (F.when(col("n_jaccard") < 3, "inconclusive").otherwise(needs(col("min_jaccard"), col("min_jaccard") >= 0.5)), col("min_jaccard"), 0.5, F.when(col("min_jaccard").isNull(), "empty_candidate_sets")),
+    }
+    each = [F.struct(F.lit(k).alias("gate"), o.alias("outcome"), m.cast("double").alias("metric"), F.lit(">=").alias("operator"), F.lit(t).alias("threshold"), F.coalesce(why, none).alias("reason")) for k, (o, m, t, why) in gates.items()]
+    return j.select(*RC, F.explode(F.array(*each)).alias("x")).select(*RC, "x.*")
 
 
 def conjunctive_outcome(gates: DataFrame, keys: list[str]) -> DataFrame:

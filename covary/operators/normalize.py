@@ -15,10 +15,11 @@ PATH_LIMIT, COMPONENT_LIMIT = 2000, 100
 KEY = ["repo_id", "event_id"]
 
 
-def dedup_paths(changes: DataFrame) -> DataFrame:
-    """A row per (event, path): the first record decides."""
+def dedup_paths(changes: DataFrame, placed: bool = False) -> DataFrame:
+    """A row per (event, path): the first record decides. The rows are dealt by event, unless they are `placed` already,
+    as a stored history's are."""
     first = F.min_by(F.struct("src_mode", "dst_mode", "status"), "pos")
-    return changes.repartition(*KEY).groupBy(*KEY, "path").agg(first.alias("r")).select(*KEY, "path", "r.src_mode", "r.dst_mode", "r.status")
+    return (changes if placed else changes.repartition(*KEY)).groupBy(*KEY, "path").agg(first.alias("r")).select(*KEY, "path", "r.src_mode", "r.dst_mode", "r.status")
 
 
 def path_kinds(paths: DataFrame) -> DataFrame:
@@ -71,9 +72,9 @@ def event_evidence(events: DataFrame, changes: DataFrame, path_limit: int = PATH
     )
 
 
-def build_transactions(events: DataFrame, changes: DataFrame, path_limit: int = PATH_LIMIT, component_limit: int = COMPONENT_LIMIT) -> DataFrame:
+def build_transactions(events: DataFrame, changes: DataFrame, path_limit: int = PATH_LIMIT, component_limit: int = COMPONENT_LIMIT, placed: bool = False) -> DataFrame:
     """(repo_id, seq, event_id, components, k) of the eligible events; components are sorted and distinct."""
-    own = path_kinds(dedup_paths(changes)).select(*KEY, F.when(F.col("path_kind") == "eligible", component_of(F.col("path"))).alias("c"))
+    own = path_kinds(dedup_paths(changes, placed)).select(*KEY, F.when(F.col("path_kind") == "eligible", component_of(F.col("path"))).alias("c"))
     each = own.groupBy(*KEY, "c").agg(F.count("*").alias("n"))
     sizes = each.groupBy(*KEY).agg(F.sum("n").alias("n_paths"), F.count("c").alias("k"))
     fits = sizes.where((F.col("n_paths") <= path_limit) & F.col("k").between(1, component_limit))

@@ -122,13 +122,18 @@ def profile_candidates(tree: DataFrame, modules: DataFrame, repos: DataFrame, ti
     )
 
 
-def profile_input_checks(modules: DataFrame, tree: DataFrame, files: int = 32, size: int = 1 << 20, sources: int = 100_000) -> DataFrame:
-    """(repo_id, failure): duplicate module paths, too many or too large module files, too many source paths."""
-    said = lambda df, why: df.select("repo_id", F.lit(why).alias("failure")).distinct()
+def profile_input_checks(modules: DataFrame, tree: DataFrame, enabled: DataFrame | None = None, files: int = 32, size: int = 1 << 20, sources: int = 100_000) -> DataFrame:
+    """(repo_id, failure): duplicate module paths, too many or too large module files (modules has their `size`), too many
+    source paths, and enabled(repo_id, tier, rule) that aren't known."""
+    said = lambda df, why: df.select("repo_id", (F.lit(why) if isinstance(why, str) else why).alias("failure")).distinct()
     twice = modules.groupBy("repo_id", "module_path").count().where("count > 1")
     many = modules.groupBy("repo_id").count().where(F.col("count") > files)
     wide = tree.where(F.col("path").endswith(".go")).groupBy("repo_id").count().where(F.col("count") > sources)
     out = said(twice, "duplicate_module_path").union(said(many, "module_files")).union(said(wide, "source_paths"))
     if "size" in modules.columns:
         out = out.union(said(modules.where(F.col("size") > size), "module_file_size"))
+    if enabled is not None:
+        tier = F.coalesce(F.col("tier").isin(*RULES), F.lit(False))
+        rule = F.coalesce(F.concat_ws("/", "tier", "rule").isin(*[f"{t}/{r}" for t, rs in RULES.items() for r in rs]), F.lit(False))
+        out = out.union(said(enabled.where(~rule), F.when(tier, "unknown_rule").otherwise("unknown_tier")))
     return out

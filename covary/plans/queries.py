@@ -98,9 +98,8 @@ def _(h):
 
 @query("SRC5_load_history", f"{H} SELECT e.repo_id, CAST(e.seq AS INT) AS seq, e.event_id, count(c.path) AS n FROM events e LEFT JOIN changes c ON e.repo_id = c.repo_id AND e.event_id = c.event_id GROUP BY ALL")
 def _(h):
-    path = scratch(h.spark)
-    landing.write_history(h.events, h.changes, path, buckets=4)
-    events, changes = landing.load_history(h.spark, path)
+    name = landing.write_history(h.events, h.changes, scratch(h.spark), parts=2, buckets=4)
+    events, changes = landing.load_history(h.spark, name)
     n = changes.groupBy("repo_id", "event_id").agg(F.count("*").alias("n"))
     return events.join(n, ["repo_id", "event_id"], "left").select("repo_id", "seq", "event_id", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
 
@@ -515,12 +514,34 @@ def _gates(h: History, grid: DataFrame, role: str = "development"):
 
 @query("CAL2_engineering_gates", f"{o.gates('all')} SELECT repo_id, config_id, gate, outcome FROM gates")
 def _(h):
-    return _gates(h, h.full_grid)[2]
+    return _gates(h, h.full_grid)[2].select("repo_id", "config_id", "gate", "outcome")
+
+
+_RECORD = lambda gate, metric, threshold, reason: f"SELECT repo_id, config_id, '{gate}' AS gate, round(CAST({metric} AS DOUBLE), 6) + 0.0::DOUBLE AS metric, '>=' AS operator, {threshold}::DOUBLE AS threshold, {reason} AS reason FROM facts"
+_RECORDS = " UNION ALL ".join(
+    _RECORD(*x)
+    for x in (
+        ("candidate_count", "fewest", 1, "CASE WHEN fewest IS NULL THEN 'below_inference_floor' END"),
+        ("coverage", "coverage", 0.05, "CASE WHEN coverage IS NULL THEN 'no_eligible_evaluation_events' END"),
+        ("window_coverage", "least_covered", 1, "CASE WHEN least_covered IS NULL THEN 'no_eligible_evaluation_events' END"),
+        ("gain_frequent", "frequent", calibrate.GAIN["development"], "CASE WHEN frequent IS NULL THEN 'no_opportunities' END"),
+        ("not_below_unweighted", "CASE WHEN same IS DISTINCT FROM 'identical_baseline' THEN unweighted END", 0, "CASE WHEN same = 'identical_baseline' THEN 'identical_baseline' WHEN unweighted IS NULL THEN 'no_opportunities' END"),
+        ("gain_shuffled", "shuffled", 0.05, "CASE WHEN shuffled IS NULL THEN 'no_opportunities' END"),
+        ("stability", "min_jaccard", 0.5, "CASE WHEN min_jaccard IS NULL THEN 'empty_candidate_sets' END"),
+    )
+)
+
+
+@query("CAL2_gate_records", f"""{o.gates('all')}, few AS (SELECT r.repo_id, r.config_id, min(CASE WHEN f.transactions >= 100 THEN coalesce(s.c, 0) END) AS fewest FROM rm r JOIN (SELECT repo_id, partition, sum(n) AS transactions FROM tcum WHERE partition < 100 GROUP BY ALL) f ON r.repo_id = f.repo_id
+LEFT JOIN (SELECT repo_id, config_id, partition, count(*) AS c FROM shown GROUP BY ALL) s ON r.repo_id = s.repo_id AND r.config_id = s.config_id AND f.partition = s.partition GROUP BY ALL),
+facts AS (SELECT r.repo_id, r.config_id, fewest, coverage, least_covered, frequent, unweighted, shuffled, same, min_jaccard FROM rm r LEFT JOIN few ON r.repo_id = few.repo_id AND r.config_id = few.config_id LEFT JOIN g ON r.repo_id = g.repo_id AND r.config_id = g.config_id) {_RECORDS}""")
+def _(h):
+    return six(_gates(h, h.full_grid)[2].drop("outcome"), "metric")
 
 
 @query("CAL2_engineering_gates_holdout", f"{o.gates('all', 'holdout')} SELECT repo_id, config_id, gate, outcome FROM gates")
 def _(h):
-    return _gates(h, h.full_grid, "holdout")[2]
+    return _gates(h, h.full_grid, "holdout")[2].select("repo_id", "config_id", "gate", "outcome")
 
 
 @query("CAL3_conjunctive_outcome", f"{o.gates('all')} SELECT repo_id, config_id, {o.WORST} FROM gates GROUP BY repo_id, config_id")
@@ -693,9 +714,12 @@ def _(h):
     return P.profile_candidates(h.tree, h.modules, h.tree)
 
 
-@query("PRF12_profile_input_checks", f"{o.PROFILES} SELECT repo_id, 'module_files' AS failure FROM modules GROUP BY repo_id HAVING count(*) > 1 UNION ALL SELECT repo_id, 'source_paths' FROM tree WHERE ends_with(path, '.go') GROUP BY repo_id HAVING count(*) > 90 UNION ALL SELECT DISTINCT repo_id, 'duplicate_module_path' FROM (SELECT repo_id FROM modules GROUP BY repo_id, module_path HAVING count(*) > 1)")
+@query("PRF12_profile_input_checks", f"{o.PROFILES} SELECT repo_id, 'module_files' AS failure FROM modules GROUP BY repo_id HAVING count(*) > 1 UNION ALL SELECT repo_id, 'source_paths' FROM tree WHERE ends_with(path, '.go') GROUP BY repo_id HAVING count(*) > 90 UNION ALL SELECT DISTINCT repo_id, 'duplicate_module_path' FROM (SELECT repo_id FROM modules GROUP BY repo_id, module_path HAVING count(*) > 1) UNION ALL SELECT DISTINCT repo_id, 'module_file_size' FROM modules WHERE ends_with(module_path, '/v2') UNION ALL SELECT DISTINCT repo_id, CASE CAST(repo_id AS INT) % 5 WHEN 1 THEN 'unknown_tier' ELSE 'unknown_rule' END FROM tree WHERE CAST(repo_id AS INT) % 5 IN (1, 2)")
 def _(h):
-    return P.profile_input_checks(h.modules, h.tree, files=1, sources=90)
+    sized = h.modules.withColumn("size", F.when(F.col("module_path").endswith("/v2"), 2 << 20).otherwise(900))
+    k = F.col("repo_id").cast("int") % 5
+    enabled = h.tree.select("repo_id", F.when(k == 1, "no-tier").otherwise(P.CORE).alias("tier"), F.when(k == 2, "no-rule").otherwise(P.RULES[P.CORE][0]).alias("rule"))
+    return P.profile_input_checks(sized, h.tree, enabled, files=1, sources=90)
 
 
 # ---------------------------------------------------------------- formats and reports
@@ -735,23 +759,35 @@ def _reports(h: History) -> DataFrame:
     controls = controls.union(baselines.control_outcomes(h.displayed, h.tx, h.events, h.roles).select("repo_id", "control", "observed", "outcome"))
     seen = mining.preregistered_check(h.metrics, h.displayed, h.evidence, h.grid, _expected(h))
     tau = evaluate.kendall_tau_b(h.displayed, h.tx, h.grid).groupBy("repo_id", "config_id").agg(F.array_sort(F.collect_list(F.struct("cutoff", why("tau", "reason").alias("tau")))).alias("rank_correlation"))
+    shown, none = mining.final_proposal(h.displayed).select("repo_id", "a", "b").distinct(), F.array()
+    events = evidence.candidate_evidence_events(shown, h.tx)
+    touched = evidence.candidate_evidence_paths(events, h.evidence).join(h.events.select("repo_id", "event_id", "kind"), ["repo_id", "event_id"])
+    record = F.struct("seq", "event_id", "kind", F.transform("paths", lambda x: F.struct(sc.byte_identity(x["path"]).alias("path"), x["status"].alias("status"))).alias("paths"), "total_paths")
+    of_role = lambda role: F.array_sort(F.collect_list(F.when(F.col("role") == role, record)))  # noqa: E731  20 at most
+    behind = touched.groupBy("repo_id", "a", "b").agg(of_role("support").alias("supporting"), of_role("exception").alias("exceptions"))
+    totals = events.groupBy("repo_id", "a", "b").agg(*[F.coalesce(F.max(F.when(F.col("role") == r, F.col("total"))), F.lit(0)).alias(n) for r, n in (("support", "total_supporting"), ("exception", "total_exceptions"))])
+    # the full-history proposal carries its evidence, the cutoffs' candidates have none
+    final = F.col("partition") == F.lit(partitions.FULL)
+    candidates = h.displayed.join(behind.join(totals, ["repo_id", "a", "b"]).withColumn("partition", F.lit(partitions.FULL)), ["repo_id", "a", "b", "partition"], "left")
+    kept = lambda c: F.when(final & F.col(c).isNotNull(), F.col(c)).otherwise(none.cast(candidates.schema[c].dataType)).alias(c)
+    untrained = baselines.no_history_outcomes(h.tx, h.grid).join(F.broadcast(h.grid.select("config_id"))).select("repo_id", "config_id", F.lit("no_history").alias("id"), *[F.lit(None).cast("struct<value:string,reason:string>").alias(c) for c in ("micro_gain", "macro_gain")], F.col("candidates").alias("observed"), "outcome")
     parts = {
         "configurations": h.tips.select("repo_id").join(F.broadcast(h.grid)).select("repo_id", "config_id", F.lit(None).cast("string").alias("development_lock_digest"), "weight", "min_opportunity", say("min_confidence"), say("min_lift")),
-        "budgets": checked.select("repo_id", "id", "limit", "observed", "outcome"),
+        "budgets": checked.select("repo_id", "id", F.coalesce(*[F.when(F.col("id") == i, u) for i, u in report.UNITS.items()]).alias("unit"), "limit", "observed", "outcome"),
         "partitions": partitions.partition_records(h.events, h.tx, h.displayed).select("repo_id", "percentile", "cutoff_id", "train_first", "train_last", "eval_first", "eval_last", "train_eligible", "eval_eligible", "displayed", "pair_observations"),
         "exclusions": normalize.exclusion_counts(h.classified).select("repo_id", "scope", "reason", "count"),
-        "candidates": h.displayed.select("repo_id", "config_id", "partition", "rank", "candidate_id", F.lit("inferred").alias("origin"), *ends, "opportunity", "support", say("weighted_exposure"), say("weighted_support"), say("confidence"), say("prevalence"), say("lift")),
-        "baselines": only(gains).select("repo_id", "config_id", F.col("baseline").alias("id"), why("micro_gain", "reason").alias("micro_gain"), why("macro_gain", "reason").alias("macro_gain")),
+        "candidates": candidates.select("repo_id", "config_id", "partition", "rank", "candidate_id", F.lit("inferred").alias("origin"), *ends, "opportunity", "support", say("weighted_exposure"), say("weighted_support"), say("confidence"), say("prevalence"), say("lift"), kept("supporting"), "total_supporting", kept("exceptions"), "total_exceptions"),
+        "baselines": only(gains).select("repo_id", "config_id", F.col("baseline").alias("id"), why("micro_gain", "reason").alias("micro_gain"), why("macro_gain", "reason").alias("macro_gain"), F.lit(None).cast("bigint").alias("observed"), F.lit(None).cast("string").alias("outcome")).union(untrained),
         "controls": controls,
         "profiles": P.profile_candidates(h.tree, h.modules, h.tree).select("repo_id", "tier_order", "rule", "candidate_id", "tier", "profile_version", "applicable", "compliant", "evidence", "reason"),
         "preregistered_checks": seen.select("repo_id", "id", *ends, "opportunity", "support", say("confidence"), say("lift"), "eligible", "excluded_by"),
         "metrics": metrics.join(tau, ["repo_id", "config_id"]).select("repo_id", "config_id", why("micro", "adherence_reason").alias("micro_adherence"), why("macro", "adherence_reason").alias("macro_adherence"), why("coverage", "coverage_reason").alias("coverage"), say("abstention"), why("min_jaccard", "jaccard_reason").alias("minimum_jaccard"), "rank_correlation"),
-        "gates": only(gates).select("repo_id", F.col("gate").alias("id"), "config_id", "outcome"),
+        "gates": only(gates).select("repo_id", F.col("gate").alias("id"), "config_id", "outcome", say("metric"), "operator", say("threshold"), "reason"),
         "limitations": h.tips.select("repo_id", F.explode(F.array(*[F.lit(x) for x in sorted(report.LIMITATIONS)])).alias("code")),
     }
     failures = checked.where("outcome = 'fail'").select("repo_id", F.col("failure").alias("code"), F.lit("mine").alias("operation"), "observed", "limit", F.lit(None).cast("string").alias("diagnostic_digest"))
     counts = chain.repository_counts(h.events, _chain(h)).select("repo_id", F.lit("sha1").alias("object_format"), "root_id", "tip_id", "reachable_commits", "first_parent_events", "single_parent_events", "merge_result_events")
-    return report.canonical_report(counts, parts, failures, {"library": "1", "helper": None})
+    return report.canonical_report(counts, parts, failures, {"library_version": "1", "library_sha256": None, "git_version": None, "helper_version": None})
 
 
 @query("SNK2_canonical_report")
@@ -782,6 +818,22 @@ def _(h):
     return report.check_report_vocabulary(rows, "reason", [r for r in report.EXCLUSIONS if r != "root_event"])
 
 
+_DAMAGED = f"""{o.gates('one')}, odd AS (SELECT repo_id, count(*) AS n FROM gates WHERE outcome = 'pass' AND repo_id = '0' GROUP BY ALL)
+SELECT repo_id, '$.gates[].outcome' AS path, 'unknown_code' AS violation, 'passed' AS value, n FROM odd UNION ALL SELECT repo_id, '$.exclusions[].reason', 'unknown_code', 'first_event', count(*) FROM events WHERE kind = 'root' AND repo_id = '1' GROUP BY ALL
+UNION ALL SELECT repo_id, '$.candidates[].antecedent.text', 'unknown_field', NULL, count(*) FROM shown WHERE repo_id = '2' GROUP BY ALL UNION ALL SELECT repo_id, '$.preregistered_checks[].antecedent.text', 'unknown_field', NULL, count(*) FROM repos, grid, range({len(_WANT)}) WHERE repo_id = '2' GROUP BY ALL UNION ALL SELECT repo_id, '$.extra', 'unknown_field', NULL, 1 FROM repos WHERE repo_id = '3'"""
+
+
+@query("SNK4_strict_reading", _DAMAGED)
+def _(h):
+    """Reports of which four have been damaged, each in its own way and depth."""
+    swap = lambda repo, old, new: (F.col("repo_id") == repo, F.replace("report", F.lit(old), F.lit(new)))
+    swaps = [swap("0", '"outcome":"pass","metric"', '"outcome":"passed","metric"'), swap("1", '"reason":"root_event"', '"reason":"first_event"'), swap("2", '"antecedent":{', '"antecedent":{"text":[1,{"a":2}],'), swap("3", '{"schema"', '{"extra":{"deep":1},"schema"')]
+    body = F.col("report")
+    for where, changed in swaps:
+        body = F.when(where, changed).otherwise(body)
+    return report.check_report(_reports(h).withColumn("report", body))
+
+
 @query("CHK1_check_changes", f"{H}, rules AS (SELECT repo_id, a, b, CASE WHEN rank <= 3 THEN 'block' ELSE 'warn' END AS severity FROM shown WHERE partition = 60 AND rank <= 6) SELECT xc.repo_id, xc.event_id, r.a, r.b, severity FROM xc JOIN rules r ON xc.repo_id = r.repo_id AND xc.a = r.a WHERE slice > 1 AND NOT list_contains(components, r.b)")
 def _(h):
     rules = h.displayed.where("partition = 60").select("repo_id", "a", "b", (F.col("rank") <= 6).alias("accepted"), F.when(F.col("rank") <= 3, "block").alias("severity"))

@@ -71,7 +71,24 @@ def test_canonical_reports_have_every_section_in_order(spark):
     assert list(doc) == ["schema", "kind", "status", "tool", "repository", *report.SECTIONS, "failure"] and row.report.endswith("}\n")
     assert doc["status"] == "complete" and doc["failure"] is None and all(doc[name] for name in report.SECTIONS if name != "profiles")
     assert hashlib.sha256(row.report.encode()).hexdigest() == row.digest
-    assert [x["code"] for x in doc["limitations"]] == sorted(report.LIMITATIONS)
+    assert [x["code"] for x in doc["limitations"]] == sorted(report.LIMITATIONS) and len(report.LIMITATIONS) == 14 and len(report.FAILURES) == 21
+    final = [c for c in doc["candidates"] if c["partition"] == 100]
+    assert final and all(len(c["supporting"]) == min(20, c["total_supporting"]) and len(c["exceptions"]) == min(20, c["total_exceptions"]) for c in final)
+    assert all(not c["supporting"] for c in doc["candidates"] if c["partition"] < 100)
+    assert {b["id"] for b in doc["baselines"]} == {"frequent", "unweighted", "shuffled", "no_history"} and len(doc["gates"]) == 7
+    assert all(g["operator"] == ">=" and g["threshold"] and (g["metric"] is None) == (g["reason"] is not None) for g in doc["gates"])
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables here")
+def test_reports_hold_nothing_that_their_form_does_not_know(spark):
+    assert report.check_report(QUERIES["SNK2_canonical_report"](spark, DATA)).collect() == []
+
+
+def test_strict_reading_names_fields_and_codes_at_any_depth(spark):
+    form = {"a": ("x", "y"), "b": [{"c": ("z",), "d": {"e": None}}]}
+    docs = {"ok": '{"a":"x","b":[{"c":"z","d":{"e":[1,2]}},{"c":null,"d":null}]}', "code": '{"a":"q","b":[{"c":"z"},{"c":"w"},{"c":"w"}]}', "field": '{"b":[{"d":{"e":1,"f":{"g":{"h":1}}}}],"i":[{"j":1}]}'}
+    got = {(x.repo_id, x.path, x.violation, x.value, x.n) for x in report.check_report(spark.createDataFrame(list(docs.items()), "repo_id string, report string"), form=form).collect() if "e[" not in x.path}
+    assert got == {("code", "$.a", "unknown_code", "q", 1), ("code", "$.b[].c", "unknown_code", "w", 2), ("field", "$.b[].d.f", "unknown_field", None, 1), ("field", "$.i", "unknown_field", None, 1)}
 
 
 def test_a_repository_over_its_budget_fails_whole(spark):
