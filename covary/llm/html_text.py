@@ -12,8 +12,13 @@ is used as it is and with its parts rewrapped in other ways that pages mark arti
 and comments, so that the model also learns from marks that the sample happens not to show. The weights depend on the
 table only through that sample; without labelled pages the rewrapped stock alone is learned from.
 
-A null html is empty; markup that ends early is closed by the end of the page; ids may be null or repeated; other
-columns are ignored; long pages are handled whole, one in memory at a time."""
+Ancestors are shared nodes, each with the features that it adds to those around it, and open elements are found by tag,
+so that a page takes time in proportion to its length however deep it nests. An open ``svg`` or ``math`` ends where a
+browser leaves it, at the first element of a page's text.
+
+A null html is empty; markup that ends early is closed by the end of the page; ids may be null or repeated, and repeated
+rows give equal texts; an empty table gives an empty result; other columns are ignored, whatever their names; long pages
+are handled whole, one in memory at a time."""
 
 from __future__ import annotations
 
@@ -22,6 +27,7 @@ import math
 import random
 import re
 from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -48,17 +54,86 @@ MAIN, OTHER = "article main", "nav footer aside form header menu button select t
 NOISE = "ad ads advert banner comment comments cookie menu nav navigation notice promo related share sidebar social sponsored widget footer header breadcrumb newsletter subscribe".split()
 
 
+#: What ends an open svg or math, but for what their elements for foreign content hold.
+LEAVES = frozenset("b big blockquote body br center code dd div dl dt em h1 h2 h3 h4 h5 h6 hr i img li menu ol p pre ruby s small span strong strike sub sup table tt u ul var article section header footer main nav aside form".split())
+FOREIGN = "foreignobject desc annotation-xml mtext".split()
+
+
+class Node:
+    """An open block-level element: its tag, its class words and the features that no element around it has."""
+
+    __slots__ = ("fresh", "marks", "parent", "tag")
+
+    def __init__(self, parent: Node | None, tag: str, marks: str, fresh: tuple[str, ...]):
+        self.parent, self.tag, self.marks, self.fresh = parent, tag, marks, fresh
+
+    def chain(self) -> Iterator[Node]:
+        at: Node | None = self
+        while at is not None:
+            yield at
+            at = at.parent
+
+
+def own_features(tag: str, marks: str) -> list[str]:
+    return [f"a:{tag}", *(f"m:{x}" for x in marks.split())]
+
+
+def path_of(path: Iterable[tuple[str, str]]) -> Node | None:
+    """The innermost node of (tag, class words), outermost first."""
+    node, seen = None, set()
+    for tag, marks in path:
+        fresh = tuple(f for f in own_features(tag, marks) if f not in seen)
+        seen.update(fresh)
+        node = Node(node, tag, marks, fresh)
+    return node
+
+
 @dataclass
 class Block:
     text: str
-    path: tuple[tuple[str, str], ...]  # (tag, class words) of the ancestors, outermost first
+    node: Node | None  # its innermost ancestor
     linked: int  # characters inside links
 
 
+class Open:
+    """The open elements, by place and by tag."""
+
+    def __init__(self):
+        self.tags: list[str] = []
+        self.at: dict[str, list[int]] = {}  # places of each tag, ascending
+        self.nodes: list[tuple[int, Node]] = []  # block-level ones with their place
+        self.held: Counter = Counter()  # features of the block-level ones
+
+    def push(self, tag: str, marks: str = "") -> None:
+        place = len(self.tags)
+        self.tags.append(tag)
+        self.at.setdefault(tag, []).append(place)
+        if tag not in INLINE:
+            features = own_features(tag, marks)
+            self.nodes.append((place, Node(self.node, tag, marks, tuple(f for f in features if not self.held[f]))))
+            self.held.update(features)
+
+    @property
+    def node(self) -> Node | None:
+        return self.nodes[-1][1] if self.nodes else None
+
+    def last(self, *tags: str) -> int:
+        """The innermost place of any of these tags, or -1."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=-1)
+
+    def close(self, place: int) -> None:
+        """Ends the element at a place and all inside it."""
+        while len(self.tags) > place:
+            self.at[self.tags.pop()].pop()
+        while self.nodes and self.nodes[-1][0] >= place:
+            node = self.nodes.pop()[1]
+            self.held.subtract(own_features(node.tag, node.marks))
+
+
 def blocks_of(page: str | None) -> list[Block]:
     """The leaf blocks of a page in order; white space is folded and character references decoded."""
     out: list[Block] = []
-    stack: list[tuple[str, str]] = []
+    stack = Open()
     parts: list[str] = []
     linked = links = 0
     at, page = 0, page or ""
@@ -68,7 +143,7 @@ def blocks_of(page: str | None) -> list[Block]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                out.append(Block(text, tuple(x for x in stack if x[0] not in INLINE), linked))
+                out.append(Block(text, stack.node, linked))
             parts.clear()
         linked = 0
 
@@ -96,12 +171,10 @@ def blocks_of(page: str | None) -> list[Block]:
                 links = max(0, links - 1)
             if tag not in INLINE:
                 flush()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
+            if (place := stack.last(tag)) >= 0:
+                stack.close(place)
             if tag not in INLINE:
-                links = sum(x[0] == "a" for x in stack)
+                links = len(stack.at.get("a", ()))
             if tag == "br":
                 parts.append(" ")
             continue
@@ -113,7 +186,7 @@ def blocks_of(page: str | None) -> list[Block]:
                     end = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
                     at = end.end() if end else n
                 elif tag != "head":
-                    at = _passed(page, at, tag, {x[0] for x in stack})
+                    at = _passed(page, at, tag, stack)
             continue
         if tag in INLINE or tag in VOID:
             if tag == "br":
@@ -123,38 +196,34 @@ def blocks_of(page: str | None) -> list[Block]:
             if tag == "a":
                 links += 1
             if tag not in VOID:
-                stack.append((tag, ""))
+                stack.push(tag)
             continue
         flush()
-        for k in range(len(stack) - 1, -1, -1):  # an open paragraph ends where a block begins
-            if stack[k][0] == "p":
-                del stack[k:]
-                break
-            if stack[k][0] not in INLINE:
-                break
+        if stack.nodes and stack.nodes[-1][1].tag == "p":  # an open paragraph ends where a block begins
+            stack.close(stack.nodes[-1][0])
         if tag in CLOSES:
             ended, until = CLOSES[tag]
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in ended.split():
-                    del stack[k:]
-                    break
-                if stack[k][0] in until.split():
-                    break
-        links = sum(x[0] == "a" for x in stack)
+            if (place := stack.last(*ended.split())) >= 0 and place >= stack.last(*until.split()):
+                stack.close(place)
+        links = len(stack.at.get("a", ()))
         marks = " ".join(sorted({p for c in CLASS.findall(m[3]) for p in PART.findall(c.lower())})) if m[3] else ""
         if not m[3].endswith("/") or tag not in VOID:
-            stack.append((tag, marks))
+            stack.push(tag, marks)
     flush()
     return out
 
 
-def _passed(page: str, at: int, tag: str, around: set[str]) -> int:
+def _passed(page: str, at: int, tag: str, around: Open) -> int:
     """Where an element that began just before `at` ends: behind its own end tag, or, if that is missing, before the end
-    tag of an element around it."""
+    tag of an element around it; svg and math also before what a browser takes for the page's text."""
     opened = Counter({tag: 1})
     for m in TOKEN.finditer(page, at):
         name = m[2].lower() if m[2] else ""
-        if not name or name in VOID:
+        if not name:
+            continue
+        if not m[1] and name in LEAVES and tag in ("svg", "math") and not any(opened[f] for f in FOREIGN):
+            return m.start()
+        if name in VOID:
             continue
         if not m[1]:
             opened[name] += not m[3].rstrip().endswith("/")
@@ -162,14 +231,14 @@ def _passed(page: str, at: int, tag: str, around: set[str]) -> int:
             opened[name] -= 1
             if not opened[tag]:
                 return m.end()
-        elif name in around:
+        elif around.last(name) >= 0:
             return m.start()
     return len(page)
 
 
-def path_features(path: tuple[tuple[str, str], ...]) -> list[str]:
-    marks = sorted({f"m:{x}" for _, c in path for x in c.split()})
-    return [*sorted({f"a:{t}" for t, _ in path}), *marks, f"t:{path[-1][0] if path else ''}"]
+def path_features(node: Node | None) -> list[str]:
+    every = {f for x in node.chain() for f in x.fresh} if node else set()
+    return [*sorted(every), f"t:{node.tag if node else ''}"]
 
 
 def text_features(b: Block) -> list[str]:
@@ -183,26 +252,30 @@ class Model:
     weights: dict[str, float]
     turn: list[float] = field(default_factory=lambda: [0.0, 0.0, 0.0, 0.0])  # from*2 + to
     start: list[float] = field(default_factory=lambda: [0.0, 0.0])
-    paths: dict = field(default_factory=dict)
 
-    def emission(self, b: Block) -> float:
-        """The score of main over boilerplate."""
-        w = self.paths.get(b.path)
-        if w is None:
-            if len(self.paths) > 50_000:
-                self.paths.clear()
-            w = self.paths[b.path] = sum(self.weights.get(f, 0.0) for f in path_features(b.path))
-        return w + sum(self.weights.get(f, 0.0) for f in text_features(b))
+    def emission(self, b: Block, known: dict[Node, float] | None = None) -> float:
+        """The score of main over boilerplate; known are the sums of a page's nodes, each made of that around it."""
+        known = {} if known is None else known
+        new = []
+        for x in b.node.chain() if b.node else ():
+            if x in known:
+                break
+            new.append(x)
+        for x in reversed(new):
+            known[x] = (known[x.parent] if x.parent else 0.0) + sum(self.weights.get(f, 0.0) for f in x.fresh)
+        last = f"t:{b.node.tag if b.node else ''}"
+        return (known[b.node] if b.node else 0.0) + sum(self.weights.get(f, 0.0) for f in (last, *text_features(b)))
 
     def decode(self, blocks: list[Block]) -> list[int]:
         """Viterbi."""
         if not blocks:
             return []
         t00, t01, t10, t11 = self.turn
-        e = self.emission(blocks[0])
+        known: dict[Node, float] = {}
+        e = self.emission(blocks[0], known)
         s0, s1, back = self.start[0], self.start[1] + e, []
         for b in blocks[1:]:
-            e = self.emission(b)
+            e = self.emission(b, known)
             a, c = s0 + t00, s1 + t10
             d, f = s0 + t01, s1 + t11
             back.append((a < c, d <= f))
@@ -219,9 +292,10 @@ class Model:
 
 def own_label(b: Block) -> int:
     """1 in an element that marks the article and in none, nor under a mark, that is never part of it."""
-    tags = {t for t, _ in b.path}
+    chain = list(b.node.chain()) if b.node else []
+    tags = {x.tag for x in chain}
     inside = any(t in tags for t in MAIN.split())
-    noise = any(t in tags for t in OTHER.split()) or any(x in NOISE for _, c in b.path for x in c.split())
+    noise = any(t in tags for t in OTHER.split()) or any(w in NOISE for x in chain for w in x.marks.split())
     return int(inside and not noise)
 
 
@@ -246,14 +320,14 @@ def rewrapped(blocks: list[Block], y: list[int], r: random.Random) -> tuple[list
         for _ in range(r.randint(1, 4)):
             text = r.choice(rest if r.random() < 0.6 else body)
             link = len(text) if r.random() < 0.4 else 0
-            out.append((Block(text, wrap(*inside, *kind), link), 0))
+            out.append((Block(text, path_of(wrap(*inside, *kind)), link), 0))
 
     for _ in range(r.randint(1, 4)):
         put_noise()
     for text in body:
         own = leaf()
         more = (("ul", ""),) if own[0] == "li" else (("table", ""), ("tr", "")) if own[0] == "td" else ()
-        out.append((Block(text, wrap(*home, *more, own), 0), 1))
+        out.append((Block(text, path_of(wrap(*home, *more, own)), 0), 1))
         if r.random() < 0.06:
             put_noise(home)
     for _ in range(r.randint(1, 4)):
@@ -274,13 +348,13 @@ def train(pages: list[str], epochs: int = 8, rate: float = 0.5, l2: float = 1e-5
         y = [own_label(b) for b in blocks]
         if any(y):
             data.append((blocks, y))
-    stock = [Block(t, (), 0) for t in STOCK + PROSE]
+    stock = [Block(t, None, 0) for t in STOCK + PROSE]
     bases = [d for d in data if len(d[0]) <= 200] or [(stock, [0] * len(STOCK) + [1] * len(PROSE))]
     data = [d for d in data if len(d[0]) <= 400] + [rewrapped(*bases[i % len(bases)], r) for i in range(900)]
     index: dict[str, int] = {}
     rows = []
     for blocks, y in data:
-        f = [[index.setdefault(x, len(index)) for x in (*path_features(b.path), *text_features(b))] for b in blocks]
+        f = [[index.setdefault(x, len(index)) for x in (*path_features(b.node), *text_features(b))] for b in blocks]
         rows.append((f, y))
     w, g2 = np.zeros(len(index) + 6), np.full(len(index) + 6, 1e-6)
     base = len(index)

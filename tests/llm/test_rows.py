@@ -3,6 +3,7 @@
 import hashlib
 import random
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -377,3 +378,59 @@ def test_language_of_rows_with_clashing_names(spark):
     docs = spark.createDataFrame(rows + rows[:2], "doc_id bigint, text string, lang string, score double, lang_pred string")
     out = language.predict(docs, language.train(docs)).collect()
     assert len(out) == 82 and all(x.of.score == 7.5 and x.of.lang_pred == "x" and x.lang_pred == x.of.lang for x in out)
+
+
+def test_deep_nesting_takes_linear_time(text_model):
+    n = 30_000
+    for page in ("<div class='c'>x" * n, "<b>x" * n + "<div></div>" * n, "<div>" * n + "<td></td>x</i>" * n, "".join(f"<div class='k{'ab' * (i % 50)}'>x" for i in range(n)), "<a href=1>x<svg>" * n):
+        began = time.time()
+        text_model.extract(page)
+        assert time.time() - began < 20  # seconds; quadratic time would be minutes
+    path = html_text.blocks_of("<main class='a b'><div class='b c'><b><p id='c'>x")[0].node
+    assert [x.tag for x in path.chain()] == ["p", "div", "main"]
+    assert html_text.path_features(path) == ["a:div", "a:main", "a:p", "m:a", "m:b", "m:c", "t:p"]
+
+
+def test_open_svg_and_math_end_where_a_browser_leaves_them():
+    texts = lambda page: [b.text for b in html_text.blocks_of(page)]
+    assert texts('<article><svg><path d="x"><p>One.</p><p>Two.</p></article>') == ["One.", "Two."]
+    assert texts("<div><math><mi>x</mi><div>After") == ["After"]
+    assert texts("<div><svg><foreignObject><p>drawn</p></foreignObject></svg>rest</div>") == ["rest"]
+
+
+def dense_scores(model, text):
+    """A text's class probabilities from dictionaries of its n-grams, one by one."""
+    c = "".join(x if x.isalpha() else " " for x in f" {text.lower()} ")
+    at = [ord(x) for x in c]
+    odd = [int(x) for x in language._ODD]
+    m = (1 << 32) - 1
+    count = {}
+    for i, x in enumerate(at):
+        one = x * odd[0] & m
+        count[(one * odd[2] & m) >> 18] = count.get((one * odd[2] & m) >> 18, 0) + 1
+        if i + 1 < len(at):
+            two = (one + at[i + 1] * odd[1]) & m
+            count[(two * odd[2] & m) >> 18] = count.get((two * odd[2] & m) >> 18, 0) + 1
+            if i + 2 < len(at):
+                three = (two + at[i + 2] * odd[2]) & m
+                three = ((three ^ (three >> 15)) * odd[1] & m) >> 18
+                count[three] = count.get(three, 0) + 1
+    v = {k: (1 + np.log(n)) * model.idf[k] for k, n in count.items()}
+    size = np.sqrt(sum(x * x for x in v.values()))
+    z = [(sum(float(model.weights[j, k]) * x / size for k, x in v.items()) + model.bias[j]) / model.temperature for j in range(len(model.languages))]
+    e = np.exp(np.array(z) - max(z))
+    return dict(zip(model.languages, e / e.sum(), strict=True))
+
+
+def test_language_scores_equal_a_dense_sum(spark, tmp_path):
+    rows = [(i, f"the {'and ' * (i % 4)}ing {i}" if i % 2 else f"le {'que ' * (i % 5)}tion é {i}", "en" if i % 2 else "fr") for i in range(200)] + [(900, "12 ² ½", "en"), (901, None, "fr")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = language.train(docs.where(language.id_fold(F.col("doc_id"), 3) != 1))
+    got = {x.doc_id: x for x in language.query(spark, save(spark, tmp_path, documents=(rows, "doc_id bigint, text string, lang string"))).collect()}
+    for i, text, _ in rows:
+        assert got[i].held_out == (zlib.crc32(str(i).encode()) % 3 == 1)
+        if i >= 900:
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+        else:
+            want = dense_scores(model, text)
+            assert got[i].lang_pred == max(want, key=want.get) and abs(got[i].score - max(want.values())) < 1e-4
