@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from covary.llm.shared import ascii_lower, quoted, row_key, table, written
+from covary.llm.shared import ascii_lower, let, quoted, row_key, table, written
 
 #: Runs of digits, lower-case letters and everything beyond ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -52,15 +52,14 @@ def kept_grams(h: Column) -> Column:
 def located(df: DataFrame, keys: list[str]) -> DataFrame:
     """A row per kept gram: its hash, its place and the hashes of the words around it (null beyond the ends)."""
     gram, winnow = kept_grams(F.col("h"))
-    around = F.array(*[F.lit(o) for o in range(-SIDE, GRAM + SIDE)])
+    beyond = F.array_repeat(F.lit(None).cast("bigint"), SIDE)
 
-    def hit(m: Column) -> Column:
+    def hit(m: Column, h: Column) -> Column:
         place = m.bitwiseAND(F.lit(PLACE)).cast("int")
-        near = F.transform(around, lambda o: F.get(F.col("h"), place + o))
-        return F.struct(F.shiftright(m, 30).alias("gram"), place.alias("place"), near.alias("near"))
+        return F.struct(F.shiftright(m, 30).alias("gram"), place.alias("place"), F.slice(h, place + 1, F.lit(GRAM + 2 * SIDE)).alias("near"))
 
     kept = df.withColumn("g", gram).withColumn("kept", winnow(F.col("g")))
-    return kept.select(*keys, F.explode(F.transform("kept", hit)).alias("x")).select(*keys, "x.gram", "x.place", "x.near")
+    return kept.select(*keys, F.explode(let(F.concat(beyond, "h", beyond), lambda h: F.transform("kept", lambda m: hit(m, h)))).alias("x")).select(*keys, "x.gram", "x.place", "x.near")
 
 
 def _extended(hits: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from covary.llm.shared import quoted, table
+from covary.llm.shared import let, quoted, table
 
 LEAST, BEFORE, AFTER = 50, 40, 20
 SPANS = "array<struct<start:int,kind_order:int,end:int,kind:string,score:int,base:boolean>>"
@@ -65,11 +65,6 @@ KINDS = [
 ]
 
 
-def let(value: Column, body) -> Column:
-    """body(value), with value computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def running_ends(pieces: Column) -> Column:
     """array<struct<.., size int>> -> the sum of the sizes up to and with each element."""
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,6 +41,11 @@ def row_key(*cols: Column) -> Column:
     return F.unhex(F.md5(F.concat(*told).cast("binary")))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once, wherever the body's own functions use it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 #: Rows that a task turns into its output at a time. Batches of thousands of whole texts would stand in a worker twice.
 SLICE_ROWS = 256
 
