@@ -77,11 +77,16 @@ class Tables:
         return self.spark.read.schema(df.schema).parquet(self.paths[-1])
 
     def drop(self) -> None:
+        """Removes the tables. The driver's collector is asked to run then, as Spark removes the shuffle files and
+        broadcasts of finished plans only when their objects are collected, and a driver of a long pipeline collects late."""
+        if not self.paths:
+            return
         jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         for path in self.paths:
             at = jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(conf).delete(at, True)
         self.paths = []
+        jvm.System.gc()
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
