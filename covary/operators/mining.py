@@ -154,13 +154,14 @@ def final_proposal(displayed: DataFrame) -> DataFrame:
     return displayed.where(F.col("partition") == SNAPSHOTS[-1])
 
 
-def preregistered_check(metrics: DataFrame, displayed: DataFrame, evidence: DataFrame, grid: DataFrame, expected: DataFrame) -> DataFrame:
-    """expected(id, a, b, path_a, path_b): measures of the named pairs over the full history, every threshold that
+def preregistered_check(metrics: DataFrame, displayed: DataFrame, evidence: DataFrame, grid: DataFrame, expected: list[tuple[str, str, str, str, str]]) -> DataFrame:
+    """expected are a handful of (id, a, b, path_a, path_b): measures of the named pairs over the full history, every threshold that
     rejects them, and whether they are displayed and some supporting event touches both files."""
     full = SNAPSHOTS[-1]
     config = F.broadcast(grid)
     repos = metrics.select("repo_id").distinct()
-    want = repos.crossJoin(expected.select("id", "a", "b").distinct()).join(config)  # a row per named pair and repository, as the result has
+    named = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(("id", "a", "b", "path_a", "path_b"), x, strict=True)]) for x in expected])
+    want = repos.select("repo_id", F.explode(named).alias("x")).select("repo_id", "x.id", "x.a", "x.b").join(config)
     m = metrics.where(F.col("partition") == full).select("repo_id", "weight", "a", "b", "opportunity", "support", "confidence", "lift")
     rows = want.join(m, ["repo_id", "weight", "a", "b"], "left").fillna(0, ["opportunity", "support"])
     fails = [
@@ -171,9 +172,11 @@ def preregistered_check(metrics: DataFrame, displayed: DataFrame, evidence: Data
     ]
     rows = rows.withColumn("excluded_by", F.array_join(F.filter(F.array(*fails), lambda x: x.isNotNull()), ",")).withColumn("eligible", F.col("excluded_by") == "")
     shown = displayed.where(F.col("partition") == full).select("repo_id", "config_id", "a", "b", F.lit(True).alias("displayed"))
-    left, right = evidence.select("repo_id", "event_id", F.col("path").alias("path_a")), evidence.select("repo_id", "event_id", F.col("path").alias("path_b"))
-    named = expected.select("id", "path_a", "path_b")
-    together = left.join(named, "path_a").join(right, ["repo_id", "event_id", "path_b"]).select("repo_id", "id", F.lit(True).alias("together")).distinct()
+    # the named files that an event touches, then the pairs of which it touches both
+    paths = sorted({p for x in expected for p in x[3:]})
+    touched = evidence.where(F.col("path").isin(paths)).groupBy("repo_id", "event_id").agg(F.collect_set("path").alias("paths"))
+    both = F.filter(named, lambda x: F.array_contains("paths", x["path_a"]) & F.array_contains("paths", x["path_b"]))
+    together = touched.select("repo_id", F.explode(both).alias("x")).select("repo_id", "x.id", F.lit(True).alias("together")).distinct()
     out = rows.join(shown, ["repo_id", "config_id", "a", "b"], "left").join(together, ["repo_id", "id"], "left")
     found = F.coalesce("displayed", F.lit(False)) & F.coalesce("together", F.lit(False))
     return out.select("repo_id", "config_id", "id", "a", "b", "opportunity", "support", "confidence", "lift", "eligible", "excluded_by", found.alias("rediscovered"))

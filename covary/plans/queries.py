@@ -370,10 +370,6 @@ def _(h):
 _WANT = [("config-chart", "svc/b1", "charts/b1", "svc/b1/red_widget.go", "charts/b1/values.yaml"), ("chart-config", "charts/b2", "svc/b2", "charts/b2/values.yaml", "svc/b2/red_widget.go"), ("unseen", "charts/b2", "nowhere", "charts/b2/values.yaml", "nowhere/x")]
 
 
-def _expected(h: History) -> DataFrame:
-    return h.spark.createDataFrame(_WANT, "id string, a string, b string, path_a string, path_b string")
-
-
 @query("CND7_preregistered_check", f"""{H}, want(id, a, b, path_a, path_b) AS (VALUES {', '.join(map(str, _WANT))}), j AS (
   SELECT r.repo_id, g.config_id, w.id, w.a, w.b, w.path_a, w.path_b, coalesce(m.opportunity, 0) AS opportunity, coalesce(m.support, 0) AS support, m.confidence, m.lift, g.min_opportunity, g.min_confidence, g.min_lift
   FROM repos r CROSS JOIN want w CROSS JOIN grid g LEFT JOIN metrics m ON m.partition = 100 AND m.repo_id = r.repo_id AND m.weight = g.weight AND m.a = w.a AND m.b = w.b), x AS (
@@ -382,7 +378,7 @@ SELECT repo_id, config_id, id, a, b, opportunity, support, {o.R6('confidence', '
   EXISTS (SELECT 1 FROM shown s WHERE s.partition = 100 AND s.repo_id = x.repo_id AND s.config_id = x.config_id AND s.a = x.a AND s.b = x.b)
   AND EXISTS (SELECT 1 FROM evid p JOIN evid q ON p.repo_id = q.repo_id AND p.event_id = q.event_id WHERE p.repo_id = x.repo_id AND p.path = x.path_a AND q.path = x.path_b) AS rediscovered FROM x""")
 def _(h):
-    return six(mining.preregistered_check(h.metrics, h.displayed, h.evidence, h.grid, _expected(h)), "confidence", "lift")
+    return six(mining.preregistered_check(h.metrics, h.displayed, h.evidence, h.grid, _WANT), "confidence", "lift")
 
 
 # ---------------------------------------------------------------- evidence
@@ -669,7 +665,7 @@ SELECT repo_id, lane, {o.WORST} FROM rows GROUP BY repo_id, lane UNION ALL SELEC
 
 
 def _lanes(h: History) -> DataFrame:
-    seen = mining.preregistered_check(h.metrics, h.displayed, h.evidence, h.grid, _expected(h)).where(F.col("id") == _WANT[1][0])
+    seen = mining.preregistered_check(h.metrics, h.displayed, h.evidence, h.grid, _WANT).where(F.col("id") == _WANT[1][0])
     return review.lane_outcome(review.lane_dimensions(review.label_precision(h.review_labels), review.adoption_gate(h.acceptances, by=("repo_id", "lane")), seen))
 
 
@@ -757,7 +753,7 @@ def _reports(h: History) -> DataFrame:
     only = lambda df: df.join(F.broadcast(h.grid.select("config_id")), "config_id", "left_semi")
     controls = baselines.no_history_outcomes(h.tx, h.grid).select("repo_id", F.lit("no_history").alias("id"), F.col("candidates").alias("observed"), "outcome")
     controls = controls.union(baselines.control_outcomes(h.displayed, h.tx, h.events, h.roles).select("repo_id", "control", "observed", "outcome"))
-    seen = mining.preregistered_check(h.metrics, h.displayed, h.evidence, h.grid, _expected(h))
+    seen = mining.preregistered_check(h.metrics, h.displayed, h.evidence, h.grid, _WANT)
     tau = evaluate.kendall_tau_b(h.displayed, h.tx, h.grid).groupBy("repo_id", "config_id").agg(F.array_sort(F.collect_list(F.struct("cutoff", why("tau", "reason").alias("tau")))).alias("rank_correlation"))
     shown, none = mining.final_proposal(h.displayed).select("repo_id", "a", "b").distinct(), F.array()
     events = evidence.candidate_evidence_events(shown, h.tx)
