@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from covary.functions import scalars as sc
-from covary.operators import baselines, calibrate, check, evaluate, mining, partitions, profiles, report, review
+from covary.operators import artifacts, baselines, calibrate, check, evaluate, mining, partitions, profiles, report, review
 from covary.streaming import check_stream
 
 
@@ -98,12 +98,13 @@ def test_calibration_and_lock(spark, mined):
     assert metrics.count() == 81
     same = gains.where("reason = 'identical_baseline'").select("config_id").distinct().count()
     assert same == 27
-    digest = calibrate.grid_digest(grid)
     corpus = spark.createDataFrame([("r", "e333")], "repo_id string, object_id string")
-    lock = calibrate.lock_row(mining.config_grid(spark, mining.DEFAULT), digest, corpus)
+    selected = spark.createDataFrame([(mining.DEFAULT, 0.1, 0.5, 1.0)], "config_id string, worst_gain double, worst_coverage double, min_jaccard double")
+    g, reports = artifacts.grid_artifact(grid), artifacts.artifact(corpus, "report", "object_id", repo=F.col("repo_id"))
+    graph = g.union(reports).union(artifacts.lock_artifact(selected, grid, g, corpus, reports, {"library": "1"}))
     more = corpus.union(spark.createDataFrame([("q", "e1")], corpus.schema))
-    assert [r.repo_id for r in calibrate.holdout_guard(lock, more, digest).collect()] == ["r"]
-    assert calibrate.holdout_guard(lock, more, digest.withColumn("grid_digest", F.lit("x"))).count() == 0
+    assert [r.repo_id for r in artifacts.holdout_repositories(graph, more).collect()] == ["r"]
+    assert artifacts.holdout_repositories(graph.where("kind != 'grid'"), more).count() == 0
 
 
 def test_adoption_and_precision(spark):
