@@ -434,3 +434,50 @@ def test_language_scores_equal_a_dense_sum(spark, tmp_path):
         else:
             want = dense_scores(model, text)
             assert got[i].lang_pred == max(want, key=want.get) and abs(got[i].score - max(want.values())) < 1e-4
+
+
+def walked_frames(media):
+    """(offset, frame) of an MPEG-1 Layer III stream at 48 kHz, by the letter of the format and nothing of the library."""
+    assert media[:3] == b"ID3"
+    at = 10 + sum(b << 7 * (3 - i) for i, b in enumerate(media[6:10]))
+    out = []
+    while at < len(media):
+        assert media[at] == 0xFF and media[at + 1] >> 5 == 7 and media[at + 2] >> 2 & 3 == 1
+        kbps = [0, *range(32, 65, 8), *range(80, 129, 16), *range(160, 257, 32), 320][media[at + 2] >> 4]
+        size = 144 * kbps * 1000 // 48000
+        out.append((at, media[at : at + size]))
+        at += size
+    assert at == len(media)
+    return out
+
+
+def remainder(bits):
+    """CRC-16 by long division, the start value being added to the first sixteen bits."""
+    n = int(bits, 2) << 16
+    n ^= 0xFFFF << len(bits)
+    for i in range(len(bits) + 15, 15, -1):
+        if n >> i & 1:
+            n ^= 0x18005 << (i - 16)
+    return n
+
+
+def test_media_against_an_independent_reader(spark):
+    texts = {1: None, 2: "a", 3: "héllo 😀 " * 2000, 4: "x" * 922, 5: "", 6: "x" * 923, 7: "line\n" * 40_000}
+    docs = spark.createDataFrame([(i, t, 0) for i, t in texts.items()], "doc_id bigint, text string, media int")
+    stored = {x.doc_id: bytes(x.media) for x in mpeg_audio.store_documents(docs).collect()}
+    for x in mpeg_audio.digests(docs).collect():
+        raw = (texts[x.doc_id] or "").encode()
+        payload = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
+        media, frames = stored[x.doc_id], walked_frames(stored[x.doc_id])
+        assert (x.media_bytes, x.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
+        assert (x.n_bytes, x.payload_bytes, x.payload_sha256, x.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        assert b"".join(f[38:] for _, f in frames[1:]).startswith(payload)  # ancillary bytes, the first frame being the table
+        for _, f in frames[1:]:
+            covered = "".join(f"{b:08b}" for b in f[2:4] + f[6:38])
+            assert remainder(covered) == int.from_bytes(f[4:6], "big")
+        table = frames[0][1]
+        assert table[36:40] == b"Xing" or table[38:42] == b"Xing"
+        offsets = [at for at, _ in frames[1:]]
+        n = len(offsets)
+        crc = zlib.crc32(b"".join(o.to_bytes(8, "little") for o in offsets))
+        assert x.feature == f"frames={n};samples={1152 * n};bad_crc=0;vbr={n};last={offsets[-1]};offsets={crc}"
