@@ -361,10 +361,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     alone = F.col("over") - F.count("*").over(Window.partitionBy("a", "fid"))
     shared = shared.withColumn("nth", nth + alone).where("nth <= greatest(small, large)")
     outside = keep.written(shared.select(F.xxhash64("a", "shingle").alias("key"), "a", "fid", "n", "part", "inside", "over", "small", "large", "nth"))
-    within = apart.join(held.select("a", F.col("b").alias("fid"), "inside"), ["a", "fid"]).select("key", "fid", "n", "part", "inside")
+    # either way finds all of a list's pairs, so that two members of several lists need only meet in the first of them
+    of = apart.groupBy("fid").agg(F.collect_list("key").alias("keys"))
+    within = apart.join(held.select("a", F.col("b").alias("fid"), "inside"), ["a", "fid"]).join(of, "fid")
+    within = within.select("key", "fid", "n", "part", "inside", F.filter("keys", lambda k: k < F.col("key")).alias("earlier"))
 
     def enough(x: str, y: str) -> Column:
-        return alike(x, y) & (F.least(x + "inside", y + "inside") * (1 + similarity) >= similarity * (F.col(x + "n") + F.col(y + "n")) - EPSILON)
+        held_of_both = F.least(x + "inside", y + "inside") * (1 + similarity) >= similarity * (F.col(x + "n") + F.col(y + "n")) - EPSILON
+        return alike(x, y) & held_of_both & ~F.arrays_overlap(x + "earlier", y + "earlier")
 
     def can_reach(x: str, y: str) -> Column:
         """Whether the two, first met under this shingle, may share as many as their sizes ask for."""
