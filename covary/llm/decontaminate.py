@@ -62,6 +62,12 @@ def located(df: DataFrame, keys: list[str]) -> DataFrame:
     return kept.select(*keys, F.explode(let(F.concat(beyond, "h", beyond), lambda h: F.transform("kept", lambda m: hit(m, h)))).alias("x")).select(*keys, "x.gram", "x.place", "x.near")
 
 
+def item_grams(items: DataFrame) -> DataFrame:
+    """(ids, gram, item_near): each kept gram of an item once for each surroundings. Where an item repeats one phrase, all
+    places within it are alike, so that a document's gram meets a bounded number of them and not every place."""
+    return located(items, ["ids"]).withColumnRenamed("near", "item_near").drop("place").distinct()
+
+
 def _extended(hits: DataFrame) -> DataFrame:
     """Hits of a document's gram on an item's: how far the words agree, as (start, n)."""
     same = [F.get("near", F.lit(i)).isNotNull() & F.get("near", F.lit(i)).eqNullSafe(F.get("item_near", F.lit(i))) for i in range(GRAM + 2 * SIDE)]
@@ -99,7 +105,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
     items = written(items)
     text = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("row"), word_hashes(F.col("text")).alias("h"))
-    grams = written(located(items, ["ids"]).withColumnRenamed("near", "item_near").drop("place"))
+    grams = written(item_grams(items))
     few = grams.count() <= BROADCAST_GRAMS
     small = F.broadcast if few else (lambda df: df)
     found = _extended(located(text, ["row"]).join(small(grams), "gram"))

@@ -263,6 +263,15 @@ def test_decontamination_matches_brute_force(spark, tmp_path, monkeypatch, broad
     assert contamination(spark, docs, items, tmp_path) == brute_contamination(docs, items)
 
 
+def test_decontamination_of_one_phrase_repeated(spark, tmp_path):
+    """An item that repeats a word or a phrase leaves rows for its two ends and its phrase, however long it is."""
+    items = [(1, "the " * 400), (2, "of the " * 400)]
+    h = frame(spark, [([str(i)], t) for i, t in items], "ids array<string>, text string").select("ids", decontaminate.word_hashes(F.col("text")).alias("h"))
+    assert decontaminate.item_grams(h).count() <= 4 * (2 * decontaminate.SIDE + 1)
+    docs = [(1, "the " * 700), (2, "of the " * 300 + "end"), (3, "of of " * 9), (4, "the " * 9), (5, "the " * 10)]
+    assert contamination(spark, docs, items, tmp_path) == brute_contamination(docs, items)
+
+
 def test_decontaminate_drops_only_hits(spark):
     items = frame(spark, [(1, "one two three four five six seven eight nine ten eleven", None)], "item_id bigint, text string, row string")
     rows = [(1, "x one two three four five six seven eight nine ten", "a", 1), (2, "one two three four five six seven eight nine", "b", 2), (None, None, None, None)]
