@@ -134,6 +134,22 @@ def document_frequency(docs: DataFrame) -> tuple[np.ndarray, int]:
     return out[:SLOTS], int(out[SLOTS])
 
 
+def packed(sample: pa.Table, idf: np.ndarray, names: list[str]) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """(slots, weights, class) of each row of (lang, at, n), as views of one array of slots and one of weights: two large
+    blocks go back to the system once the model is trained, which thousands of small ones don't."""
+    total = sum(len(c.values) for c in sample.column("at").chunks)
+    slot, weight = np.empty(total, np.uint16), np.empty(total)  # SLOTS fit into 16 bits
+    rows, start = [], 0
+    for lang, at, n in zip(sample.column("lang").to_pylist(), sample.column("at"), sample.column("n"), strict=True):
+        at, n = at.values.to_numpy(), n.values.to_numpy()
+        v = (1 + np.log(n)) * idf[at]
+        end = start + len(at)
+        slot[start:end], weight[start:end] = at, v / np.sqrt(v @ v)
+        rows.append((slot[start:end], weight[start:end], names.index(lang)))
+        start = end
+    return rows
+
+
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """docs needs doc_id, text and lang; all its rows may be learned from."""
     docs = docs.where(F.col("lang").isNotNull()).select("doc_id", "text", "lang")
@@ -166,12 +182,8 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     names = sorted(set(got.column("lang").to_pylist()))
     if not names:
         return Model([], idf, np.zeros((0, SLOTS), np.float32), np.zeros(0))
-    rows = []
-    for lang, at, n in zip(got.column("lang").to_pylist(), got.column("at"), got.column("n"), strict=True):
-        at, n = at.values.to_numpy(), n.values.to_numpy()
-        v = (1 + np.log(n)) * idf[at]
-        rows.append((at.astype(np.uint16), v / np.sqrt(v @ v), names.index(lang)))  # SLOTS fit into 16 bits
-    del got, at, n, v
+    rows = packed(got, idf, names)
+    del got
     pa.default_memory_pool().release_unused()  # the driver keeps the sample once
     rows.sort(key=lambda r: (len(r[0]), float(r[1].sum()), r[2]))
     held = rows[::5] if len(rows) >= 50 else rows

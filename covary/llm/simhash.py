@@ -238,13 +238,14 @@ def mixed_lists(members: DataFrame) -> DataFrame:
     return lists.where("parts > 1").select("key", F.col("big.part").alias("big"), F.col("big.own").alias("own"), "all")
 
 
-def across_parts(members: DataFrame, alike: Callable[[str, str], Column], block: int = 500) -> DataFrame:
+def across_parts(members: DataFrame, alike: Callable[[str, str], Column], block: int = 500, tables: Tables | None = None) -> DataFrame:
     """(x, y) for every two members of a posting list that lie in different parts and are alike, once per list. alike gets
     the prefixes of the two sides' columns. Only members outside the list's largest part are dealt to tiles of
     about `block`, and every member meets each tile: no list is cut, a long one is spread over tasks, and one that a
-    single part fills but for a few members isn't repeated."""
+    single part fills but for a few members isn't repeated. With tables, what both sides read is written there."""
     tiles = F.ceil((F.col("all") - F.col("own")) / block).cast("int").alias("tiles")
     mixed = members.join(mixed_lists(members).select("key", "big", tiles), "key")
+    mixed = tables.written(mixed) if tables else mixed
     cols = [c for c in members.columns if c != "key"]
     x = mixed.where("part != big").select("key", F.pmod(F.xxhash64("fid"), "tiles").cast("int").alias("tile"), *[F.col(c).alias(f"x_{c}") for c in cols])
     y = mixed.select("key", "big", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), *[F.col(c).alias(f"y_{c}") for c in cols])
@@ -252,10 +253,11 @@ def across_parts(members: DataFrame, alike: Callable[[str, str], Column], block:
     return x.join(y, ["key", "tile"]).where(once & alike("x_", "y_")).select(F.least("x_fid", "y_fid").alias("x"), F.greatest("x_fid", "y_fid").alias("y"))
 
 
-def towards_largest(members: DataFrame, some: int, seed: int) -> DataFrame:
+def towards_largest(members: DataFrame, some: int, seed: int, tables: Tables | None = None) -> DataFrame:
     """(a, b) for each member b outside its list's largest part and about `some` members a of that part, other ones for
-    another seed."""
+    another seed. With tables, what both sides read is written there."""
     mixed = members.join(mixed_lists(members).select("key", "big", "own"), "key")
+    mixed = tables.written(mixed) if tables else mixed
     drawn = F.pmod(F.xxhash64("fid", F.lit(seed)), F.ceil(F.col("own") / some)) == 0
     a = mixed.where((F.col("part") == F.col("big")) & drawn).select("key", F.col("fid").alias("a"))
     return mixed.where("part != big").select("key", F.col("fid").alias("b")).join(a, "key").select("a", "b").distinct()
@@ -282,20 +284,24 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     best of these pairs links makes parts. Then members of different parts meet, over what the leader doesn't hold of
     them: a large group of copies, or of texts that share a pattern, costs a number of rows that grows with its size, and
     no list of any length is cut. Every pair whose shared positional bytes reach the minimum is verified on all shingles,
-    so that nothing is linked that isn't similar. The index is made for similarities of 0.8 and more."""
+    so that nothing is linked that isn't similar. The index is made for similarities of 0.8 and more.
+
+    What more than one side of a join reads is written first. Spark plans a query anew after each of its stages, so the
+    driver's memory follows the largest single plan; several small ones need less of it."""
     least_shared = int(POSITIONS * similarity - DEVIATIONS * math.sqrt(POSITIONS * similarity * (1 - similarity)))
-    keep = tables or Tables(docs.sparkSession)
+    keep, brief = tables or Tables(docs.sparkSession), Tables(docs.sparkSession)
     sketch = keep.written(sketches(docs, shingle))
     # one row per different text; its number is fixed once it is written
     texts = sketch.groupBy("text_key").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("positions").alias("positions"), F.first("keys").alias("keys"))
     texts = keep.written(texts.select(F.monotonically_increasing_id().alias("fid"), "*"))
     postings = texts.where("n > 0").select(F.explode("keys").alias("key"), "fid", "n")
     lists = postings.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    members = keep.written(postings.join(lists, "key"))
+    members = brief.written(postings.join(lists, "key"))
     # lists are led by the member that has the most company over all its lists: of a text and its edited copies that is
     # the text, to which all copies are more alike than to each other
     company = members.groupBy("fid").agg(F.sum("size").alias("company"))
     members = keep.written(members.join(company, "fid").select("key", "fid", "n", (-F.col("company")).alias("rank")))
+    brief.drop()
     positions = texts.select("fid", "n", "positions")
 
     def alike(x: str, y: str) -> Column:
@@ -311,7 +317,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     def best_of(pairs: DataFrame) -> DataFrame:
         """For each b the pair that shares most."""
         best = tallied_pairs(pairs).groupBy("b").agg(F.max(F.struct("shared", (-F.col("a")).alias("a"))).alias("best"))
-        return keep.written(best.select((-F.col("best.a")).alias("a"), "b"))
+        return brief.written(best.select((-F.col("best.a")).alias("a"), "b"))
 
     # the shingles of all texts that stand in any list, in one pass over the texts
     listed = members.select("fid").distinct().join(texts.select("fid", "row"), "fid")
@@ -326,6 +332,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     first = members.groupBy("key").agg(F.min(F.struct("rank", "fid"))["fid"].alias("a"))
     led = members.join(first, "key").where("a != fid").select("a", F.col("fid").alias("b")).distinct()
     ok = similar(best_of(led))
+    brief.drop()
     # every member has one link at most, to one that ranks before it, so its part is what two steps up lead to; a chain
     # of more steps is several parts, which meet like any others
     part = ok.select(F.col("b").alias("fid"), F.col("a").alias("part"))
@@ -334,12 +341,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     label = keep.written(listed.select("fid").join(part, "fid", "left").select("fid", F.coalesce("part", "fid").alias("part")))
     members = members.select("key", "fid", "n")
     for seed in range(ROUNDS):
-        more = similar(best_of(towards_largest(members.join(label, "fid"), DRAWN, seed)))
+        more = similar(best_of(towards_largest(members.join(label, "fid"), DRAWN, seed, brief)))
         label, ok = keep.written(merged(label, more)), ok.union(more)
+        brief.drop()
     # What is left are lists whose members lie in different parts. Each member is measured against the list's leader: how
     # many of its shingles the leader holds, and which ones it doesn't.
-    apart = members.join(label, "fid").join(first, "key")
-    apart = keep.written(apart.join(mixed_lists(apart).select("key"), "key").select("key", "fid", "n", "part", "a"))
+    apart = members.join(label, "fid")
+    apart = brief.written(apart.join(mixed_lists(apart).select("key"), "key").join(first, "key").select("key", "fid", "n", "part", "a"))
     x, y = (sets.select(F.col("fid").alias(s), F.col("shingles").alias(f"{s}_s")) for s in "ab")
     held = apart.where("a != fid").select("a", F.col("fid").alias("b"), "part").distinct().join(y, "b").join(x, "a")
     inside, n = F.size(F.array_intersect("a_s", "b_s")).alias("inside"), F.size("b_s").alias("n")
@@ -360,11 +368,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     nth = F.row_number().over(Window.partitionBy("a", "fid").orderBy("df", "shingle"))
     alone = F.col("over") - F.count("*").over(Window.partitionBy("a", "fid"))
     shared = shared.withColumn("nth", nth + alone).where("nth <= greatest(small, large)")
-    outside = keep.written(shared.select(F.xxhash64("a", "shingle").alias("key"), "a", "fid", "n", "part", "inside", "over", "small", "large", "nth"))
+    outside = brief.written(shared.select(F.xxhash64("a", "shingle").alias("key"), "a", "fid", "n", "part", "inside", "over", "small", "large", "nth"))
     # either way finds all of a list's pairs, so that two members of several lists need only meet in the first of them
     of = apart.groupBy("fid").agg(F.collect_list("key").alias("keys"))
     within = apart.join(held.select("a", F.col("b").alias("fid"), "inside"), ["a", "fid"]).join(of, "fid")
-    within = within.select("key", "fid", "n", "part", "inside", F.filter("keys", lambda k: k < F.col("key")).alias("earlier"))
+    within = brief.written(within.select("key", "fid", "n", "part", "inside", F.filter("keys", lambda k: k < F.col("key")).alias("earlier")))
 
     def enough(x: str, y: str) -> Column:
         held_of_both = F.least(x + "inside", y + "inside") * (1 + similarity) >= similarity * (F.col(x + "n") + F.col(y + "n")) - EPSILON
@@ -377,11 +385,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
         indexed = lambda u, v: (F.col(u + "n") <= F.col(v + "n")) & (F.col(u + "nth") <= F.col(u + "small")) & (F.col(v + "nth") <= F.col(v + "large"))
         return (F.col(x + "a") == F.col(y + "a")) & alike(x, y) & (left >= needed) & (indexed(x, y) | indexed(y, x))
 
-    often = across_parts(outside, can_reach)
-    met = often.union(across_parts(within, enough))
+    often = brief.written(across_parts(outside, can_reach, tables=brief))
+    met = often.union(brief.written(across_parts(within, enough, tables=brief)))
     met = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    across = keep.written(tallied_pairs(met).select("a", "b"))
-    label = connected_components(ok.union(similar(across)))
+    across = similar(brief.written(tallied_pairs(met).select("a", "b")))
+    brief.drop()
+    label = connected_components(ok.union(across))
     groups = texts.join(label, texts["fid"] == label["node"], "left").select("text_key", "row", F.coalesce("component", "fid").alias("component"))
     least = groups.groupBy("component").agg(F.min("row").alias("group"))
     return sketch.select("row", "text_key").join(groups.select("text_key", "component").join(least, "component"), "text_key").select("row", "group")

@@ -214,6 +214,21 @@ def test_every_two_members_of_a_list_in_different_parts_meet(spark):
             assert len(got) == len(set(got)) and set(got) == {x for x in want if x[0] == key}
 
 
+def test_no_single_plan_of_near_duplicates_is_large(spark, monkeypatch):
+    """The driver plans a query anew after each of its stages, so that its memory follows the largest plan."""
+    joins, written = [], shared.Tables.written
+
+    def noted(self, df):
+        joins.append(df._jdf.queryExecution().optimizedPlan().toString().count("Join "))
+        return written(self, df)
+
+    monkeypatch.setattr(shared.Tables, "written", noted)
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(0, text), (1, text + " x"), (2, "other words " + text)]
+    got = {x.row: x.group for x in simhash.near_duplicates(frame(spark, rows, "row bigint, text string")).collect()}
+    assert got == {0: 0, 1: 0, 2: 0} and max(joins) <= 6
+
+
 # ------------------------------------------------------------------ decontamination
 
 

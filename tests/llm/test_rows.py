@@ -7,6 +7,7 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import tiktoken
 from public_tokenizers import PATTERN
@@ -101,6 +102,20 @@ def test_language_held_out_and_edges(spark, tmp_path):
     assert len(held) > 150 and np.mean([a == b for a, b in held]) > 0.98
 
 
+def test_language_sample_lies_in_two_blocks():
+    """Thousands of small arrays would stay with the driver after the training."""
+    at, n = [[1, 5, 9], [2], [3, 16383]], [[1, 2, 1], [4], [7, 1]]
+    idf = np.linspace(1, 2, language.SLOTS)
+    cut = lambda x, a, b: pa.array(x[a:b], pa.list_(pa.int32()))
+    sample = pa.table({"lang": pa.chunked_array([["b", "a"], ["b"]]), **{k: pa.chunked_array([cut(x, 0, 2), cut(x, 2, 3)]) for k, x in (("at", at), ("n", n))}})
+    rows = language.packed(sample, idf, ["a", "b"])
+    assert len({id(r[k].base) for r in rows for k in (0, 1)}) == 2
+    assert [(r[0].tolist(), r[2]) for r in rows] == list(zip(at, [1, 0, 1], strict=True))
+    for r, a, c in zip(rows, at, n, strict=True):
+        v = (1 + np.log(c)) * idf[a]
+        assert np.array_equal(r[1], v / np.sqrt(v @ v))
+
+
 def test_language_without_anything_to_learn(spark, tmp_path):
     got = language.query(spark, save(spark, tmp_path, documents=([(1, "text", None)], DOC + ", lang string"))).collect()
     assert [(x.lang_pred, x.score) for x in got] == [("und", 0.0)]
