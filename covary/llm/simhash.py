@@ -158,9 +158,6 @@ POSITIONS, BAND = 96, 4
 DEVIATIONS = 5
 #: So that a product with a similarity isn't above a whole number by its last bit.
 EPSILON = 1e-6
-#: How often members outside their list's largest part meet some of that part, and how many each time, before all members
-#: of different parts do. More or fewer change what the last step costs, not what is found.
-ROUNDS, DRAWN = 2, 8
 _ODD = np.random.default_rng(5).integers(1, 1 << 63, (2, POSITIONS), dtype=np.uint64) | np.uint64(1)
 _ODD.setflags(write=False)
 
@@ -253,37 +250,15 @@ def across_parts(members: DataFrame, alike: Callable[[str, str], Column], block:
     return x.join(y, ["key", "tile"]).where(once & alike("x_", "y_")).select(F.least("x_fid", "y_fid").alias("x"), F.greatest("x_fid", "y_fid").alias("y"))
 
 
-def towards_largest(members: DataFrame, some: int, seed: int, tables: Tables | None = None) -> DataFrame:
-    """(a, b) for each member b outside its list's largest part and about `some` members a of that part, other ones for
-    another seed. With tables, what both sides read is written there."""
-    mixed = members.join(mixed_lists(members).select("key", "big", "own"), "key")
-    mixed = tables.written(mixed) if tables else mixed
-    drawn = F.pmod(F.xxhash64("fid", F.lit(seed)), F.ceil(F.col("own") / some)) == 0
-    a = mixed.where((F.col("part") == F.col("big")) & drawn).select("key", F.col("fid").alias("a"))
-    return mixed.where("part != big").select("key", F.col("fid").alias("b")).join(a, "key").select("a", "b").distinct()
-
-
-def merged(label: DataFrame, links: DataFrame) -> DataFrame:
-    """(fid, part) with each part joined to the largest larger one that a link leads to."""
-    sizes = label.groupBy("part").agg(F.count("*").alias("size"))
-    sized = label.join(sizes, "part")
-    ends = links
-    for end in "ab":
-        ends = ends.join(sized.select(F.col("fid").alias(end), F.struct("size", "part").alias(f"{end}_part")), end)
-    pairs = ends.select(F.least("a_part", "b_part").alias("low"), F.greatest("a_part", "b_part").alias("high")).where("low < high")
-    moves = pairs.groupBy(F.col("low.part").alias("part")).agg(F.max("high").alias("to"))
-    return label.join(moves, "part", "left").select("fid", F.coalesce("to.part", "part").alias("part"))
-
-
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, tables: Tables | None = None) -> DataFrame:
     """(row, group) for every row of docs: rows of one group are linked by equal words or by a Jaccard similarity of
     the distinct `shingle`-word shingles of at least `similarity`; group is the smallest row. docs needs `row` (of any
     orderable type; rows of equal id and text may share it) and `text`.
 
-    First each member of a posting list meets the list's leader, then some members of the list's largest part; what the
-    best of these pairs links makes parts. Then members of different parts meet, over what the leader doesn't hold of
-    them: a large group of copies, or of texts that share a pattern, costs a number of rows that grows with its size, and
-    no list of any length is cut. Every pair whose shared positional bytes reach the minimum is verified on all shingles,
+    First each text meets the most alike of its lists' leaders, then, where a list isn't one part yet, all of them on all
+    shingles; what these pairs link makes parts. Then members of different parts meet, over what sets them apart from
+    their leader: a large group of copies, or of texts that share a pattern, costs a number of rows that grows with its
+    size, and no list of any length is cut. Every other pair whose shared positional bytes reach the minimum is verified on all shingles,
     so that nothing is linked that isn't similar. The index is made for similarities of 0.8 and more.
 
     What more than one side of a join reads is written first. Spark plans a query anew after each of its stages, so the
@@ -339,58 +314,49 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     above = part.select(F.col("fid").alias("part"), F.col("part").alias("higher"))
     part = part.join(above, "part", "left").select("fid", F.coalesce("higher", "part").alias("part"))
     label = keep.written(listed.select("fid").join(part, "fid", "left").select("fid", F.coalesce("part", "fid").alias("part")))
-    members = members.select("key", "fid", "n")
-    for seed in range(ROUNDS):
-        more = similar(best_of(towards_largest(members.join(label, "fid"), DRAWN, seed, brief)))
-        label, ok = keep.written(merged(label, more)), ok.union(more)
-        brief.drop()
     # What is left are lists whose members lie in different parts. Each member is measured against the list's leader: how
-    # many of its shingles the leader holds, and which ones it doesn't.
-    apart = members.join(label, "fid")
-    apart = brief.written(apart.join(mixed_lists(apart).select("key"), "key").join(first, "key").select("key", "fid", "n", "part", "a"))
+    # many of its shingles the leader holds, and which ones only one of the two has.
+    apart = members.select("key", "fid", "n").join(label, "fid")
+    apart = brief.written(apart.join(mixed_lists(apart).select("key"), "key").join(first, "key").select("key", "fid", "a"))
     x, y = (sets.select(F.col("fid").alias(s), F.col("shingles").alias(f"{s}_s")) for s in "ab")
-    held = apart.where("a != fid").select("a", F.col("fid").alias("b"), "part").distinct().join(y, "b").join(x, "a")
+    held = apart.where("a != fid").select("a", F.col("fid").alias("b")).distinct().join(y, "b").join(x, "a")
     inside, n = F.size(F.array_intersect("a_s", "b_s")).alias("inside"), F.size("b_s").alias("n")
-    held = keep.written(held.select("a", "b", "part", inside, F.size("a_s").alias("a_n"), n, F.sort_array(F.array_except("b_s", "a_s")).alias("rest")))
-    ok = ok.union(held.where(F.col("inside") >= similarity * (F.col("a_n") + F.col("n") - F.col("inside")) - EPSILON).select("a", "b"))
-    # Two members that the leader doesn't link share more shingles than the leader holds of the lesser one, so that they
-    # share some it doesn't hold: they meet under these. Or the leader holds enough of both: then the two numbers say so.
-    # Of the shingles that a member has beyond the leader only those are indexed, rarest first, that a partner can't all
-    # lack: with `rest` of them and at least `least` to be shared, the first rest - least + 1. What must be shared is more
-    # with a partner that isn't smaller (small) than with one that may be (large).
-    over = F.size("rest")
-    least = lambda share: F.greatest(F.lit(1), F.ceil(share * F.col("n") - EPSILON) - F.col("inside"))
-    small, large = over - least(2 * similarity / (1 + similarity)) + 1, over - least(similarity) + 1
-    outside = held.select("a", F.col("b").alias("fid"), "n", "part", "inside", over.alias("over"), small.alias("small"), large.alias("large"), F.explode("rest").alias("shingle"))
-    common = outside.groupBy("a", "shingle").agg(F.count("*").alias("df")).where("df > 1")
-    # a shingle that no other member has comes first in its member's order and meets nobody
-    shared = outside.join(common, ["a", "shingle"])
+    differ = F.concat(F.array_except("b_s", "a_s"), F.array_except("a_s", "b_s")).alias("differ")
+    held = keep.written(held.select("a", "b", inside, F.size("a_s").alias("a_n"), n, differ))
+    to_leader = F.col("inside") >= similarity * (F.col("a_n") + F.col("n") - F.col("inside")) - EPSILON
+    parts = connected_components(ok.union(held.where(to_leader).select("a", "b")))
+    label = listed.select("fid").join(parts, F.col("fid") == F.col("node"), "left").select("fid", F.coalesce("component", "fid").alias("part"))
+    label = keep.written(label)
+    # Two members share inside + inside - a_n shingles and as many more as their differences from the leader share: they
+    # meet under those. Of a member's differences only those are indexed, rarest first, that a partner can't all lack:
+    # with `over` of them and at least `least` to be shared, the first over - least + 1. A partner of n shingles adds
+    # share * n to what must be shared and min(n, a_n) at most to what is, so that it lessens `least` by (1 - share) * a_n
+    # at most; one that the leader doesn't link lessens it by less than share * a_n, and a member that it links need meet
+    # no others. So `least` is over zero for every two members of different parts.
+    mixed = mixed_lists(apart.join(label, "fid")).select("key")
+    still = brief.written(apart.join(mixed, "key").where("a != fid").select("a", F.col("fid").alias("b")).distinct())
+    share, over = similarity / (1 + similarity), F.size("differ")
+    partner = F.when(to_leader, 1 - share).otherwise(share) * F.col("a_n")
+    least = F.greatest(F.lit(1), F.ceil(share * F.col("n") - F.col("inside") + partner - EPSILON))
+    differing = held.join(still, ["a", "b"]).select("a", F.col("b").alias("fid"), "n", "a_n", "inside", over.alias("over"), (over - least + 1).alias("first"), F.explode("differ").alias("shingle"))
+    common = differing.groupBy("a", "shingle").agg(F.count("*").alias("df")).where("df > 1")
+    # a shingle in which no other member differs comes first in its member's order and meets nobody
+    shared = differing.join(common, ["a", "shingle"])
     nth = F.row_number().over(Window.partitionBy("a", "fid").orderBy("df", "shingle"))
     alone = F.col("over") - F.count("*").over(Window.partitionBy("a", "fid"))
-    shared = shared.withColumn("nth", nth + alone).where("nth <= greatest(small, large)")
-    outside = brief.written(shared.select(F.xxhash64("a", "shingle").alias("key"), "a", "fid", "n", "part", "inside", "over", "small", "large", "nth"))
-    # either way finds all of a list's pairs, so that two members of several lists need only meet in the first of them
-    of = apart.groupBy("fid").agg(F.collect_list("key").alias("keys"))
-    within = apart.join(held.select("a", F.col("b").alias("fid"), "inside"), ["a", "fid"]).join(of, "fid")
-    within = brief.written(within.select("key", "fid", "n", "part", "inside", F.filter("keys", lambda k: k < F.col("key")).alias("earlier")))
-
-    def enough(x: str, y: str) -> Column:
-        held_of_both = F.least(x + "inside", y + "inside") * (1 + similarity) >= similarity * (F.col(x + "n") + F.col(y + "n")) - EPSILON
-        return alike(x, y) & held_of_both & ~F.arrays_overlap(x + "earlier", y + "earlier")
+    shared = shared.withColumn("nth", nth + alone).where("nth <= first").join(label, "fid")
+    index = brief.written(shared.select(F.xxhash64("a", "shingle").alias("key"), "a", "fid", "n", "part", "a_n", "inside", "over", "nth"))
 
     def can_reach(x: str, y: str) -> Column:
         """Whether the two, first met under this shingle, may share as many as their sizes ask for."""
-        needed = F.ceil(similarity * (F.col(x + "n") + F.col(y + "n")) / (1 + similarity) - EPSILON) - F.least(x + "inside", y + "inside")
+        needed = F.ceil(share * (F.col(x + "n") + F.col(y + "n")) - EPSILON) - F.col(x + "inside") - F.col(y + "inside") + F.col(x + "a_n")
         left = F.least(F.col(x + "over") - F.col(x + "nth"), F.col(y + "over") - F.col(y + "nth")) + 1
-        indexed = lambda u, v: (F.col(u + "n") <= F.col(v + "n")) & (F.col(u + "nth") <= F.col(u + "small")) & (F.col(v + "nth") <= F.col(v + "large"))
-        return (F.col(x + "a") == F.col(y + "a")) & alike(x, y) & (left >= needed) & (indexed(x, y) | indexed(y, x))
+        return (F.col(x + "a") == F.col(y + "a")) & alike(x, y) & (left >= needed)
 
-    often = brief.written(across_parts(outside, can_reach, tables=brief))
-    met = often.union(brief.written(across_parts(within, enough, tables=brief)))
-    met = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    met = brief.written(across_parts(index, can_reach, tables=brief).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
     across = similar(brief.written(tallied_pairs(met).select("a", "b")))
     brief.drop()
-    label = connected_components(ok.union(across))
+    label = connected_components(label.select(F.col("part").alias("a"), F.col("fid").alias("b")).union(across))
     groups = texts.join(label, texts["fid"] == label["node"], "left").select("text_key", "row", F.coalesce("component", "fid").alias("component"))
     least = groups.groupBy("component").agg(F.min("row").alias("group"))
     return sketch.select("row", "text_key").join(groups.select("text_key", "component").join(least, "component"), "text_key").select("row", "group")

@@ -229,6 +229,40 @@ def test_no_single_plan_of_near_duplicates_is_large(spark, monkeypatch):
     assert got == {0: 0, 1: 0, 2: 0} and max(joins) <= 6
 
 
+def joined_rows(spark, since, keys):
+    """The rows of all joins by these keys in the queries after `since`."""
+    store, total = spark._jsparkSession.sharedState().statusStore(), 0
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    for i in range(since, store.executionsCount()):
+        run = store.executionsList().apply(i)
+        metrics = store.executionMetrics(run.executionId())
+        nodes = store.planGraph(run.executionId()).allNodes()
+        for node in (nodes.apply(k) for k in range(nodes.size())):
+            if re.search(rf"Join \[{keys}\], \[{keys}\], Inner", re.sub(r"#\d+L?", "", node.desc())):
+                for m in (node.metrics().apply(k) for k in range(node.metrics().size())):
+                    if m.name() == "number of output rows" and metrics.contains(m.accumulatorId()):
+                        total += int(metrics.apply(m.accumulatorId()).replace(",", ""))
+    return total
+
+
+def test_a_group_meets_its_leaders_and_not_itself(spark):
+    """Copies of a text and many parts of it, few of which are alike: the joined rows follow the number of texts."""
+    r = random.Random(77)
+    base = [f"w{i}" for i in range(400)]
+    texts = [base, *([*base[:i], "edit", *base[i + 1 :]] for i in range(0, 360, 6))]
+    for _ in range(150):
+        gone = {20 * i + k for i in r.sample(range(20), 6) for k in range(20)}
+        texts.append([w for i, w in enumerate(base) if i not in gone])
+    texts = [" ".join(t) for t in texts]
+    since = spark._jsparkSession.sharedState().statusStore().executionsCount()
+    got = {x.row: x.group for x in simhash.near_duplicates(frame(spark, list(enumerate(texts)), "row bigint, text string")).collect()}
+    links = near_groups(texts)
+    assert all(got[i] == got[j] for i, j in links) and {i for i in got if got[i] != i} == {i for i, _ in links}
+    made = {keys: joined_rows(spark, since, keys) for keys in ("a", "key, tile")}
+    # the leaders of 24 lists at most, in two steps
+    assert 0 < made["a"] < 2 * 24 * len(texts) and made["key, tile"] < len(texts)
+
+
 # ------------------------------------------------------------------ decontamination
 
 
