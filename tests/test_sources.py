@@ -1,10 +1,13 @@
 """Landed listings, change dumps and module metadata, with the reference's own accepted and rejected cases."""
 
+import random
+
 import pytest
 
 from covary.functions.scalars import is_object_id
 from covary.operators import chain, normalize
 from covary.sources import landing
+from covary.sources.store import stored
 from covary.streaming import check_stream
 
 A, B, C, D = (c * 40 for c in "abcd")
@@ -155,3 +158,35 @@ def test_first_parent_chains_by_doubling(spark):
     want = [("r", i + 1, f"c{i}", f"c{i - 1}" if i else None, len(line[i][2]), 25, None) for i in range(21)]
     want += [("m", 1, "y", "gone", 1, 2, "missing_object"), ("m", 2, "x", "y", 1, 2, "missing_object"), ("o", 1, "q", "p", 1, 2, "cycle"), ("o", 2, "p", "q", 1, 2, "cycle")]
     assert got == sorted(want, key=lambda r: r[:2])
+
+
+@pytest.mark.parametrize("small", [0, 40])
+def test_first_parent_chains_past_taken_out_commits(spark, monkeypatch, small):
+    """Rounds that take commits out change nothing of the chain, and a long one takes far fewer rows than a table of jumps
+    for each power of two."""
+    r, rows, want = random.Random(4), [], {}
+    for repo in "a", "b":
+        up = {i: i - 1 for i in range(1, 150)} | {i: r.randrange(i) for i in range(150, 260)}
+        up |= {0: 90} if repo == "b" else {}  # a cycle behind the tip
+        other = {i: r.randrange(260) for i in r.sample(range(1, 260), 12)}
+        parents = {i: [p for p in (up.get(i), other.get(i) if i in up else None) if p is not None] for i in range(260)}
+        rows += [(repo, f"c{i}", [f"c{p}" for p in ps]) for i, ps in parents.items()]
+        walk, at = [], 149
+        while at is not None and at not in walk:
+            walk.append(at)
+            at = up.get(at)
+        seen, todo = set(), [149]
+        while todo:
+            i = todo.pop()
+            if i not in seen:
+                seen.add(i)
+                todo += parents[i]
+        want |= {(repo, len(walk) - k): (f"c{i}", len(seen)) for k, i in enumerate(walk)}
+    made = []
+    monkeypatch.setattr(chain, "SMALL", small, raising=False)
+    monkeypatch.setattr(chain, "stored", lambda df: made.append(stored(df)) or made[-1])
+    commits = spark.createDataFrame(rows, "repo_id string, id string, parents array<string>")
+    out = chain.first_parent_chain(commits, spark.createDataFrame([("a", "c149"), ("b", "c149")], "repo_id string, tip string"))
+    assert {(x.repo_id, x.seq): (x.event_id, x.reachable) for x in out.collect()} == want
+    assert {x.broken for x in out.collect()} == {None, "cycle"}
+    assert any("via" in df.columns for df in made) and sum(df.count() for df in made) < 8 * len(rows)
