@@ -100,6 +100,13 @@ def test_a_repository_over_its_budget_fails_whole(spark):
     assert (docs["b"]["status"], docs["b"]["limitations"], docs["b"]["failure"]["code"]) == ("failed", [], "budget_events")
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables here")
+def test_strict_reading_equals_sql_beyond_the_budgets(spark, monkeypatch):
+    """The SQL knows no budgets: repositories with more events than a report's limit are read whole."""
+    monkeypatch.setitem(mining.LIMITS, "events", 200)
+    test_query_equals_sql(spark, "SNK4_strict_reading")
+
+
 def test_a_session_shares_a_history_while_it_is_there(spark, tmp_path):
     first = history_of(spark, DATA)
     assert history_of(spark, DATA) is first and history_of(spark, DATA, path_limit=6) is not first
