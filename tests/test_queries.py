@@ -9,6 +9,7 @@ import duckdb
 import pytest
 
 from covary.operators import calibrate, mining, report
+from covary.plans import queries as plans
 from covary.plans.history import History
 from covary.plans.queries import ORACLE, QUERIES, history_of
 
@@ -107,6 +108,21 @@ def test_strict_reading_equals_sql_beyond_the_budgets(spark, monkeypatch):
     test_query_equals_sql(spark, "SNK4_strict_reading")
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables here")
+def test_no_section_of_a_failed_report_is_made(spark, monkeypatch):
+    monkeypatch.setitem(mining.LIMITS, "events", 300)
+    seen = []
+    calibrated = calibrate.calibrate
+    monkeypatch.setattr(calibrate, "calibrate", lambda events, tx, grid: seen.append({r.repo_id for r in tx.select("repo_id").distinct().collect()}) or calibrated(events, tx, grid))
+    monkeypatch.setattr(plans, "_HISTORIES", {})
+    docs = {x.repo_id: json.loads(x.report) for x in QUERIES["SNK2_canonical_report"](spark, DATA).collect()}
+    fits = {r for r, d in docs.items() if d["repository"]["first_parent_events"] <= 300}
+    assert 0 < len(fits) < len(docs) and seen == [fits]
+    for r, d in docs.items():
+        assert d["status"] == ("complete" if r in fits else "failed") and d["repository"]["reachable_commits"]
+        assert all(bool(d[s]) == (r in fits) for s in report.SECTIONS if s != "profiles")
+
+
 def test_a_session_shares_a_history_while_it_is_there(spark, tmp_path):
     first = history_of(spark, DATA)
     assert history_of(spark, DATA) is first and history_of(spark, DATA, path_limit=6) is not first
