@@ -12,6 +12,8 @@ from covary.operators import calibrate, mining, report
 from covary.plans import queries as plans
 from covary.plans.history import History
 from covary.plans.queries import ORACLE, QUERIES, history_of
+from covary.sources import landing
+from covary.sources.store import scratch
 
 DATA = "/root/testdata/sf0.001"
 #: One session's queries share the derived history, so all of them are compared.
@@ -123,6 +125,20 @@ def test_no_section_of_a_failed_report_is_made(spark, monkeypatch):
         assert all(bool(d[s]) == (r in fits) for s in report.SECTIONS if s != "profiles")
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables here")
+def test_object_ids_follow_behind_the_exchanges(spark):
+    """They are as long as all else of a record, and hashes don't compress."""
+    h = History(spark, DATA)
+    dealt = h.records(landing.deal(h.numbered.where("kind != 'root'"), 4))
+    for df, step in ((h.changes, "Window"), (dealt, "RepartitionByExpression")):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert 0 <= plan.index("sha2") < plan.index(step) and "sha2" not in plan[plan.index(step) :]
+    name = landing.write_history(h.events, dealt, scratch(spark), parts=2, buckets=4, dealt=True)
+    kept = landing.load_history(spark, name)[1]
+    assert sorted(map(tuple, kept.select(*h.changes.columns).collect())) == sorted(map(tuple, h.changes.collect()))
+    assert "Exchange" not in kept.groupBy("repo_id", "event_id").count()._jdf.queryExecution().executedPlan().toString()
+
+
 def test_a_session_shares_a_history_while_it_is_there(spark, tmp_path):
     first = history_of(spark, DATA)
     assert history_of(spark, DATA) is first and history_of(spark, DATA, path_limit=6) is not first
