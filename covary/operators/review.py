@@ -23,11 +23,12 @@ def sample_candidates(final: DataFrame, n: int = 8) -> DataFrame:
 
 def sample_deviations(devs: DataFrame, sampled: DataFrame, n: int = 10) -> DataFrame:
     """devs(repo_id, repository, a, b, cutoff_id, event_id): the lowest-hash deviation of each sampled candidate, then
-    the lowest of the rest, n in all, in hash order."""
+    the lowest of the rest, n in all, in hash order. No candidate has more than its n + 1 lowest picked from, which each
+    task cuts it to before it sends any; equal rows have equal hashes and go after that."""
     h = review_hash(F.col("repository"), "deviation", "inferred", _b64("a"), _b64("b"), F.col("cutoff_id"), F.col("event_id"))
-    rows = devs.join(sampled.select("repo_id", "a", "b"), ["repo_id", "a", "b"], "left_semi").select("repo_id", "repository", "a", "b", "cutoff_id", "event_id").distinct().withColumn("hash", h)
-    own = F.row_number().over(Window.partitionBy("repo_id", "a", "b").orderBy("hash"))
-    rows = rows.withColumn("later", (own > 1).cast("int"))
+    rows = devs.join(sampled.select("repo_id", "a", "b"), ["repo_id", "a", "b"], "left_semi").select("repo_id", "repository", "a", "b", "cutoff_id", "event_id").withColumn("hash", h)
+    own = F.dense_rank().over(Window.partitionBy("repo_id", "a", "b").orderBy("hash"))
+    rows = rows.withColumn("own", own).where(F.col("own") <= n + 1).distinct().withColumn("later", (F.col("own") > 1).cast("int")).drop("own")
     place = F.row_number().over(Window.partitionBy("repo_id").orderBy("later", "hash"))
     picked = rows.withColumn("p", place).where(F.col("p") <= n)
     return picked.withColumn("place", F.row_number().over(Window.partitionBy("repo_id").orderBy("hash"))).drop("p", "later")

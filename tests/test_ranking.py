@@ -3,8 +3,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from covary.operators import chain, evidence, partitions
+from covary.functions.scalars import base64url, review_hash
+from covary.operators import chain, evidence, normalize, partitions, review
 from covary.operators.ranking import ranked, running_max
 
 
@@ -78,3 +80,33 @@ def test_no_plan_puts_a_repository_into_one_task(spark):
     assert got == sorted(want)
     few = evidence.candidate_evidence_events(cands, tx.where("seq < 4"), 10, 10).collect()
     assert sorted((x.role, x.seq, x.total) for x in few) == [("exception", 0, 2), ("exception", 3, 2), ("support", 1, 2), ("support", 2, 2)]
+
+
+def test_deviations_are_cut_before_they_are_sent(spark):
+    """Of each candidate no more than can be picked leave a task, however often a deviation is listed."""
+    sampled = spark.createDataFrame([("r", "a", "b"), ("r", "a", "c")], "repo_id string, a string, b string")
+    rows = [("r", "tip", "a", b, f"c{i % 3}", f"e{i}") for b in "bcd" for i in range(40)] * 2
+    devs = spark.createDataFrame(rows, "repo_id string, repository string, a string, b string, cutoff_id string, event_id string")
+    out = review.sample_deviations(devs, sampled, 5)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("WindowGroupLimit") == 2
+    hashed = devs.where("b != 'd'").distinct().withColumn("h", review_hash(F.col("repository"), F.lit("deviation"), F.lit("inferred"), *[base64url(F.col(c)) for c in "ab"], F.col("cutoff_id"), F.col("event_id")))
+    every = sorted((x.h, x.b, x.event_id) for x in hashed.collect())
+    first = [next(x for x in every if x[1] == b) for b in "bc"]
+    want = sorted(first + [x for x in every if x not in first][: 5 - len(first)])
+    assert sorted((x.hash, x.b, x.event_id, x.place) for x in out.collect()) == [(*x, k + 1) for k, x in enumerate(want)]
+
+
+def test_transactions_make_their_paths_once(spark):
+    c = spark.createDataFrame([("r", f"e{i}", p, "100644", "100644", "M", f"{'abc'[p % 3]}/f{p}") for i in range(6) for p in range(i)], "repo_id string, event_id string, pos int, src_mode string, dst_mode string, status string, path string")
+    tx = normalize.build_transactions(events(spark, 6), c, 4, 2)
+    assert tx._jdf.queryExecution().optimizedPlan().toString().count("min_by(") == 1
+    assert sorted((x.event_id, x.components, x.k) for x in tx.collect()) == [("e1", ["a"], 1), ("e2", ["a", "b"], 2)]
+
+
+def test_evidence_does_not_deal_out_all_components(spark):
+    """However the candidates were made, the join knows how few they are."""
+    tx = spark.range(0, 2000, 1, 4).select(F.lit("r").alias("repo_id"), F.col("id").cast("int").alias("seq"), F.concat(F.lit("e"), "id").alias("event_id"), F.array(F.lit("a"), F.lit("b"), F.lit("c")).alias("components"))
+    many = spark.range(10_000_000).select(F.lit("r").alias("repo_id"), F.concat(F.lit("x"), "id").alias("a"), F.lit("b").alias("b"))
+    cands = many.where("a = 'x5'").withColumn("a", F.lit("a"))
+    plan = evidence.candidate_evidence_events(cands, tx)._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
